@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokens import encoder
+from .tokens import FileEncoder, worker_encoder
 
 #: Context sizes, longest first; all are powers of two.
 TIERS = (2048, 1024, 512, 256)
@@ -142,7 +142,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
 
         arrow, end = to_arrow_schema(schema), struct.pack("<I", end_id)
         base = TaskContext.get().partitionId() << 40
-        encode = encoder(tokenizer, keeps_spaces).encode
+        encode = worker_encoder(FileEncoder, tokenizer, keeps_spaces).encode
         packer = TierPacker(tiers, buffer_tokens, step_tokens)
 
         def out():

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_orc
+from . import bpe, packing, token_orc
 from .common import scratch_path, table
 
 
@@ -21,5 +21,17 @@ def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.document_spans(token_orc.read_token_orc(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op3_token_orc)}
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    decoded = bpe.decode_documents(encoded, ranks)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op3_token_orc, op5_byte_bpe)}
 ORACLES: dict[str, str] = {}

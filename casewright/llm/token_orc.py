@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import shuffle_partitions
-from .tokens import encoder
+from .tokens import FileEncoder, worker_encoder
 
 END_ID = 1
 
@@ -28,7 +28,7 @@ def tokenize(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_co
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow, end = to_arrow_schema(schema), struct.pack("<I", end_id)
-        encode, before = encoder(tokenizer, keeps_spaces).encode, 0
+        encode, before = worker_encoder(FileEncoder, tokenizer, keeps_spaces).encode, 0
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)

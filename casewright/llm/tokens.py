@@ -35,38 +35,27 @@ class _Memo(dict):
 class UnitEncoder:
     """encode(text) gives the ids as little-endian unsigned 32-bit integers.
 
-    keeps_spaces: the file's pre-tokenizer attaches a blank to the word after it (byte-level BPE);
-    else it drops white space (word-end BPE). memo_limit bounds each of the memos' entries.
+    keeps_spaces: a blank belongs to the word after it; else white space is dropped. memo_limit bounds the entries
+    of each memo. Subclasses say how one unit, and a whole text, is encoded.
     """
 
-    def __init__(self, path: str, keeps_spaces: bool, memo_limit: int = 1_000_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+    def __init__(self, keeps_spaces: bool, memo_limit: int = 1_000_000):
         self.keeps_spaces = keeps_spaces
         self.units = _Memo(self._unit, memo_limit)
         self.spaced = _Memo(lambda word: self._unit(" " + word), memo_limit)
 
     def _unit(self, unit: str) -> list[int]:
-        t = self.tokenizer
-        word = unit[1:] if self.keeps_spaces and unit[:1] == " " else unit
-        if word.isascii() and word.isalpha():  # one piece, whose bytes stand for themselves
-            pieces = [("Ġ" if word is not unit else "") + word if self.keeps_spaces else word.lower()]
-        else:
-            text = t.normalizer.normalize_str(unit) if t.normalizer else unit
-            pieces = [p for p, _ in t.pre_tokenizer.pre_tokenize_str(text)]
-        return [token.id for piece in pieces for token in t.model.tokenize(piece)]
+        raise NotImplementedError
 
-    def _whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def _whole(self, text: str) -> list[int]:
+        raise NotImplementedError
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if any(c in text for c in SEPARATORS):
-            return self._whole(text)
+            ids = self._whole(text)
+            return struct.pack(f"<{len(ids)}I", *ids)
         if not self.keeps_spaces:
             return b"".join(map(self.units.__getitem__, text.split()))
         plain = text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in ("  ", "\n\n", " \n", "\n ")) and not any(c in text for c in OTHER_SPACE)
@@ -79,12 +68,36 @@ class UnitEncoder:
         return self.units["\n"].join(lines)
 
 
+class FileEncoder(UnitEncoder):
+    """By the normalizer, pre-tokenizer and model of a `tokenizers` file; special tokens' strings are ordinary text."""
+
+    def __init__(self, path: str, keeps_spaces: bool, memo_limit: int = 1_000_000):
+        from tokenizers import Tokenizer
+
+        super().__init__(keeps_spaces, memo_limit)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+
+    def _unit(self, unit: str) -> list[int]:
+        t = self.tokenizer
+        word = unit[1:] if self.keeps_spaces and unit[:1] == " " else unit
+        if word.isascii() and word.isalpha():  # one piece, whose bytes stand for themselves
+            pieces = [("Ġ" if word is not unit else "") + word if self.keeps_spaces else word.lower()]
+        else:
+            text = t.normalizer.normalize_str(unit) if t.normalizer else unit
+            pieces = [p for p, _ in t.pre_tokenizer.pre_tokenize_str(text)]
+        return [token.id for piece in pieces for token in t.model.tokenize(piece)]
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 _encoders: dict[tuple, UnitEncoder] = {}
 
 
-def encoder(path: str, keeps_spaces: bool) -> UnitEncoder:
+def worker_encoder(kind: type[UnitEncoder], *args) -> UnitEncoder:
     """One encoder for each file and Python worker; workers outlive tasks, and so do the memos."""
-    key = (path, keeps_spaces)
+    key = (kind, *args)
     if key not in _encoders:
-        _encoders[key] = UnitEncoder(path, keeps_spaces)
+        _encoders[key] = kind(*args)
     return _encoders[key]

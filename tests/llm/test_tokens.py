@@ -7,7 +7,7 @@ import public_tokenizers as P
 from tokenizers import Tokenizer
 
 from casewright.llm import packing, token_orc
-from casewright.llm.tokens import UnitEncoder
+from casewright.llm.tokens import FileEncoder
 
 BYTE, WORD = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
 ODD = ["", " ", "\n", "a", " a", "a ", "Hello  world\n\nIt's <|endoftext|> 12 345\t\tx", "a\x1cb \x1d c", "é è　日本語 テスト\n \nŹ ΑΣ ΟΔΟΣ. İI", "x\ny", "x \ny", "x\n y", "!\x1c\x1c?", "don't can't 'll 's'd", "﻿zero​width", "🙂 🙂🙂 ok", "a" * 5000, "word. " * 400, "tail\n", "\r\nq\r\n\r\nr", "Ünï cödé\xa0nbsp"]
@@ -31,7 +31,7 @@ def random_texts(n):
 
 def test_units_give_the_ids_of_whole_texts():
     for path, spaces in ((BYTE, True), (WORD, False)):
-        enc = UnitEncoder(path, spaces, memo_limit=50)
+        enc = FileEncoder(path, spaces, memo_limit=50)
         for text in ODD + random_texts(400):
             assert np.frombuffer(enc.encode(text), "<u4").tolist() == whole(path, text), repr(text)
         assert enc.encode(None) == b""
