@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, token_orc
+from . import bpe, packing, quality, token_orc, toxicity
 from .common import scratch_path, table
 
 
@@ -33,5 +33,16 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op3_token_orc, op5_byte_bpe)}
-ORACLES: dict[str, str] = {}
+def op6_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op7_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
+
+
+QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op3_token_orc, op5_byte_bpe, op6_toxicity_grammar, op7_distribution_divergence)}
+ORACLES = {"op7_distribution_divergence": quality.oracle_sql()}
