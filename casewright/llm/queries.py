@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, token_orc, toxicity
+from . import bpe, packing, quality, simhash, token_orc, toxicity
 from .common import scratch_path, table
 
 
@@ -44,5 +44,10 @@ def op7_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
-QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op3_token_orc, op5_byte_bpe, op6_toxicity_grammar, op7_distribution_divergence)}
+def op8_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op3_token_orc, op5_byte_bpe, op6_toxicity_grammar, op7_distribution_divergence, op8_simhash_ball)}
 ORACLES = {"op7_distribution_divergence": quality.oracle_sql()}
