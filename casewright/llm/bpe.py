@@ -39,7 +39,7 @@ def merged(ranks: dict[bytes, int], piece: bytes) -> list[bytes]:
 class PieceEncoder:
     """Encodes one piece of bytes; all 256 single bytes have to be tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], memo_limit: int = 4_000_000):
+    def __init__(self, ranks: dict[bytes, int], memo_limit: int = 500_000):
         import ahocorasick
 
         self.ranks, self.memo_limit = ranks, memo_limit
@@ -90,7 +90,7 @@ class PieceEncoder:
 class RankEncoder(UnitEncoder):
     """By a rank file and a pattern that splits texts into pieces, each of which is encoded on its own."""
 
-    def __init__(self, path: str, pattern: str, memo_limit: int = 1_000_000):
+    def __init__(self, path: str, pattern: str, memo_limit: int = 300_000):
         import regex
 
         super().__init__(True, memo_limit)

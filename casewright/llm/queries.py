@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, simhash, token_orc, toxicity
+from . import bpe, line_dedup, packing, quality, simhash, token_orc, toxicity
 from .common import scratch_path, table
 
 
@@ -15,6 +15,11 @@ def op1_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per line: its class (the component's first line) and whether it is kept."""
+    return line_dedup.line_classes(table(spark, sf_dir, "documents")).drop("key")
+
+
 def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-orc")
     token_orc.write_token_orc(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
@@ -49,5 +54,5 @@ def op8_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op3_token_orc, op5_byte_bpe, op6_toxicity_grammar, op7_distribution_divergence, op8_simhash_ball)}
+QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op2_fuzzy_lines, op3_token_orc, op5_byte_bpe, op6_toxicity_grammar, op7_distribution_divergence, op8_simhash_ball)}
 ORACLES = {"op7_distribution_divergence": quality.oracle_sql()}

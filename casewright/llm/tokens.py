@@ -39,7 +39,7 @@ class UnitEncoder:
     of each memo. Subclasses say how one unit, and a whole text, is encoded.
     """
 
-    def __init__(self, keeps_spaces: bool, memo_limit: int = 1_000_000):
+    def __init__(self, keeps_spaces: bool, memo_limit: int = 700_000):
         self.keeps_spaces = keeps_spaces
         self.units = _Memo(self._unit, memo_limit)
         self.spaced = _Memo(lambda word: self._unit(" " + word), memo_limit)
@@ -71,7 +71,7 @@ class UnitEncoder:
 class FileEncoder(UnitEncoder):
     """By the normalizer, pre-tokenizer and model of a `tokenizers` file; special tokens' strings are ordinary text."""
 
-    def __init__(self, path: str, keeps_spaces: bool, memo_limit: int = 1_000_000):
+    def __init__(self, path: str, keeps_spaces: bool, memo_limit: int = 700_000):
         from tokenizers import Tokenizer
 
         super().__init__(keeps_spaces, memo_limit)
