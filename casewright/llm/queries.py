@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, packing, quality, simhash, token_orc, toxicity
+from . import bpe, line_dedup, packing, quality, simhash, token_orc, toxicity, warc
 from .common import scratch_path, table
 
 
@@ -26,6 +26,13 @@ def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.document_spans(token_orc.read_token_orc(spark, path))
 
 
+def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_warc(warc.arc_to_warc(warc.write_arc_rows(table(spark, sf_dir, "pages"))), path)
+    read = warc.read_warc(spark, path).where(F.col("record_type").isin("response", "revisit"))
+    return read.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_key").alias("refers_to"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -54,5 +61,17 @@ def op8_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op2_fuzzy_lines, op3_token_orc, op5_byte_bpe, op6_toxicity_grammar, op7_distribution_divergence, op8_simhash_ball)}
-ORACLES = {"op7_distribution_divergence": quality.oracle_sql()}
+QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op2_fuzzy_lines, op3_token_orc, op4_arc_to_warc, op5_byte_bpe, op6_toxicity_grammar, op7_distribution_divergence, op8_simhash_ball)}
+#: DuckDB's sha256 gives lower-case hex of the UTF-8 bytes.
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS n, sha256(html) AS digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS least FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 100 AND page_id <> least THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> least THEN least END AS refers_to
+FROM f"""
+
+ORACLES = {
+    "op4_arc_to_warc": OP4_SQL,
+    "op7_distribution_divergence": quality.oracle_sql(),
+}
