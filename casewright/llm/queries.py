@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, packing, quality, simhash, token_orc, toxicity, warc
+from . import bpe, line_dedup, order_minhash, packing, quality, simhash, token_orc, toxicity, warc
 from .common import scratch_path, table
 
 
@@ -61,7 +61,11 @@ def op8_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op2_fuzzy_lines, op3_token_orc, op4_arc_to_warc, op5_byte_bpe, op6_toxicity_grammar, op7_distribution_divergence, op8_simhash_ball)}
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.order_fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op2_fuzzy_lines, op3_token_orc, op4_arc_to_warc, op5_byte_bpe, op6_toxicity_grammar, op7_distribution_divergence, op8_simhash_ball, op10_order_minhash)}
 #: DuckDB's sha256 gives lower-case hex of the UTF-8 bytes.
 OP4_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
