@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, order_minhash, packing, quality, simhash, token_orc, toxicity, warc
+from . import bpe, chat_tools, line_dedup, order_minhash, packing, quality, simhash, token_orc, toxicity, warc
 from .common import scratch_path, table
 
 
@@ -61,11 +61,51 @@ def op8_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Tools of the conversations that op9's query makes from `conversations`.
+TOOLS = {
+    "search": {"query": ("string", True), "limit": ("integer", True), "after": ("string", False)},
+    "lookup": {"query": ("string", True), "limit": ("integer", False), "after": ("string", False)},
+    "count": {"query": ("string", True), "exact": ("boolean", True), "limit": ("integer", False), "after": ("string", False)},
+}
+
+
+def tool_messages(conversations: DataFrame) -> DataFrame:
+    """Conversations with tool calls: a user's turn calls a tool with its whole text, the assistant's turn after it is the result.
+
+    Every fifth call has a limit of the wrong type, every seventh no query; most need the result of an earlier call,
+    which lies one bit of the call's number back, so that chains grow with the logarithm of a conversation.
+    """
+    conv, turn = F.col("conv_id").cast("string"), F.col("turn")
+    half = F.expr("turn div 2")
+    before = 2 * half.bitwiseAND(half - 1) + turn % 2
+    after = F.when(half > 0, F.concat(F.lit("$c"), conv, F.lit("-"), before.cast("string")))
+    pick = (turn + F.col("conv_id")) % 3
+    name = F.when(pick == 0, "search").when(pick == 1, "lookup").otherwise("count")
+    limit = F.when((turn + F.col("conv_id")) % 5 == 0, F.parse_json(F.concat(F.lit('"'), turn.cast("string"), F.lit('"')))).otherwise(F.parse_json(turn.cast("string")))
+    query = F.when((turn + F.col("conv_id")) % 7 != 0, F.col("text"))
+    exact = F.when(name == "count", F.lit(True))
+    arguments = F.to_json(F.struct(after.alias("after"), exact.alias("exact"), limit.alias("limit"), query.alias("query")))
+    calls = F.to_json(F.array(F.struct(F.concat(F.lit("c"), conv, F.lit("-"), turn.cast("string")).alias("id"), name.alias("name"), arguments.alias("arguments"))))
+    return conversations.select(
+        "conv_id",
+        "turn",
+        F.when(F.col("role") == "assistant", "tool").otherwise(F.col("role")).alias("role"),
+        F.col("text").alias("content"),
+        F.when(F.col("role") == "user", calls).alias("tool_calls"),
+        F.when(F.col("role") == "assistant", F.concat(F.lit("c"), conv, F.lit("-"), (turn - 1).cast("string"))).alias("tool_call_id"),
+    )
+
+
+def op9_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat_tools.link_tool_calls(tool_messages(table(spark, sf_dir, "conversations")), TOOLS)
+    return found.select("conv_id", "call_id", "turn", "name", F.col("level").cast("long").alias("level"), "status", F.array_join("errors", ";").alias("errors"), F.md5("json").alias("json_md5"))
+
+
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.order_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op2_fuzzy_lines, op3_token_orc, op4_arc_to_warc, op5_byte_bpe, op6_toxicity_grammar, op7_distribution_divergence, op8_simhash_ball, op10_order_minhash)}
+QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op2_fuzzy_lines, op3_token_orc, op4_arc_to_warc, op5_byte_bpe, op6_toxicity_grammar, op7_distribution_divergence, op8_simhash_ball, op9_tool_links, op10_order_minhash)}
 #: DuckDB's sha256 gives lower-case hex of the UTF-8 bytes.
 OP4_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -75,7 +115,28 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CA
   CASE WHEN n >= 100 AND page_id <> least THEN least END AS refers_to
 FROM f"""
 
+_TEXT = """'"' || replace(replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't') || '"'"""
+OP9_SQL = f"""
+WITH RECURSIVE c AS (SELECT *, 'c' || conv_id || '-' || turn AS id, turn // 2 AS half, CASE (turn + conv_id) % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'lookup' ELSE 'count' END AS name,
+      {_TEXT} AS quoted FROM conversations),
+u AS (SELECT *, CASE WHEN half > 0 THEN 2 * (half & (half - 1)) + turn % 2 END AS needs FROM c WHERE role = 'user'),
+e AS (SELECT u.*, k.id AS needs_id FROM u LEFT JOIN u k ON k.conv_id = u.conv_id AND k.turn = u.needs),
+l AS (SELECT conv_id, turn, 0 AS level FROM e WHERE needs_id IS NULL
+      UNION ALL SELECT e.conv_id, e.turn, l.level + 1 FROM e JOIN l ON l.conv_id = e.conv_id AND l.turn = e.needs AND e.needs_id IS NOT NULL),
+r AS (SELECT conv_id, turn, quoted AS result, 'c' || conv_id || '-' || (turn - 1) AS rid FROM c WHERE role = 'assistant'),
+j AS (SELECT coalesce(e.conv_id, r.conv_id) AS conv_id, coalesce(e.id, r.rid) AS call_id, coalesce(e.turn, r.turn) AS turn, e.name, e.turn AS t, e.quoted, e.needs, e.needs_id, r.rid, r.result,
+        (e.turn + e.conv_id) % 5 = 0 AS bad, (e.turn + e.conv_id) % 7 = 0 AS none
+      FROM e FULL JOIN r ON e.conv_id = r.conv_id AND e.id = r.rid)
+SELECT j.conv_id, call_id, j.turn, name, CAST(l.level AS BIGINT) AS level,
+  CASE WHEN t IS NULL THEN 'orphan' WHEN rid IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+  CASE WHEN t IS NOT NULL THEN array_to_string(list_filter([CASE WHEN bad THEN 'limit:not integer' END, CASE WHEN none THEN 'query:missing' END, CASE WHEN needs IS NOT NULL AND needs_id IS NULL THEN 'reference:unknown call' END], lambda x: x IS NOT NULL), ';') END AS errors,
+  md5('{{"arguments":' || CASE WHEN t IS NULL THEN 'null' ELSE '{{' || CASE WHEN needs IS NOT NULL THEN '"after":"$c' || j.conv_id || '-' || needs || '",' ELSE '' END || CASE WHEN name = 'count' THEN '"exact":true,' ELSE '' END
+    || '"limit":' || CASE WHEN bad THEN '"' || t || '"' ELSE CAST(t AS VARCHAR) END || CASE WHEN none THEN '' ELSE ',"query":' || quoted END || '}}' END
+    || ',"id":"' || call_id || '","name":' || coalesce('"' || name || '"', 'null') || ',"result":' || coalesce(result, 'null') || '}}') AS json_md5
+FROM j LEFT JOIN l ON l.conv_id = j.conv_id AND l.turn = j.t"""
+
 ORACLES = {
+    "op9_tool_links": OP9_SQL,
     "op4_arc_to_warc": OP4_SQL,
     "op7_distribution_divergence": quality.oracle_sql(),
 }
