@@ -49,12 +49,12 @@ def _words(spaced: Column) -> Column:
 
 
 def base_metrics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars, and the counts c of CLASSES and w of WORDS and all other words.
+    """doc_id, lang, tie (a hash of the text), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars, and the counts c of CLASSES and w of WORDS and all other words.
 
     One pass over each text. Repeated windows are found by 64-bit hashes of three words, sorted with their
     places only where some hash repeats; each window covers the words that the one before it left.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     d = d.withColumn("spaced", _spaced(F.col("text")))
     d = d.withColumn("words", _words(F.col("spaced"))).withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     d = d.withColumn("n", F.size("words"))
@@ -77,6 +77,7 @@ def base_metrics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     d = d.select(
         "doc_id",
         "lang",
+        "tie",
         F.col("n").cast("long").alias("n_words"),
         no_space.cast("long").alias("word_chars"),
         (chars - F.length(_without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
@@ -91,7 +92,7 @@ def base_metrics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     other = F.greatest(F.col("word_chars") - F.col("upper") - F.col("digit") - F.col("mark") - F.col("n_symbols"), F.lit(0))
     total = F.aggregate("ws", F.lit(0.0), lambda x, y: x + y)
     return d.select(
-        *d.columns[:8],
+        *d.columns[:9],
         F.array(*(x.cast("double") for x in (F.col("chars") - F.col("word_chars"), F.col("upper"), F.col("digit"), F.col("n_symbols"), F.col("mark"), other))).alias("c"),
         F.array_append("ws", F.greatest(F.col("n_words") - total, F.lit(0.0))).alias("w"),
     )
@@ -131,7 +132,7 @@ def _distances(metrics: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, the base metrics, base_failed, class_distance, word_distance, kept; one row for each row of `docs`.
+    """doc_id, lang, tie, the base metrics, base_failed, class_distance, word_distance, kept; one row for each row of `docs`.
 
     base_failed: under MIN_WORDS words, or over REPEATED_PERCENT of words in repeated windows. The method rejects
     a document whose class or word distance is over its bound, or both over BOTH; under the guards' lengths, or in a language (null
@@ -147,7 +148,15 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
     by_class, by_word = F.coalesce("class_distance", F.lit(0.0)), F.coalesce("word_distance", F.lit(0.0))
     near = (by_class <= MAX_CLASS_DISTANCE) & (by_word <= MAX_WORD_DISTANCE) & ~((by_class > BOTH[0]) & (by_word > BOTH[1]))
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "class_distance", "word_distance", (~failed & near).alias("kept"))
+    return joined.select("doc_id", "lang", "tie", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "class_distance", "word_distance", (~failed & near).alias("kept"))
+
+
+def keep_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of `docs` that judge keeps, with all their columns; rejected rows are told by id, language and text hash."""
+    verdicts = judge(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
+    gone = materialize(verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("g_id"), F.col("lang").alias("g_lang"), F.col("tie").alias("g_tie")).distinct(), "quality")
+    same = F.col(id_col).eqNullSafe(F.col("g_id")) & F.col(lang_col).eqNullSafe(F.col("g_lang")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("g_tie"))
+    return docs.join(gone, same, "left_anti")
 
 
 def _sql_js(p: str, q: str) -> str:

@@ -114,3 +114,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = linked.join(smallest, "root").select(F.col("fp").alias("of"), "component_id")
     return prints.join(of_print, prints.fp == F.col("of")).select("doc_id", "fp", "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose id is their component's; of rows that repeat an id one stays."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, crowd=crowd)
+    own = materialize(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k_id")).distinct(), "simhash")
+    return docs.join(own, F.col(id_col).eqNullSafe(F.col("k_id")), "left_semi").dropDuplicates([id_col])

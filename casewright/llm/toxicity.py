@@ -225,6 +225,13 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return Model(patterns, weights, bias)
 
 
+def _scores(model: Model, matcher: Matcher, texts) -> list[float]:
+    if not model.patterns:
+        return [0.0] * len(texts)
+    sums = (model.bias + sum(w * f for w, f in zip(model.weights, matcher.features(t.as_py()))) for t in texts)
+    return [1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) for z in sums]
+
+
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 if score >= 0.5) of every whole text; one row for each row.
 
@@ -238,10 +245,21 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
         matcher = Matcher(model.patterns)
         for batch in batches:
-            scores = []
-            for text in batch.column(1):
-                z = model.bias + sum(w * f for w, f in zip(model.weights, matcher.features(text.as_py())))
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) if model.patterns else 0.0)
+            scores = _scores(model, matcher, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=["doc_id", "score", "predicted"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+
+
+def keep_documents(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, that the model doesn't predict as toxic."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        matcher = Matcher(model.patterns)
+        for batch in batches:
+            yield batch.filter(pa.array([s < 0.5 for s in _scores(model, matcher, batch.column(at))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
