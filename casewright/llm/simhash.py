@@ -1,14 +1,17 @@
 """SimHash near-duplicates by ball hashing that meets in the middle.
 
 Two 64-bit fingerprints with at most 3 differing bits agree up to 1 bit in one of their 32-bit halves. Half the
-radius, rounded down, is 1: so for either half every fingerprint emits its own value and all variants within one
-flipped bit, and pairs meet where one's value is the other's variant. Those keys are shuffled, the colliding
-pairs deduplicated and verified on all 64 bits. Equal fingerprints are one node from the start.
-
-A key under which more than `crowd` values and variants meet would make pairs with the square of its size.
-There the other half's balls take over: under that key, members emit the variants of their other half within 2
-bits and within 1, and everyone at a variant is linked to the least member within 1 bit of it, if there is one.
-That holds for exactly the pairs whose distance is within the sum, so the links are the same, in linear number.
+radius, rounded down, is 1: so for either half every fingerprint emits its own value and the variants with one bit
+flipped, and pairs meet where one's value is the other's variant. Of two halves that differ in one bit, one has
+it set, so variants that clear a bit are enough. The keys are shuffled, the colliding pairs deduplicated and
+verified on all 64 bits. Equal fingerprints are one node from the start.
+
+A key under which more than `crowd` values and variants meet would make comparisons with the square of its size.
+There the other half's ball takes over: under that key, values emit all variants of their other half within 2
+bits, and the key's variants their other half as it is. Around each such spot, the values within 1 bit and the
+key's variants are its centres; all at the spot are linked to the least centre, if there is one. Every such link
+is within the radius, and every pair within it shares a spot that has a centre, so the components are the same.
+The rows grow with the crowd, not its square; below some thousands, comparing costs less than the ball's rows.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ SEED = 42
 SHINGLE = 3
 RADIUS = 3
 #: Values and variants under a key up to which their pairs are compared one by one.
-CROWD = 32
+CROWD = 4096
 MASK = (1 << 32) - 1
 
 
@@ -67,9 +70,15 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
 
-def _variants(value: Column, within: int) -> Column:
-    """All 32-bit values within so many flipped bits (0, 1 or 2)."""
-    masks = [0] * (within >= 0) + [1 << i for i in range(32)] * (within >= 1) + [1 << i | 1 << j for i in range(32) for j in range(i)] * (within >= 2)
+def _cleared(value: Column) -> Column:
+    """The 32-bit value, then every variant that has one of its bits cleared."""
+    masks = F.lit([0, *(1 << i for i in range(32))]).cast("array<bigint>")
+    return F.transform(F.filter(masks, lambda m: value.bitwiseAND(m) == m), lambda m: value.bitwiseXOR(m))
+
+
+def _ball(value: Column) -> Column:
+    """All 32-bit values within two flipped bits."""
+    masks = [0, *(1 << i for i in range(32)), *(1 << i | 1 << j for i in range(32) for j in range(i))]
     return F.transform(F.lit(masks).cast("array<bigint>"), lambda m: value.bitwiseXOR(m))
 
 
@@ -78,7 +87,7 @@ def links(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
     nodes = nodes.select("fp")
     low, high = F.col("fp").bitwiseAND(MASK), F.shiftrightunsigned("fp", 32)
     halves = nodes.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("side"), low.alias("own"), high.alias("rest")), F.struct(F.lit(1).alias("side"), high.alias("own"), low.alias("rest")))).alias("h")).select("fp", "h.*")
-    keyed = halves.select("fp", "side", "rest", F.posexplode(_variants(F.col("own"), 1)).alias("flip", "key"))
+    keyed = halves.select("fp", "side", "rest", F.posexplode(_cleared(F.col("own"))).alias("flip", "key"))
     keyed = keyed.select("fp", "side", "key", "rest", (F.col("flip") > 0).alias("variant"))
     # A key matters if some fingerprint has it as its value and another meets it; most keys have one row and end here.
     sizes = keyed.groupBy("side", "key").agg(F.count("*").alias("n"), F.min("variant").alias("alone")).where((F.col("n") > 1) & ~F.col("alone"))
@@ -89,12 +98,12 @@ def links(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
     pairs = a.join(b, ["side", "key"]).where((F.col("a") != F.col("b")) & near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
     many = met.where(F.col("n") > crowd).drop("n")
-    # Two values: the rest may differ in 3 bits, 2 + 1. A value and a variant: in 2 bits, 1 + 1.
-    wide = many.where(~F.col("variant")).select("fp", "side", "key", F.explode(_variants(F.col("rest"), 2)).alias("at"), "rest")
+    # Role 1 is a centre within 1 bit, 2 a value at 2 bits, 3 a variant of the key, which is a centre at its own rest.
+    wide = many.where(~F.col("variant")).select("fp", "side", "key", F.explode(_ball(F.col("rest"))).alias("at"), "rest")
     wide = wide.select("fp", "side", "key", "at", F.when(F.bit_count(F.col("rest").bitwiseXOR(F.col("at"))) < 2, 1).otherwise(2).alias("role"))
-    close = many.where("variant").select("fp", "side", "key", F.explode(_variants(F.col("rest"), 1)).alias("at"), F.lit(3).alias("role"))
+    close = many.where("variant").select("fp", "side", "key", F.col("rest").alias("at"), F.lit(3).alias("role"))
     spots = wide.union(close)
-    centre = F.min(F.when(F.col("role") == 1, F.col("fp")))
+    centre = F.min(F.when(F.col("role") != 2, F.col("fp")))
     hubs = spots.groupBy("side", "key", "at").agg(centre.alias("hub"), F.count("*").alias("n")).where(F.col("hub").isNotNull() & (F.col("n") > 1)).drop("n")
     stars = spots.join(hubs, ["side", "key", "at"]).where(F.col("fp") != F.col("hub")).select(F.greatest("fp", "hub").alias("a"), F.least("fp", "hub").alias("b")).distinct()
     return pairs.union(stars)
