@@ -68,7 +68,8 @@ def buckets_of(lines: list[str], bands: int = BANDS, rows: int = ROWS):
     place = np.arange(len(h))
     inside = place + SHINGLE <= ends[owner[: len(h)]]
     # The upper 40 bits of each hash, after the line's number: sorted, a line's distinct shingles stand in order.
-    key = np.unique((owner[: len(h)][inside].astype(np.uint64) << one(40)) | (h[inside] >> one(24)))
+    key = np.sort((owner[: len(h)][inside].astype(np.uint64) << one(40)) | (h[inside] >> one(24)))
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
     line, value = (key >> one(40)).astype(np.int64), key & one((1 << 40) - 1)
     counts = np.bincount(line, minlength=len(lines))
     starts = np.concatenate([[0], np.cumsum(counts)])
