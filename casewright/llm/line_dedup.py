@@ -8,8 +8,11 @@ Sets under SMALL shingles get classic signatures of one permutation a value; lar
 cut into as many bins, empty bins borrowing from others. A pair at the threshold differs in size by a fifth at
 most, so sizes from LARGE to SMALL get both and no pair falls between the schemes.
 
-A bucket's lines are compared with its least line first. After union-find over these links, lines that aren't in
-one component with another line of their bucket are compared with it. So a crowd of near copies costs as many
+A bucket's lines are compared with its lead first: in a crowded bucket the line that meets the most others over
+all its crowded buckets, which is the middle of a group of near copies. After union-find over these links, lines
+that aren't in one component with another line of their bucket are compared with it, unless that can't link them:
+Jaccard distance is a metric, so two lines whose distances to the lead differ by more than the greatest distance
+of a link aren't linked, nor are two whose numbers of shingles differ too much. So most of a crowd costs as many
 comparisons as it has lines, and no pair that shares a bucket goes unlinked.
 """
 
@@ -29,7 +32,10 @@ ROWS = 4
 SMALL, LARGE = 100, 80
 #: Keys up to which a broadcast is used instead of a shuffle of texts (under 100 MB).
 BROADCAST_KEYS = 2_000_000
-_CHARS = 2_000_000
+#: Rows of a bucket above which its lead is chosen by how many others it meets.
+CROWD = 16
+#: Characters for which signatures are made at once: arrays of this length stay in a core's cache.
+_CHARS = 131_072
 
 
 def line_key(line: Column) -> Column:
@@ -43,12 +49,12 @@ def explode_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def buckets_of(lines: list[str], bands: int = BANDS, rows: int = ROWS):
-    """For each line its bucket hashes: (index of the line, bucket) arrays."""
+    """For each line its bucket hashes: (index of the line, bucket) arrays, and each line's number of shingles."""
     import numpy as np
 
     n_values, one = bands * rows, np.uint64
     r = np.random.Generator(np.random.PCG64(20240229))
-    odd = r.integers(1, 1 << 63, n_values, dtype=np.uint64) | one(1)
+    odd, flips = (r.integers(1, 1 << 63, n_values, dtype=np.uint64) | one(1) for _ in range(2))
     borrow = r.integers(0, n_values, (400, n_values))
 
     def mix(x):
@@ -87,10 +93,10 @@ def buckets_of(lines: list[str], bands: int = BANDS, rows: int = ROWS):
     small = np.flatnonzero(counts < SMALL)
     if len(small):
         own = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in small])
-        cuts = np.concatenate([[0], np.cumsum(counts[small])[:-1]])
+        cuts, x = np.concatenate([[0], np.cumsum(counts[small])[:-1]]), value[own]
         signature = np.empty((len(small), n_values), np.uint64)
         for c in range(n_values):
-            signature[:, c] = np.minimum.reduceat(mix(value[own] * odd[c] + odd[(c + 1) % n_values]), cuts)
+            signature[:, c] = np.minimum.reduceat((x ^ flips[c]) * odd[c], cuts)
         emit(small, signature, 1)
     large = np.flatnonzero(counts >= LARGE)
     if len(large):
@@ -112,12 +118,12 @@ def buckets_of(lines: list[str], bands: int = BANDS, rows: int = ROWS):
             a, b = np.nonzero(empty & known[:, turn])
             signature[a, b], filled[a, b] = source[a, turn[b]], True
         emit(large, signature, 2)
-    return np.concatenate(found_line), np.concatenate(found).view(np.int64)
+    return np.concatenate(found_line), np.concatenate(found).view(np.int64), counts
 
 
 def signatures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """key, buckets array<bigint>, of the lines of each partition, mostly once each."""
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("buckets", T.ArrayType(T.LongType()))])
+    """key, size (number of shingles), buckets array<bigint>, of the lines of each partition, mostly once each."""
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("size", T.LongType()), T.StructField("buckets", T.ArrayType(T.LongType()))])
 
     def run(batches):
         import re
@@ -130,11 +136,11 @@ def signatures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         arrow, word, seen, lines, keys, chars = to_arrow_schema(schema), re.compile(r"[^ \t\n\x0b\f\r]"), set(), [], [], 0
 
         def out():
-            which, found = buckets_of(lines)
+            which, found, sizes = buckets_of(lines)
             order = np.argsort(which, kind="stable")
             ends = np.cumsum(np.bincount(which, minlength=len(lines)))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype("i4")), pa.array(found[order]))
-            return pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), lists.cast(arrow.field(1).type)], schema=arrow)
+            return pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists.cast(arrow.field(2).type)], schema=arrow)
 
         for batch in batches:
             for text in batch.column(0):
@@ -163,27 +169,33 @@ def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """a, b (nodes) of the pairs (a, b: line keys) whose lines' exact Jaccard similarity is at least `threshold`."""
+def compared(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs (a, b: line keys) with their nodes n_a, n_b, exact Jaccard distance, and near: it is within 1 - threshold."""
     node = texts.schema["node"].dataType
-    schema = T.StructType([T.StructField("a", node), T.StructField("b", node), T.StructField("near", T.BooleanType())])
+    kinds = {"a": T.LongType(), "b": T.LongType(), "n_a": node, "n_b": node, "distance": T.DoubleType(), "near": T.BooleanType()}
     t1, t2 = (texts.select(F.col("key").alias(k), F.col("node").alias(f"n_{k}"), F.col("line").alias(f"line_{k}")) for k in "ab")
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            last, left, near = None, set(), []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            last, left, distance, near = None, set(), [], []
+            for x, y in zip(batch.column(4), batch.column(5).to_pylist()):
                 if x != last:
-                    last, left = x, shingles(x)
+                    last, left = x, shingles(x.as_py())
                 right = shingles(y)
                 common = len(left & right)
-                near.append(common >= threshold * (len(left) + len(right) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near)], names=["a", "b", "near"])
+                union = len(left) + len(right) - common
+                distance.append(1 - common / union)
+                near.append(common >= threshold * union)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(distance, pa.float64()), pa.array(near, pa.bool_())], names=list(kinds))
 
-    joined = pairs.join(t1, "a").join(t2, "b").select("n_a", "n_b", "line_a", "line_b")
-    return joined.mapInArrow(run, schema).where("near").select("a", "b")
+    joined = pairs.join(t2, "b").join(t1, "a").select("a", "b", "n_a", "n_b", "line_a", "line_b")
+    return joined.mapInArrow(run, T.StructType([T.StructField(k, v) for k, v in kinds.items()]))
+
+
+def _near(found: DataFrame) -> DataFrame:
+    return found.where("near").select(F.col("n_a").alias("a"), F.col("n_b").alias("b"))
 
 
 def _limited(df: DataFrame, rows: int) -> DataFrame:
@@ -203,12 +215,15 @@ def line_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     nodes = materialize(lines.groupBy("key", "digest").agg(F.min(F.struct("doc_id", "line_no")).alias("node")), "lines")
 
     marked = materialize(signatures(docs), "lines")
-    rows = marked.select("key", F.explode("buckets").alias("bucket"))
+    rows = marked.select("key", "size", F.explode("buckets").alias("bucket"))
     # Most buckets hold one line: a count, combined before the exchange, leaves the others.
-    shared = materialize(rows.groupBy("bucket").count().where(F.col("count") > 1).select("bucket"), "lines")
+    shared = materialize(rows.groupBy("bucket").count().where(F.col("count") > 1), "lines")
     members = materialize(rows.join(shared, "bucket").distinct(), "lines")
-    leads = members.groupBy("bucket").agg(F.min("key").alias("lead"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
-    led = materialize(members.join(leads, "bucket"), "lines")
+    crowd = members.where(F.col("count") > CROWD)
+    weights = crowd.groupBy("key").agg(F.sum("count").alias("weight"))
+    middle = crowd.join(weights, "key").groupBy("bucket").agg(F.max(F.struct("weight", "key")).alias("m")).select("bucket", F.col("m.key").alias("lead"))
+    leads = members.where(F.col("count") <= CROWD).groupBy("bucket").agg(F.min("key").alias("lead"), F.max("key").alias("last")).where(F.col("lead") != F.col("last")).drop("last")
+    led = materialize(members.drop("count").join(leads.union(middle), "bucket"), "lines")
 
     keys = materialize(led.select("key").distinct(), "lines")
     n_keys = keys.count()
@@ -217,21 +232,26 @@ def line_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     found = lines.alias("l").join(_limited(wanted, n_keys).alias("w"), (F.col("l.key") == F.col("w.key")) & F.col("l.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("l.line_no") == F.col("w.line_no")))
     texts = materialize(found.select("w.key", "w.node", "l.line").dropDuplicates(["key", "node"]), "lines")
 
-    stars = led.where(F.col("key") != F.col("lead")).select(F.greatest("key", "lead").alias("a"), F.least("key", "lead").alias("b")).distinct()
+    stars = led.where(F.col("key") != F.col("lead")).select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct()
     # Two lines may share a 64-bit key: then each of them stands in the pair.
     same = texts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("a"), F.col("key").alias("b"))
-    links = materialize(verified(stars.union(same), texts, threshold), "lines")
-    first = connected_components(links, "lines")
+    tried = materialize(compared(stars.union(same), texts, threshold), "lines")
+    first = connected_components(_near(tried), "lines")
 
-    # What of a bucket isn't in one component yet is compared across components.
+    # What of a bucket isn't in one component yet is compared across components, where a link is possible.
     of_key = texts.join(first, texts.node == first.node, "left").select("key", F.coalesce("component", texts.node).alias("part")).groupBy("key").agg(F.min("part").alias("part"))
-    parted = led.select("bucket", "key", "lead").join(of_key, "key")
+    parted = led.join(of_key, "key")
     open_buckets = parted.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where(F.col("p") != F.col("q")).select("bucket")
-    rest = materialize(parted.join(open_buckets, "bucket"), "lines")
-    ours = rest.where(F.col("key") != F.col("lead"))
-    x, y = ours.select("bucket", F.col("key").alias("a"), F.col("part").alias("p")), ours.select("bucket", F.col("key").alias("b"), F.col("part").alias("q"))
-    across = x.join(y, "bucket").where((F.col("a") > F.col("b")) & (F.col("p") != F.col("q"))).select("a", "b").distinct()
-    links = links.union(verified(across, texts, threshold))
+    far = tried.groupBy(F.col("a").alias("lead"), F.col("b").alias("key")).agg(F.min("distance").alias("least"), F.max("distance").alias("most"))
+    rest = materialize(parted.join(open_buckets, "bucket").where(F.col("key") != F.col("lead")).join(far, ["lead", "key"]).drop("lead"), "lines")
+    x = rest.select("bucket", F.col("key").alias("a"), F.col("part").alias("p"), F.col("size").alias("n_a"), F.col("least").alias("least_a"), F.col("most").alias("most_a"))
+    y = rest.select("bucket", F.col("key").alias("b"), F.col("part").alias("q"), F.col("size").alias("n_b"), F.col("least").alias("least_b"), F.col("most").alias("most_b"))
+    radius = 1 - threshold + 1e-9
+    reachable = (F.col("least_a") - F.col("most_b") <= radius) & (F.col("least_b") - F.col("most_a") <= radius)
+    # Sizes count hashes of shingles, so they may be short by a few.
+    alike = F.least("n_a", "n_b") * 1.001 + 2 >= threshold * F.greatest("n_a", "n_b")
+    across = x.join(y, "bucket").where((F.col("a") > F.col("b")) & (F.col("p") != F.col("q")) & reachable & alike).select("a", "b").distinct()
+    links = _near(tried).union(_near(compared(across, texts, threshold)))
     parts = connected_components(links, "lines")
 
     classes = nodes.join(parts, nodes.node == parts.node, "left").select("key", "digest", F.coalesce("component", nodes.node).alias("class"))
