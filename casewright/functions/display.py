@@ -22,4 +22,4 @@ def line_breaks(text: Column) -> Column:
 
 def id_list(text: Column) -> Column:
     """Whole numbers of a comma-separated list."""
-    return F.transform(F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x.rlike(r"^\d+$")), lambda x: x.cast("bigint"))
+    return F.transform(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x.rlike(r"^\d+$")), lambda x: x.cast("bigint"))

@@ -184,7 +184,7 @@ def full_scan_first_match(spark, sf_dir):
 
 @query("chunks", "checklist_parameters", sql=_SCORED.replace("+ q", _BATCHES[1:] + ", q").replace(" n AS", "+ n AS", 1) + """,
 t AS (SELECT *, row_number() OVER (PARTITION BY application_id ORDER BY score DESC, document_id, chunk_index) AS position FROM s QUALIFY position <= 3),
-w AS (SELECT checklist_id % 20 AS application_id, id AS parameter_id, string_split(search_query, ' ')[1] AS word, use_full_scan FROM checklist_parameters WHERE checklist_id <= 3 UNION ALL SELECT checklist_id % 20, id + 1, 'scum', true FROM checklist_parameters WHERE checklist_id <= 3 AND order_index = 0 UNION ALL SELECT checklist_id % 20, id + 2, 'the', false FROM checklist_parameters WHERE checklist_id <= 3 AND order_index = 0),
+w AS (SELECT checklist_id % 20 AS application_id, id AS parameter_id, string_split(search_query, ' ')[1] AS word, use_full_scan FROM checklist_parameters WHERE checklist_id <= 3 UNION ALL SELECT checklist_id % 20, -2 * id, 'scum', true FROM checklist_parameters WHERE checklist_id <= 3 AND order_index = 0 UNION ALL SELECT checklist_id % 20, -2 * id - 1, 'the', false FROM checklist_parameters WHERE checklist_id <= 3 AND order_index = 0),
 a AS (SELECT w.*, position, strpos(lower(text), word) AS pos, substr(text, CAST(strpos(lower(text), word) AS INT), 40) AS piece FROM w JOIN t USING (application_id)),
 f AS (SELECT application_id, parameter_id, word, use_full_scan, arg_min(piece, position) FILTER (pos > 0) AS piece FROM a GROUP BY 1, 2, 3, 4),
 z AS (SELECT b.application_id, b.batch_index, count(*) AS n_chunks, string_agg(c.text, ' ' ORDER BY b.document_id, b.chunk_index) AS text FROM b JOIN chunks c USING (document_id, chunk_index) WHERE b.content_length > 0 GROUP BY 1, 2),
@@ -199,7 +199,7 @@ def checklist_pipeline(spark, sf_dir):
     case = (F.col("checklist_id") % 20).cast("int").alias("application_id")
     words = p.select(case, F.col("id").alias("parameter_id"), F.element_at(F.split("search_query", " "), 1).alias("word"), "use_full_scan")
     first = p.where("order_index = 0")
-    words = words.unionAll(first.select(case, F.col("id") + 1, F.lit("scum"), F.lit(True))).unionAll(first.select(case, F.col("id") + 2, F.lit("the"), F.lit(False)))
+    words = words.unionAll(first.select(case, -2 * F.col("id"), F.lit("scum"), F.lit(True))).unionAll(first.select(case, -2 * F.col("id") - 1, F.lit("the"), F.lit(False)))
     c = load(spark, sf_dir, "chunks")
     hits = retrieval.top_k(_scored(spark, sf_dir), 3).select("application_id", "position", "text")
     packed = chunks.pack_batches(c).where("content_length > 0").join(c.select("document_id", "chunk_index", "text"), ["document_id", "chunk_index"])
