@@ -9,7 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casewright.sources.storage import materialize
+
 RERANK_ALL = 9999
+#: Queries under this many characters are searched hybrid where the search is smart.
+HYBRID_THRESHOLD = 20
+#: What tells the searches of a case apart; a rerank_limit of 0 stands for no reranker.
+SEARCH = ["application_id", "query", "search_limit", "rerank_limit"]
 
 
 def dot(vector: Column, query: list[float]) -> Column:
@@ -23,8 +29,8 @@ def text_score(text: Column, words: list[str]) -> Column:
     return sum((F.when(lowered.contains(w), 1.0).otherwise(0.0) for w in words), F.lit(0.0)) / max(1, len(words))
 
 
-def search_method(query: str, smart: bool, threshold: int) -> str:
-    return "hybrid" if smart and len(query) < threshold else "vector"
+def search_method(query: Column, smart: Column, threshold: int) -> Column:
+    return F.when(smart & (F.length(query) < threshold), "hybrid").otherwise("vector")
 
 
 def vector_scores(chunks: DataFrame, embeddings: DataFrame, query: list[float]) -> DataFrame:
@@ -49,6 +55,47 @@ def rerank(scored: DataFrame, words: list[str], candidates: int, k: int) -> Data
     return top_k(first.withColumn("rerank_score", text_score(F.col("text"), words) + F.col("score") / 10), k, "rerank_score")
 
 
+def stub_vector(query: Column, size: int) -> Column:
+    """A unit vector by hashes of the query, in place of an embedding service."""
+    raw = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: (F.pmod(F.xxhash64(query, i), F.lit(2001)) - 1000.5) / 1000)
+    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
+    return F.transform(raw, lambda x: x / norm)
+
+
+def search_each(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, searches: DataFrame, threshold: int = HYBRID_THRESHOLD) -> DataFrame:
+    """SEARCH, position, text: the own hits of every search, up to its own search_limit.
+
+    chunks: application_id, document_id, chunk_index, text. queries: query, vector. searches: SEARCH (distinct). Short
+    queries score hybrid. With a rerank_limit, so many candidates are scored anew by words (then score). Each chunk
+    that has a vector is scored once for each distinct query of its case; no more rows than the deepest search reads
+    leave a task for each of these, and texts aren't moved with the scores.
+    """
+    searches = materialize(searches, "searches")
+    deepest = searches.agg(F.max(F.greatest("search_limit", "rerank_limit"))).first()[0] or 0
+    asked = searches.select("application_id", "query").distinct().join(queries, "query")
+    vectors = embeddings.select(F.col("vec_id").alias("document_id"), "embedding")
+    chunks = chunks.join(vectors.select("document_id"), "document_id", "left_semi")
+    documents = chunks.select("application_id", "document_id").distinct().join(vectors, "document_id").join(asked, "application_id")
+    product = F.aggregate(F.zip_with("embedding", "vector", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+    documents = documents.select("application_id", "document_id", "query", product.alias("score"))
+
+    words = F.filter(F.split(F.lower("query"), " "), lambda w: w != "")
+    lowered = chunks.select("application_id", "document_id", "chunk_index", F.lower(F.coalesce("text", F.lit(""))).alias("lowered"))
+    share = F.size(F.filter(words, lambda w: F.contains("lowered", w))) / F.greatest(F.lit(1), F.size(words))
+    scored = lowered.join(documents, ["application_id", "document_id"]).select("application_id", "query", "document_id", "chunk_index", "score", share.alias("share"))
+    hybrid_score = F.when(search_method(F.col("query"), F.lit(True), threshold) == "hybrid", 0.5 * F.col("score") + 0.5 * F.col("share")).otherwise(F.col("score"))
+    scored = scored.withColumn("score", hybrid_score)
+
+    best = Window.partitionBy("application_id", "query").orderBy(F.desc("score"), "document_id", "chunk_index")
+    candidates = scored.withColumn("candidate", F.row_number().over(best)).where(F.col("candidate") <= deepest)
+    kinds = searches.select("application_id", "query", "rerank_limit").distinct()
+    reranked = F.col("rerank_limit") > 0
+    found = candidates.join(kinds, ["application_id", "query"]).where(~reranked | (F.col("candidate") <= F.col("rerank_limit")))
+    again = Window.partitionBy("application_id", "query", "rerank_limit").orderBy(F.desc(F.when(reranked, F.col("share") + F.col("score") / 10).otherwise(F.col("score"))), "document_id", "chunk_index")
+    placed = found.withColumn("position", F.row_number().over(again)).join(searches, ["application_id", "query", "rerank_limit"]).where(F.col("position") <= F.col("search_limit"))
+    return placed.join(chunks.select("application_id", "document_id", "chunk_index", "text"), ["application_id", "document_id", "chunk_index"]).select(*SEARCH, "position", "text")
+
+
 def rerank_limit(stats: DataFrame) -> DataFrame:
     """stats: total_points (null where the index didn't tell); the limit that `all` stands for over these cases."""
     total = F.sum(F.coalesce("total_points", F.lit(100)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
@@ -15,3 +15,10 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="casewright-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/casewright-{tag}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Cuts lineage by a Parquet table in that folder, for what is read more than once."""
+    path = scratch_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
