@@ -180,6 +180,12 @@ def results_by_checklist(spark, sf_dir):
     return report.results_by_checklist(links, load(spark, sf_dir, "checklist_parameters"), load(spark, sf_dir, "parameter_results"))
 
 
+@query("application_checklists", "checklist_parameters", "parameter_results")
+def results_by_checklist_all(spark, sf_dir):
+    """The same of every case: as many rows as links times their checklists' parameters."""
+    return report.results_by_checklist(*(load(spark, sf_dir, t) for t in ("application_checklists", "checklist_parameters", "parameter_results")))
+
+
 @query("application_checklists", "checklist_parameters", "parameter_results", sql="""
 SELECT b.application_id, b.checklist_id, count(*) AS n_results, any_value(n) AS n_parameters FROM application_checklists b JOIN checklist_parameters p USING (checklist_id)
   JOIN parameter_results r ON r.application_id = b.application_id AND r.parameter_id = p.id JOIN (SELECT checklist_id, count(*) AS n FROM checklist_parameters GROUP BY 1) k ON k.checklist_id = b.checklist_id WHERE value IS NOT NULL GROUP BY 1, 2""")

@@ -182,6 +182,12 @@ def full_scan_first_match(spark, sf_dir):
     return chunks.first_match(sizes, F.col("hit"))
 
 
+def _batch_texts(packed):
+    # A batch holds at most BATCH_CHARS characters, so what is gathered is bounded.
+    batches = packed.groupBy("application_id", "batch_index").agg(F.count("*").alias("n_chunks"), F.sort_array(F.collect_list(F.struct("document_id", "chunk_index", "text"))).alias("x"))
+    return batches.select("application_id", "batch_index", "n_chunks", F.array_join(F.transform("x", lambda x: x["text"]), " ").alias("text"))
+
+
 @query("chunks", "checklist_parameters", sql=_SCORED.replace("+ q", _BATCHES[1:] + ", q").replace(" n AS", "+ n AS", 1) + """,
 t AS (SELECT *, row_number() OVER (PARTITION BY application_id ORDER BY score DESC, document_id, chunk_index) AS position FROM s QUALIFY position <= 3),
 w AS (SELECT checklist_id % 20 AS application_id, id AS parameter_id, string_split(search_query, ' ')[1] AS word, use_full_scan FROM checklist_parameters WHERE checklist_id <= 3 UNION ALL SELECT checklist_id % 20, -2 * id, 'scum', true FROM checklist_parameters WHERE checklist_id <= 3 AND order_index = 0 UNION ALL SELECT checklist_id % 20, -2 * id - 1, 'the', false FROM checklist_parameters WHERE checklist_id <= 3 AND order_index = 0),
@@ -203,9 +209,24 @@ def checklist_pipeline(spark, sf_dir):
     c = load(spark, sf_dir, "chunks")
     hits = retrieval.top_k(_scored(spark, sf_dir), 3).select("application_id", "position", "text")
     packed = chunks.pack_batches(c).where("content_length > 0").join(c.select("document_id", "chunk_index", "text"), ["document_id", "chunk_index"])
-    # A batch holds at most BATCH_CHARS characters, so what is gathered is bounded.
-    batches = packed.groupBy("application_id", "batch_index").agg(F.count("*").alias("n_chunks"), F.sort_array(F.collect_list(F.struct("document_id", "chunk_index", "text"))).alias("x"))
-    batches = batches.select("application_id", "batch_index", "n_chunks", F.array_join(F.transform("x", lambda x: x["text"]), " ").alias("text"))
+    batches = _batch_texts(packed)
     return extraction.run_checklists(words, hits, batches).withColumn("confidence", F.round("confidence", 4))
 
 
+#: Candidates of a reranked search, as the parameters' own default has it.
+RERANK_LIMIT = 10
+
+
+@query("chunks", "checklist_parameters")
+def checklist_analysis(spark, sf_dir):
+    """All checklists' parameters, each searched by its own query in the case of its checklist's number, answered, and fully scanned for where asked."""
+    rerank = F.when(F.col("use_reranker"), RERANK_LIMIT).otherwise(0).alias("rerank_limit")
+    case = (F.col("checklist_id") % 20).cast("int").alias("application_id")
+    asked = load(spark, sf_dir, "checklist_parameters").select(case, F.col("id").alias("parameter_id"), F.lower("search_query").alias("query"), "search_limit", rerank, "use_full_scan")
+    asked = asked.withColumn("word", F.element_at(F.split("query", " "), 1))
+    c, vectors = load(spark, sf_dir, "chunks"), spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    one = vectors.select(F.size("embedding").alias("n")).first()
+    queries = asked.select("query").distinct().withColumn("vector", retrieval.stub_vector(F.col("query"), one.n if one else 1))
+    hits = retrieval.search_each(c, vectors, queries, asked.select(retrieval.SEARCH).distinct())
+    packed = chunks.pack_batches(chunks.usable(c)).join(c.select("document_id", "chunk_index", "text"), ["document_id", "chunk_index"])
+    return extraction.run_checklists(asked, hits, _batch_texts(packed), retrieval.SEARCH).withColumn("confidence", F.round("confidence", 4))

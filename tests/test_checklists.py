@@ -1,9 +1,15 @@
 """The checklist analysis against brute force: own searches and limits, reranking, parameters without hits, full scans."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from casewright.functions import answers
-from casewright.operators import chunks, extraction, retrieval
+from casewright.operators import chunks, extraction, report, retrieval
+from casewright.plans import registry
+
+SF_DIR = "/root/testdata/sf0.001"
 
 #: application_id, document_id, chunk_index, text; document 9 of case 3 has no vector, case 4 no chunks.
 CHUNKS = [(1, d, i, t) for d, ts in ((1, ("red pipe here", "blue", "Red valve")), (2, ("valve red", "pipe", "pipe red")), (3, ("green", "green pipe", "blue pipe red"))) for i, t in enumerate(ts)] + [(2, 5, 0, "blue only"), (2, 5, 1, "valve"), (3, 9, 0, "late red pipe")]
@@ -74,3 +80,25 @@ def test_every_parameter_is_searched_answered_and_scanned(spark):
             else:
                 want = (f"Информация не найдена по всем {read} чанкам", 0.1, read)
         assert got[k] == (case, *want)
+
+
+def test_results_of_every_case(spark):
+    links = [(a, b) for a in range(1, 5) for b in (1, 2) if (a, b) != (4, 2)]
+    parameters = [(b * 10 + i, b, f"p{i}", i) for b in (1, 2) for i in range(3)]
+    results = [(a, k, f"v{a}-{k}", 0.5) for a in (1, 3) for k in (10, 21)]
+    df = report.results_by_checklist(spark.createDataFrame(links, "application_id bigint, checklist_id bigint"), spark.createDataFrame(parameters, "id bigint, checklist_id bigint, name string, order_index int"), spark.createDataFrame(results, "application_id bigint, parameter_id bigint, value string, confidence double"))
+    kept = {(a, k): v for a, k, v, _ in results}
+    want = {(a, b, k): kept.get((a, k)) for a, b in links for k, of, *_ in parameters if of == b}
+    got = [((r.application_id, r.checklist_id, r.parameter_id), r.value) for r in df.collect()]
+    assert len(got) == len(want) and dict(got) == want
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the driver's tables are not here")
+def test_queries_answer_every_parameter_and_case(spark):
+    from casewright.sources.relations import load
+
+    p, links = load(spark, SF_DIR, "checklist_parameters"), load(spark, SF_DIR, "application_checklists")
+    n = p.count()
+    got = registry.QUERIES["checklist_analysis"](spark, SF_DIR)
+    assert got.count() == got.select("parameter_id").distinct().count() == n
+    assert registry.QUERIES["results_by_checklist_all"](spark, SF_DIR).count() == links.join(p, "checklist_id").count()
