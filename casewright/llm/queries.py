@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat_tools, line_dedup, order_minhash, packing, quality, simhash, token_orc, toxicity, warc
-from .common import scratch_path, table
+from .common import materialize, scratch_path, table
 
 
 def op1_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,9 @@ def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
-    warc.write_warc(warc.arc_to_warc(warc.write_arc_rows(table(spark, sf_dir, "pages"))), path)
+    # Names and offsets hang on how `pages` was split, so both passes read one written archive.
+    archive = materialize(warc.write_arc_rows(table(spark, sf_dir, "pages")), "arc")
+    warc.write_warc(warc.arc_to_warc(archive), path)
     read = warc.read_warc(spark, path).where(F.col("record_type").isin("response", "revisit"))
     return read.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_key").alias("refers_to"))
 

@@ -73,3 +73,26 @@ def test_pages_round_trip(spark, tmp_path):
         assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_key) == (len(b), hashlib.sha256(b).hexdigest(), "revisit" if revisit else "response", first[texts[r.key]] if revisit else None)
     assert sum(r.record_type == "response" for r in got if r.key in (None, 50)) == 1
     warc.write_warc(warc.arc_to_warc(warc.write_arc_rows(df.limit(0))), str(tmp_path / "none"))
+
+
+def test_the_archive_is_made_once_and_read_by_both_passes(spark, tmp_path, monkeypatch):
+    """Were the pages split differently between the passes, a first record would refer to itself and lose its payload."""
+    from casewright.llm import queries
+
+    rows = [(k, f"http://h/{k}", "y" * 200 if k % 2 else f"{k} " * 100) for k in range(40)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8).write.parquet(str(tmp_path / "pages.parquet"))
+    inner, passes = warc.read_arc, []
+
+    def resplit(files, *args, **kwargs):
+        passes.append(kwargs)
+        spark.conf.set("spark.sql.files.minPartitionNum", "8" if len(passes) == 1 else "1")
+        return inner(files, *args, **kwargs)
+
+    monkeypatch.setattr(warc, "read_arc", resplit)
+    try:
+        got = {r.page_id: r for r in queries.op4_arc_to_warc(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert len(passes) == 2 and len(got) == 40
+    assert {k for k, r in got.items() if r.record_type == "response"} == {1, *range(0, 40, 2)}
+    assert {r.refers_to for r in got.values() if r.record_type == "revisit"} == {1}
