@@ -42,9 +42,9 @@ def line_key(line: Column) -> Column:
     return F.xxhash64(line)
 
 
-def explode_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line_no (from 0), line, of lines with other than white space."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
+def explode_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, columns of `keep`, line_no (from 0), line, of lines with other than white space."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), *keep, F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
     return rows.where(F.col("line").rlike(r"\S"))
 
 
@@ -210,9 +210,14 @@ def line_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     `docs` that repeat an id and a text are one document: each has the same lines kept. Null and empty texts
     and blank lines give no rows. Other columns aren't read.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    lines = explode_lines(docs).withColumn("key", line_key(F.col("line"))).withColumn("digest", F.unhex(F.md5("line")))
-    nodes = materialize(lines.groupBy("key", "digest").agg(F.min(F.struct("doc_id", "line_no")).alias("node")), "lines")
+    return _classes(docs, id_col, text_col, threshold).drop("of")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """line_classes with `of`, the hash of the line's whole text: with its id it tells a document, also where ids repeat or are null."""
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("of", F.xxhash64("text"))
+    lines = explode_lines(docs, keep=("of",)).withColumn("key", line_key(F.col("line"))).withColumn("digest", F.unhex(F.md5("line")))
+    nodes = materialize(lines.groupBy("key", "digest").agg(F.min(F.struct("doc_id", "line_no", "of")).alias("node")), "lines")
 
     marked = materialize(signatures(docs), "lines")
     rows = marked.select("key", "size", F.explode("buckets").alias("bucket"))
@@ -227,9 +232,9 @@ def line_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     keys = materialize(led.select("key").distinct(), "lines")
     n_keys = keys.count()
-    wanted = nodes.join(_limited(keys, n_keys), "key").select("key", "node", F.col("node.doc_id").alias("doc_id"), F.col("node.line_no").alias("line_no"))
+    wanted = nodes.join(_limited(keys, n_keys), "key").select("key", "node", F.col("node.doc_id").alias("doc_id"), F.col("node.line_no").alias("line_no"), F.col("node.of").alias("of"))
     wanted = materialize(wanted, "lines")
-    found = lines.alias("l").join(_limited(wanted, n_keys).alias("w"), (F.col("l.key") == F.col("w.key")) & F.col("l.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("l.line_no") == F.col("w.line_no")))
+    found = lines.alias("l").join(_limited(wanted, n_keys).alias("w"), (F.col("l.key") == F.col("w.key")) & F.col("l.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("l.line_no") == F.col("w.line_no")) & (F.col("l.of") == F.col("w.of")))
     texts = materialize(found.select("w.key", "w.node", "l.line").dropDuplicates(["key", "node"]), "lines")
 
     stars = led.where(F.col("key") != F.col("lead")).select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct()
@@ -255,9 +260,9 @@ def line_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     parts = connected_components(links, "lines")
 
     classes = nodes.join(parts, nodes.node == parts.node, "left").select("key", "digest", F.coalesce("component", nodes.node).alias("class"))
-    own = lines.select("doc_id", "line_no", "key", "digest").join(classes, ["key", "digest"])
-    kept = F.col("doc_id").eqNullSafe(F.col("class.doc_id")) & (F.col("line_no") == F.col("class.line_no"))
-    return own.select("doc_id", "line_no", "key", F.col("class.doc_id").alias("class_doc"), F.col("class.line_no").alias("class_line"), kept.alias("kept"))
+    own = lines.select("doc_id", "of", "line_no", "key", "digest").join(classes, ["key", "digest"])
+    kept = F.col("doc_id").eqNullSafe(F.col("class.doc_id")) & (F.col("line_no") == F.col("class.line_no")) & (F.col("of") == F.col("class.of"))
+    return own.select("doc_id", "of", "line_no", "key", F.col("class.doc_id").alias("class_doc"), F.col("class.line_no").alias("class_line"), kept.alias("kept"))
 
 
 def deduplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -266,9 +271,9 @@ def deduplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     A document whose lines are all kept elsewhere goes; one without any such line at all (null, empty, blank)
     stays as it is.
     """
-    dropped = line_classes(docs, id_col=id_col, text_col=text_col, threshold=threshold).where(~F.col("kept")).select("doc_id", F.struct("line_no", "key").alias("x")).distinct()
-    lists = dropped.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("x").alias("gone"))
-    joined = docs.join(lists, F.col(id_col).eqNullSafe(F.col("of")), "left")
+    dropped = _classes(docs, id_col, text_col, threshold).where(~F.col("kept")).select("doc_id", "of", F.struct("line_no", "key").alias("x")).distinct()
+    lists = dropped.groupBy(F.col("doc_id").alias("gone_id"), F.col("of").alias("gone_of")).agg(F.collect_list("x").alias("gone"))
+    joined = docs.join(lists, F.col(id_col).eqNullSafe(F.col("gone_id")) & (F.xxhash64(text_col) == F.col("gone_of")), "left")
     split = F.split(F.col(text_col), "\n")
     left = F.filter(split, lambda line, i: ~F.coalesce(F.array_contains(F.col("gone"), F.struct(i.alias("line_no"), F.xxhash64(line).alias("key"))), F.lit(False)))
     out = joined.withColumn("left", F.when(F.col("gone").isNull(), split).otherwise(left)).where(F.col("gone").isNull() | F.exists("left", lambda x: x.rlike(r"\S")))

@@ -126,7 +126,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
-    """The rows of `docs`, with all their columns, whose id is their component's; of rows that repeat an id one stays."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, crowd=crowd)
-    own = materialize(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k_id")).distinct(), "simhash")
-    return docs.join(own, F.col(id_col).eqNullSafe(F.col("k_id")), "left_semi").dropDuplicates([id_col])
+    """The rows of `docs`, with all their columns, that are their component's least by id and text; nulls go last.
+
+    A row is told by its id and text: rows that repeat both are one and one of them stays, but different texts that
+    share an id, or have none, are rows of their own.
+    """
+    mark = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.md5(F.coalesce(text_col, F.lit(""))).alias("digest"))
+    marked = docs.withColumn("_mark", mark)
+    found = near_duplicates(marked, id_col="_mark", text_col=text_col, crowd=crowd)
+    own = materialize(found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("k_id")).distinct(), "simhash")
+    return marked.join(own, F.col("_mark") == F.col("k_id"), "left_semi").dropDuplicates(["_mark"]).drop("_mark")

@@ -71,3 +71,13 @@ def test_bands_recall():
                 pairs += 1
                 hit += bool(set(found[which == 0]) & set(found[which == 1]))
     assert pairs > 80 and hit >= 0.98 * pairs
+
+
+def test_lines_at_one_place_of_different_texts_without_ids(spark, make_docs):
+    from casewright.llm import line_dedup
+
+    near = "a line about rivers and boats that is long enough to be compared well"
+    a = "\n".join([near, "alpha", "beta", near + "s"])
+    b = "\n".join(["gamma", "delta", "epsilon", "a unique line on quite another matter", "beta"])
+    got = {r.text for r in line_dedup.deduplicate_lines(make_docs([(None, a), (None, b)])).collect()}
+    assert got == {"\n".join([near, "alpha", "beta"]), b.removesuffix("\nbeta")}

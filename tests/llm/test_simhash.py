@@ -78,3 +78,10 @@ def test_documents(spark, make_docs):
         ids = {k for f, ks in parts.items() if roots[f] == roots[r.fp & (1 << 64) - 1] for k in ks if k is not None}
         assert r.component_id == min(ids, default=None)
     assert simhash.near_duplicates(make_docs([])).count() == 0
+
+
+def test_different_texts_without_ids_or_with_one_id_all_stay(spark, make_docs):
+    a, b, c = ("one two three four five six seven " * 9, "quite another text about boats and rivers " * 9, "third words on mountains in the snow " * 9)
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, "something else of its own again " * 9), (7, c), (None, c)]
+    got = sorted(((r.doc_id, r.text) for r in simhash.keep_one_of_each(make_docs(rows)).collect()), key=str)
+    assert got == sorted({rows[0], rows[1], rows[3], rows[4]}, key=str)
