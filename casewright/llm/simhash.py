@@ -1,17 +1,16 @@
 """SimHash near-duplicates by ball hashing that meets in the middle.
 
-Two 64-bit fingerprints with at most 3 differing bits agree up to 1 bit in one of their 32-bit halves. Half the
-radius, rounded down, is 1: so for either half every fingerprint emits its own value and the variants with one bit
-flipped, and pairs meet where one's value is the other's variant. Of two halves that differ in one bit, one has
-it set, so variants that clear a bit are enough. The keys are shuffled, the colliding pairs deduplicated and
-verified on all 64 bits. Equal fingerprints are one node from the start.
-
-A key under which more than `crowd` values and variants meet would make comparisons with the square of its size.
-There the other half's ball takes over: under that key, values emit all variants of their other half within 2
-bits, and the key's variants their other half as it is. Around each such spot, the values within 1 bit and the
-key's variants are its centres; all at the spot are linked to the least centre, if there is one. Every such link
-is within the radius, and every pair within it shares a spot that has a centre, so the components are the same.
-The rows grow with the crowd, not its square; below some thousands, comparing costs less than the ball's rows.
+Two 64-bit fingerprints with at most 3 differing bits agree up to 1 bit, half the radius, in one of their 32-bit
+halves. So for either half every fingerprint emits its own value and all variants with one bit flipped, and
+these are shuffled: the other fingerprint of a pair has one of them as its value. Under a key that is some
+value and that another fingerprint meets, the other halves meet in the same way: values emit all variants of
+their other half within 2 bits, and the key's variants their other half as it is. Around each such spot, the
+values within 1 bit and the key's variants are its centres; all at the spot are linked to the least centre.
+
+Every link is verified on all 64 bits, and is within the radius: a centre is 1 bit from the spot, or from the key,
+and anything else there 2 bits at most. Every pair within the radius shares a spot that has a centre, so the
+components are those of all pairs. The rows grow with the fingerprints that meet, never with their pairs, at
+any size of a crowd. Equal fingerprints are one node from the start.
 """
 
 from __future__ import annotations
@@ -20,14 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import Scratch, in_sieve, sieve, unused
 from .components import connected_components
 
 SEED = 42
 SHINGLE = 3
 RADIUS = 3
-#: Values and variants under a key up to which their pairs are compared one by one.
-CROWD = 4096
 MASK = (1 << 32) - 1
 
 
@@ -70,54 +67,45 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
 
-def _cleared(value: Column) -> Column:
-    """The 32-bit value, then every variant that has one of its bits cleared."""
-    masks = F.lit([0, *(1 << i for i in range(32))]).cast("array<bigint>")
-    return F.transform(F.filter(masks, lambda m: value.bitwiseAND(m) == m), lambda m: value.bitwiseXOR(m))
-
-
-def _ball(value: Column) -> Column:
-    """All 32-bit values within two flipped bits."""
-    masks = [0, *(1 << i for i in range(32)), *(1 << i | 1 << j for i in range(32) for j in range(i))]
+def _ball(value: Column, bits: int) -> Column:
+    """The 32-bit value, then all others within `bits` (1 or 2) flipped bits."""
+    masks = [0, *(1 << i for i in range(32)), *(1 << i | 1 << j for i in range(32) for j in range(i) if bits > 1)]
     return F.transform(F.lit(masks).cast("array<bigint>"), lambda m: value.bitwiseXOR(m))
 
 
-def links(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
+def links(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp) that join up all pairs within RADIUS bits, and no others."""
     nodes = nodes.select("fp")
     low, high = F.col("fp").bitwiseAND(MASK), F.shiftrightunsigned("fp", 32)
     halves = nodes.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("side"), low.alias("own"), high.alias("rest")), F.struct(F.lit(1).alias("side"), high.alias("own"), low.alias("rest")))).alias("h")).select("fp", "h.*")
-    keyed = halves.select("fp", "side", "rest", F.posexplode(_cleared(F.col("own"))).alias("flip", "key"))
+    keyed = halves.select("fp", "side", "rest", F.posexplode(_ball(F.col("own"), 1)).alias("flip", "key"))
     keyed = keyed.select("fp", "side", "key", "rest", (F.col("flip") > 0).alias("variant"))
     # A key matters if some fingerprint has it as its value and another meets it; most keys have one row and end here.
-    sizes = keyed.groupBy("side", "key").agg(F.count("*").alias("n"), F.min("variant").alias("alone")).where((F.col("n") > 1) & ~F.col("alone"))
-    met = materialize(keyed.join(sizes.drop("alone"), ["side", "key"]), "simhash")
-    few = met.where(F.col("n") <= crowd)
-    a, b = few.where(~F.col("variant")).select("side", "key", F.col("fp").alias("a")), few.select("side", "key", F.col("fp").alias("b"))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS
-    pairs = a.join(b, ["side", "key"]).where((F.col("a") != F.col("b")) & near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-    many = met.where(F.col("n") > crowd).drop("n")
+    shared = keyed.groupBy("side", "key").agg(F.count("*").alias("n"), F.min("variant").alias("alone")).where((F.col("n") > 1) & ~F.col("alone")).drop("n", "alone")
+    met = scratch.put(keyed.join(shared, ["side", "key"]))
+
     # Role 1 is a centre within 1 bit, 2 a value at 2 bits, 3 a variant of the key, which is a centre at its own rest.
-    wide = many.where(~F.col("variant")).select("fp", "side", "key", F.explode(_ball(F.col("rest"))).alias("at"), "rest")
+    wide = met.where(~F.col("variant")).select("fp", "side", "key", F.explode(_ball(F.col("rest"), 2)).alias("at"), "rest")
     wide = wide.select("fp", "side", "key", "at", F.when(F.bit_count(F.col("rest").bitwiseXOR(F.col("at"))) < 2, 1).otherwise(2).alias("role"))
-    close = many.where("variant").select("fp", "side", "key", F.col("rest").alias("at"), F.lit(3).alias("role"))
+    close = met.where("variant").select("fp", "side", "key", F.col("rest").alias("at"), F.lit(3).alias("role"))
     spots = wide.union(close)
-    centre = F.min(F.when(F.col("role") != 2, F.col("fp")))
-    hubs = spots.groupBy("side", "key", "at").agg(centre.alias("hub"), F.count("*").alias("n")).where(F.col("hub").isNotNull() & (F.col("n") > 1)).drop("n")
-    stars = spots.join(hubs, ["side", "key", "at"]).where(F.col("fp") != F.col("hub")).select(F.greatest("fp", "hub").alias("a"), F.least("fp", "hub").alias("b")).distinct()
-    return pairs.union(stars)
+    hubs = spots.groupBy("side", "key", "at").agg(F.min(F.when(F.col("role") != 2, F.col("fp"))).alias("hub"), F.count("*").alias("n")).where(F.col("hub").isNotNull() & (F.col("n") > 1)).drop("n")
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= RADIUS
+    found = spots.join(hubs, ["side", "key", "at"]).where((F.col("fp") != F.col("hub")) & near)
+    return found.select(F.greatest("fp", "hub").alias("a"), F.least("fp", "hub").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id: the smallest id reachable over links of at most RADIUS bits; one row for each row.
 
     Texts without words have fingerprint zero and link like any other. Nulls count as empty texts; a null id is
     never a component's id unless all its ids are null. Repeated rows are one node. Other columns aren't read.
     """
-    prints = materialize(fingerprints(docs, id_col=id_col, text_col=text_col), "simhash")
+    scratch = Scratch(docs.sparkSession, "simhash")
+    prints = scratch.put(fingerprints(docs, id_col=id_col, text_col=text_col))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = connected_components(links(nodes, crowd), "simhash")
+    found = connected_components(links(nodes, scratch), "simhash")
+    scratch.drop_all_but(prints)
     roots = nodes.join(found, nodes.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     linked = roots.where(F.col("root").isNotNull())
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -125,14 +113,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return prints.join(of_print, prints.fp == F.col("of")).select("doc_id", "fp", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, with all their columns, that are their component's least by id and text; nulls go last.
 
-    A row is told by its id and text: rows that repeat both are one and one of them stays, but different texts that
-    share an id, or have none, are rows of their own.
+    A row is told by its id and text: rows that repeat both are one and one of them stays, the least by its other
+    columns' hash, but different texts that share an id, or have none, are rows of their own. What goes is chosen
+    in narrow columns; only rows that a sieve can't tell from those are shuffled with their texts.
     """
-    mark = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.md5(F.coalesce(text_col, F.lit(""))).alias("digest"))
-    marked = docs.withColumn("_mark", mark)
-    found = near_duplicates(marked, id_col="_mark", text_col=text_col, crowd=crowd)
-    own = materialize(found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("k_id")).distinct(), "simhash")
-    return marked.join(own, F.col("_mark") == F.col("k_id"), "left_semi").dropDuplicates(["_mark"]).drop("_mark")
+    row, gone, hit, own = unused(docs, "row", "gone", "hit", "own")
+    others = [c for c, kind in docs.dtypes if c != text_col and not any(x in kind for x in ("map", "variant"))]
+    mark = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.md5(F.coalesce(text_col, F.lit(""))).alias("digest"), F.xxhash64(*others).alias("tie"))
+    marked = docs.withColumn(row, mark)
+    scratch = Scratch(docs.sparkSession, "simhash")
+    found = near_duplicates(marked, id_col=row, text_col=text_col)
+    # Rows that are equal in all of these are told by nothing: one of them stays, by dropDuplicates.
+    counted = scratch.put(found.groupBy(F.col("doc_id").alias("mark")).agg(F.count("*").alias("n"), F.min("component_id").alias("least")))
+    touched = counted.where((F.col("n") > 1) | (F.col("mark") != F.col("least"))).select(F.col("mark").alias(own), (F.col("mark") != F.col("least")).alias(gone))
+    slots = sieve(touched.select(F.xxhash64(own).alias("k")), "k")
+    sifted = in_sieve(marked, F.xxhash64(row), slots, hit)
+    told = sifted.where(hit).join(touched, F.col(row) == F.col(own), "left").where(~F.coalesce(F.col(gone), F.lit(False)))
+    return sifted.where(~F.col(hit)).select(docs.columns).union(told.dropDuplicates([row]).select(docs.columns))
