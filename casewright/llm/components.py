@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch
 
 
 def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame:
@@ -15,15 +15,16 @@ def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame
     all its neighbours but the smallest to that one, until nothing changes; the rounds grow with the logarithm of
     the longest path. Neighbourhoods are never gathered: a round takes the least neighbour of each node, an
     aggregate that is combined before the exchange, and joins it back, so a hot node is split like any skewed
-    join key. Each round is written to the shared folder and read again.
+    join key. Each round is written to the shared folder and read again, and the one before it is removed.
     """
-    pairs = materialize(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tag)
+    scratch = Scratch(edges.sparkSession, tag)
+    pairs = scratch.put(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     now = state(pairs)
-    while True:
+    while now[0]:
         # Large star: both directions; a node's larger neighbours go to the least of it and its neighbours.
         both = pairs.union(pairs.select(F.col("b"), F.col("a")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -31,7 +32,8 @@ def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame
         # Small star: a node's smaller neighbours, and itself, go to the least of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
-        pairs = materialize(small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where(F.col("a") != F.col("b")).distinct(), tag)
+        old, pairs = pairs, scratch.put(small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where(F.col("a") != F.col("b")).distinct())
+        scratch.drop(old)
         before, now = now, state(pairs)
         if now == before:
             break

@@ -8,21 +8,21 @@ Sets under SMALL shingles get classic signatures of one permutation a value; lar
 cut into as many bins, empty bins borrowing from others. A pair at the threshold differs in size by a fifth at
 most, so sizes from LARGE to SMALL get both and no pair falls between the schemes.
 
-A bucket's lines are compared with its lead first: in a crowded bucket the line that meets the most others over
-all its crowded buckets, which is the middle of a group of near copies. After union-find over these links, lines
-that aren't in one component with another line of their bucket are compared with it, unless that can't link them:
-Jaccard distance is a metric, so two lines whose distances to the lead differ by more than the greatest distance
-of a link aren't linked, nor are two whose numbers of shingles differ too much. So most of a crowd costs as many
-comparisons as it has lines, and no pair that shares a bucket goes unlinked.
+A bucket's lines are compared with its lead first: the line that meets the most others over all its buckets, which
+is the middle of a group of near copies. After union-find over these links, lines of a bucket that aren't in one
+component are compared with each other, once for all the buckets that they share, unless their numbers of
+shingles rule a link out. So no pair that shares a bucket goes unlinked. Among thousands of near copies whose
+similarities lie around the threshold, the lines that stay alone have to be compared with all others in their
+buckets, and these comparisons grow with the square of such a group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import Scratch, in_sieve, sieve, unused
 from .components import connected_components
 
 SHINGLE = 7
@@ -30,12 +30,10 @@ THRESHOLD = 0.8
 BANDS = 14
 ROWS = 4
 SMALL, LARGE = 100, 80
-#: Keys up to which a broadcast is used instead of a shuffle of texts (under 100 MB).
-BROADCAST_KEYS = 2_000_000
-#: Rows of a bucket above which its lead is chosen by how many others it meets.
-CROWD = 16
 #: Characters for which signatures are made at once: arrays of this length stay in a core's cache.
 _CHARS = 131_072
+#: Shingles that a task keeps hashed while it compares lines: 64 MB.
+_HELD = 8_000_000
 
 
 def line_key(line: Column) -> Column:
@@ -49,7 +47,7 @@ def explode_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def buckets_of(lines: list[str], bands: int = BANDS, rows: int = ROWS):
-    """For each line its bucket hashes: (index of the line, bucket) arrays, and each line's number of shingles."""
+    """(index of the line, bucket) arrays of all lines' bucket hashes."""
     import numpy as np
 
     n_values, one = bands * rows, np.uint64
@@ -118,12 +116,11 @@ def buckets_of(lines: list[str], bands: int = BANDS, rows: int = ROWS):
             a, b = np.nonzero(empty & known[:, turn])
             signature[a, b], filled[a, b] = source[a, turn[b]], True
         emit(large, signature, 2)
-    return np.concatenate(found_line), np.concatenate(found).view(np.int64), counts
+    return np.concatenate(found_line), np.concatenate(found).view(np.int64)
 
 
-def signatures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """key, size (number of shingles), buckets array<bigint>, of the lines of each partition, mostly once each."""
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("size", T.LongType()), T.StructField("buckets", T.ArrayType(T.LongType()))])
+def line_buckets(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """key, bucket: each bucket of each line; a line that several partitions hold has them as many times."""
 
     def run(batches):
         import re
@@ -131,16 +128,12 @@ def signatures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         import numpy as np
         import pyarrow as pa
         import xxhash
-        from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow, word, seen, lines, keys, chars = to_arrow_schema(schema), re.compile(r"[^ \t\n\x0b\f\r]"), set(), [], [], 0
+        word, seen, lines, keys, chars = re.compile(r"[^ \t\n\x0b\f\r]"), set(), [], [], 0
 
         def out():
-            which, found, sizes = buckets_of(lines)
-            order = np.argsort(which, kind="stable")
-            ends = np.cumsum(np.bincount(which, minlength=len(lines)))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype("i4")), pa.array(found[order]))
-            return pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists.cast(arrow.field(2).type)], schema=arrow)
+            which, found = buckets_of(lines)
+            return pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)[which]), pa.array(found)], names=["key", "bucket"])
 
         for batch in batches:
             for text in batch.column(0):
@@ -162,45 +155,73 @@ def signatures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         if lines:
             yield out()
 
-    return docs.select(F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(text_col)).mapInArrow(run, "key bigint, bucket bigint")
 
 
-def shingles(line: str) -> set[str]:
-    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+def shingle_hashes(line: str):
+    """The sorted 64-bit hashes of a line's distinct shingles; a shorter line is one shingle."""
+    import numpy as np
+
+    one = np.uint64
+    codes = np.frombuffer(line.ljust(SHINGLE, "\0").encode("utf-32-le"), "<u4").astype(np.uint64)
+    h = np.zeros(len(codes) - SHINGLE + 1, np.uint64)
+    for j in range(SHINGLE):
+        h = h * one(0x9E3779B97F4A7C15) + codes[j : len(codes) - SHINGLE + 1 + j]
+    return np.unique(h)
 
 
-def compared(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b: line keys) with their nodes n_a, n_b, exact Jaccard distance, and near: it is within 1 - threshold."""
-    node = texts.schema["node"].dataType
-    kinds = {"a": T.LongType(), "b": T.LongType(), "n_a": node, "n_b": node, "distance": T.DoubleType(), "near": T.BooleanType()}
-    t1, t2 = (texts.select(F.col("key").alias(k), F.col("node").alias(f"n_{k}"), F.col("line").alias(f"line_{k}")) for k in "ab")
+def _sized(texts: DataFrame) -> DataFrame:
+    """key, digest, line, and size: the line's number of distinct shingles."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            last, left, distance, near = None, set(), [], []
-            for x, y in zip(batch.column(4), batch.column(5).to_pylist()):
-                if x != last:
-                    last, left = x, shingles(x.as_py())
-                right = shingles(y)
-                common = len(left & right)
-                union = len(left) + len(right) - common
-                distance.append(1 - common / union)
-                near.append(common >= threshold * union)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(distance, pa.float64()), pa.array(near, pa.bool_())], names=list(kinds))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(shingle_hashes(x.as_py())) for x in batch.column(2)], pa.int32())], names=["key", "digest", "line", "size"])
 
-    joined = pairs.join(t2, "b").join(t1, "a").select("a", "b", "n_a", "n_b", "line_a", "line_b")
-    return joined.mapInArrow(run, T.StructType([T.StructField(k, v) for k, v in kinds.items()]))
+    return texts.select("key", "digest", "line").mapInArrow(run, "key bigint, digest binary, line string, size int")
 
 
-def _near(found: DataFrame) -> DataFrame:
-    return found.where("near").select(F.col("n_a").alias("a"), F.col("n_b").alias("b"))
+def near_pairs(pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """a, b of the rows (a, b, id_a, id_b, line_a, line_b) whose lines have a Jaccard similarity of at least the threshold.
 
+    Sets are compared by 64-bit hashes of their shingles, each line's made once while a task holds it.
+    """
 
-def _limited(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast for a checked number of narrow rows, a shuffle beyond it."""
-    return F.broadcast(df) if rows <= BROADCAST_KEYS else df
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held, size = {}, 0
+
+        def hashes(i, line):
+            nonlocal size
+            if i not in held:
+                if size >= _HELD:
+                    held.clear()
+                    size = 0
+                held[i] = shingle_hashes(line.as_py())
+                size += len(held[i])
+            return held[i]
+
+        for batch in batches:
+            ids, lines = [c.to_pylist() for c in batch.columns[2:4]], batch.columns[4:6]
+            near, at, n = np.zeros(batch.num_rows, bool), 0, batch.num_rows
+            while at < n:
+                end = at + 1
+                while end < n and ids[0][end] == ids[0][at]:
+                    end += 1
+                left = hashes(ids[0][at], lines[0][at])
+                right = [hashes(ids[1][k], lines[1][k]) for k in range(at, end)]
+                sizes, flat = np.array([len(x) for x in right]), np.concatenate(right)
+                place = np.searchsorted(left, flat)
+                place[place == len(left)] = 0
+                common = np.add.reduceat(left[place] == flat, np.cumsum(sizes) - sizes, dtype=np.int64)
+                near[at:end] = common >= threshold * (len(left) + sizes - common)
+                at = end
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(near))
+
+    return pairs.select("a", "b", "id_a", "id_b", "line_a", "line_b").mapInArrow(run, "a binary, b binary")
 
 
 def line_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -213,54 +234,60 @@ def line_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return _classes(docs, id_col, text_col, threshold).drop("of")
 
 
+def _linked(lines: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """digest, root: the component of each distinct line that is linked to another."""
+    # Most buckets hold one line and end where they meet. A line is told by its digest, of which two may share a key.
+    bucket = Window.partitionBy("bucket")
+    met = line_buckets(docs).withColumns({"low": F.min("key").over(bucket), "high": F.max("key").over(bucket)})
+    members = scratch.put(met.where(F.col("low") != F.col("high")).select("bucket", "key").distinct())
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
+    weights = scratch.put(members.join(sizes, "bucket").groupBy("key").agg(F.sum("n").alias("weight")))
+    leads = members.join(weights, "key").groupBy("bucket").agg(F.max(F.struct("weight", "key")).alias("m")).select("bucket", F.col("m.key").alias("lead"))
+    led = scratch.put(members.join(leads, "bucket"))
+
+    slots = scratch.put(sieve(weights, "key"))
+    wanted = in_sieve(nodes, F.col("key"), slots, "hit").where("hit").join(weights, "key", "left_semi")
+    wanted = wanted.select(F.col("key").alias("w_key"), F.col("digest").alias("w_digest"), "node")
+    same = (F.col("key") == F.col("w_key")) & (F.col("digest") == F.col("w_digest")) & (F.col("line_no") == F.col("node.line_no")) & (F.col("of") == F.col("node.of"))
+    found = in_sieve(lines, F.col("key"), slots, "hit").where("hit").join(wanted, same & F.col("doc_id").eqNullSafe(F.col("node.doc_id")))
+    texts = scratch.put(_sized(found.dropDuplicates(["digest"])))
+
+    side = lambda x: texts.select(F.col("key").alias(x), F.col("digest").alias(f"id_{x}"), F.col("line").alias(f"line_{x}"))
+    stars = led.where(F.col("key") != F.col("lead")).select(F.col("lead").alias("x"), F.col("key").alias("y")).distinct()
+    starred = stars.join(side("y"), "y").join(side("x"), "x").select(F.col("id_x").alias("a"), F.col("id_y").alias("b"), F.col("id_x").alias("id_a"), F.col("id_y").alias("id_b"), F.col("line_x").alias("line_a"), F.col("line_y").alias("line_b"))
+    first = scratch.put(connected_components(near_pairs(starred, threshold), "lines"))
+
+    # What of a bucket isn't in one component yet is compared across components.
+    parted = scratch.put(texts.select("key", "digest").join(first, F.col("digest") == F.col("node"), "left").select("key", "digest", F.coalesce("component", "digest").alias("part")))
+    placed = members.join(parted, "key")
+    open_buckets = placed.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where(F.col("p") != F.col("q")).select("bucket")
+    # A line has as many buckets as there are bands, in either scheme.
+    mine = placed.join(open_buckets, "bucket").groupBy("digest").agg(F.first("part").alias("part"), F.collect_set("bucket").alias("mine"))
+    rest = scratch.put(mine.join(texts.select("digest", "line", "size"), "digest"))
+    spread = lambda x: rest.select(F.explode("mine").alias("bucket"), F.col("part").alias(x), F.col("digest").alias(f"id_{x}"), F.col("line").alias(f"line_{x}"), F.col("size").alias(f"size_{x}"), F.col("mine").alias(f"mine_{x}"))
+    alike = F.least("size_a", "size_b") >= (threshold - 1e-9) * F.greatest("size_a", "size_b")
+    once = F.array_min(F.array_intersect("mine_a", "mine_b")) == F.col("bucket")
+    across = spread("a").join(spread("b"), "bucket").where((F.col("id_a") > F.col("id_b")) & (F.col("a") != F.col("b")) & alike & once)
+    second = connected_components(near_pairs(across, threshold), "lines").withColumnsRenamed({"node": "part_node", "component": "root"})
+    linked = parted.join(second, F.col("part") == F.col("part_node"), "left").select("digest", "part", F.coalesce("root", "part").alias("root"))
+    return linked.where(F.col("root").isNotNull())
+
+
 def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     """line_classes with `of`, the hash of the line's whole text: with its id it tells a document, also where ids repeat or are null."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("of", F.xxhash64("text"))
     lines = explode_lines(docs, keep=("of",)).withColumn("key", line_key(F.col("line"))).withColumn("digest", F.unhex(F.md5("line")))
-    nodes = materialize(lines.groupBy("key", "digest").agg(F.min(F.struct("doc_id", "line_no", "of")).alias("node")), "lines")
-
-    marked = materialize(signatures(docs), "lines")
-    rows = marked.select("key", "size", F.explode("buckets").alias("bucket"))
-    # Most buckets hold one line: a count, combined before the exchange, leaves the others.
-    shared = materialize(rows.groupBy("bucket").count().where(F.col("count") > 1), "lines")
-    members = materialize(rows.join(shared, "bucket").distinct(), "lines")
-    crowd = members.where(F.col("count") > CROWD)
-    weights = crowd.groupBy("key").agg(F.sum("count").alias("weight"))
-    middle = crowd.join(weights, "key").groupBy("bucket").agg(F.max(F.struct("weight", "key")).alias("m")).select("bucket", F.col("m.key").alias("lead"))
-    leads = members.where(F.col("count") <= CROWD).groupBy("bucket").agg(F.min("key").alias("lead"), F.max("key").alias("last")).where(F.col("lead") != F.col("last")).drop("last")
-    led = materialize(members.drop("count").join(leads.union(middle), "bucket"), "lines")
-
-    keys = materialize(led.select("key").distinct(), "lines")
-    n_keys = keys.count()
-    wanted = nodes.join(_limited(keys, n_keys), "key").select("key", "node", F.col("node.doc_id").alias("doc_id"), F.col("node.line_no").alias("line_no"), F.col("node.of").alias("of"))
-    wanted = materialize(wanted, "lines")
-    found = lines.alias("l").join(_limited(wanted, n_keys).alias("w"), (F.col("l.key") == F.col("w.key")) & F.col("l.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("l.line_no") == F.col("w.line_no")) & (F.col("l.of") == F.col("w.of")))
-    texts = materialize(found.select("w.key", "w.node", "l.line").dropDuplicates(["key", "node"]), "lines")
-
-    stars = led.where(F.col("key") != F.col("lead")).select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct()
-    # Two lines may share a 64-bit key: then each of them stands in the pair.
-    same = texts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("a"), F.col("key").alias("b"))
-    tried = materialize(compared(stars.union(same), texts, threshold), "lines")
-    first = connected_components(_near(tried), "lines")
-
-    # What of a bucket isn't in one component yet is compared across components, where a link is possible.
-    of_key = texts.join(first, texts.node == first.node, "left").select("key", F.coalesce("component", texts.node).alias("part")).groupBy("key").agg(F.min("part").alias("part"))
-    parted = led.join(of_key, "key")
-    open_buckets = parted.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where(F.col("p") != F.col("q")).select("bucket")
-    far = tried.groupBy(F.col("a").alias("lead"), F.col("b").alias("key")).agg(F.min("distance").alias("least"), F.max("distance").alias("most"))
-    rest = materialize(parted.join(open_buckets, "bucket").where(F.col("key") != F.col("lead")).join(far, ["lead", "key"]).drop("lead"), "lines")
-    x = rest.select("bucket", F.col("key").alias("a"), F.col("part").alias("p"), F.col("size").alias("n_a"), F.col("least").alias("least_a"), F.col("most").alias("most_a"))
-    y = rest.select("bucket", F.col("key").alias("b"), F.col("part").alias("q"), F.col("size").alias("n_b"), F.col("least").alias("least_b"), F.col("most").alias("most_b"))
-    radius = 1 - threshold + 1e-9
-    reachable = (F.col("least_a") - F.col("most_b") <= radius) & (F.col("least_b") - F.col("most_a") <= radius)
-    # Sizes count hashes of shingles, so they may be short by a few.
-    alike = F.least("n_a", "n_b") * 1.001 + 2 >= threshold * F.greatest("n_a", "n_b")
-    across = x.join(y, "bucket").where((F.col("a") > F.col("b")) & (F.col("p") != F.col("q")) & reachable & alike).select("a", "b").distinct()
-    links = _near(tried).union(_near(compared(across, texts, threshold)))
-    parts = connected_components(links, "lines")
-
-    classes = nodes.join(parts, nodes.node == parts.node, "left").select("key", "digest", F.coalesce("component", nodes.node).alias("class"))
-    own = lines.select("doc_id", "of", "line_no", "key", "digest").join(classes, ["key", "digest"])
+    scratch = Scratch(docs.sparkSession, "lines")
+    nodes = scratch.put(lines.groupBy("key", "digest").agg(F.min(F.struct("doc_id", "line_no", "of")).alias("node")))
+    linked = scratch.put(_linked(lines, nodes, docs, threshold, scratch).withColumnRenamed("digest", "l_digest"))
+    scratch.drop_all_but(nodes, linked)
+
+    rooted = scratch.put(nodes.join(linked, F.col("digest") == F.col("l_digest")).select("digest", "root", "node"))
+    least = rooted.groupBy("root").agg(F.min("node").alias("class"))
+    moved = rooted.join(least, "root").select(F.col("digest").alias("m_digest"), "class")
+    classes = scratch.put(nodes.join(moved, F.col("digest") == F.col("m_digest"), "left").select("digest", F.coalesce("class", "node").alias("class")))
+    scratch.drop_all_but(classes)
+    own = lines.select("doc_id", "of", "line_no", "key", "digest").join(classes, "digest")
     kept = F.col("doc_id").eqNullSafe(F.col("class.doc_id")) & (F.col("line_no") == F.col("class.line_no")) & (F.col("of") == F.col("class.of"))
     return own.select("doc_id", "of", "line_no", "key", F.col("class.doc_id").alias("class_doc"), F.col("class.line_no").alias("class_line"), kept.alias("kept"))
 
@@ -269,14 +296,20 @@ def deduplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """`docs` with only the kept lines (and blank ones) in their texts, and n_chars, if there is one, of the new text.
 
     A document whose lines are all kept elsewhere goes; one without any such line at all (null, empty, blank)
-    stays as it is.
+    stays as it is. Only documents that lose a line (and few more, which a sieve can't tell from them) are shuffled.
     """
-    dropped = _classes(docs, id_col, text_col, threshold).where(~F.col("kept")).select("doc_id", "of", F.struct("line_no", "key").alias("x")).distinct()
-    lists = dropped.groupBy(F.col("doc_id").alias("gone_id"), F.col("of").alias("gone_of")).agg(F.collect_list("x").alias("gone"))
-    joined = docs.join(lists, F.col(id_col).eqNullSafe(F.col("gone_id")) & (F.xxhash64(text_col) == F.col("gone_of")), "left")
+    scratch = Scratch(docs.sparkSession, "lines")
+    dropped = _classes(docs, id_col, text_col, threshold).where(~F.col("kept")).groupBy("doc_id", "of").agg(F.collect_set("line_no").alias("gone"))
+    dropped = scratch.put(dropped)
+    hit, gone, left, d_id, d_of = unused(docs, "hit", "gone", "left", "d_id", "d_of")
+    slots = sieve(dropped.select("of"), "of")
+    sifted = in_sieve(docs, F.xxhash64(text_col), slots, hit)
+    lists = dropped.select(F.col("doc_id").alias(d_id), F.col("of").alias(d_of), F.col("gone").alias(gone))
+    joined = sifted.where(hit).join(lists, F.col(id_col).eqNullSafe(F.col(d_id)) & (F.xxhash64(text_col) == F.col(d_of)), "left")
     split = F.split(F.col(text_col), "\n")
-    left = F.filter(split, lambda line, i: ~F.coalesce(F.array_contains(F.col("gone"), F.struct(i.alias("line_no"), F.xxhash64(line).alias("key"))), F.lit(False)))
-    out = joined.withColumn("left", F.when(F.col("gone").isNull(), split).otherwise(left)).where(F.col("gone").isNull() | F.exists("left", lambda x: x.rlike(r"\S")))
-    changed = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join("left", "\n"))
-    columns = {text_col: changed} | ({"n_chars": F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length(changed)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return out.select(*(columns.get(c, F.col(c)).alias(c) for c in docs.columns))
+    stays = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
+    out = joined.withColumn(left, F.when(F.col(gone).isNotNull(), F.transform(stays, lambda i: F.get(split, i))))
+    out = out.where(F.col(gone).isNull() | F.exists(left, lambda x: x.rlike(r"\S")))
+    changed = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    columns = {text_col: changed} | ({"n_chars": F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length(changed)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return sifted.where(~F.col(hit)).select(docs.columns).union(out.select(*(columns.get(c, F.col(c)).alias(c) for c in docs.columns)))

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch
 
 #: The ten commonest function words of English, German, French and Spanish.
 COMMON_WORDS = ("the of and to in is that for as with", "der die und das den von zu mit ist ein", "de la le et les des en un du une", "el la que de y en los un las por")
@@ -48,13 +48,14 @@ def _words(spaced: Column) -> Column:
     return F.filter(F.split(spaced, " "), lambda w: w != "")
 
 
-def base_metrics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, lang, tie (a hash of the text), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars, and the counts c of CLASSES and w of WORDS and all other words.
+def base_metrics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: bool = False) -> DataFrame:
+    """doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars, and the counts c of CLASSES and w of WORDS and all other words; with `carry` the whole row too.
 
     One pass over each text. Repeated windows are found by 64-bit hashes of three words, sorted with their
     places only where some hash repeats; each window covers the words that the one before it left.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    carried = {"row": F.struct(*docs.columns)} if carry else {}
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(c.alias(n) for n, c in carried.items()))
     d = d.withColumn("spaced", _spaced(F.col("text")))
     d = d.withColumn("words", _words(F.col("spaced"))).withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     d = d.withColumn("n", F.size("words"))
@@ -77,7 +78,7 @@ def base_metrics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     d = d.select(
         "doc_id",
         "lang",
-        "tie",
+        *carried,
         F.col("n").cast("long").alias("n_words"),
         no_space.cast("long").alias("word_chars"),
         (chars - F.length(_without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
@@ -92,7 +93,7 @@ def base_metrics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     other = F.greatest(F.col("word_chars") - F.col("upper") - F.col("digit") - F.col("mark") - F.col("n_symbols"), F.lit(0))
     total = F.aggregate("ws", F.lit(0.0), lambda x, y: x + y)
     return d.select(
-        *d.columns[:9],
+        *d.columns[: 8 + len(carried)],
         F.array(*(x.cast("double") for x in (F.col("chars") - F.col("word_chars"), F.col("upper"), F.col("digit"), F.col("n_symbols"), F.col("mark"), other))).alias("c"),
         F.array_append("ws", F.greatest(F.col("n_words") - total, F.lit(0.0))).alias("w"),
     )
@@ -131,32 +132,36 @@ def _distances(metrics: DataFrame, refs: DataFrame) -> DataFrame:
     return joined.select(*metrics.columns, classes.alias("class_distance"), words.alias("word_distance"))
 
 
+def _judged(docs: DataFrame, id_col: str, text_col: str, lang_col: str, carry: bool = False) -> DataFrame:
+    scratch = Scratch(docs.sparkSession, "quality")
+    metrics = scratch.put(base_metrics(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, carry=carry))
+    narrow = metrics.drop("row")
+    first = scratch.put(_distances(narrow, references(narrow)))
+    means = first.groupBy(F.col("lang").alias("m_lang")).agg(F.avg("class_distance").alias("m_class"), F.avg("word_distance").alias("m_word"))
+    near = (F.col("class_distance") <= TRIM * F.col("m_class")) & F.coalesce(F.col("word_distance") <= TRIM * F.col("m_word"), F.lit(True))
+    refs = scratch.put(references(first.join(means, F.col("lang").eqNullSafe(F.col("m_lang"))).where(near)))
+    scratch.drop(first)
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
+    by_class, by_word = F.coalesce("class_distance", F.lit(0.0)), F.coalesce("word_distance", F.lit(0.0))
+    near = (by_class <= MAX_CLASS_DISTANCE) & (by_word <= MAX_WORD_DISTANCE) & ~((by_class > BOTH[0]) & (by_word > BOTH[1]))
+    return _distances(metrics, refs).withColumn("base_failed", failed).withColumn("kept", ~failed & near)
+
+
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, lang, tie, the base metrics, base_failed, class_distance, word_distance, kept; one row for each row of `docs`.
+    """doc_id, lang, the base metrics, base_failed, class_distance, word_distance, kept; one row for each row of `docs`.
 
     base_failed: under MIN_WORDS words, or over REPEATED_PERCENT of words in repeated windows. The method rejects
     a document whose class or word distance is over its bound, or both over BOTH; under the guards' lengths, or in a language (null
     is one of its own) with under MIN_REFERENCE_WORDS words, a distance is null and rejects nothing. A null text
     has no words. Repeated rows and ids are judged each on its own; other columns aren't read.
     """
-    metrics = materialize(base_metrics(docs, id_col=id_col, text_col=text_col, lang_col=lang_col), "quality")
-    first = materialize(_distances(metrics, references(metrics)), "quality")
-    means = first.groupBy(F.col("lang").alias("m_lang")).agg(F.avg("class_distance").alias("m_class"), F.avg("word_distance").alias("m_word"))
-    near = (F.col("class_distance") <= TRIM * F.col("m_class")) & F.coalesce(F.col("word_distance") <= TRIM * F.col("m_word"), F.lit(True))
-    typical = first.join(means, F.col("lang").eqNullSafe(F.col("m_lang"))).where(near)
-    joined = _distances(metrics, references(typical))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
-    by_class, by_word = F.coalesce("class_distance", F.lit(0.0)), F.coalesce("word_distance", F.lit(0.0))
-    near = (by_class <= MAX_CLASS_DISTANCE) & (by_word <= MAX_WORD_DISTANCE) & ~((by_class > BOTH[0]) & (by_word > BOTH[1]))
-    return joined.select("doc_id", "lang", "tie", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "class_distance", "word_distance", (~failed & near).alias("kept"))
+    found = _judged(docs, id_col, text_col, lang_col)
+    return found.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")
 
 
 def keep_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of `docs` that judge keeps, with all their columns; rejected rows are told by id, language and text hash."""
-    verdicts = judge(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
-    gone = materialize(verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("g_id"), F.col("lang").alias("g_lang"), F.col("tie").alias("g_tie")).distinct(), "quality")
-    same = F.col(id_col).eqNullSafe(F.col("g_id")) & F.col(lang_col).eqNullSafe(F.col("g_lang")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("g_tie"))
-    return docs.join(gone, same, "left_anti")
+    """The rows of `docs` that judge keeps, with all their columns; a row carries its verdict, so none is shuffled."""
+    return _judged(docs, id_col, text_col, lang_col, carry=True).where("kept").select("row.*")
 
 
 def _sql_js(p: str, q: str) -> str:

@@ -55,7 +55,7 @@ def op6_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents")).drop("lang", "tie", "class_distance", "word_distance")
+    return quality.judge(table(spark, sf_dir, "documents")).drop("lang", "class_distance", "word_distance")
 
 
 def op8_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:

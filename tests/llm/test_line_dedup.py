@@ -1,11 +1,13 @@
 import random
 
 from casewright.llm import line_dedup
-from casewright.llm.line_dedup import shingles
-
 from .test_simhash import brute_components
 
 
+def shingles(line):
+    return {line[i : i + 7] for i in range(max(1, len(line) - 6))}
+
+
 def near(a, b):
     x, y = shingles(a), shingles(b)
     return len(x & y) >= 0.8 * len(x | y)
@@ -67,7 +69,7 @@ def test_bands_recall():
                 b[r.randrange(n)] = "Z"
             b = "".join(b)
             if near(a, b):
-                which, found, _ = line_dedup.buckets_of([a, b])
+                which, found = line_dedup.buckets_of([a, b])
                 pairs += 1
                 hit += bool(set(found[which == 0]) & set(found[which == 1]))
     assert pairs > 80 and hit >= 0.98 * pairs
@@ -81,3 +83,27 @@ def test_lines_at_one_place_of_different_texts_without_ids(spark, make_docs):
     b = "\n".join(["gamma", "delta", "epsilon", "a unique line on quite another matter", "beta"])
     got = {r.text for r in line_dedup.deduplicate_lines(make_docs([(None, a), (None, b)])).collect()}
     assert got == {"\n".join([near, "alpha", "beta"]), b.removesuffix("\nbeta")}
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["doc_id", "text", "left", "gone", "of", "hit", "d_id", "line", "sieve_bits"]
+    rows = [(1, "a first line that is long enough\nand one more line to lose", *"abcdefg"), (2, "and one more line to lose\nthis one stays where it is", *"hijklmn"), (None, None, *"opqrstu")]
+    got = line_dedup.deduplicate_lines(spark.createDataFrame(rows, names))
+    assert got.columns == names
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([rows[0], (2, "this one stays where it is", *"hijklmn"), rows[2]], key=str)
+
+
+def test_a_crowd_of_near_copies_matches_brute_force(spark, make_docs):
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9))) for _ in range(60)]
+    seed = r.choices(words, k=40)
+    rows = []
+    for k in range(400):  # similarities on both sides of the threshold
+        w = list(seed)
+        for _ in range(r.randrange(9)):
+            w[r.randrange(len(w))] = r.choice(words)
+        rows.append((k, " ".join(w)))
+    got = {r.doc_id: r.class_doc for r in line_dedup.line_classes(make_docs(rows)).collect()}
+    want = {k: c for (k, _), (c, _) in brute(rows).items()}
+    assert 3 < len(set(want.values())) < 300
+    assert sum(got[k] != c for k, c in want.items()) <= 0.01 * len(want)
