@@ -16,15 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import Scratch, in_sieve, sieve
 
 #: The fields of record header lines in either version.
 FIELDS = {1: ("url", "ip", "date", "mime", "length"), 2: ("url", "ip", "date", "mime", "code", "checksum", "location", "offset", "filename", "length")}
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads under this many bytes are always stored.
 MIN_REVISIT_BYTES = 100
-#: First records of repeated payloads up to which they are broadcast, beyond it they are shuffled (some 200 bytes each).
-BROADCAST_FIRSTS = 200_000
 _CHUNK = 1 << 20
 _GZIP = b"\x1f\x8b"
 
@@ -35,58 +33,67 @@ def _schema(fields: str) -> T.StructType:
 
 
 class _Stream:
-    """Bytes of a file, inflated piece by piece (gzip, in any number of members) where it is compressed."""
+    """Bytes of a file, inflated piece by piece (gzip, in any number of members) where it is compressed.
+
+    A cursor walks over the buffer; what lies before it is dropped only when more bytes are read, so the work is
+    linear in the bytes whatever the records' sizes.
+    """
 
     def __init__(self, content: bytes):
-        self.raw, self.at, self.left, self.offset = content, 0, b"", 0
+        self.raw, self.at, self.offset = content, 0, 0
+        self.buffer, self.cursor = b"", 0
         self.inflate = zlib.decompressobj(31) if content[:2] == _GZIP else None
 
-    def _more(self) -> bool:
+    def _next(self) -> bytes:
+        """The next piece of the file's bytes; empty at the end."""
         if self.inflate is None:
             part = self.raw[self.at : self.at + _CHUNK]
             self.at += len(part)
-            self.left += part
-            return bool(part)
+            return part
         while True:
             if self.inflate.eof:
                 rest = self.inflate.unused_data
                 self.at -= len(rest)
                 if self.raw[self.at : self.at + 2] != _GZIP:
-                    return False
+                    return b""
                 self.inflate = zlib.decompressobj(31)
             part = self.inflate.unconsumed_tail
             if not part:
                 part = self.raw[self.at : self.at + _CHUNK]
                 self.at += len(part)
                 if not part:
-                    return False
-            got = self.inflate.decompress(part, 4 * _CHUNK)
-            if got:
-                self.left += got
-                return True
+                    return b""
+            if got := self.inflate.decompress(part, 4 * _CHUNK):
+                return got
 
     def line(self) -> bytes:
         """The next line with its end; the rest where there is none; empty at the end."""
-        start = 0
-        while (k := self.left.find(b"\n", start)) < 0:
-            start = len(self.left)
-            if not self._more():
-                k = len(self.left) - 1
+        parts = []
+        while (end := self.buffer.find(b"\n", self.cursor)) < 0:
+            parts.append(self.buffer[self.cursor :])
+            self.buffer, self.cursor = self._next(), 0
+            if not self.buffer:
                 break
-        return self.take(k + 1)
+        parts.append(self.buffer[self.cursor : end + 1])
+        self.cursor = end + 1
+        out = b"".join(parts)
+        self.offset += len(out)
+        return out
 
     def take(self, n: int) -> bytes:
-        parts, have = [self.left], len(self.left)
+        parts = [self.buffer[self.cursor : self.cursor + n]]
+        have = len(parts[0])
+        self.cursor += have
         while have < n:
-            self.left = b""
-            if not self._more():
+            self.buffer = self._next()
+            if not self.buffer:
+                self.cursor = 0
                 break
-            parts.append(self.left)
-            have += len(self.left)
-        data = parts[0] if len(parts) == 1 else b"".join(parts)
-        out, self.left = data[:n], data[n:]
-        self.offset += len(out)
-        return out
+            parts.append(self.buffer[: n - have])
+            self.cursor = len(parts[-1])
+            have += self.cursor
+        self.offset += have
+        return parts[0] if len(parts) == 1 else b"".join(parts)
 
 
 def arc_records(content: bytes) -> Iterator[dict]:
@@ -136,11 +143,10 @@ def http_header(head: bytes, name: str) -> str | None:
 _ARC_SCHEMA = _schema("path string, offset bigint, version int, url string, ip string, date string, mime string, truncated boolean, key bigint, payload_bytes bigint, payload_digest string, head binary, payload binary")
 
 
-def read_arc(files: DataFrame, key_header: str = "X-Record-Key", payloads: bool = True) -> DataFrame:
+def read_arc(files: DataFrame, key_header: str = "X-Record-Key") -> DataFrame:
     """One row per record of ARC files (path, content); a file without records has none.
 
-    key is the whole number in the HTTP header of that name, or null. Without `payloads`, head and payload are
-    null, which spares moving them where only digests are wanted.
+    key is the whole number in the HTTP header of that name, or null.
     """
 
     def run(batches):
@@ -158,7 +164,7 @@ def read_arc(files: DataFrame, key_header: str = "X-Record-Key", payloads: bool
                     key = http_header(head, key_header)
                     key = int(key) if key and re.fullmatch(r"-?\d{1,18}", key) else None
                     digest = hashlib.sha256(payload).hexdigest()
-                    rows.append((path, r["offset"], r["version"], r["url"], r["ip"], r["date"], r["mime"], r["truncated"], key, len(payload), digest, *((head, payload) if payloads else (None, None))))
+                    rows.append((path, r["offset"], r["version"], r["url"], r["ip"], r["date"], r["mime"], r["truncated"], key, len(payload), digest, head, payload))
                     size += len(r["block"])
                     if size >= 8 << 20 or len(rows) >= 5000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
@@ -191,20 +197,23 @@ def arc_to_warc(files: DataFrame, key_header: str = "X-Record-Key", min_revisit_
     """Rows of read_arc with WARC fields, in which repeated payloads of at least `min_revisit_bytes` are revisits.
 
     Of equal payloads the record with the smallest key is kept, then the earliest, then the first by path and
-    offset; the others refer to it (refers_id, refers_url, refers_date, refers_key) and lose their payload.
+    offset; the others refer to it (refers_id, refers_url, refers_date, refers_key) and lose their payload. Records
+    are parsed once; only those that may be repeated are shuffled with their payloads.
     """
-    narrow = warc_fields(read_arc(files, key_header, payloads=False)).where((F.col("record_type") == "response") & (F.col("payload_bytes") >= min_revisit_bytes))
+    records = Scratch(files.sparkSession, "warc").put(warc_fields(read_arc(files, key_header)))
+    repeatable = (F.col("record_type") == "response") & (F.col("payload_bytes") >= min_revisit_bytes)
     first = F.min(F.struct(*_rank(), F.col("record_id").alias("id"), F.col("url").alias("u"), F.col("warc_date").alias("w"), F.col("key").alias("key"))).alias("first")
-    firsts = narrow.groupBy("payload_digest").agg(first, F.count("*").alias("n")).where(F.col("n") > 1).select(F.col("payload_digest").alias("digest"), "first")
-    firsts = materialize(firsts, "warc")
-    if firsts.count() <= BROADCAST_FIRSTS:
-        firsts = F.broadcast(firsts)
-    records = warc_fields(read_arc(files, key_header))
-    repeated = (F.col("record_type") == "response") & (F.col("payload_bytes") >= min_revisit_bytes) & (F.col("payload_digest") == F.col("digest"))
-    joined = records.join(firsts, repeated, "left")
-    revisit = F.col("first").isNotNull() & (F.col("first.id") != F.col("record_id"))
-    told = {f"refers_{n}": F.when(revisit, F.col(f"first.{c}")) for n, c in (("id", "id"), ("url", "u"), ("date", "w"), ("key", "key"))}
-    return joined.withColumns(told | {"record_type": F.when(revisit, "revisit").otherwise(F.col("record_type")), "payload": F.when(~revisit | F.col("first").isNull(), F.col("payload"))}).drop("digest", "first")
+    firsts = records.where(repeatable).groupBy("payload_digest").agg(first, F.count("*").alias("n")).where(F.col("n") > 1).select(F.col("payload_digest").alias("digest"), "first")
+    firsts = Scratch(files.sparkSession, "warc").put(firsts)
+    slots = sieve(firsts.select(F.xxhash64("digest").alias("k")), "k")
+    sifted = in_sieve(records, F.when(repeatable, F.xxhash64("payload_digest")), slots, "hit")
+    told = {"refers_id": "id", "refers_url": "u", "refers_date": "w", "refers_key": "key"}
+    kinds = {f.name: f.dataType for f in firsts.schema["first"].dataType}
+    alone = sifted.where(~F.col("hit")).withColumns({n: F.lit(None).cast(kinds[c]) for n, c in told.items()})
+    joined = sifted.where("hit").join(firsts, F.col("payload_digest") == F.col("digest"), "left")
+    revisit = F.coalesce(F.col("first.id") != F.col("record_id"), F.lit(False))
+    found = joined.withColumns({n: F.when(revisit, F.col(f"first.{c}")) for n, c in told.items()} | {"record_type": F.when(revisit, "revisit").otherwise(F.col("record_type")), "payload": F.when(~revisit, F.col("payload"))})
+    return alone.drop("hit").unionByName(found.drop("hit", "digest", "first"))
 
 
 def write_warc(records: DataFrame, path: str, records_per_file: int = 5000) -> None:

@@ -75,24 +75,49 @@ def test_pages_round_trip(spark, tmp_path):
     warc.write_warc(warc.arc_to_warc(warc.write_arc_rows(df.limit(0))), str(tmp_path / "none"))
 
 
-def test_the_archive_is_made_once_and_read_by_both_passes(spark, tmp_path, monkeypatch):
-    """Were the pages split differently between the passes, a first record would refer to itself and lose its payload."""
+def test_the_archive_is_parsed_once(spark, tmp_path, monkeypatch):
+    """Names and offsets hang on how the pages are split: were they read twice, a first record might refer to itself and lose its payload."""
     from casewright.llm import queries
 
     rows = [(k, f"http://h/{k}", "y" * 200 if k % 2 else f"{k} " * 100) for k in range(40)]
     spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8).write.parquet(str(tmp_path / "pages.parquet"))
-    inner, passes = warc.read_arc, []
-
-    def resplit(files, *args, **kwargs):
-        passes.append(kwargs)
-        spark.conf.set("spark.sql.files.minPartitionNum", "8" if len(passes) == 1 else "1")
-        return inner(files, *args, **kwargs)
-
-    monkeypatch.setattr(warc, "read_arc", resplit)
-    try:
-        got = {r.page_id: r for r in queries.op4_arc_to_warc(spark, str(tmp_path)).collect()}
-    finally:
-        spark.conf.unset("spark.sql.files.minPartitionNum")
-    assert len(passes) == 2 and len(got) == 40
+    inner, made = warc.write_arc_rows, spark.sparkContext.accumulator(0)
+
+    def counted(pages):
+        def count(batches):
+            for batch in batches:
+                made.add(batch.num_rows)
+                yield batch
+
+        return inner(pages).mapInArrow(count, "path string, content binary")
+
+    monkeypatch.setattr(warc, "write_arc_rows", counted)
+    got = {r.page_id: r for r in queries.op4_arc_to_warc(spark, str(tmp_path)).collect()}
+    files = inner(spark.read.parquet(str(tmp_path / "pages.parquet"))).count()
+    assert made.value == files and len(got) == 40
     assert {k for k, r in got.items() if r.record_type == "response"} == {1, *range(0, 40, 2)}
     assert {r.refers_to for r in got.values() if r.record_type == "revisit"} == {1}
+
+
+def test_parsing_time_is_linear_in_the_records():
+    import time
+
+    def took(n):
+        data = gzip.compress(arc(1, *[(b"http://a/", b"20010203040506", b"text/html", HTTP + b"x" * 3000)] * n))
+        best = 9e9
+        for _ in range(3):
+            began = time.process_time()
+            assert sum(1 for _ in warc.arc_records(data)) == n + 1
+            best = min(best, time.process_time() - began)
+        return best / n
+
+    assert took(8000) < 2 * took(1000)
+
+
+def test_records_across_pieces_of_the_buffer():
+    blocks = [HTTP + bytes([65 + k % 26]) * size for k, size in enumerate((10, 3 << 20, 5, (1 << 20) - 700, 9 << 20, 0, 17))]
+    data = arc(2, *((b"http://a/" + b"q" * 5000, b"20010203040506", b"text/html", x) for x in blocks))
+    for content in (data, gzip.compress(data, 1), b"".join(gzip.compress(data[k : k + 70_001], 1) for k in range(0, len(data), 70_001))):
+        got = list(warc.arc_records(content))
+        assert [r["block"] for r in got[1:]] == blocks
+        assert all(data[r["offset"] :].startswith(r["url"].encode()) for r in got)
