@@ -2,40 +2,48 @@
 
 Calls and results are joined by conversation and identifier (a shuffled hash join on both, so one long
 conversation spreads by its identifiers). Calls whose arguments hold the result of another call ("$id") come
-after it: rounds take all calls whose dependencies are placed, as many rounds as the longest chain has calls.
-Arguments are validated against the tools' schemas and everything is serialised as canonical JSON: no blanks,
-keys in order, by Spark's variant type.
+after it: the order of turns already puts every call behind the earlier ones it needs, however long such a chain
+is. Only calls that need a later one, and those that depend on them, are placed in rounds, as many as there are
+calls in a row behind a later one. Arguments are validated against the tools' schemas and everything is serialised
+as canonical JSON: no blanks, keys in order, by Spark's variant type.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch
 
 CALLS = "array<struct<id: string, name: string, arguments: string>>"
 #: Types of arguments, and what Spark's variant calls values of them.
 KINDS = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DOUBLE", "DECIMAL"), "boolean": ("BOOLEAN",), "array": ("ARRAY",), "object": ("OBJECT",)}
 
 
+def _conversation() -> Column:
+    """A key of conv_id that tells null from an empty text."""
+    return F.when(F.col("conv_id").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("conv_id").cast("string"))).alias("conv")
+
+
+def _numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """nth: the place, from 1, among rows that share an identifier in their conversation."""
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("conv", "id").orderBy(*order)))
+
+
 def extract_calls(messages: DataFrame) -> DataFrame:
-    """conv_id, call_id, turn, place, name, arguments of the calls in tool_calls (a JSON array of id, name, arguments).
+    """conv, conv_id, id, nth, turn, place, name, arguments of the calls in tool_calls (a JSON array of id, name, arguments).
 
-    Of calls that repeat an identifier in their conversation the first by turn and place counts; ties go to the
-    least arguments. Calls without an identifier, and JSON that isn't such an array, give none.
+    JSON that isn't such an array gives none; calls that are equal in all of these are one.
     """
-    parsed = messages.select("conv_id", "turn", F.posexplode(F.from_json("tool_calls", CALLS)).alias("place", "call"))
-    calls = parsed.where(F.col("call.id").isNotNull()).select("conv_id", F.col("call.id").alias("call_id"), "turn", "place", F.col("call.name").alias("name"), F.col("call.arguments").alias("arguments"))
-    least = calls.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "place", "name", "arguments")).alias("c"))
-    return least.select("conv_id", "call_id", "c.*")
+    parsed = messages.select(_conversation(), "conv_id", "turn", F.posexplode(F.from_json("tool_calls", CALLS)).alias("place", "call"))
+    calls = parsed.where(F.col("call").isNotNull()).select("conv", "conv_id", F.col("call.id").alias("id"), "turn", "place", F.col("call.name").alias("name"), F.col("call.arguments").alias("arguments"))
+    return _numbered(calls.distinct(), "turn", "place", "name", "arguments")
 
 
 def extract_results(messages: DataFrame) -> DataFrame:
-    """conv_id, result_id, result_turn, content: the first result of each identifier, from messages of role `tool`."""
-    rows = messages.where((F.col("role") == "tool") & F.col("tool_call_id").isNotNull())
-    least = rows.groupBy("conv_id", F.col("tool_call_id").alias("result_id")).agg(F.min(F.struct(F.col("turn").alias("result_turn"), F.col("content").alias("content"))).alias("r"))
-    return least.select("conv_id", "result_id", "r.*")
+    """conv, conv_id, id, nth, turn, content of messages of role `tool`; equal ones are one."""
+    rows = messages.where(F.col("role") == "tool").select(_conversation(), "conv_id", F.col("tool_call_id").alias("id"), "turn", "content")
+    return _numbered(rows.distinct(), "turn", "content")
 
 
 def argument_errors(schemas: dict[str, dict[str, tuple[str, bool]]]) -> Column:
@@ -57,53 +65,66 @@ def argument_errors(schemas: dict[str, dict[str, tuple[str, bool]]]) -> Column:
     return F.sort_array(F.filter(F.array(*found), lambda e: e.isNotNull()))
 
 
-def call_levels(calls: DataFrame, dependencies: DataFrame) -> DataFrame:
-    """conv_id, call_id, level: 0 without dependencies, else one more than the deepest; null in or behind a cycle.
+def call_levels(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, level of the calls that have to be moved: those that need a later call, or one that has to be moved.
 
-    dependencies: conv_id, call_id, needs; those on unknown calls have to be left out.
+    edges: node, needs (both structs that tell a call), backward (the call it needs comes before it). Level 1 needs
+    none that is moved; others are one above the highest they need; null in or behind a cycle. All other calls have
+    level 0, and (level, turn, place) orders a conversation topologically.
     """
-    keys = ["conv_id", "call_id"]
-    pending = materialize(dependencies.select(*keys, "needs").distinct(), "chat")
-    level = 0
-    placed = frontier = materialize(calls.select(*keys).join(pending.select(*keys).distinct(), keys, "left_anti").withColumn("level", F.lit(0)), "chat")
-    while not frontier.isEmpty() and not pending.isEmpty():
+    edges = scratch.put(edges.select("node", "needs", "backward").distinct())
+    moved = front = scratch.put(edges.where(~F.col("backward")).select("node").distinct())
+    while not front.isEmpty():
+        behind = edges.join(front.select(F.col("node").alias("needs")), "needs", "left_semi").select("node").distinct()
+        front = scratch.put(behind.join(moved, "node", "left_anti"))
+        moved = moved.union(front)
+    pending = scratch.put(edges.join(moved, "node", "left_semi").join(moved.select(F.col("node").alias("needs")), "needs", "left_semi").select("node", "needs"))
+    level = 1
+    placed = front = scratch.put(moved.join(pending.select("node").distinct(), "node", "left_anti").withColumn("level", F.lit(level)))
+    while not front.isEmpty() and not pending.isEmpty():
         level += 1
-        ready = frontier.select("conv_id", F.col("call_id").alias("needs"))
-        left = materialize(pending.join(ready, ["conv_id", "needs"], "left_anti").select(*keys, "needs"), "chat")
-        frontier = materialize(pending.select(*keys).distinct().join(left.select(*keys).distinct(), keys, "left_anti").withColumn("level", F.lit(level)), "chat")
-        placed, pending = placed.union(frontier), left
-    return calls.select(*keys).join(placed, keys, "left")
+        left = scratch.put(pending.join(front.select(F.col("node").alias("needs")), "needs", "left_anti").select("node", "needs"))
+        front = scratch.put(pending.select("node").distinct().join(left.select("node").distinct(), "node", "left_anti").withColumn("level", F.lit(level)))
+        placed, pending = placed.union(front), left
+    return moved.join(placed, "node", "left")
 
 
 def link_tool_calls(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
     """One row for each call, and for each result without one.
 
-    messages: conv_id, turn, role, content, tool_calls, tool_call_id. Columns: conv_id, call_id, turn, name, level,
-    status (linked, unanswered, early, cycle, orphan), errors, json. (level, turn, place) orders a conversation's
-    calls topologically. early: the result stands before its call. errors also names references to unknown calls.
-    json holds arguments, id, name, result. A null conversation is one of its own; messages of other roles, null
-    or empty texts and repeated rows make no further calls; an empty table gives none.
+    messages: conv_id, turn, role, content, tool_calls, tool_call_id. Columns: conv_id, call_id, turn, place, name,
+    level, status (linked, unanswered, early, cycle, orphan), errors, json. (level, turn, place) orders a
+    conversation's calls topologically. early: the result stands before its call. Of calls that share an identifier
+    the first gets the first result, the second the second, and so on; the later ones have the error id:repeated, and
+    references mean the first. Calls and results without an identifier have rows of their own, unanswered and orphan.
+    errors also names references to unknown calls. json holds arguments, id, name, result. A null conversation is one
+    of its own, as is an empty one; messages of other roles, null or empty texts and repeated rows make no further
+    calls; an empty table gives none.
     """
     messages = messages.select("conv_id", "turn", "role", "content", "tool_calls", "tool_call_id")
-    calls = materialize(extract_calls(messages), "chat")
+    scratch = Scratch(messages.sparkSession, "chat")
+    calls = scratch.put(extract_calls(messages))
     results = extract_results(messages)
-    refs = calls.select("conv_id", "call_id", F.explode(F.array_distinct(F.regexp_extract_all("arguments", F.lit(r'"\$([^"\\]+)"'), 1))).alias("needs"))
-    known = calls.select(F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_id"))
-    met = materialize(refs.join(known.hint("shuffle_hash"), F.col("conv_id").eqNullSafe(F.col("k_conv")) & (F.col("needs") == F.col("k_id")), "left").select(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv_id"), "call_id", "needs", F.col("k_id").isNotNull().alias("known")), "chat")
-    keyed = calls.withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
-    levels = call_levels(keyed.select(F.col("conv").alias("conv_id"), "call_id"), met.where("known").drop("known")).withColumnsRenamed({"conv_id": "l_conv", "call_id": "l_id"})
-    unknown = met.where(~F.col("known")).groupBy(F.col("conv_id").alias("u_conv"), F.col("call_id").alias("u_id")).agg(F.count("*").alias("n_unknown"))
-
-    right = results.withColumnRenamed("conv_id", "r_conv")
-    linked = keyed.join(right.hint("shuffle_hash"), F.col("conv_id").eqNullSafe(F.col("r_conv")) & (F.col("call_id") == F.col("result_id")), "full")
-    linked = linked.join(levels, (F.col("conv") == F.col("l_conv")) & (F.col("call_id") == F.col("l_id")), "left")
-    linked = linked.join(unknown, (F.col("conv") == F.col("u_conv")) & (F.col("call_id") == F.col("u_id")), "left")
-    linked = linked.withColumn("args", F.try_parse_json("arguments"))
-    errors = F.when(F.col("call_id").isNotNull(), F.concat(argument_errors(schemas), F.when(F.col("n_unknown") > 0, F.array(F.lit("reference:unknown call"))).otherwise(F.array().cast("array<string>"))))
-    status = F.when(F.col("call_id").isNull(), "orphan").when(F.col("level").isNull(), "cycle").when(F.col("result_id").isNull(), "unanswered").when(F.col("result_turn") < F.col("turn"), "early").otherwise("linked")
+    node = F.struct("conv", "id", "nth")
+    refs = calls.select("conv", "turn", "place", node.alias("node"), F.explode(F.array_distinct(F.regexp_extract_all("arguments", F.lit(r'"\$([^"\\]+)"'), 1))).alias("ref"))
+    known = calls.where("nth = 1").select(F.col("conv").alias("k_conv"), F.col("id").alias("k_id"), node.alias("needs"), F.struct("turn", "place").alias("k_at"))
+    met = scratch.put(refs.join(known.hint("shuffle_hash"), (F.col("conv") == F.col("k_conv")) & (F.col("ref") == F.col("k_id")), "left").select("node", "needs", (F.col("k_at") < F.struct("turn", "place")).alias("backward")))
+    levels = call_levels(met.where(F.col("needs").isNotNull()), scratch).select(F.col("node").alias("l_node"), "level")
+    unknown = met.where(F.col("needs").isNull()).groupBy(F.col("node").alias("u_node")).agg(F.count("*").alias("n_unknown"))
+
+    left = calls.withColumn("node", node)
+    right = results.select(*(F.col(c).alias(f"r_{c}") for c in ("conv", "conv_id", "id", "nth", "turn")), "content")
+    linked = left.join(right.hint("shuffle_hash"), (F.col("conv") == F.col("r_conv")) & (F.col("id") == F.col("r_id")) & (F.col("nth") == F.col("r_nth")), "full")
+    linked = linked.join(levels, F.col("node") == F.col("l_node"), "left").join(unknown, F.col("node") == F.col("u_node"), "left")
+    called = F.col("node").isNotNull()
+    level = F.when(called, F.when(F.col("l_node").isNull(), 0).otherwise(F.col("level")))
+    linked = linked.withColumns({"args": F.try_parse_json("arguments"), "at_level": level, "call_id": F.coalesce("id", "r_id")})
+    more = F.filter(F.array(F.when(called & F.col("id").isNull(), F.lit("id:missing")), F.when(F.col("id").isNotNull() & (F.col("nth") > 1), F.lit("id:repeated")), F.when(F.col("n_unknown") > 0, F.lit("reference:unknown call"))), lambda e: e.isNotNull())
+    errors = F.when(called, F.concat(argument_errors(schemas), more))
+    status = F.when(~called, "orphan").when(F.col("at_level").isNull(), "cycle").when(F.col("r_conv").isNull(), "unanswered").when(F.col("r_turn") < F.col("turn"), "early").otherwise("linked")
     quoted = lambda c: F.coalesce(F.to_json(F.to_variant_object(F.struct(F.col(c).alias("x")))), F.lit('{"x":null}'))
     value = lambda c: F.when(F.col(c).isNull(), "null").otherwise(F.regexp_extract(quoted(c), r'(?s)^\{"x":(.*)\}$', 1))
     given = F.coalesce(F.to_json("args"), value("arguments"))
-    serial = F.concat(F.lit('{"arguments":'), given, F.lit(',"id":'), value("the_id"), F.lit(',"name":'), value("name"), F.lit(',"result":'), value("content"), F.lit("}"))
-    linked = linked.withColumn("the_id", F.coalesce("call_id", "result_id"))
-    return linked.select(F.coalesce("conv_id", "r_conv").alias("conv_id"), F.col("the_id").alias("call_id"), F.coalesce("turn", "result_turn").alias("turn"), F.coalesce("place", F.lit(0)).alias("place"), "name", "level", status.alias("status"), errors.alias("errors"), serial.alias("json"))
+    serial = F.concat(F.lit('{"arguments":'), given, F.lit(',"id":'), value("call_id"), F.lit(',"name":'), value("name"), F.lit(',"result":'), value("content"), F.lit("}"))
+    conv_id = F.when(called, F.col("conv_id")).otherwise(F.col("r_conv_id"))
+    return linked.select(conv_id.alias("conv_id"), "call_id", F.coalesce("turn", "r_turn").alias("turn"), F.coalesce("place", F.lit(0)).alias("place"), "name", F.col("at_level").alias("level"), status.alias("status"), errors.alias("errors"), serial.alias("json"))

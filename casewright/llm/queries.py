@@ -72,13 +72,15 @@ TOOLS = {
 def tool_messages(conversations: DataFrame) -> DataFrame:
     """Conversations with tool calls: a user's turn calls a tool with its whole text, the assistant's turn after it is the result.
 
-    Every fifth call has a limit of the wrong type, every seventh no query; most need the result of an earlier call,
-    which lies one bit of the call's number back, so that chains grow with the logarithm of a conversation.
+    Every fifth call has a limit of the wrong type, every seventh no query. Every call needs the result of the one
+    before it, so that a conversation is one chain; in every fourth conversation some calls need the next one instead,
+    and some need each other.
     """
     conv, turn = F.col("conv_id").cast("string"), F.col("turn")
     half = F.expr("turn div 2")
-    before = 2 * half.bitwiseAND(half - 1) + turn % 2
-    after = F.when(half > 0, F.concat(F.lit("$c"), conv, F.lit("-"), before.cast("string")))
+    odd = F.when(F.col("conv_id") % 4 == 0, half % 20)
+    step = F.when(odd.isin(8, 10), 1).when(odd == 11, None).otherwise(-1)
+    after = F.when(half + step >= 0, F.concat(F.lit("$c"), conv, F.lit("-"), (turn + 2 * step).cast("string")))
     pick = (turn + F.col("conv_id")) % 3
     name = F.when(pick == 0, "search").when(pick == 1, "lookup").otherwise("count")
     limit = F.when((turn + F.col("conv_id")) % 5 == 0, F.parse_json(F.concat(F.lit('"'), turn.cast("string"), F.lit('"')))).otherwise(F.parse_json(turn.cast("string")))
@@ -117,18 +119,18 @@ FROM f"""
 
 _TEXT = """'"' || replace(replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't') || '"'"""
 OP9_SQL = f"""
-WITH RECURSIVE c AS (SELECT *, 'c' || conv_id || '-' || turn AS id, turn // 2 AS half, CASE (turn + conv_id) % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'lookup' ELSE 'count' END AS name,
+WITH c AS (SELECT *, 'c' || conv_id || '-' || turn AS id, turn // 2 AS half, CASE (turn + conv_id) % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'lookup' ELSE 'count' END AS name,
       {_TEXT} AS quoted FROM conversations),
-u AS (SELECT *, CASE WHEN half > 0 THEN 2 * (half & (half - 1)) + turn % 2 END AS needs FROM c WHERE role = 'user'),
+s AS (SELECT *, CASE WHEN conv_id % 4 = 0 THEN half % 20 END AS odd FROM c WHERE role = 'user'),
+u AS (SELECT *, CASE WHEN odd IN (8, 10) THEN turn + 2 WHEN odd = 11 OR half = 0 THEN NULL ELSE turn - 2 END AS needs FROM s),
 e AS (SELECT u.*, k.id AS needs_id FROM u LEFT JOIN u k ON k.conv_id = u.conv_id AND k.turn = u.needs),
-l AS (SELECT conv_id, turn, 0 AS level FROM e WHERE needs_id IS NULL
-      UNION ALL SELECT e.conv_id, e.turn, l.level + 1 FROM e JOIN l ON l.conv_id = e.conv_id AND l.turn = e.needs AND e.needs_id IS NOT NULL),
+l AS (SELECT conv_id, turn, CASE WHEN needs_id IS NOT NULL AND odd IN (8, 9) THEN NULL WHEN needs_id IS NOT NULL AND odd = 10 THEN 1 ELSE 0 END AS level FROM e),
 r AS (SELECT conv_id, turn, quoted AS result, 'c' || conv_id || '-' || (turn - 1) AS rid FROM c WHERE role = 'assistant'),
 j AS (SELECT coalesce(e.conv_id, r.conv_id) AS conv_id, coalesce(e.id, r.rid) AS call_id, coalesce(e.turn, r.turn) AS turn, e.name, e.turn AS t, e.quoted, e.needs, e.needs_id, r.rid, r.result,
         (e.turn + e.conv_id) % 5 = 0 AS bad, (e.turn + e.conv_id) % 7 = 0 AS none
       FROM e FULL JOIN r ON e.conv_id = r.conv_id AND e.id = r.rid)
 SELECT j.conv_id, call_id, j.turn, name, CAST(l.level AS BIGINT) AS level,
-  CASE WHEN t IS NULL THEN 'orphan' WHEN rid IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+  CASE WHEN t IS NULL THEN 'orphan' WHEN l.level IS NULL THEN 'cycle' WHEN rid IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
   CASE WHEN t IS NOT NULL THEN array_to_string(list_filter([CASE WHEN bad THEN 'limit:not integer' END, CASE WHEN none THEN 'query:missing' END, CASE WHEN needs IS NOT NULL AND needs_id IS NULL THEN 'reference:unknown call' END], lambda x: x IS NOT NULL), ';') END AS errors,
   md5('{{"arguments":' || CASE WHEN t IS NULL THEN 'null' ELSE '{{' || CASE WHEN needs IS NOT NULL THEN '"after":"$c' || j.conv_id || '-' || needs || '",' ELSE '' END || CASE WHEN name = 'count' THEN '"exact":true,' ELSE '' END
     || '"limit":' || CASE WHEN bad THEN '"' || t || '"' ELSE CAST(t AS VARCHAR) END || CASE WHEN none THEN '' ELSE ',"query":' || quoted END || '}}' END

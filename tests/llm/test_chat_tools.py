@@ -9,7 +9,7 @@ FIELDS = "conv_id long, turn long, role string, content string, tool_calls strin
 
 def link(spark, rows):
     df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], FIELDS).repartition(3)
-    return {(r.conv_id, r.call_id): r for r in chat_tools.link_tool_calls(df, SCHEMAS).collect()}
+    return {(r.conv_id, r.call_id, r.turn): r for r in chat_tools.link_tool_calls(df, SCHEMAS).collect()}
 
 
 def call(conv, turn, *calls):
@@ -31,13 +31,15 @@ def test_links_order_validation_and_json(spark):
         (3, 1, "user", "plain", None, None), (3, 2, "assistant", "", "not json", None), (3, 3, "tool", "x", None, None), (3, None, None, None, None, None),
     ]
     got = link(spark, rows + rows[:1] + rows[3:4])
+    assert (got[1, "a", 9].status, got.pop((1, "a", 9)).errors) == ("early", ["id:repeated"])
+    got = {k[:2]: r for k, r in got.items()}
     status = {k: (r.level, r.status, r.errors) for k, r in got.items()}
     assert status == {
-        (1, "a"): (0, "linked", []), (1, "b"): (1, "linked", []), (1, "c"): (2, "early", []), (1, "d"): (0, "unanswered", ["reference:unknown call"]),
+        (1, "a"): (0, "linked", []), (1, "b"): (0, "linked", []), (1, "c"): (0, "early", []), (1, "d"): (0, "unanswered", ["reference:unknown call"]),
         (1, "p"): (None, "cycle", []), (1, "q"): (None, "cycle", []), (1, "lost"): (None, "orphan", None),
         (2, "a"): (0, "unanswered", ["x:not integer"]), (2, "e"): (0, "unanswered", ["name:unknown tool"]), (2, "h"): (0, "unanswered", ["arguments:not JSON"]),
         (2, "i"): (0, "unanswered", ["arguments:not an object"]), (2, "j"): (0, "unanswered", ["s:not string", "x:missing"]), (2, "k"): (0, "unanswered", ["x:missing"]),
-        (None, "a"): (1, "linked", []), (None, "a2"): (0, "unanswered", []),
+        (None, "a"): (1, "linked", []), (None, "a2"): (0, "unanswered", []), (3, None): (None, "orphan", None),
     }
     assert got[1, "b"].json == '{"arguments":{"s":"$a","x":2},"id":"b","name":"f","result":' + json.dumps('say "hi"\n\\ é', ensure_ascii=False) + "}"
     assert got[1, "a"].json.endswith('"result":"ok"}') and got[1, "a"].turn == 1
@@ -46,11 +48,41 @@ def test_links_order_validation_and_json(spark):
 
 
 def test_long_chain_and_empty_table(spark):
-    rows = [call(1, k, (f"c{k}", "f", {"x": k, "s": f"$c{k - 1}"})) for k in range(1, 7)]
-    assert {r.call_id: r.level for r in link(spark, rows).values()} == {f"c{k}": k - 1 for k in range(1, 7)}
+    rows = [call(1, k, (f"c{k}", "f", {"x": k, "s": f"$c{k - 1}"})) for k in range(1, 400)]
+    assert {r.level for r in link(spark, rows).values()} == {0}
     assert link(spark, []) == {}
 
 
+def test_order_is_topological_and_cycles_are_told(spark):
+    import random
+
+    r, rows, needs = random.Random(4), [], {}
+    for conv in range(6):
+        for turn in range(25):
+            mine = [k for k in r.sample(range(25), r.randrange(3)) if k < turn or r.random() < 0.25]
+            needs[conv, turn] = mine
+            rows.append(call(conv, turn, (f"c{turn}", "f", {"x": 1, "o": {str(k): f"$c{k}" for k in mine}})))
+    got = link(spark, rows)
+    placed, todo = set(), True  # what can be placed at all, by brute force
+    while todo:
+        todo = {k for k, ks in needs.items() if k not in placed and all((k[0], x) in placed for x in ks)}
+        placed |= todo
+    assert {(r.conv_id, r.turn) for r in got.values() if r.status != "cycle"} == placed and len(placed) < len(needs)
+    for conv, turn in placed:
+        for k in needs[conv, turn]:
+            before, own = got[conv, f"c{k}", k], got[conv, f"c{turn}", turn]
+            assert (before.level, before.turn) < (own.level, own.turn)
+    assert max(r.level or 0 for r in got.values()) > 1
+
+
+def test_null_and_empty_conversations_and_identifiers_that_restart(spark):
+    fields = FIELDS.replace("conv_id long", "conv_id string")
+    rows = [call(None, 1, ("a", "f", {"x": 1})), call("", 1, ("a", "f", {"x": 1})), result("", 2, "a", "one"), call("", 3, ("a", "f", {"x": 2})), result("", 4, "a", "two"), result("", 5, "a", "three"), call("", 6, (None, "f", {"x": 1})), result("", 7, None, "lost")]
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], fields)
+    got = sorted(((r.conv_id, r.turn, r.call_id, r.status, json.loads(r.json)["result"], r.errors) for r in chat_tools.link_tool_calls(df, SCHEMAS).collect()), key=str)
+    assert got == sorted([(None, 1, "a", "unanswered", None, []), ("", 1, "a", "linked", "one", []), ("", 3, "a", "linked", "two", ["id:repeated"]), ("", 5, "a", "orphan", "three", None), ("", 6, None, "unanswered", None, ["id:missing"]), ("", 7, None, "orphan", "lost", None)], key=str)
+
+
 def test_plan_has_no_python(spark):
     df = spark.createDataFrame([call(1, 1, ("a", "f", {"x": 1}))], "conv_id long, turn long, role string, content string, tool_calls string, tool_call_id string")
     plan = chat_tools.link_tool_calls(df, SCHEMAS)._jdf.queryExecution().executedPlan().toString()
