@@ -1,9 +1,10 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words become symbols: insults (patterns learned from labelled documents), threats, targets, negations and
-verbs of reported speech (fixed lists). One small transducer marks each kind of context, and their
-composition turns a clause into a bag of marked matches, such as an insult aimed at somebody or one that is
-only reported. The weights of the marks are fitted on labelled documents; a document's score is the logistic
+Words become symbols: insults (patterns learned from labelled documents), verbs of harm, of intention and of
+reported speech in all their forms, targets and negations (fixed lists). One small transducer reads threats as
+clauses (intention, harm, whom it strikes), others mark each kind of context, and their composition turns a clause
+into a bag of marked matches, such as an insult aimed at somebody, an intended threat, or one that is only
+reported. The weights of the marks are fitted on labelled documents; a document's score is the logistic
 function of its clauses' matches. Words outside a matched clause count for nothing.
 """
 
@@ -18,23 +19,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import Scratch
 
-#: Closed classes of English, German, French and Spanish.
+
+
+def inflected(verbs: str) -> list[str]:
+    """The regular English forms of each verb."""
+    stems = [(v, v.removesuffix("e")) for v in verbs.split()]
+    return [x for v, stem in stems for x in (v, f"{v}s", f"{stem}ed", f"{stem}ing")]
+
+
+#: Closed classes of English, German, French and Spanish, and the forms of some verbs.
 TARGETS = "you your yours he him she her they them this that these those we us du dich dir ihr euch sie er tu te toi vous il elle ils usted ustedes tú ellos ellas".split()
 NEGATIONS = "not no never none without isn't aren't don't nicht kein keine nie pas jamais aucun nunca jamás ningún sin".split()
-REPORTING = "said says say told wrote quoted called claimed reported sagte sagt schrieb nannte dit disait écrit appelé dijo dice escribió llamó".split()
-THREATS = "kill hurt destroy murder beat töten verletzen zerstören tuer blesser détruire matar herir destruir".split()
-
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "ITYNRO"
+REPORTING = inflected("report claim quote call say write tell state") + "said told wrote written sagte sagt schrieb nannte dit disait écrit appelé dijo dice escribió llamó".split()
+THREATS = inflected("kill hurt destroy murder beat threaten attack stab crush strangle") + "stabbed shoot shoots shot shooting töten töte tötet verletzen verletze verletzt zerstören zerstöre zerstört tuer tue tuerai blesser blesse détruire détruis matar mato mataré herir hiero heriré destruir destruyo destruiré".split()
+INTENTIONS = "will shall gonna going i'll we'll he'll she'll they'll want wants wanted werde werden wird wollen will vais va allons vont veux voy vamos van quiero".split()
+
+INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER, INTENT = "ITYNROW"
+#: What the threat transducer makes of an intended threat, and of the target that a threat strikes.
+INTENDED, STRUCK = "FZ"
+MATCHES = (INSULT, THREAT, INTENDED, STRUCK)
 #: Clauses end at these characters.
 CLAUSE_END = re.compile(r"[.!?;:,\n]+")
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 
-#: Bounds of what is fitted: labelled documents of the training fold, chosen by a hash of their ids; patterns counted, and kept.
+#: Bound of what is fitted: labelled documents of the training fold, chosen by a hash of their ids.
 TRAINING_ROWS = 20_000
-CANDIDATES = 50_000
-PATTERNS = 2_000
 MIN_TOXIC_DOCS = 6
 MIN_PRECISION = 0.98
 PREFIXES = range(4, 11)
@@ -68,27 +79,42 @@ class Transducer:
         return out
 
 
-def scope(opener: str, mark: str, length: int | None) -> Transducer:
-    """Marks insults and threats after `opener`, for `length` further words or to the clause's end; a mark is appended to the symbol."""
+def threats(reach: int = 3) -> Transducer:
+    """A harm verb within `reach` words after an intention is an intended threat; the first target as near behind a harm verb is struck by it."""
+    fst = Transducer(start=(0, 0))
+    for intent, harm in product(range(reach + 1), repeat=2):
+        after = (max(intent - 1, 0), max(harm - 1, 0))
+        fst.default[(intent, harm)] = after
+        fst.arcs[((intent, harm), INTENT)] = ((reach, after[1]), OTHER)
+        fst.arcs[((intent, harm), THREAT)] = ((after[0], reach), INTENDED if intent else THREAT)
+        fst.arcs[((intent, harm), TARGET)] = ((after[0], 0), STRUCK if harm else TARGET)
+    return fst
+
+
+def scope(openers: str, mark: str, length: int | None) -> Transducer:
+    """Marks matches after an opener, for `length` further words or to the clause's end; a mark is appended to the symbol."""
     fst, inside = Transducer(), 1 if length is None else length
-    marked = ["".join((x, *m)) for x in (INSULT, THREAT) for m in product(*(("", y) for y in "ynr"))]
+    marked = ["".join((x, *m)) for x in MATCHES for m in product(*(("", y) for y in "ynr"))]
     for state in range(inside + 1):
         after = state if length is None else max(state - 1, 0)
-        fst.arcs[(state, opener)] = (inside, opener)
         fst.default[state] = after
         if state:
             fst.arcs |= {(state, x): (after, x + mark) for x in marked}
+        for opener in openers:  # a struck target is a match and an opener, with whatever marks it has
+            for x in [opener] + [m for m in marked if m[0] == opener != m]:
+                fst.arcs[(state, x)] = (inside, x + mark if state and x in marked else x)
     return fst
 
 
 def grammar() -> Transducer:
-    """Targets within four words, negations within three, reported speech to the clause's end, composed in this order."""
-    alphabet = (INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER)
-    return scope(TARGET, "y", 4).compose(scope(NEGATION, "n", 3), alphabet).compose(scope(REPORT, "r", None), alphabet)
+    """Threats, targets within four words, negations within three, reported speech to the clause's end, composed in this order."""
+    alphabet = (INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER, INTENT)
+    targets = threats().compose(scope(TARGET + STRUCK, "y", 4), alphabet)
+    return targets.compose(scope(NEGATION, "n", 3), alphabet).compose(scope(REPORT, "r", None), alphabet)
 
 
-#: What the grammar can put out for a match: insult or threat, then the marks of its contexts.
-MARKS = ["".join((x, *m)) for x in (INSULT, THREAT) for m in product(("", "y"), ("", "n"), ("", "r"))]
+#: What the grammar can put out for a match: its kind, then the marks of its contexts.
+MARKS = ["".join((x, *m)) for x in MATCHES for m in product(("", "y"), ("", "n"), ("", "r"))]
 
 
 @dataclass
@@ -108,7 +134,7 @@ class Matcher:
 
         self.patterns, self.fst = patterns, grammar()
         self.sizes = sorted({len(p) - p.endswith("$") for p in patterns})
-        self.fixed = {w: s for words, s in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTING, REPORT), (THREATS, THREAT)) for w in words}
+        self.fixed = {w: s for words, s in ((INTENTIONS, INTENT), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTING, REPORT), (THREATS, THREAT)) for w in words}
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         for p in {p.rstrip("$") for p in patterns} | set(THREATS):
             self.automaton.add_word(p)
@@ -121,14 +147,16 @@ class Matcher:
 
     def features(self, text: str | None) -> list[float]:
         sums = dict.fromkeys(MARKS, 0.0)
-        text, done = (text or "").lower(), 0
-        for end, size in self.automaton.iter(text):
-            start = end - size + 1
+        text, done, begin = (text or "").lower(), 0, 0
+        ends = CLAUSE_END.finditer(text)
+        end = next(ends, None)
+        for last, size in self.automaton.iter(text):
+            start = last - size + 1
             if start < done or (start and text[start - 1].isalpha()):
                 continue
-            begin = max((m.end() for m in CLAUSE_END.finditer(text, max(done, start - 400), start)), default=max(done, start - 400))
-            stop = CLAUSE_END.search(text, start)
-            done = stop.start() if stop else len(text)
+            while end and end.end() <= start:  # the clause's own beginning, however far back
+                begin, end = end.end(), next(ends, None)
+            done = end.start() if end else len(text)
             self._clause(text[begin:done], sums)
         return [math.log1p(sums[m]) for m in MARKS]
 
@@ -160,25 +188,20 @@ def _prefixes(docs: DataFrame) -> DataFrame:
 def learn_patterns(training: DataFrame) -> dict[str, float]:
     """Word patterns that mark toxic documents, of training rows (row, text, toxic) of bounded number.
 
-    Candidates come from toxic documents alone (at most CANDIDATES, the most frequent first); then the others'
-    are counted. A pattern yields to a longer one that holds nearly all of its documents, and covers the rest.
+    Candidates come from toxic documents alone; then the others' are counted. A pattern yields to a longer one that
+    holds nearly all of its documents, and covers the rest. The training rows bound all of these.
     """
-    toxic = _prefixes(training.where("toxic = 1")).groupBy("p").agg(F.count("*").alias("t")).where(F.col("t") >= MIN_TOXIC_DOCS).orderBy(F.desc("t"), "p").limit(CANDIDATES)
-    # At most CANDIDATES rows of some tens of bytes, so the broadcast is bounded.
-    other = _prefixes(training.where("toxic = 0")).join(F.broadcast(toxic.select("p")), "p", "left_semi").groupBy("p").agg(F.count("*").alias("o"))
+    toxic = _prefixes(training.where("toxic = 1")).groupBy("p").agg(F.count("*").alias("t")).where(F.col("t") >= MIN_TOXIC_DOCS)
+    other = _prefixes(training.where("toxic = 0")).join(toxic.select("p"), "p", "left_semi").groupBy("p").agg(F.count("*").alias("o"))
     counts = {r.p: (r.t, r.o) for r in toxic.join(other, "p", "left").na.fill(0, ["o"]).where(F.col("t") >= MIN_PRECISION * (F.col("t") + F.col("o"))).collect()}
+    longer: dict[str, int] = {}  # toxic documents of the commonest pattern that is longer by one
+    for p, (t, _) in counts.items():
+        longer[p[:-1]] = max(t, longer.get(p[:-1], 0))
     chosen: dict[str, float] = {}
     for p in sorted(counts, key=lambda p: (len(p.rstrip("$")), p.endswith("$"), p)):
-        stem = p.rstrip("$")
-        if any(stem[:n] in chosen for n in PREFIXES if n <= len(stem)):
-            continue
-        t, o = counts[p]
-        longer = [q for q in counts if len(q) == len(p) + 1 and q.startswith(p)]
-        if any(counts[q][0] >= 0.95 * t for q in longer):
-            continue
-        chosen[p] = math.log((t + 0.5) / (o + 0.5)) / 2
-        if len(chosen) >= PATTERNS:
-            break
+        stem, (t, o) = p.rstrip("$"), counts[p]
+        if not any(stem[:n] in chosen for n in PREFIXES if n <= len(stem)) and longer.get(p, 0) < 0.95 * t:
+            chosen[p] = math.log((t + 0.5) / (o + 0.5)) / 2
     return chosen
 
 
@@ -206,7 +229,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """
     sample = labels.select(F.col("doc_id").alias("row"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("row").isNotNull() & ~held_out(F.col("row"))).groupBy("row").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("row"), "row").limit(training_rows)
     # At most training_rows pairs of an id and a label, so the broadcast is bounded, and the texts don't move.
-    training = materialize(docs.select(F.col(id_col).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), "row"), "toxicity")
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    training = scratch.put(docs.select(F.col(id_col).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), "row"))
     patterns = learn_patterns(training)
     schema = T.StructType([T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("toxic", T.IntegerType())])
 
@@ -218,6 +242,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([pa.array([matcher.features(t) for t in batch.column(0).to_pylist()], pa.list_(pa.field("element", pa.float64()))), batch.column(1)], names=["x", "toxic"])
 
     rows = training.select("text", "toxic").mapInArrow(run, schema).groupBy("x", "toxic").count().collect()
+    scratch.drop(training)
     x, y = [r.x for r in rows for _ in range(r["count"])], [r.toxic for r in rows for _ in range(r["count"])]
     if not y or not any(y):
         return Model({}, [0.0] * len(MARKS), -30.0)

@@ -17,16 +17,49 @@ def test_contexts_mark_matches():
     assert marks("You a b c d e idiot") == {"I": 1}
     assert marks("she said it was quite an idiot") == {"Ir": 1}
     assert marks("not a b c idiot") == {"I": 1} and marks("not, idiot") == {"I": 1}
-    assert marks("kill them") == {"T": 1} and marks("you kill") == {"Ty": 1}
+    assert marks("kill them") == {"T": 1, "Z": 1} and marks("you kill") == {"Ty": 1}
+    assert marks("they will not be killing you") == {"Fyn": 1, "Zn": 1}
+    assert marks("we are going to really hurt you, he threatened") == {"F": 1, "Z": 1, "Ty": 1}
+    assert marks("she said it was " + "word " * 100 + "quite an idiot") == {"Ir": 1}
     assert marks("idiotic, IDIOT; xidiot") == {"I": 2}
     assert marks(None) == marks("") == marks("nothing here") == {}
 
 
+def interpreted(symbols):
+    """The rules themselves, read off the symbols around each place."""
+    kinds, struck = list(symbols), set()
+    for i, s in enumerate(symbols):
+        near = symbols[max(0, i - 3) : i]
+        if s == "T" and "W" in near:
+            kinds[i] = "F"
+        if s == "Y" and "T" in near and "Y" not in near[len(near) - near[::-1].index("T") :]:
+            kinds[i] = "Z"
+            struck.add(i)
+    out = []
+    for i, s in enumerate(kinds):
+        if s in "ITFZ":
+            before = kinds[:i]
+            s += "y" * any(x in "YZ" for x in before[-4:]) + "n" * ("N" in before[-3:]) + "r" * ("R" in before)
+        out.append("O" if s == "W" else s)
+    return out
+
+
+def test_grammar_equals_its_rules():
+    r, whole = random.Random(1), tox.grammar()
+    for _ in range(3000):
+        symbols = [r.choice("ITYNROW") for _ in range(r.randrange(14))]
+        state, got = whole.start, []
+        for s in symbols:
+            state, out = whole.arcs[(state, s)]
+            got.append(out)
+        assert got == interpreted(symbols), symbols
+
+
 def test_composition_equals_running_one_after_another():
-    r, parts = random.Random(1), [tox.scope("Y", "y", 4), tox.scope("N", "n", 3), tox.scope("R", "r", None)]
+    r, parts = random.Random(1), [tox.threats(), tox.scope("YZ", "y", 4), tox.scope("N", "n", 3), tox.scope("R", "r", None)]
     whole = tox.grammar()
     for _ in range(300):
-        symbols = [r.choice("ITYNRO") for _ in range(r.randrange(12))]
+        symbols = [r.choice("ITYNROW") for _ in range(r.randrange(12))]
         one, states, state, each = [], [p.start for p in parts], whole.start, []
         for s in symbols:
             state, out = whole.arcs[(state, s)]
