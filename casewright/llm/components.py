@@ -28,7 +28,7 @@ def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame
         # Large star: both directions; a node's larger neighbours go to the least of it and its neighbours.
         both = pairs.union(pairs.select(F.col("b"), F.col("a")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
+        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b"))
         # Small star: a node's smaller neighbours, and itself, go to the least of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")

@@ -40,12 +40,27 @@ def line_key(line: Column) -> Column:
     return F.xxhash64(line)
 
 
+def with_digest(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("digest", F.unhex(F.md5("line")))
+
+
 def explode_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, columns of `keep`, line_no (from 0), line, of lines with other than white space."""
     rows = docs.select(F.col(id_col).alias("doc_id"), *keep, F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
     return rows.where(F.col("line").rlike(r"\S"))
 
 
+def hashed(text: str):
+    """64-bit hashes of the SHINGLE (seven) characters from each place on."""
+    import numpy as np
+
+    one = np.uint64
+    codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+    two = codes[:-1] * one(0x9E3779B97F4A7C15) + codes[1:]
+    four = two[:-2] * one(0xD6E8FEB86659FD93) + two[2:]
+    return (four[:-3] ^ (four[:-3] >> one(32))) * one(0xBF58476D1CE4E5B9) + four[3:]
+
+
 def buckets_of(lines: list[str], bands: int = BANDS, rows: int = ROWS):
     """(index of the line, bucket) arrays of all lines' bucket hashes."""
     import numpy as np
@@ -62,10 +77,7 @@ def buckets_of(lines: list[str], bands: int = BANDS, rows: int = ROWS):
 
     padded = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]
     sizes = np.array([len(x) for x in padded])
-    codes = np.frombuffer("".join(padded).encode("utf-32-le"), "<u4").astype(np.uint64)
-    h = np.zeros(len(codes) - SHINGLE + 1, np.uint64)
-    for j in range(SHINGLE):
-        h = h * one(0x9E3779B97F4A7C15) + codes[j : len(codes) - SHINGLE + 1 + j]
+    h = hashed("".join(padded))
     h = mix(h)
     ends = np.cumsum(sizes)
     owner = np.repeat(np.arange(len(lines)), sizes)
@@ -162,30 +174,15 @@ def shingle_hashes(line: str):
     """The sorted 64-bit hashes of a line's distinct shingles; a shorter line is one shingle."""
     import numpy as np
 
-    one = np.uint64
-    codes = np.frombuffer(line.ljust(SHINGLE, "\0").encode("utf-32-le"), "<u4").astype(np.uint64)
-    h = np.zeros(len(codes) - SHINGLE + 1, np.uint64)
-    for j in range(SHINGLE):
-        h = h * one(0x9E3779B97F4A7C15) + codes[j : len(codes) - SHINGLE + 1 + j]
-    return np.unique(h)
-
-
-def _sized(texts: DataFrame) -> DataFrame:
-    """key, digest, line, and size: the line's number of distinct shingles."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(shingle_hashes(x.as_py())) for x in batch.column(2)], pa.int32())], names=["key", "digest", "line", "size"])
-
-    return texts.select("key", "digest", "line").mapInArrow(run, "key bigint, digest binary, line string, size int")
+    h = np.sort(hashed(line.ljust(SHINGLE, "\0")))
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
-def near_pairs(pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """a, b of the rows (a, b, id_a, id_b, line_a, line_b) whose lines have a Jaccard similarity of at least the threshold.
+def compared(pairs: DataFrame, threshold: float = THRESHOLD, keep: bool = False) -> DataFrame:
+    """a, b, size_a, size_b (numbers of shingles), near of the rows (a, b, id_a, id_b, line_a, line_b).
 
-    Sets are compared by 64-bit hashes of their shingles, each line's made once while a task holds it.
+    near: the lines have a Jaccard similarity of at least the threshold; other rows are left out unless kept. Sets
+    are compared by 64-bit hashes of their shingles, each line's made once while a task holds it.
     """
 
     def run(batches):
@@ -207,6 +204,7 @@ def near_pairs(pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         for batch in batches:
             ids, lines = [c.to_pylist() for c in batch.columns[2:4]], batch.columns[4:6]
             near, at, n = np.zeros(batch.num_rows, bool), 0, batch.num_rows
+            shingles = np.zeros((2, n), np.int32)
             while at < n:
                 end = at + 1
                 while end < n and ids[0][end] == ids[0][at]:
@@ -218,10 +216,12 @@ def near_pairs(pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 place[place == len(left)] = 0
                 common = np.add.reduceat(left[place] == flat, np.cumsum(sizes) - sizes, dtype=np.int64)
                 near[at:end] = common >= threshold * (len(left) + sizes - common)
+                shingles[0, at:end], shingles[1, at:end] = len(left), sizes
                 at = end
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(near))
+            out = pa.RecordBatch.from_arrays([*batch.columns[:2], *map(pa.array, shingles), pa.array(near)], names=["a", "b", "size_a", "size_b", "near"])
+            yield out if keep else out.filter(out.column(4))
 
-    return pairs.select("a", "b", "id_a", "id_b", "line_a", "line_b").mapInArrow(run, "a binary, b binary")
+    return pairs.select("a", "b", "id_a", "id_b", "line_a", "line_b").mapInArrow(run, "a binary, b binary, size_a int, size_b int, near boolean")
 
 
 def line_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -249,13 +249,16 @@ def _linked(lines: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: floa
     wanted = in_sieve(nodes, F.col("key"), slots, "hit").where("hit").join(weights, "key", "left_semi")
     wanted = wanted.select(F.col("key").alias("w_key"), F.col("digest").alias("w_digest"), "node")
     same = (F.col("key") == F.col("w_key")) & (F.col("digest") == F.col("w_digest")) & (F.col("line_no") == F.col("node.line_no")) & (F.col("of") == F.col("node.of"))
-    found = in_sieve(lines, F.col("key"), slots, "hit").where("hit").join(wanted, same & F.col("doc_id").eqNullSafe(F.col("node.doc_id")))
-    texts = scratch.put(_sized(found.dropDuplicates(["digest"])))
+    sifted = with_digest(in_sieve(lines.drop("digest"), F.col("key"), slots, "hit").where("hit"))
+    found = sifted.join(wanted, same & F.col("doc_id").eqNullSafe(F.col("node.doc_id")))
+    texts = scratch.put(found.dropDuplicates(["digest"]).select("key", "digest", "line"))
 
     side = lambda x: texts.select(F.col("key").alias(x), F.col("digest").alias(f"id_{x}"), F.col("line").alias(f"line_{x}"))
     stars = led.where(F.col("key") != F.col("lead")).select(F.col("lead").alias("x"), F.col("key").alias("y")).distinct()
     starred = stars.join(side("y"), "y").join(side("x"), "x").select(F.col("id_x").alias("a"), F.col("id_y").alias("b"), F.col("id_x").alias("id_a"), F.col("id_y").alias("id_b"), F.col("line_x").alias("line_a"), F.col("line_y").alias("line_b"))
-    first = scratch.put(connected_components(near_pairs(starred, threshold), "lines"))
+    tried = scratch.put(compared(starred, threshold, keep=True))
+    first = scratch.put(connected_components(tried.where("near"), "lines"))
+    sizes = tried.select(F.col("a").alias("s_digest"), F.col("size_a").alias("size")).union(tried.select("b", "size_b")).distinct()
 
     # What of a bucket isn't in one component yet is compared across components.
     parted = scratch.put(texts.select("key", "digest").join(first, F.col("digest") == F.col("node"), "left").select("key", "digest", F.coalesce("component", "digest").alias("part")))
@@ -263,12 +266,12 @@ def _linked(lines: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: floa
     open_buckets = placed.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where(F.col("p") != F.col("q")).select("bucket")
     # A line has as many buckets as there are bands, in either scheme.
     mine = placed.join(open_buckets, "bucket").groupBy("digest").agg(F.first("part").alias("part"), F.collect_set("bucket").alias("mine"))
-    rest = scratch.put(mine.join(texts.select("digest", "line", "size"), "digest"))
+    rest = scratch.put(mine.join(texts.select("digest", "line"), "digest").join(sizes, F.col("digest") == F.col("s_digest")).drop("s_digest"))
     spread = lambda x: rest.select(F.explode("mine").alias("bucket"), F.col("part").alias(x), F.col("digest").alias(f"id_{x}"), F.col("line").alias(f"line_{x}"), F.col("size").alias(f"size_{x}"), F.col("mine").alias(f"mine_{x}"))
     alike = F.least("size_a", "size_b") >= (threshold - 1e-9) * F.greatest("size_a", "size_b")
     once = F.array_min(F.array_intersect("mine_a", "mine_b")) == F.col("bucket")
     across = spread("a").join(spread("b"), "bucket").where((F.col("id_a") > F.col("id_b")) & (F.col("a") != F.col("b")) & alike & once)
-    second = connected_components(near_pairs(across, threshold), "lines").withColumnsRenamed({"node": "part_node", "component": "root"})
+    second = connected_components(compared(across, threshold), "lines").withColumnsRenamed({"node": "part_node", "component": "root"})
     linked = parted.join(second, F.col("part") == F.col("part_node"), "left").select("digest", "part", F.coalesce("root", "part").alias("root"))
     return linked.where(F.col("root").isNotNull())
 
@@ -276,7 +279,7 @@ def _linked(lines: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: floa
 def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     """line_classes with `of`, the hash of the line's whole text: with its id it tells a document, also where ids repeat or are null."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("of", F.xxhash64("text"))
-    lines = explode_lines(docs, keep=("of",)).withColumn("key", line_key(F.col("line"))).withColumn("digest", F.unhex(F.md5("line")))
+    lines = with_digest(explode_lines(docs, keep=("of",)).withColumn("key", line_key(F.col("line"))))
     scratch = Scratch(docs.sparkSession, "lines")
     nodes = scratch.put(lines.groupBy("key", "digest").agg(F.min(F.struct("doc_id", "line_no", "of")).alias("node")))
     linked = scratch.put(_linked(lines, nodes, docs, threshold, scratch).withColumnRenamed("digest", "l_digest"))
