@@ -3,9 +3,11 @@
 Documents are tokenised and packed where they are read, without a shuffle: each input partition cuts
 its documents' whole windows off, routes what remains to the shortest context-size tier that holds it,
 packs tier by tier from the longest, fills the gaps of longer windows from shorter tiers, and deals the
-finished windows of each tier to step groups of equal token count and even attention cost. A task keeps
-one buffer of `buffer_tokens`; nothing is grouped by a key, so no key can be hot, and a lost task repeats
-its partition with the same result.
+finished windows of each tier to step groups of equal token count and even attention cost: a group is made once
+its tier has a whole step's windows, and what the tiers have left at a partition's end is dealt to mixed groups.
+All groups hold `step_tokens` but the last of each partition, which holds what is left. A task keeps one buffer
+of `buffer_tokens` and less than a step of each tier; nothing is grouped by a key, so no key can be hot, and a
+lost task repeats its partition with the same result.
 """
 
 from __future__ import annotations
@@ -100,25 +102,42 @@ class TierPacker:
             self.done[size].append(window)
             left -= size
 
-    def rows(self) -> Iterator[tuple]:
-        """(key, start, length, ids, doc_tokens, sequence, offset, tier, step) of all finished windows.
-
-        Windows of a tier go to step groups in turn and back, dearest first, so that the groups' sums of
-        squared piece lengths stay even.
-        """
+    def _groups(self, last: bool) -> Iterator[list[list[tuple]]]:
+        """Step groups of finished windows; what makes no whole group waits, unless these are the last."""
         for tier in sorted(self.done, reverse=True):
-            windows = sorted(self.done[tier], key=lambda w: -sum(p[0] ** 2 for p in w))
-            groups = -(-len(windows) * tier // self.step_tokens)
+            each = max(1, self.step_tokens // tier)
+            whole = len(self.done[tier]) // each * each
+            windows, self.done[tier] = self.done[tier][:whole], self.done[tier][whole:]
+            # In turn and back, dearest first, so that the groups' sums of squared piece lengths stay even.
+            windows.sort(key=lambda w: -sum(p[0] ** 2 for p in w))
+            groups: list[list[list[tuple]]] = [[] for _ in range(whole // each)]
             for k, window in enumerate(windows):
-                turn, place = divmod(k, groups)
-                step = self.steps + (place if turn % 2 == 0 else groups - 1 - place)
-                offset = 0
+                turn, place = divmod(k, len(groups))
+                groups[place if turn % 2 == 0 else -1 - place].append(window)
+            yield from groups
+        if last:
+            # Sizes are powers of two: from the longest on, a group is filled to the token.
+            group, left = [], self.step_tokens
+            for tier in sorted(self.done, reverse=True):
+                for window in self.done.pop(tier):
+                    group.append(window)
+                    left -= tier
+                    if left <= 0:
+                        yield group
+                        group, left = [], self.step_tokens
+            if group:
+                yield group
+
+    def rows(self, last: bool = True) -> Iterator[tuple]:
+        """(key, start, length, ids, doc_tokens, sequence, offset, tier, step) of the windows of all finished step groups."""
+        for group in self._groups(last):
+            for window in group:
+                offset, tier = 0, sum(p[0] for p in window)
                 for length, _, key, start, ids, n in window:
-                    yield key, start, length, ids, n, self.sequences, offset, tier, step
+                    yield key, start, length, ids, n, self.sequences, offset, tier, self.steps
                     offset += length
                 self.sequences += 1
-            self.steps += groups
-        self.done.clear()
+            self.steps += 1
         self.tokens = sum(p[0] for p in self.pool)
 
 
@@ -145,8 +164,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
         encode = worker_encoder(FileEncoder, tokenizer, keeps_spaces).encode
         packer = TierPacker(tiers, buffer_tokens, step_tokens)
 
-        def out():
-            rows = list(packer.rows())
+        def out(last):
+            rows = list(packer.rows(last))
             if rows:
                 cols = [list(c) for c in zip(*rows)]
                 cols[5] = [base + x for x in cols[5]]
@@ -159,8 +178,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
                 packer.add(keys[k], encode(batch.column(1)[k].as_py()) + end)
                 if packer.tokens >= buffer_tokens:
                     packer.pack(last=False)
-                    yield from out()
+                    yield from out(False)
         packer.pack(last=True)
-        yield from out()
+        yield from out(True)
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)

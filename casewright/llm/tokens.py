@@ -50,43 +50,78 @@ class UnitEncoder:
     def _whole(self, text: str) -> list[int]:
         raise NotImplementedError
 
+    def _packed(self, units: list[str]) -> list[bytes]:
+        """The ids of each unit, for encoders that take many at once."""
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in map(self._unit, units)]
+
+    def _learn(self, memo: _Memo, words: list[str], before: str = "") -> None:
+        distinct = set(words)
+        missing = [w for w in distinct if w not in memo]
+        if missing:
+            if len(memo) + len(missing) > memo.limit:
+                memo.clear()
+                missing = list(distinct)
+            memo.update(zip(missing, self._packed([before + w for w in missing])))
+
+    def _by_units(self, text: str) -> bool:
+        """The ids of the text are those of its units."""
+        return not any(c in text for c in SEPARATORS)
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if any(c in text for c in SEPARATORS):
+        if not self._by_units(text):
             ids = self._whole(text)
             return struct.pack(f"<{len(ids)}I", *ids)
         if not self.keeps_spaces:
-            return b"".join(map(self.units.__getitem__, text.split()))
+            words = text.split()
+            self._learn(self.units, words)
+            return b"".join(map(self.units.__getitem__, words))
         plain = text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in ("  ", "\n\n", " \n", "\n ")) and not any(c in text for c in OTHER_SPACE)
         if not plain:
             return b"".join(map(self.units.__getitem__, _UNIT.findall(text)))
-        lines = []
-        for line in text.split("\n"):
-            words = line.split(" ")
+        lines, split = [], [line.split(" ") for line in text.split("\n")]
+        self._learn(self.spaced, [w for words in split for w in words[1:]], " ")
+        for words in split:
             lines.append(self.units[words[0]] + b"".join(map(self.spaced.__getitem__, words[1:])))
         return self.units["\n"].join(lines)
 
 
 class FileEncoder(UnitEncoder):
-    """By the normalizer, pre-tokenizer and model of a `tokenizers` file; special tokens' strings are ordinary text."""
+    """The ids of Tokenizer.from_file(path).encode(text, add_special_tokens=False), whatever the file.
+
+    Where its pre-tokenizer doesn't keep units apart, which is probed once, and for texts that may hold one of its
+    added tokens' strings, whole texts are encoded.
+    """
+
+    #: Runs of blanks and lines, marks, digits, apostrophes, other scripts, and letters that change when lower-cased.
+    PROBE = " Two  words,\n\nit's 12345 a_b-c. \tX\n é 日本 テスト! \u00a0İI ΟΔΟΣ.\n don't 'll 's"
 
     def __init__(self, path: str, keeps_spaces: bool, memo_limit: int = 700_000):
         from tokenizers import Tokenizer
 
         super().__init__(keeps_spaces, memo_limit)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.starts = {f(t[0]) for t in self.added for f in (str.lower, str.upper)}
+        units = self.PROBE.split() if not keeps_spaces else _UNIT.findall(self.PROBE)
+        self.apart = b"".join(self._packed(units)) == struct.pack(f"<{len(ids := self._whole(self.PROBE))}I", *ids)
+
+    def _by_units(self, text: str) -> bool:
+        if not self.apart or not super()._by_units(text):
+            return False
+        return not any(c in text for c in self.starts) or not any(t in low for low in [text.lower()] for t in self.added)
+
+    def _packed(self, units: list[str]) -> list[bytes]:
+        import numpy as np
+
+        found = self.tokenizer.encode(units, is_pretokenized=True, add_special_tokens=False)
+        ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(units) + 1)) * 4
+        ids = np.array(found.ids, "<u4").tobytes()
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
     def _unit(self, unit: str) -> list[int]:
-        t = self.tokenizer
-        word = unit[1:] if self.keeps_spaces and unit[:1] == " " else unit
-        if word.isascii() and word.isalpha():  # one piece, whose bytes stand for themselves
-            pieces = [("Ġ" if word is not unit else "") + word if self.keeps_spaces else word.lower()]
-        else:
-            text = t.normalizer.normalize_str(unit) if t.normalizer else unit
-            pieces = [p for p, _ in t.pre_tokenizer.pre_tokenize_str(text)]
-        return [token.id for piece in pieces for token in t.model.tokenize(piece)]
+        return self.tokenizer.encode([unit], is_pretokenized=True, add_special_tokens=False).ids
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids

@@ -10,14 +10,12 @@ from casewright.llm import packing, token_orc
 from casewright.llm.tokens import FileEncoder
 
 BYTE, WORD = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
-ODD = ["", " ", "\n", "a", " a", "a ", "Hello  world\n\nIt's <|endoftext|> 12 345\t\tx", "a\x1cb \x1d c", "é è　日本語 テスト\n \nŹ ΑΣ ΟΔΟΣ. İI", "x\ny", "x \ny", "x\n y", "!\x1c\x1c?", "don't can't 'll 's'd", "﻿zero​width", "🙂 🙂🙂 ok", "a" * 5000, "word. " * 400, "tail\n", "\r\nq\r\n\r\nr", "Ünï cödé\xa0nbsp"]
+ODD = ["", " ", "\n", "a", " a", "a ", "Hello  world\n\nIt's <|endoftext|> 12 345\t\tx", "a\x1cb \x1d c", "é è　日本語 テスト\n \nŹ ΑΣ ΟΔΟΣ. İI", "x\ny", "x \ny", "x\n y", "!\x1c\x1c?", "don't can't 'll 's'd", "﻿zero​width", "🙂 🙂🙂 ok", "a" * 5000, "word. " * 400, "tail\n", "\r\nq\r\n\r\nr", "Ünï cödé\xa0nbsp", "hello <|endoftext|> x", "<|EndOfText|>", "a<|startoftext|>b <|endoftext|>\n", "< | a <| b"]
 
 
 @cache
 def tokenizer(path):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 def whole(path, text):
@@ -64,25 +62,57 @@ def test_packing_places_each_id_once(spark, make_docs):
         assert total <= 2048 and total & (total - 1) == 0 and {r.tier for r in rows} == {total}
     steps = {}
     for r in got:
-        steps.setdefault(r.step_group, set()).add(r.tier)
-    assert all(len(x) == 1 for x in steps.values())
+        steps[r.step_group] = steps.get(r.step_group, 0) + r.length
+    parts = {}
+    for step, tokens in steps.items():
+        parts.setdefault(step >> 40, {})[step] = tokens
+    for groups in parts.values():
+        assert all(tokens == 1 << 15 for step, tokens in groups.items() if step != max(groups))
 
 
 def test_packing_of_an_empty_table(spark, make_docs):
     assert packing.pack_documents(make_docs([]), BYTE).count() == 0
 
 
-def test_step_groups_are_even():
-    packer = packing.TierPacker(step_tokens=4096)
-    r = random.Random(5)
-    for k in range(300):
-        packer.add(k, b"\0\0\0\0" * r.randrange(1, 1500))
+def test_step_groups_hold_equal_tokens_over_all_tiers():
+    packer, r = packing.TierPacker(step_tokens=4096), random.Random(5)
+    sizes, cost = {}, {}
+    rows, total = [], 0
+    for k in range(900):
+        n = r.choice([r.randrange(1, 300), r.randrange(1, 1500)])
+        total += n
+        packer.add(k, b"\0\0\0\0" * n)
+        if k % 100 == 99:
+            packer.pack(last=False)
+            rows += packer.rows(last=False)
     packer.pack(last=True)
-    sizes = {}
-    for _, _, length, _, _, seq, _, tier, step in packer.rows():
-        sizes.setdefault((tier, step), {}).setdefault(seq, []).append(length)
-    full = [g for (tier, _), g in sizes.items() if tier == 2048]
-    assert max(map(len, full)) - min(map(len, full)) <= 1
+    rows += packer.rows()
+    for _, _, length, _, _, _, _, tier, step in rows:
+        sizes[step] = sizes.get(step, 0) + length
+        cost.setdefault((step, tier), []).append(length**2)
+    assert sum(sizes.values()) == total and sorted(sizes) == list(range(len(sizes)))
+    assert [sizes[k] for k in sorted(sizes)][:-1] == [4096] * (len(sizes) - 1) and 0 < sizes[len(sizes) - 1] <= 4096
+    assert {tier for _, tier in cost} > {2048, 1024, 512, 256}
+
+
+def test_packing_pads_no_more_than_a_plain_packer():
+    """Best fit of whole documents into windows of 2048 leaves gaps; these windows have none."""
+    packer, r, bins, docs = packing.TierPacker(), random.Random(9), [], []
+    for k in range(500):
+        docs.append(r.randrange(1, 2000))
+        packer.add(k, b"\0\0\0\0" * docs[-1])
+    for n in sorted(docs, reverse=True):
+        fits = [i for i, left in enumerate(bins) if left >= n]
+        if fits:
+            best = min(fits, key=bins.__getitem__)
+            bins[best] -= n
+        else:
+            bins.append(2048 - n)
+    packer.pack(last=True)
+    windows = {}
+    for _, _, length, _, _, seq, _, tier, _ in packer.rows():
+        windows.setdefault(seq, [tier, 0])[1] += length
+    assert sum(bins) > 0 == sum(tier - used for tier, used in windows.values())
 
 
 def test_orc_round_trip(spark, make_docs, tmp_path):
@@ -108,3 +138,25 @@ def test_orc_of_an_empty_table(spark, make_docs, tmp_path):
     path = str(tmp_path / "orc")
     token_orc.write_token_orc(make_docs([]), path, WORD)
     assert token_orc.document_spans(token_orc.read_token_orc(spark, path)).count() == 0
+
+
+def test_orc_files_hold_indexes_run_lengths_and_bloom_filters(spark, tmp_path):
+    """A reader that asks for an absent id reads no rows of the stripes; run-length encoding makes repeated ids small."""
+    import glob
+    import os
+
+    from pyarrow import orc
+
+    docs = spark.range(0, 40_000, 2).selectExpr("id as doc_id", "'the same words again' as text")
+    path, plain = str(tmp_path / "orc"), str(tmp_path / "plain")
+    token_orc.write_token_orc(docs, path, WORD, partitions=2)
+    token_orc.read_token_orc(spark, path).write.option("orc.bloom.filter.columns", "").option("orc.create.index", "false").orc(plain)
+    files = sorted(glob.glob(f"{path}/*.orc"))
+    assert sum(orc.ORCFile(f).nrows for f in files) == 20_000
+    size = lambda d: sum(os.path.getsize(f) for f in glob.glob(f"{d}/*.orc"))
+    assert size(path) > size(plain)  # the indexes and filters
+    assert size(path) < 20_000 * 5 * 4  # far less than the ids' own bytes, filters and all
+    read = token_orc.read_token_orc(spark, path, [10_001])
+    assert read.count() == 0
+    groups = {n: m for n, m in ((f, orc.ORCFile(f)) for f in files)}
+    assert all(m.row_index_stride == 1000 and m.nstripes >= 1 and m.compression == "ZSTD" for m in groups.values())
