@@ -57,3 +57,31 @@ def publishable(role: str, user_id: int, requested: Column, owner: Column, creat
     """is_public as stored: on create only for the elevated, on edit also for the owner; else false."""
     allowed = F.lit(role in ELEVATED) if creating else F.lit(role in ELEVATED) | owns(user_id, owner)
     return F.when(allowed, requested).otherwise(F.lit(False))
+
+
+#: What is shown of each role's rights.
+PERMISSIONS = {
+    "admin": ["Полный доступ ко всем функциям системы", "Управление пользователями", "Управление LLM моделями", "Создание и редактирование всех чек-листов", "Просмотр и управление всеми заявками", "Доступ к системной статистике"],
+    "prompt_engineer": ["Полный доступ ко всем функциям системы (кроме управления пользователями)", "Создание и редактирование всех чек-листов", "Управление LLM моделями", "Создание и управление всеми заявками", "Просмотр всех заявок и статистики"],
+    "user": ["Создание и редактирование своих чек-листов", "Просмотр только своих чек-листов", "Создание и управление своими заявками", "Семантический поиск"],
+}
+RESTRICTIONS = {"prompt_engineer": ["Управление пользователями"], "user": ["Редактирование чужих чек-листов", "Просмотр чужих заявок", "Управление пользователями", "Управление LLM моделями"]}
+
+
+def _texts(items: list[str]) -> Column:
+    return F.array(*map(F.lit, items)).cast("array<string>")
+
+
+def permissions(role: Column) -> Column:
+    """An unknown role has a user's."""
+    return F.when(role == "admin", _texts(PERMISSIONS["admin"])).when(role == "prompt_engineer", _texts(PERMISSIONS["prompt_engineer"])).otherwise(_texts(PERMISSIONS["user"]))
+
+
+def restrictions(role: Column) -> Column:
+    """None for the admin and unknown roles."""
+    return F.when(role == "prompt_engineer", _texts(RESTRICTIONS["prompt_engineer"])).when(role == "user", _texts(RESTRICTIONS["user"])).otherwise(_texts([]))
+
+
+def has_role(role: Column, *roles: str) -> Column:
+    """What a view asks for that only some roles may open; a missing role has none."""
+    return F.coalesce(role.isin(*roles), F.lit(False))

@@ -87,3 +87,31 @@ def reindexed(parameters: DataFrame) -> DataFrame:
 def llm_query(llm: Column, search: Column) -> Column:
     """The model's question: the search query where there is none, or an empty one."""
     return F.coalesce(F.nullif(llm, F.lit("")), search)
+
+
+def placed(rows: DataFrame, by: list[str], *order: str | Column) -> DataFrame:
+    """Adds place, from 1, in each group's list in that order; ties go to the lower id."""
+    w = Window.partitionBy(*by).orderBy(*order, "id")
+    return rows.withColumn("place", F.row_number().over(w))
+
+
+def newest_first(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Adds place in each group's list from the newest on; ties go to the higher id."""
+    return placed(rows, by, F.desc("created_at"), F.desc("id"))
+
+
+#: The model that only embeds, and what is shown of a model of which nothing is known.
+EMBEDDING_MODEL = "bge-m3:latest"
+UNKNOWN = {"context_length": 8192, "parameter_size": "Неизвестно", "family": "Неизвестно"}
+
+
+def usable_models(models: DataFrame) -> DataFrame:
+    return models.where(F.col("name") != EMBEDDING_MODEL).select("name")
+
+
+def model_info(models: DataFrame, info: DataFrame, details: DataFrame) -> DataFrame:
+    """name and the fields of UNKNOWN: from info where it has the model, else from its details, else the constants; each fills its own gaps."""
+    rows = lambda df, x: df.select(F.col("name").alias(f"{x}_name"), *(F.col(c).alias(f"{x}_{c}") for c in UNKNOWN))
+    joined = models.join(rows(info, "i"), F.col("name") == F.col("i_name"), "left").join(rows(details, "d"), F.col("name") == F.col("d_name"), "left")
+    known = lambda c: F.when(F.col("i_name").isNotNull(), F.col(f"i_{c}")).otherwise(F.col(f"d_{c}"))
+    return joined.select("name", *(F.coalesce(known(c), F.lit(v)).alias(c) for c, v in UNKNOWN.items()))

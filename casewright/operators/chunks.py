@@ -108,3 +108,14 @@ def first_match(batches: DataFrame, found: Column) -> DataFrame:
     joined = batches.select("application_id", "batch_index", "n_chunks").join(marked, "application_id")
     upto = F.sum(F.when(F.col("first_batch").isNull() | (F.col("batch_index") <= F.col("first_batch")), F.col("n_chunks")))
     return joined.groupBy("application_id", "first_batch").agg(upto.alias("chunks_scanned"))
+
+
+def page(chunks: DataFrame, application_id: int, limit: int = 1000) -> DataFrame:
+    """The first chunks of a case, in document order."""
+    return chunks.where(F.col("application_id") == application_id).orderBy("document_id", "chunk_index").limit(limit)
+
+
+def count_per_document(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """n_chunks of each document (document_id), 0 where it has none."""
+    n = chunks.groupBy(F.col("document_id").alias("of")).agg(F.count("*").alias("n"))
+    return documents.join(n, F.col("document_id") == F.col("of"), "left").select("document_id", F.coalesce("n", F.lit(0)).alias("n_chunks"))

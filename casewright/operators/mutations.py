@@ -2,28 +2,86 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def merge_by_key(current: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """Upsert: rows of `changes` replace those of `current` with the same keys or are added; one shuffle of both sides."""
-    both = current.withColumn("is_new", F.lit(0)).unionByName(changes.withColumn("is_new", F.lit(1)), allowMissingColumns=True)
-    values = [c for c in both.columns if c not in (*keys, "is_new")]
-    last = both.groupBy(*keys).agg(F.max_by(F.struct(*values), "is_new").alias("v"))
-    return last.select(*keys, "v.*")
+def merge_by_key(current: DataFrame, changes: DataFrame, keys: list[str], order: tuple[str, ...] = (), own: tuple[str, ...] = ("id", "created_at")) -> DataFrame:
+    """Upsert: a row of `changes` gives its columns to the row of `current` with its keys, or is added.
 
+    Columns that `changes` lacks stay as stored, as do those in `own` of a stored row. Of several changes on one key the
+    last by `order` counts, ties go to the greatest values. Changes are combined before one join of both sides.
+    """
+    given = [c for c in current.columns if c in changes.columns and c not in keys]
+    last = changes.groupBy(*(F.col(k).alias(f"n_{k}") for k in keys)).agg(F.max(F.struct(*(F.col(c).alias(f"by_{i}") for i, c in enumerate(order)), *given)).alias("new"))
+    joined = current.withColumn("stored", F.lit(True)).join(last, [F.col(k) == F.col(f"n_{k}") for k in keys], "full")
 
-def upsert_results(results: DataFrame, changes: DataFrame, parameters: DataFrame, links: DataFrame) -> DataFrame:
+    def column(c: str) -> Column:
+        if c in keys:
+            return F.coalesce(c, f"n_{c}")
+        keep = F.col("new").isNull() if c not in own else F.col("stored").isNotNull()
+        return F.when(keep, F.col(c)).otherwise(F.col(f"new.{c}")) if c in given else F.col(c)
+
+    return joined.select(*(column(c).alias(c) for c in current.columns))
+
+
+def on_own_checklists(rows: DataFrame, parameters: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (application_id, parameter_id) whose parameter is of a checklist of the case; links are never multiplied by parameters."""
+    placed = rows.join(parameters.select(F.col("id").alias("parameter_id"), "checklist_id"), "parameter_id")
+    return placed.join(links, ["application_id", "checklist_id"], "left_semi").drop("checklist_id")
+
+
+def upsert_results(results: DataFrame, changes: DataFrame, parameters: DataFrame, links: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
     """Stored results after `changes`, of which only those on parameters of the case's own checklists count."""
-    allowed = links.join(parameters.select("checklist_id", F.col("id").alias("parameter_id")), "checklist_id").select("application_id", "parameter_id")
-    return merge_by_key(results, changes.join(allowed, ["application_id", "parameter_id"], "left_semi"), ["application_id", "parameter_id"])
+    return merge_by_key(results, on_own_checklists(changes, parameters, links), ["application_id", "parameter_id"], order)
 
 
 def delete_stale_results(results: DataFrame, applications: DataFrame, parameters: DataFrame, links: DataFrame) -> DataFrame:
     """Results left when the given cases are analysed anew: theirs on their checklists' parameters go."""
-    going = applications.select(F.col("id").alias("application_id")).join(links, "application_id").join(parameters.select("checklist_id", F.col("id").alias("parameter_id")), "checklist_id")
-    return results.join(going.select("application_id", "parameter_id"), ["application_id", "parameter_id"], "left_anti")
+    keys = ["application_id", "parameter_id"]
+    theirs = results.select(*keys).join(applications.select(F.col("id").alias("application_id")), "application_id", "left_semi")
+    return results.join(on_own_checklists(theirs, parameters, links).select(*keys), keys, "left_anti")
+
+
+def start_analysis(applications: DataFrame, ids: DataFrame, parameters: DataFrame, links: DataFrame) -> DataFrame:
+    """id, status, analysis_total_params, analysis_completed_params once the cases in ids.id are analysed anew: counters begin at 0."""
+    sizes = parameters.groupBy("checklist_id").agg(F.count("*").alias("n"))
+    totals = links.join(sizes, "checklist_id").groupBy(F.col("application_id").alias("t_id")).agg(F.sum("n").alias("total"))
+    joined = applications.join(ids.select(F.col("id").alias("going")), F.col("id") == F.col("going"), "left").join(totals, F.col("id") == F.col("t_id"), "left")
+    now = F.col("going").isNotNull()
+    total = F.when(now, F.coalesce("total", F.lit(0))).otherwise(F.col("analysis_total_params")).cast("int")
+    return joined.select("id", F.when(now, "analyzing").otherwise(F.col("status")).alias("status"), total.alias("analysis_total_params"), F.when(now, 0).otherwise(F.col("analysis_completed_params")).alias("analysis_completed_params"))
+
+
+def delete_files(files: DataFrame, chunks: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files and chunks (of column document_id) left when the files in ids.id are deleted; the case's status follows from the files."""
+    return files.join(ids, "id", "left_anti"), chunks.join(ids.select(F.col("id").alias("document_id")), "document_id", "left_anti")
+
+
+def reset_for_indexing(files: DataFrame, ids: DataFrame) -> DataFrame:
+    """Files in ids.id wait to be indexed again: without error, chunks and times."""
+    again = files.join(ids.select(F.col("id").alias("again")), F.col("id") == F.col("again"), "left")
+    fresh = {"indexing_status": F.lit("indexing"), "error_message": F.lit(None), "chunks_count": F.lit(0), "indexing_started_at": F.lit(None), "indexing_completed_at": F.lit(None)}
+    return again.select(*(F.when(F.col("again").isNotNull(), fresh[c]).otherwise(F.col(c)).cast(kind).alias(c) if c in fresh else F.col(c) for c, kind in files.dtypes))
+
+
+def lifecycle(files: DataFrame, events: DataFrame) -> DataFrame:
+    """Files after events (file_id, seq, kind, chunks, message, at) of kinds start, done and failed; the last by seq holds.
+
+    start clears the error and sets the time; done sets chunks and the end; failed sets the message, and the end
+    where there is none.
+    """
+    last = events.groupBy(F.col("file_id").alias("of_file")).agg(F.max(F.struct("seq", "kind", "chunks", "message", "at")).alias("e"))
+    joined = files.join(last, F.col("id") == F.col("of_file"), "left")
+    kind = F.col("e.kind")
+    new = {
+        "indexing_status": F.when(kind == "start", "indexing").when(kind == "done", "completed").when(kind == "failed", "error"),
+        "chunks_count": F.when(kind == "done", F.col("e.chunks")),
+        "indexing_started_at": F.when(kind == "start", F.col("e.at")),
+        "indexing_completed_at": F.when(kind == "done", F.col("e.at")).when(kind == "failed", F.coalesce("indexing_completed_at", "e.at")),
+    }
+    error = F.when(kind == "failed", F.col("e.message")).when(kind == "start", None).otherwise(F.col("error_message"))
+    return joined.select(*(F.coalesce(new[c], c).alias(c) if c in new else error.alias(c) if c == "error_message" else F.col(c) for c in files.columns))
 
 
 def cascade_delete(ids: DataFrame, tables: dict[str, tuple[DataFrame, str]]) -> dict[str, DataFrame]:
@@ -73,10 +131,79 @@ def clone_names(checklists: DataFrame) -> DataFrame:
     return joined.select("id", F.when(free == 1, F.concat("name", F.lit(" (копия)"))).otherwise(F.concat("name", F.lit(" (копия "), free.cast("string"), F.lit(")"))).alias("clone_name"))
 
 
+def clone_checklists(checklists: DataFrame, parameters: DataFrame, owner: int, first_id: int) -> tuple[DataFrame, DataFrame]:
+    """Copies of the checklists, private and of `owner`, and of all their parameters with every setting.
+
+    A copy's ids are those of its original and `first_id`; its name is the first free one.
+    """
+    names = clone_names(checklists).withColumnRenamed("id", "of")
+    lists = checklists.join(names, F.col("id") == F.col("of"))
+    new = {"id": F.col("id") + first_id, "name": F.col("clone_name"), "user_id": F.lit(owner).cast("bigint"), "is_public": F.lit(False)}
+    moved = {"id": F.col("id") + first_id, "checklist_id": F.col("checklist_id") + first_id}
+    own = parameters.join(checklists.select(F.col("id").alias("checklist_id")), "checklist_id", "left_semi")
+    return lists.select(*(new.get(c, F.col(c)).alias(c) for c in checklists.columns)), own.select(*(moved.get(c, F.col(c)).alias(c) for c in parameters.columns))
+
+
+#: Messages of a case whose checklists change.
+ADDED, REMOVED = "Добавлены новые чек-листы. Требуется повторный анализ.", "Чек-лист удален. Требуется повторный анализ."
+
+
 def add_checklists(links: DataFrame, additions: DataFrame) -> DataFrame:
     return links.unionByName(additions).dropDuplicates(["application_id", "checklist_id"])
 
 
+def remove_checklists(links: DataFrame, results: DataFrame, parameters: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links and results left when the links in `removed` (application_id, checklist_id) go with their parameters' results."""
+    keys = ["application_id", "checklist_id"]
+    gone = links.join(removed, keys, "left_semi")
+    stale = on_own_checklists(results.select("application_id", "parameter_id"), parameters, gone)
+    return links.join(removed, keys, "left_anti"), results.join(stale, ["application_id", "parameter_id"], "left_anti")
+
+
+def back_to_indexed(applications: DataFrame, changed: DataFrame, message: str) -> DataFrame:
+    """id, status, status_message: analysed cases in changed.application_id have to be analysed again."""
+    joined = applications.join(changed.select(F.col("application_id").alias("c")).distinct(), F.col("id") == F.col("c"), "left")
+    again = F.col("c").isNotNull() & (F.col("status") == "analyzed")
+    return joined.select("id", F.when(again, "indexed").otherwise(F.col("status")).alias("status"), F.when(again, message).alias("status_message"))
+
+
+def create_cases(forms: DataFrame, checklists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New cases and their links from forms (id, name, description, user_id, checklist_ids); a form without a checklist makes none, unknown ids don't count."""
+    made = forms.where(F.size(F.coalesce("checklist_ids", F.array().cast("array<bigint>"))) > 0)
+    cases = made.select("id", "name", "description", F.lit("created").alias("status"), "user_id")
+    wanted = made.select(F.col("id").alias("application_id"), F.explode(F.array_distinct("checklist_ids")).alias("checklist_id"))
+    return cases, wanted.join(checklists.select(F.col("id").alias("checklist_id")), "checklist_id", "left_semi")
+
+
+def edit_cases(applications: DataFrame, edits: DataFrame) -> DataFrame:
+    """id, name, error after edits (id, name) with names trimmed: an empty one, or one that another case has, changes nothing."""
+    wanted = edits.select(F.col("id").alias("e_id"), F.trim(F.coalesce("name", F.lit(""))).alias("e_name"))
+    taken = applications.groupBy(F.col("name").alias("t_name")).agg(F.min("id").alias("t_least"), F.max("id").alias("t_most"))
+    joined = applications.join(wanted, F.col("id") == F.col("e_id"), "left").join(taken, F.col("e_name") == F.col("t_name"), "left")
+    error = F.when(F.col("e_name") == "", "name required").when((F.col("e_name") != F.col("name")) & ((F.col("t_least") != F.col("id")) | (F.col("t_most") != F.col("id"))), "name taken")
+    return joined.select("id", F.when(F.col("e_id").isNotNull() & error.isNull(), F.col("e_name")).otherwise(F.col("name")).alias("name"), F.when(F.col("e_id").isNotNull(), error).alias("error"))
+
+
+def parameters_from_forms(forms: DataFrame, next_index: DataFrame) -> DataFrame:
+    """Parameters from forms of texts (checklist_id, seq, name, description, search_query, use_separate, llm_query, search_limit, use_reranker, rerank_limit, use_full_scan, temperature, max_tokens).
+
+    Missing numbers get 3, 10, 0.1 and 1000; a tick box counts where it is sent at all; the model's query is null where it
+    is blank or not asked for. Forms of a checklist get the places after its last, in order of seq. next_index: id, next_index.
+    """
+    w = Window.partitionBy("checklist_id").orderBy("seq")
+    joined = forms.join(next_index.select(F.col("id").alias("n_id"), "next_index"), F.col("checklist_id") == F.col("n_id"))
+    number = lambda c, kind, default: F.coalesce(F.col(c).try_cast(kind), F.lit(default).cast(kind)).alias(c)
+    llm = F.when(F.col("use_separate") == "true", F.nullif(F.trim("llm_query"), F.lit(""))).alias("llm_query")
+    place = (F.col("next_index") + F.row_number().over(w) - 1).cast("int").alias("order_index")
+    return joined.select("checklist_id", "seq", "name", F.coalesce("description", F.lit("")).alias("description"), "search_query", llm, place, number("search_limit", "int", 3), F.col("use_reranker").isNotNull().alias("use_reranker"), number("rerank_limit", "int", 10), F.col("use_full_scan").isNotNull().alias("use_full_scan"), number("temperature", "double", 0.1), number("max_tokens", "int", 1000))
+
+
+def change_owners(applications: DataFrame, moves: DataFrame, users: DataFrame) -> DataFrame:
+    """id, user_id after moves (id, owner); unknown users change nothing."""
+    known = moves.join(users.select(F.col("id").alias("owner")), "owner", "left_semi").select(F.col("id").alias("m_id"), "owner")
+    return applications.join(known, F.col("id") == F.col("m_id"), "left").select("id", F.coalesce("owner", "user_id").alias("user_id"))
+
+
 def recode_roles(users: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return users.replace(mapping, subset=["role"])
 
@@ -91,13 +218,32 @@ def add_missing_column(df: DataFrame, name: str, kind: str, default=None) -> Dat
 
 def user_errors(candidates: DataFrame, users: DataFrame) -> DataFrame:
     """candidates: username, email, password, role; adds errors array<string>, empty where the user can be created."""
-    taken = users.select(F.col("username").alias("t_name")).distinct()
-    joined = candidates.join(taken, F.col("username") == F.col("t_name"), "left")
+    taken = lambda c: users.select(F.col(c).alias(f"t_{c}")).distinct()
+    joined = candidates.join(taken("username"), F.col("username") == F.col("t_username"), "left").join(taken("email"), F.col("email") == F.col("t_email"), "left")
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     checks = [
         (blank("username") | blank("email") | blank("password"), "required"),
-        (F.col("t_name").isNotNull(), "username taken"),
+        (F.col("t_username").isNotNull(), "username taken"),
+        (F.col("t_email").isNotNull(), "email taken"),
         (F.length(F.coalesce("password", F.lit(""))) < 6, "password too short"),
         (~F.coalesce(F.col("role").isin("admin", "prompt_engineer", "user"), F.lit(False)), "unknown role"),
     ]
-    return joined.withColumn("errors", F.filter(F.array(*(F.when(c, F.lit(t)) for c, t in checks)), lambda e: e.isNotNull())).drop("t_name")
+    return joined.withColumn("errors", F.filter(F.array(*(F.when(c, F.lit(t)) for c, t in checks)), lambda e: e.isNotNull())).drop("t_username", "t_email")
+
+
+def deletion_errors(users: DataFrame, by: int) -> DataFrame:
+    """id, error: why the user `by` can't delete each user: it is themselves, or the last admin; null where they can."""
+    admins = users.agg(F.count_if(F.col("role") == "admin").alias("n_admins"))  # one row
+    joined = users.crossJoin(F.broadcast(admins))
+    return joined.select("id", F.when(F.col("id") == by, "self").when((F.col("role") == "admin") & (F.col("n_admins") <= 1), "last admin").alias("error"))
+
+
+def seed(spark: SparkSession, users: DataFrame) -> dict[str, DataFrame]:
+    """users, checklists and parameters of a new installation: an admin, a base checklist and three parameters; all empty if there is an admin."""
+    none = users.where("role = 'admin'").limit(1).count() > 0
+    rows = lambda found, schema: spark.createDataFrame([] if none else found, schema)
+    return {
+        "users": rows([(1, "admin", "admin")], "id bigint, username string, role string"),
+        "checklists": rows([(1, "base", 1, True)], "id bigint, name string, user_id bigint, is_public boolean"),
+        "parameters": rows([(k, 1, f"parameter {k}", 0) for k in (1, 2, 3)], "id bigint, checklist_id bigint, name string, order_index int"),
+    }

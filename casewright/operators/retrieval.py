@@ -122,13 +122,27 @@ def merged_names(files: DataFrame, application_ids: list[int]) -> DataFrame:
     return rows.groupBy("document_id").agg(F.max_by("original_filename", F.struct("place", "id")).alias("name"))
 
 
-def shaped(hits: DataFrame, names: DataFrame) -> DataFrame:
-    """Hits as the interface shows them: defaults for what is missing, scores to four places. names: document_id, name."""
+def rerank_share(limit: int, n_cases: int) -> int:
+    """Each case's part of the rerank limit in a search over several; it may be 0."""
+    return limit // n_cases if n_cases > 1 else limit
+
+
+def envelope(count: Column, method: Column, use_llm: Column, seconds: Column, application_ids: list[int] | None = None) -> Column:
+    """The JSON that a finished search answers with; several cases are named."""
+    fields = [F.lit("success").alias("status"), count.alias("count"), method.alias("search_method"), use_llm.alias("use_llm"), F.round(seconds, 2).alias("execution_time")]
+    if application_ids and len(application_ids) > 1:
+        fields += [F.array(*map(F.lit, application_ids)).alias("application_ids"), F.lit(True).alias("multi_search")]
+    return F.to_json(F.struct(*fields))
+
+
+def shaped(hits: DataFrame, names: DataFrame, *more: str) -> DataFrame:
+    """Hits as the interface shows them: defaults for what is missing, scores to four places. names: document_id, name; more: columns to keep."""
     n = names.select(F.col("document_id").alias("n_id"), "name")
     joined = hits.join(n, F.col("document_id") == F.col("n_id"), "left")
     return joined.select(
         "application_id",
         "position",
+        *more,
         F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce(F.col("document_id").cast("string"), F.lit("")).alias("document_id"),
         F.coalesce("name", F.lit("Неизвестный документ")).alias("document_name"),

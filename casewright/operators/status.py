@@ -93,3 +93,40 @@ def terminal(status: Column, state: Column, progress: Column, message: Column) -
 
 def resource_band(load: Column) -> Column:
     return F.when(load < 40, "low").when(load < 70, "medium").when(load < 90, "high").otherwise("critical")
+
+
+def application_responses(applications: DataFrame, latest: DataFrame, files: DataFrame) -> DataFrame:
+    """id, response, progress, message of a poll for each case and its task (task_id, state, progress of the last event).
+
+    A failed file ends indexing; an analysis shows its worker's progress or, where that is 0 or missing, the stored
+    parameters'; a stored error ends the rest, then the task's state counts, and without a task the case's own.
+    """
+    failed = files.where("indexing_status = 'error'").groupBy(F.col("application_id").alias("f_id")).agg(F.min_by("error_message", F.when(F.coalesce("error_message", F.lit("")) != "", F.col("id"))).alias("told"))
+    task = latest.select(F.col("task_id").alias("t_id"), "state", F.col("progress").alias("worker"))
+    joined = applications.join(task, F.col("task_id") == F.col("t_id"), "left").join(failed, F.col("id") == F.col("f_id"), "left")
+    wrong = (F.col("status") == "indexing") & F.col("f_id").isNotNull()
+    state, stored = F.col("state"), F.when(F.col("status").isin(*READY), 100).otherwise(0)
+    done = percent(F.col("analysis_completed_params"), F.col("analysis_total_params"))
+    running = F.when((state == "PROGRESS") & (F.col("worker") != 0), F.col("worker")).otherwise(done)
+    by_state = F.when(state == "PENDING", "pending").when(state == "PROGRESS", "progress").when(state == "SUCCESS", "success").when(state == "FAILURE", "error").when(state.isNotNull(), F.lower(state)).otherwise(F.col("status"))
+    response = F.when(wrong, "error").when(F.col("status") == "analyzing", "progress").when(F.col("status") == "error", "error").otherwise(by_state)
+    of_state = F.when(state == "PENDING", 0).when(state == "PROGRESS", F.col("worker")).when(state == "SUCCESS", 100).when(state.isNotNull(), F.lit(None)).otherwise(stored)
+    progress = F.when(wrong, 0).when(F.col("status") == "analyzing", running).when(F.col("status") == "error", 0).otherwise(of_state)
+    return joined.select("id", response.alias("response"), progress.cast("int").alias("progress"), F.when(wrong, F.coalesce("told", F.lit("Ошибка при индексации файла"))).alias("message"))
+
+
+def deadlines(events: DataFrame, now, poll_seconds: int = 7200, result_seconds: int = 3600) -> DataFrame:
+    """task_id, timed_out (still running, polled for longer than that), expired (ended, its result kept longer than that) at `now`."""
+    per = events.groupBy("task_id").agg(F.max_by("state", F.struct("ts", "event_id")).alias("state"), F.min("ts").alias("began"), F.max("ts").alias("last"))
+    running = F.col("state").isin("PENDING", "PROGRESS")
+    older = lambda c, s: F.timestamp_diff("MICROSECOND", F.col(c), F.lit(now).cast("timestamp_ntz")) > s * 1_000_000
+    return per.select("task_id", (running & older("began", poll_seconds)).alias("timed_out"), (~running & older("last", result_seconds)).alias("expired"))
+
+
+#: Where each stage of an analysis begins, and its share of the whole.
+STAGES = {"search": (5, 40), "ask": (50, 35), "scan": (85, 10)}
+
+
+def stage_progress(stage: str, done: Column, total: Column) -> Column:
+    start, share = STAGES[stage]
+    return start + (done / total * share).cast("int")

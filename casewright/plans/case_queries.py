@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.functions import display, timefmt
@@ -193,17 +196,6 @@ def partial_results(spark, sf_dir):
     return report.partial_results(*(load(spark, sf_dir, t) for t in ("application_checklists", "checklist_parameters", "parameter_results")))
 
 
-@query("parameter_results", "checklist_parameters", "application_checklists", sql="""
-+ n AS (SELECT application_id, parameter_id + application_id % 2 AS parameter_id, 'new' AS value, 0.5 AS confidence FROM parameter_results WHERE confidence > 0.05),
-ok AS (SELECT n.* FROM n WHERE EXISTS (SELECT 1 FROM application_checklists b JOIN checklist_parameters p USING (checklist_id) WHERE b.application_id = n.application_id AND p.id = n.parameter_id))
-SELECT coalesce(r.application_id, k.application_id) AS application_id, coalesce(r.parameter_id, k.parameter_id) AS parameter_id, CASE WHEN k.value IS NULL THEN r.value ELSE k.value END AS value, CAST(CASE WHEN k.value IS NULL THEN r.confidence ELSE k.confidence END AS DOUBLE) AS confidence
-FROM parameter_results r FULL JOIN ok k ON r.application_id = k.application_id AND r.parameter_id = k.parameter_id""")
-def upsert_results(spark, sf_dir):
-    results = load(spark, sf_dir, "parameter_results")
-    changes = results.where("confidence > 0.05").select("application_id", (F.col("parameter_id") + F.col("application_id") % 2).alias("parameter_id"), F.lit("new").alias("value"), F.lit(0.5).alias("confidence"))
-    return mutations.upsert_results(results, changes, load(spark, sf_dir, "checklist_parameters"), load(spark, sf_dir, "application_checklists"))
-
-
 @query("applications", "parameter_results", "checklist_parameters", "application_checklists", sql="""
 SELECT * FROM parameter_results r WHERE NOT EXISTS (SELECT 1 FROM application_checklists b JOIN checklist_parameters p USING (checklist_id) JOIN applications a ON a.id = b.application_id AND a.status = 'indexed' WHERE b.application_id = r.application_id AND p.id = r.parameter_id)""")
 def delete_stale(spark, sf_dir):
@@ -211,15 +203,20 @@ def delete_stale(spark, sf_dir):
     return mutations.delete_stale_results(load(spark, sf_dir, "parameter_results"), going, load(spark, sf_dir, "checklist_parameters"), load(spark, sf_dir, "application_checklists"))
 
 
-@query("applications", "files", "application_checklists", "parameter_results", sql="""
-SELECT 'applications' AS relation, count(*) AS n FROM applications WHERE status <> 'error' UNION ALL SELECT 'files', count(*) FROM files WHERE application_id NOT IN (SELECT id FROM applications WHERE status = 'error')
-UNION ALL SELECT 'links', count(*) FROM application_checklists WHERE application_id NOT IN (SELECT id FROM applications WHERE status = 'error') UNION ALL SELECT 'results', count(*) FROM parameter_results WHERE application_id NOT IN (SELECT id FROM applications WHERE status = 'error')""")
+@query("applications", "files", "application_checklists", "parameter_results", "chunks", sql="""
++ g AS (SELECT id FROM applications WHERE status = 'error')
+SELECT 'applications' AS relation, id AS of_case, id AS item FROM applications WHERE status <> 'error' UNION ALL SELECT 'files', application_id, id FROM files WHERE application_id NOT IN (FROM g)
+UNION ALL SELECT 'links', application_id, checklist_id FROM application_checklists WHERE application_id NOT IN (FROM g) UNION ALL SELECT 'results', application_id, id FROM parameter_results WHERE application_id NOT IN (FROM g)
+UNION ALL SELECT 'chunks', application_id, document_id * 100000 + chunk_index FROM chunks WHERE application_id NOT IN (FROM g)""")
 def cascade_delete(spark, sf_dir):
+    """What is left of every relation, chunks too, when the cases in error go."""
     apps = load(spark, sf_dir, "applications")
-    tables = {"applications": (apps, "id"), "files": (load(spark, sf_dir, "files"), "application_id"), "links": (load(spark, sf_dir, "application_checklists"), "application_id"), "results": (load(spark, sf_dir, "parameter_results"), "application_id")}
-    left = mutations.cascade_delete(apps.where("status = 'error'").select("id"), tables)
-    counts = [df.agg(F.lit(name).alias("relation"), F.count("*").alias("n")) for name, df in left.items()]
-    return counts[0].unionAll(counts[1]).unionAll(counts[2]).unionAll(counts[3])
+    chunk = load(spark, sf_dir, "chunks").select("application_id", (F.col("document_id") * 100000 + F.col("chunk_index")).alias("item"))
+    tables = {"applications": (apps.select(F.col("id").alias("of_case"), F.col("id").alias("item")), "of_case")}
+    tables |= {name: (load(spark, sf_dir, t).select("application_id", F.col(c).alias("item")), "application_id") for name, t, c in (("files", "files", "id"), ("links", "application_checklists", "checklist_id"), ("results", "parameter_results", "id"))}
+    left = mutations.cascade_delete(apps.where("status = 'error'").select("id"), tables | {"chunks": (chunk, "application_id")})
+    rows = [df.select(F.lit(name).alias("relation"), F.col(df.columns[0]).cast("bigint").alias("of_case"), F.col("item").cast("bigint").alias("item")) for name, df in left.items()]
+    return reduce(DataFrame.unionAll, rows)
 
 
 @query("checklists", sql="""
@@ -245,10 +242,10 @@ def migrated_owners(spark, sf_dir):
 
 
 @query("users", sql="""
-SELECT id, array_to_string(list_filter([CASE WHEN id % 5 = 0 THEN 'required' END, CASE WHEN id % 2 = 0 THEN 'username taken' END, CASE WHEN id % 3 = 0 THEN 'password too short' END, CASE WHEN id % 7 = 0 THEN 'unknown role' END], lambda x: x IS NOT NULL), ';') AS errors FROM users""")
+SELECT id, array_to_string(list_filter([CASE WHEN id % 5 = 0 THEN 'required' END, CASE WHEN id % 2 = 0 THEN 'username taken' END, CASE WHEN id % 11 = 0 AND id % 5 <> 0 THEN 'email taken' END, CASE WHEN id % 3 = 0 THEN 'password too short' END, CASE WHEN id % 7 = 0 THEN 'unknown role' END], lambda x: x IS NOT NULL), ';') AS errors FROM users""")
 def user_validation(spark, sf_dir):
     users, i = load(spark, sf_dir, "users"), F.col("id")
-    wanted = users.select("id", F.when(i % 2 == 0, F.col("username")).otherwise(F.concat("username", F.lit("-new"))).alias("username"), F.when(i % 5 == 0, " ").otherwise("a@b").alias("email"), F.when(i % 3 == 0, "short").otherwise("long enough").alias("password"), F.when(i % 7 == 0, "boss").otherwise("user").alias("role"))
+    wanted = users.select("id", F.when(i % 2 == 0, F.col("username")).otherwise(F.concat("username", F.lit("-new"))).alias("username"), F.when(i % 5 == 0, " ").when(i % 11 == 0, F.col("email")).otherwise("a@b").alias("email"), F.when(i % 3 == 0, "short").otherwise("long enough").alias("password"), F.when(i % 7 == 0, "boss").otherwise("user").alias("role"))
     return mutations.user_errors(wanted, users).select("id", F.array_join("errors", ";").alias("errors"))
 
 

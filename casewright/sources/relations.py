@@ -20,7 +20,7 @@ _CHUNK_COLUMNS = """SELECT CAST(substr(source, 4) AS INT) AS application_id, doc
 FROM (SELECT *, """
 
 RELATIONS = {
-    "users": """SELECT c_custkey AS id, c_name AS username,
+    "users": """SELECT c_custkey AS id, c_name AS username, concat(lower(c_name), '@example.org') AS email,
   CASE WHEN c_custkey % 50 = 0 THEN 'admin' WHEN c_custkey % 10 = 1 THEN 'prompt_engineer' ELSE 'user' END AS role FROM {customer}""",
     "applications": """SELECT o_orderkey AS id, concat('case ', o_orderpriority, ' ', CAST(o_orderkey AS STRING)) AS name,
   CASE WHEN o_orderkey % 37 = 0 THEN NULL ELSE o_custkey END AS user_id,
@@ -43,11 +43,15 @@ RELATIONS = {
   CAST(row_number() OVER (PARTITION BY x.l_suppkey ORDER BY x.l_partkey) - 1 AS INT) AS order_index,
   p_size % 2 = 0 AS use_full_scan, p_size % 5 = 0 AS use_reranker, CAST(1 + p_size % 8 AS INT) AS search_limit, p_brand AS llm_model
 FROM (SELECT DISTINCT l_suppkey, l_partkey FROM {lineitem}) x JOIN {part} ON p_partkey = x.l_partkey""",
-    "parameter_results": """SELECT application_id, parameter_id, value, confidence FROM (
-  SELECT l_orderkey AS application_id, l_suppkey * 1000000 + l_partkey AS parameter_id,
+    "parameter_results": """SELECT id, application_id, parameter_id, value, confidence FROM (
+  SELECT l_orderkey * 10000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS id, l_orderkey AS application_id, l_suppkey * 1000000 + l_partkey AS parameter_id,
     CASE WHEN l_linenumber = 1 THEN 'Информация не найдена' ELSE concat(l_returnflag, l_linestatus) END AS value, l_discount + 0.0 AS confidence,
     row_number() OVER (PARTITION BY l_orderkey, l_suppkey, l_partkey ORDER BY l_linenumber, l_quantity, l_extendedprice, l_discount) AS rn
   FROM {lineitem} WHERE l_suppkey % 10 <> 0) t WHERE rn = 1""",
+    "stored_results": """SELECT id + CAST(k * 5000000000000 AS BIGINT) AS id, application_id, parameter_id, concat(value, CAST(k AS STRING)) AS value, confidence, created_at FROM (
+  SELECT l_orderkey * 10000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS id, l_orderkey AS application_id,
+    l_suppkey * 1000000 + l_partkey AS parameter_id, concat(l_returnflag, l_linestatus) AS value, l_discount + 0.0 AS confidence, l_shipdate AS created_at, l_linenumber
+  FROM {lineitem} WHERE l_suppkey % 10 <> 0) t CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) c WHERE k = 0 OR l_linenumber % 2 = 0""",
     "task_events": """SELECT event_id, ts, concat('task-', CAST(user_id AS STRING)) AS task_id,
   CASE event_type WHEN 'view' THEN 'PROGRESS' WHEN 'click' THEN 'PROGRESS' WHEN 'signup' THEN 'PENDING' WHEN 'purchase' THEN 'SUCCESS' ELSE 'FAILURE' END AS state,
   CAST(floor(value) AS INT) AS progress FROM {events}""",

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path under spark.checkpoint.dir; only where that is unset (on one machine) under a temporary folder."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, or of the context. Where neither is set, a session on one machine gets a folder of its own; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="casewright-"))
         base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/casewright-{tag}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark)}/casewright-{tag}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
