@@ -19,6 +19,7 @@ NOT_FOUND_PHRASES = ("информация не найдена", "данные 
 DOUBT_PHRASES = ("возможно", "вероятно", "может быть", "предположительно", "не ясно", "не уверен", "не определено", "примерно", "около", "приблизительно", "предполагается")
 PREFIXES = ("результат", "ответ", "значение")
 RESULT_TYPE = "struct<value: string, confidence: double, format: string, source: string, document: string, page: string, chunk: string>"
+#: Where an answer may hold JSON, in order.
 _JSON_SPOTS = (r"```json\s*(.*?)\s*```", r"```\s*(.*?)\s*```", r"\{[^{}]*\}", r"\{.*?\}")
 
 

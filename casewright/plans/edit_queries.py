@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casewright.functions import answers, display
-from casewright.operators import access, catalog, chunks, context, mutations, report, retrieval, status
+from casewright.operators import access, catalog, chunks, context, extraction, mutations, report, retrieval, status
 from casewright.plans.registry import query
 from casewright.sources.relations import load
 
@@ -305,3 +305,19 @@ SELECT id, regexp_replace(regexp_replace(concat('../x ', original_filename), '[
 def file_names(spark, sf_dir):
     name = F.concat(F.lit("../x "), "original_filename")
     return load(spark, sf_dir, "files").select("id", display.secure_filename(name).alias("secure"), display.stem(F.col("original_filename")).alias("stem"), display.extension(F.col("original_filename")).alias("extension"), display.thousands(F.col("application_id") * 1000).alias("shown"))
+
+
+@query("checklist_parameters", sql="SELECT id AS request, llm_model AS model, length(search_query) AS n_chars FROM checklist_parameters")
+def asked_models(spark, sf_dir):
+    """Every parameter's query sent to its own model, of which the stand-in measures it."""
+
+    def provider(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            lengths = pc.utf8_length(batch.column("prompt")).cast(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("request"), batch.column("model"), lengths], names=["request", "model", "n_chars"])
+
+    requests = load(spark, sf_dir, "checklist_parameters").select(F.col("id").alias("request"), F.col("llm_model").alias("model"), F.col("search_query").alias("prompt"))
+    return extraction.ask(requests, provider, "request bigint, model string, n_chars int")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from casewright.functions import answers
 from casewright.operators import status
 from casewright.plans.registry import query
 from casewright.sources.relations import load
+from casewright.sources.storage import scratch_path
 from casewright.streaming import progress
 
 _CONF = "list_reduce(list_prepend(0.7::DOUBLE, list_transform(list_filter([{}], lambda p: contains(lower({{t}}), p)), lambda p: -0.1::DOUBLE)), lambda a, b: a + b)".format(", ".join(f"'{p}'" for p in answers.DOUBT_PHRASES))
@@ -99,32 +98,40 @@ def task_sessions(spark, sf_dir):
     return found.select("task_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", "top")
 
 
-def _events_stream(spark, sf_dir, of):
-    """The events table as a file stream, mapped like task_events, through `of` into Parquet; the rows written."""
-    from casewright.sources.storage import scratch_path
-
-    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+def _events_stream(spark, sf_dir):
+    """The events table as a file stream, mapped like task_events, and a folder for what is made of it."""
+    table = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")
     base = scratch_path(spark, "events")
-    table.select("event_id", "ts", "user_id", "event_type", "value").write.parquet(f"{base}/in")
-    rows = progress.read_stream(spark, f"{base}/in", table.select("event_id", "ts", "user_id", "event_type", "value").schema)
+    table.write.parquet(f"{base}/in")
+    rows = progress.read_stream(spark, f"{base}/in", table.schema)
     state = F.when(F.col("event_type").isin("view", "click"), "PROGRESS").when(F.col("event_type") == "signup", "PENDING").when(F.col("event_type") == "purchase", "SUCCESS").otherwise("FAILURE")
-    events = rows.select("event_id", "ts", F.concat(F.lit("task-"), F.col("user_id").cast("string")).alias("task_id"), state.alias("state"), F.floor("value").cast("int").alias("progress"))
-    out = of(events)
-    progress.run_available(out, f"{base}/out", os.path.join(base, "checkpoint"))
-    return spark.read.schema(out.schema).parquet(f"{base}/out")
+    return rows.select("event_id", "ts", F.concat(F.lit("task-"), F.col("user_id").cast("string")).alias("task_id"), state.alias("state"), F.floor("value").cast("int").alias("progress")), base
+
+
+def _run(spark, rows, base):
+    progress.run_available(rows, f"{base}/out", f"{base}/checkpoint")
+    return spark.read.schema(rows.schema).parquet(f"{base}/out")
 
 
 @query("task_events", sql=_CHANGES)
 def stream_progress_changes(spark, sf_dir):
-    return _events_stream(spark, sf_dir, progress.progress_changes_stream)
+    events, base = _events_stream(spark, sf_dir)
+    progress.write_progress_changes(events, f"{base}/out", f"{base}/states", f"{base}/checkpoint")
+    return spark.read.schema("task_id string, event_id bigint, progress int").parquet(f"{base}/out/*")
 
 
-@query("task_events", sql="SELECT state, CAST(count(*) > 0 AS BOOLEAN) AS seen FROM task_events GROUP BY 1")
-def stream_states_seen(spark, sf_dir):
-    return _events_stream(spark, sf_dir, lambda e: progress.timed(e).withWatermark("ts", progress.LATENESS).select("state", "event_id", "ts")).groupBy("state").agg((F.count("*") > 0).alias("seen"))
+@query("task_events", sql="SELECT task_id, state, count(*) AS n, sum(event_id) AS ids FROM task_events GROUP BY 1, 2")
+def stream_events_kept(spark, sf_dir):
+    """Events that a stream writes as they come, counted by task and state: none is lost or doubled."""
+    events, base = _events_stream(spark, sf_dir)
+    kept = _run(spark, progress.timed(events).withWatermark("ts", progress.LATENESS).select("task_id", "state", "event_id"), base)
+    return kept.groupBy("task_id", "state").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
-@query()
+@query("task_events", sql="""
++ m AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR AS mark FROM task_events), w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, state, count(*) AS n FROM task_events GROUP BY 1, 2)
+SELECT CAST(start AS VARCHAR) AS start, state, n FROM w, m WHERE start + INTERVAL 1 HOUR <= mark""")
 def stream_task_counts(spark, sf_dir):
-    """Closed windows only: the last ones stay open behind the watermark."""
-    return _events_stream(spark, sf_dir, progress.window_counts)
+    """Closed windows only: those that end an hour or more before the last event."""
+    events, base = _events_stream(spark, sf_dir)
+    return _run(spark, progress.window_counts(events), base).select(F.col("start").cast("timestamp_ntz").cast("string").alias("start"), "state", "n")

@@ -5,9 +5,11 @@ Transformations are the same for batch and stream; times are cast to zoned times
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from casewright.operators.status import clamp
+
 LATENESS = "1 hour"
 
 
@@ -32,46 +34,35 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return rows.groupBy("task_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), F.max("progress").alias("top")).select("task_id", F.col("w.start").alias("start"), "n", "top")
 
 
+def _changes(rows: DataFrame, before: Column | None = None) -> DataFrame:
+    """Rows whose progress differs from the task's one before, in order of time; `before` is what the first one is held against."""
+    w = Window.partitionBy("task_id").orderBy("ts", "event_id")
+    last = F.lag("progress").over(w)
+    return rows.withColumn("last", last if before is None else F.coalesce(last, before)).where(~F.col("last").eqNullSafe(F.col("progress"))).drop("last")
+
+
 def progress_changes(events: DataFrame) -> DataFrame:
     """Events whose clamped progress differs from the task's one before (batch form)."""
-    from pyspark.sql import Window
+    return _changes(events.withColumn("progress", clamp(F.col("progress"))))
 
-    from casewright.operators.status import clamp
 
-    w = Window.partitionBy("task_id").orderBy("ts", "event_id")
-    rows = events.withColumn("progress", clamp(F.col("progress"))).withColumn("last", F.lag("progress").over(w))
-    return rows.where(~F.col("last").eqNullSafe(F.col("progress"))).drop("last")
+def write_progress_changes(events: DataFrame, path: str, states: str, checkpoint: str) -> None:
+    """The same over what a stream has now: changes go to `path`, the last progress of each task to `states`.
 
+    A micro-batch is one windowed query over its events, joined to the states that the one before it left, so that a
+    hot task's events are sorted and spilled by Spark; both results have the batch's number and are overwritten if it
+    is repeated. Within a batch events are ordered by time; one that comes in a later batch counts as later.
+    """
+    spark, state = events.sparkSession, "task_id string, before int"
 
-def progress_changes_stream(events: DataFrame, timeout_ms: int | None = None) -> DataFrame:
-    """The same over a stream, with the last progress of each task as its state.
+    def batch(rows: DataFrame, n: int) -> None:
+        rows = rows.select("task_id", "ts", "event_id", clamp(F.col("progress")).cast("int").alias("progress"))
+        known = spark.read.schema(state).parquet(f"{states}/{n - 1}") if n else spark.createDataFrame([], state)
+        _changes(rows.join(known, "task_id", "left"), F.col("before")).select("task_id", "event_id", "progress").write.mode("overwrite").parquet(f"{path}/batch={n}")
+        now = rows.groupBy("task_id").agg(F.max_by("progress", F.struct("ts", "event_id")).alias("now"))
+        known.join(now, "task_id", "full").select("task_id", F.coalesce("now", "before").alias("before")).write.mode("overwrite").parquet(f"{states}/{n}")
 
-    timeout_ms gives a task's state up after so long a silence, for streams that run on; a run over what is
-    available takes none, since waiting for timeouts would keep it from ending.
-    """
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def run(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
-        for r in rows.itertuples():
-            p = max(0, min(100, int(r.progress)))
-            if p != last:
-                out.append((key[0], r.event_id, p))
-                last = p
-        if last is not None:
-            state.update((last,))
-        if timeout_ms:
-            state.setTimeoutDuration(timeout_ms)
-        yield pd.DataFrame(out, columns=["task_id", "event_id", "progress"])
-
-    rows = timed(events).select("task_id", "ts", "event_id", "progress")
-    return rows.groupBy("task_id").applyInPandasWithState(run, "task_id string, event_id bigint, progress int", "progress int", "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
+    events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

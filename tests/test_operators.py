@@ -204,10 +204,46 @@ def test_ordering_mutations(spark):
     assert order(mutations.reorder(p, 1, [3, 4, 1])) == {3: 0, 2: 1, 1: 2, 4: 0}
 
 
-def test_upsert_and_clone_names(spark):
-    now = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
-    new = spark.createDataFrame([(2, "c"), (3, None)], "k int, v string")
-    assert values(mutations.merge_by_key(now, new, ["k"]), "k", "v") == [(1, "a"), (2, "c"), (3, None)]
+def test_upsert_keeps_identity_and_settles_ties(spark):
+    now = spark.createDataFrame([(10, 1, "a", "old", "t1"), (11, 2, "b", "old", "t2")], "id bigint, k int, v string, w string, created_at string")
+    new = spark.createDataFrame([(2, "c", 1, 99), (2, "d", 2, 98), (2, "e", 2, 97), (3, None, 5, 50)], "k int, v string, seq int, id bigint")
+    got = mutations.merge_by_key(now, new, ["k"], order=("seq",))
+    assert values(got, "id", "k", "v", "w", "created_at") == sorted([(10, 1, "a", "old", "t1"), (11, 2, "d", "old", "t2"), (50, 3, None, None, None)], key=str)
+    repeats = spark.createDataFrame([(9, 1, 1, "late"), (4, 1, 1, "first"), (5, 1, 2, "x")], "id bigint, application_id bigint, parameter_id bigint, value string")
+    assert values(report.first_results(repeats), "id", "value") == [(4, "first"), (5, "x")]
+
+
+def test_upserts_never_multiply_links_by_parameters(spark):
+    results = spark.createDataFrame([(1, 1, 7, "a"), (2, 1, 8, "b"), (3, 2, 7, "c")], "id bigint, application_id bigint, parameter_id bigint, value string")
+    parameters = spark.createDataFrame([(7, 70), (8, 80)], "id bigint, checklist_id bigint")
+    links = spark.createDataFrame([(1, 70), (2, 80)], "application_id bigint, checklist_id bigint")
+    assert values(mutations.upsert_results(results, results.withColumn("value", F.lit("n")), parameters, links), "id", "value") == [(1, "n"), (2, "b"), (3, "c")]
+    cases = spark.createDataFrame([(1,), (2,)], "id bigint")
+    assert values(mutations.delete_stale_results(results, cases, parameters, links), "id") == [(2,), (3,)]
+
+
+def test_users_and_seed(spark):
+    users = spark.createDataFrame([(1, "a", "a@x", "admin"), (2, "b", "b@x", "user")], "id bigint, username string, email string, role string")
+    assert values(mutations.deletion_errors(users, 2), "id", "error") == [(1, "last admin"), (2, "self")]
+    wanted = spark.createDataFrame([("new", "b@x", "secret1", "user"), ("a", "n@x", "short", "boss"), (None, " ", None, None)], "username string, email string, password string, role string")
+    assert values(mutations.user_errors(wanted, users), "errors") == sorted([(["email taken"],), (["username taken", "password too short", "unknown role"],), (["required", "password too short", "unknown role"],)], key=str)
+    assert {k: df.count() for k, df in mutations.seed(spark, users.limit(0)).items()} == {"users": 1, "checklists": 1, "parameters": 3}
+    assert {k: df.count() for k, df in mutations.seed(spark, users).items()} == {"users": 0, "checklists": 0, "parameters": 0}
+
+
+def test_uploads_are_scanned_by_kind_and_size(spark, tmp_path, monkeypatch):
+    from casewright.sources import uploads
+
+    (tmp_path / "in").mkdir()
+    for name, size in (("a scan v1.pdf", 10), ("b.pdf", 2000), ("c.txt", 5)):
+        (tmp_path / "in" / name).write_bytes(b"x" * size)
+    monkeypatch.setattr(uploads, "MAX_BYTES", 1000)
+    (row,) = uploads.scan_uploads(spark, str(tmp_path), content=True).collect()
+    assert (row.size, bytes(row.content), row.file_type) == (10, b"x" * 10, "document")
+    assert row.stored_name.endswith(".pdf") and "/" not in row.stored_name and " " not in row.stored_name
+
+
+def test_clone_names(spark):
     names = spark.createDataFrame([(1, "X"), (2, "X (копия)"), (3, "X (копия 3)"), (4, "Y")], "id bigint, name string")
     got = dict(values(mutations.clone_names(names), "id", "clone_name"))
     assert got == {1: "X (копия 2)", 2: "X (копия) (копия)", 3: "X (копия 3) (копия)", 4: "Y (копия)"}
@@ -217,18 +253,21 @@ def test_upsert_and_clone_names(spark):
 
 
 def test_stream_equals_batch(spark, tmp_path):
+    """Two runs over what has come, with the states in between, give the changes of one batch; a missing progress counts as 100."""
     start, r = datetime.datetime(2024, 1, 1), random.Random(2)
-    rows = [(i, f"t{i % 3}", start + datetime.timedelta(minutes=i), "PROGRESS", r.choice([-5, 10, 10, 50, 120])) for i in range(60)]
-    events = spark.createDataFrame(rows, "event_id bigint, task_id string, ts timestamp_ntz, state string, progress int")
-    events.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = progress.read_stream(spark, str(tmp_path / "in"), events.schema)
-    progress.run_available(progress.progress_changes_stream(stream), str(tmp_path / "out"), str(tmp_path / "state"))
+    rows = [(i, f"t{i % 3}", start + datetime.timedelta(minutes=i), "PROGRESS", r.choice([-5, 10, 10, 50, 120, None])) for i in range(80)]
+    schema = "event_id bigint, task_id string, ts timestamp_ntz, state string, progress int"
+    for part in (rows[:40], rows[40:], []):
+        if part:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = progress.read_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)
+        progress.write_progress_changes(stream, str(tmp_path / "out"), str(tmp_path / "states"), str(tmp_path / "checkpoint"))
     got = values(spark.read.parquet(str(tmp_path / "out")), "task_id", "event_id", "progress")
     last, want = {}, []
     for i, t, _, _, p in rows:
-        p = max(0, min(100, p))
+        p = 100 if p is None else max(0, min(100, p))
         if last.get(t) != p:
             want.append((t, i, p))
         last[t] = p
     assert got == sorted(want, key=str)
-    assert values(progress.progress_changes(events), "task_id", "event_id", "progress") == got
+    assert values(progress.progress_changes(spark.createDataFrame(rows, schema)), "task_id", "event_id", "progress") == got
