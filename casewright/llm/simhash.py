@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, in_sieve, sieve, unused
+from .common import Scratch, in_sieve, shuffle_partitions, sieve, unused
 from .components import connected_components
 
 SEED = 42
@@ -75,14 +75,18 @@ def _ball(value: Column, bits: int) -> Column:
 
 def links(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp) that join up all pairs within RADIUS bits, and no others."""
-    nodes = nodes.select("fp")
+    # Fingerprints are few bytes and make many rows, so they are dealt over all partitions; planned sizes don't know
+    # how many rows a value makes, so joins of these are told to merge.
+    nodes = nodes.select("fp").repartition(shuffle_partitions(nodes.sparkSession), "fp")
     low, high = F.col("fp").bitwiseAND(MASK), F.shiftrightunsigned("fp", 32)
     halves = nodes.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("side"), low.alias("own"), high.alias("rest")), F.struct(F.lit(1).alias("side"), high.alias("own"), low.alias("rest")))).alias("h")).select("fp", "h.*")
     keyed = halves.select("fp", "side", "rest", F.posexplode(_ball(F.col("own"), 1)).alias("flip", "key"))
     keyed = keyed.select("fp", "side", "key", "rest", (F.col("flip") > 0).alias("variant"))
     # A key matters if some fingerprint has it as its value and another meets it; most keys have one row and end here.
-    shared = keyed.groupBy("side", "key").agg(F.count("*").alias("n"), F.min("variant").alias("alone")).where((F.col("n") > 1) & ~F.col("alone")).drop("n", "alone")
-    met = scratch.put(keyed.join(shared, ["side", "key"]))
+    shared = keyed.groupBy("side", "key").agg(F.count("*").alias("n"), F.min("variant").alias("alone")).where((F.col("n") > 1) & ~F.col("alone")).select("side", "key")
+    shared = scratch.put(shared)
+    slots = sieve(shared.select(F.xxhash64("side", "key").alias("k")), "k")
+    met = scratch.put(in_sieve(keyed, F.xxhash64("side", "key"), slots, "hit").where("hit").drop("hit").join(shared.hint("merge"), ["side", "key"]))
 
     # Role 1 is a centre within 1 bit, 2 a value at 2 bits, 3 a variant of the key, which is a centre at its own rest.
     wide = met.where(~F.col("variant")).select("fp", "side", "key", F.explode(_ball(F.col("rest"), 2)).alias("at"), "rest")
@@ -91,7 +95,7 @@ def links(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     spots = wide.union(close)
     hubs = spots.groupBy("side", "key", "at").agg(F.min(F.when(F.col("role") != 2, F.col("fp"))).alias("hub"), F.count("*").alias("n")).where(F.col("hub").isNotNull() & (F.col("n") > 1)).drop("n")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= RADIUS
-    found = spots.join(hubs, ["side", "key", "at"]).where((F.col("fp") != F.col("hub")) & near)
+    found = spots.join(hubs.hint("merge"), ["side", "key", "at"]).where((F.col("fp") != F.col("hub")) & near)
     return found.select(F.greatest("fp", "hub").alias("a"), F.least("fp", "hub").alias("b")).distinct()
 
 
