@@ -14,6 +14,8 @@ import struct
 OTHER_SPACE = "\t\x0b\x0c\r\x85\xa0                　"
 #: Python counts these as white space, the tokenizers' patterns do not.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Marks that no pre-tokenizer joins to letters before them; an apostrophe may be.
+MARKS = ".,;:!?*#$%&()[]{}<>|/\"+-=_~@^"
 _UNIT = re.compile(r"\s*\S+|\s+\Z")
 
 
@@ -94,14 +96,14 @@ class FileEncoder(UnitEncoder):
     added tokens' strings, whole texts are encoded.
     """
 
-    #: Runs of blanks and lines, marks, digits, apostrophes, other scripts, and letters that change when lower-cased.
-    PROBE = " Two  words,\n\nit's 12345 a_b-c. \tX\n é 日本 テスト! \u00a0İI ΟΔΟΣ.\n don't 'll 's"
+    #: Runs of blanks and lines, words with marks behind them, digits, apostrophes, other scripts, and letters that change when lower-cased.
+    PROBE = " Two  words, words. words? (words) words-- ***words$$$\n\nit's 12345 a_b-c. \tX\n é 日本 テスト! \u00a0İI ΟΔΟΣ.\n don't 'll 's"
 
     def __init__(self, path: str, keeps_spaces: bool, memo_limit: int = 700_000):
         from tokenizers import Tokenizer
 
         super().__init__(keeps_spaces, memo_limit)
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.apart = Tokenizer.from_file(path), True
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.starts = {f(t[0]) for t in self.added for f in (str.lower, str.upper)}
         units = self.PROBE.split() if not keeps_spaces else _UNIT.findall(self.PROBE)
@@ -112,13 +114,40 @@ class FileEncoder(UnitEncoder):
             return False
         return not any(c in text for c in self.starts) or not any(t in low for low in [text.lower()] for t in self.added)
 
-    def _packed(self, units: list[str]) -> list[bytes]:
+    def _rust(self, text: str | list[str], n: int) -> list[bytes] | None:
+        """The ids of each of the `n` words of a text, or of a list of units; None if the text's words aren't its pieces."""
         import numpy as np
 
-        found = self.tokenizer.encode(units, is_pretokenized=True, add_special_tokens=False)
-        ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(units) + 1)) * 4
-        ids = np.array(found.ids, "<u4").tobytes()
-        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        found = self.tokenizer.encode(text, is_pretokenized=not isinstance(text, str), add_special_tokens=False)
+        words = np.array(found.word_ids, np.int64)
+        if isinstance(text, str) and (not len(words) or words[-1] + 1 != n):
+            return None
+        ends, ids = (np.searchsorted(words, np.arange(n + 1)) * 4).tolist(), np.array(found.ids, "<u4").tobytes()
+        return [ids[x:y] for x, y in zip(ends[:-1], ends[1:])]
+
+    def _packed(self, units: list[str]) -> list[bytes]:
+        """Letters with marks behind them are a piece of letters and one of marks: words are encoded without their marks, and once."""
+        blank = " " if self.keeps_spaces else ""
+        known = self.spaced if self.keeps_spaces else self.units
+        parts, stems, rest = {}, {}, {}
+        for unit in units:
+            body = unit.removeprefix(blank)
+            stem = body.rstrip(MARKS)
+            if self.apart and stem.isalpha() and (body is not unit or not blank):
+                parts[unit] = stem, body[len(stem) :]
+                if stem not in known:
+                    stems[stem] = None
+                rest[body[len(stem) :]] = None
+            else:
+                rest[unit] = None
+        rest.pop("", None)
+        told = self._rust(blank + " ".join(stems), len(stems)) if stems else []
+        if told is None:
+            told = self._rust([blank + x for x in stems], len(stems))
+        stems = dict(zip(stems, told))
+        rest = dict(zip(rest, self._rust(list(rest), len(rest)) if rest else [])) | {"": b""}
+        piece = lambda stem: stems[stem] if stem in stems else known[stem]
+        return [piece(parts[u][0]) + rest[parts[u][1]] if u in parts else rest[u] for u in units]
 
     def _unit(self, unit: str) -> list[int]:
         return self.tokenizer.encode([unit], is_pretokenized=True, add_special_tokens=False).ids
