@@ -1,9 +1,11 @@
 import random
+from functools import cache
 
 from casewright.llm import line_dedup
 from .test_simhash import brute_components
 
 
+@cache
 def shingles(line):
     return {line[i : i + 7] for i in range(max(1, len(line) - 6))}
 
