@@ -20,41 +20,51 @@ UNIT = 1_000_000_000
 MIN_DOCUMENTS = 3
 TOP_TERMS = 200
 #: Bounds of what a task holds: bytes of text made into counts at once, leaves of its tries, cells of pair sums, candidates.
-_BYTES, _LEAVES, _CELLS, _CANDIDATES = 1 << 25, 400_000, 1 << 22, 1 << 20
+_BYTES, _LEAVES, _CELLS, _CANDIDATES = 1 << 22, 300_000, 1 << 22, 1 << 20
 #: Letters of terms: A to Z become small, other ASCII becomes 0, bytes of longer characters stay.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 0 for c in range(256))
 _COUNTER = [("group", "<i8"), ("n", "<i8"), ("docs", "<i8")]
 
 
 class Trie:
-    """Byte trie with compressed edges. A node is [edge, rows of counters or None, nodes by their first byte]."""
+    """Byte trie with compressed edges. A node is [edge, rows of counters or None, nodes by their first byte or None]."""
 
     def __init__(self):
-        self.root, self.leaves = [b"", None, {}], 0
-
-    def add(self, term: bytes, row: int) -> None:
-        node, at, end = self.root, 0, len(term)
-        while at < end:
-            below = node[2].get(term[at])
-            if below is None:
-                node[2][term[at]] = below = [term[at:], None, {}]
-                node, at = below, end
-                continue
-            edge = below[0]
-            if term.startswith(edge, at):
-                node, at = below, at + len(edge)
-                continue
-            same, most = 1, min(len(edge), end - at)
-            while same < most and edge[same] == term[at + same]:
-                same += 1
-            fork = [edge[:same], None, {edge[same]: below}]
-            below[0] = edge[same:]
-            node[2][term[at]] = fork
-            node, at = fork, at + same
-        if node[1] is None:
-            node[1] = []
-            self.leaves += 1
-        node[1].append(row)
+        self.root, self.leaves = [b"", None, None], 0
+
+    def add(self, terms: list[bytes], shared: list[int], rows) -> None:
+        """Adds sorted terms, each from the last node on the way to the one before it that lies within what they share."""
+        way, depths = [self.root], [0]
+        for term, known, row in zip(terms, shared, rows):
+            while depths[-1] > known:
+                way.pop()
+                depths.pop()
+            node, at, end = way[-1], depths[-1], len(term)
+            while at < end:
+                below = node[2] and node[2].get(term[at])
+                if below is None:
+                    below = [term[at:], None, None]
+                    if node[2] is None:
+                        node[2] = {}
+                    node[2][term[at]] = below
+                    node, at = below, end
+                elif term.startswith(below[0], at):
+                    node, at = below, at + len(below[0])
+                else:
+                    edge, same = below[0], 1
+                    most = min(len(edge), end - at)
+                    while same < most and edge[same] == term[at + same]:
+                        same += 1
+                    fork = [edge[:same], None, {edge[same]: below}]
+                    below[0] = edge[same:]
+                    node[2][term[at]] = fork
+                    node, at = fork, at + same
+                way.append(node)
+                depths.append(at)
+            if node[1] is None:
+                node[1] = []
+                self.leaves += 1
+            node[1].append(row)
 
     def walk(self):
         """(term, rows) in the order of bytes."""
@@ -64,7 +74,27 @@ class Trie:
             term = before + edge
             if rows is not None:
                 yield term, rows
-            todo += [(term, below[c]) for c in sorted(below, reverse=True)]
+            if below:
+                todo += [(term, below[c]) for c in sorted(below, reverse=True)]
+
+
+def shared_prefixes(terms):
+    """How many bytes each of the terms (a binary array) shares with the one before it."""
+    import numpy as np
+
+    offsets, out = np.frombuffer(terms.buffers()[1], np.int32)[terms.offset :][: len(terms) + 1].astype(np.int64), np.zeros(len(terms), np.int64)
+    data, sizes = np.frombuffer(terms.buffers()[2] or b"", np.uint8), np.diff(offsets)
+    pairs, most = np.arange(1, len(terms)), np.minimum(sizes[1:], sizes[:-1])
+    for k in range(64):
+        pairs = pairs[most[pairs - 1] > k]
+        pairs = pairs[data[offsets[pairs] + k] == data[offsets[pairs - 1] + k]]
+        out[pairs] += 1
+        if not len(pairs):
+            break
+    for i in pairs.tolist():  # few terms are that long
+        differ = np.flatnonzero(data[offsets[i] :][: most[i - 1]] != data[offsets[i - 1] :][: most[i - 1]])
+        out[i] = differ[0] if len(differ) else most[i - 1]
+    return out.tolist()
 
 
 def summed(owner, counters):
@@ -103,12 +133,13 @@ class Counts:
     """A task's tries, by language, and the counters that their leaves tell."""
 
     def __init__(self):
-        self.tries, self.counters, self.starts, self.size = {}, [], [], 0
+        self.tries, self.counters, self.starts, self.rows, self.size = {}, [], [], 0, 0
 
     def count(self, texts: list[bytes], langs, groups) -> None:
         """Adds documents; an empty term counts the documents of each group."""
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         letters = np.frombuffer(b"\0".join(texts).translate(_LETTERS), np.uint8)
         inside = letters != 0
@@ -116,33 +147,35 @@ class Counts:
         starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
         offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
         coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters[inside].tobytes())]).dictionary_encode()
-        terms = [*coded.dictionary.to_pylist(), b""]
+        order = pc.sort_indices(coded.dictionary)
+        terms = pa.concat_arrays([pa.array([b""], pa.binary()), coded.dictionary.take(order)])
+        place = np.empty(len(order), np.int64)
+        place[order.to_numpy()] = np.arange(1, len(terms))
         bounds = np.cumsum([len(t) + 1 for t in texts])
-        per_document = np.diff(np.searchsorted(starts, bounds), prepend=0)
-        document = np.repeat(np.arange(len(texts)), per_document)
-        kinds, group = np.unique(np.stack([langs, groups]), axis=1, return_inverse=True)  # by language, then group
-        group = group.reshape(-1)
-
-        found, n = np.unique(document * len(terms) + coded.indices.to_numpy(), return_counts=True)
-        document, code = np.concatenate([found // len(terms), np.arange(len(texts))]), np.concatenate([found % len(terms), np.full(len(texts), len(terms) - 1)])
-        cell, which = np.unique(code * kinds.shape[1] + group[document], return_inverse=True)
-        counters = np.zeros(len(cell), _COUNTER)
-        code, own = cell // kinds.shape[1], cell % kinds.shape[1]
-        counters["group"], counters["docs"] = kinds[1][own], np.bincount(which)
-        # Sums of whole numbers under 2 ** 53 are exact as doubles.
-        counters["n"] = np.bincount(which, np.concatenate([n, np.zeros(len(texts))])).astype(np.int64)
-        lang = kinds[0][own]
-        first = np.ones(len(cell), bool)
-        first[1:] = (code[1:] != code[:-1]) | (lang[1:] != lang[:-1])
-        at = np.flatnonzero(first)
-        row = len(self.starts)
-        for r, (c, of) in enumerate(zip(code[at].tolist(), lang[at].tolist()), row):
-            if of not in self.tries:
-                self.tries[of] = Trie()
-            self.tries[of].add(terms[c], r)
-        self.starts += (at + self.size).tolist()
-        self.size += len(counters)
+        document = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, bounds), prepend=0))
+        kinds, kind = np.unique(np.stack([langs, groups]), axis=1, return_inverse=True)  # by language, then group
+        names, lang = np.unique(kinds[0], return_inverse=True)
+
+        # Occurrences of each term in each document, then sums by language, term and group.
+        found, n = np.unique(document * len(terms) + place[coded.indices.to_numpy()], return_counts=True)
+        document, term = np.concatenate([found // len(terms), np.arange(len(texts))]), np.concatenate([found % len(terms), np.zeros(len(texts), np.int64)])
+        kind = kind.reshape(-1)[document]
+        cell = (lang[kind] * len(terms) + term) * kinds.shape[1] + kind
+        order = np.argsort(cell, kind="stable")
+        cell, n = cell[order], np.concatenate([n, np.zeros(len(texts), np.int64)])[order]
+        at = np.flatnonzero(np.diff(cell, prepend=-1))
+        counters = np.zeros(len(at), _COUNTER)
+        counters["group"], counters["n"], counters["docs"] = kinds[1][cell[at] % kinds.shape[1]], np.add.reduceat(n, at), np.diff(at, append=len(cell))
+        row = cell[at] // kinds.shape[1]
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        row = row[first]
+        for k, name in enumerate(names.tolist()):
+            mine = np.arange(*np.searchsorted(row, [k * len(terms), (k + 1) * len(terms)]))
+            own = terms.take(pa.array(row[mine] - k * len(terms)))
+            self.tries.setdefault(name, Trie()).add(own.to_pylist(), shared_prefixes(own), (mine + self.rows).tolist())
+        self.starts.append(first + self.size)
         self.counters.append(counters)
+        self.rows, self.size = self.rows + len(first), self.size + len(counters)
 
     def leaves(self) -> int:
         return sum(t.leaves for t in self.tries.values())
@@ -152,8 +185,9 @@ class Counts:
         import numpy as np
         import pyarrow as pa
 
-        counters = np.concatenate(self.counters) if self.counters else np.zeros(0, _COUNTER)
-        starts = np.array([*self.starts, self.size])
+        counters = np.concatenate([np.zeros(0, _COUNTER), *self.counters])
+        starts = np.concatenate([*self.starts, [self.size]])
+        self.counters, self.starts = [], []
         for lang, trie in sorted(self.tries.items()):
             walk = trie.walk()
             while part := [x for _, x in zip(range(8192), walk)]:

@@ -83,12 +83,18 @@ def test_many_batches_of_one_term(spark):
 
 
 def test_trie_equals_a_dictionary():
+    import pyarrow as pa
+
     r = random.Random(1)
-    trie, want = audit.Trie(), defaultdict(list)
-    for row in range(3000):
-        term = bytes(r.choice(b"ab\xc3\xa9\xff") for _ in range(r.randrange(8)))
-        trie.add(term, row)
-        want[term].append(row)
+    trie, want, row = audit.Trie(), defaultdict(list), 0
+    for n in (1, 5, 300, 700, 2, 90):
+        terms = sorted({bytes(r.choice(b"ab\xc3\xa9\xff") for _ in range(r.randrange(8))) for _ in range(n)} | {b"a" * k for k in (63, 64, 65, 200, 300)})
+        shared = audit.shared_prefixes(pa.array([b"a", *terms], pa.binary())[1:])
+        assert shared[1:] == [next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(terms, terms[1:])]
+        trie.add(terms, [0, *shared[1:]], range(row, row + len(terms)))
+        for t in terms:
+            want[t].append(row)
+            row += 1
     assert list(trie.walk()) == sorted(want.items()) and trie.leaves == len(want)
 
 
