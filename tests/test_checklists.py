@@ -93,6 +93,16 @@ def test_results_of_every_case(spark):
     assert len(got) == len(want) and dict(got) == want
 
 
+def test_first_of_repeated_results(spark):
+    rows = [(5, 1, 10, "b", 0.5), (3, 1, 10, "c", None), (9, 1, 10, "a", 0.1), (4, 1, None, None, 0.2), (6, 1, None, "x", 0.3)]
+    df = spark.createDataFrame(rows, "id bigint, application_id bigint, parameter_id bigint, value string, confidence double")
+    by_id = {(r.application_id, r.parameter_id): (r.id, r.value) for r in report.first_results(df).collect()}
+    assert by_id == {(1, 10): (3, "c"), (1, None): (4, None)}
+    by_value = {(r.application_id, r.parameter_id): r.value for r in report.first_results(df.drop("id")).collect()}
+    assert by_value == {(1, 10): "a", (1, None): None}
+    assert report.first_results(df.limit(0)).count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the driver's tables are not here")
 def test_queries_answer_every_parameter_and_case(spark):
     from casewright.sources.relations import load
