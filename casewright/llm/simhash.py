@@ -121,11 +121,11 @@ def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """The rows of `docs`, with all their columns, that are their component's least by id and text; nulls go last.
 
     A row is told by its id and text: rows that repeat both are one and one of them stays, the least by its other
-    columns' hash, but different texts that share an id, or have none, are rows of their own. What goes is chosen
+    columns' hash, whatever these hold (maps and variants by their JSON), but different texts that share an id, or have none, are rows of their own. What goes is chosen
     in narrow columns; only rows that a sieve can't tell from those are shuffled with their texts.
     """
     row, gone, hit, own = unused(docs, "row", "gone", "hit", "own")
-    others = [c for c, kind in docs.dtypes if c != text_col and not any(x in kind for x in ("map", "variant"))]
+    others = [F.to_json(F.struct(c)) if any(x in kind for x in ("map", "variant")) else F.col(c) for c, kind in docs.dtypes if c != text_col]
     mark = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.md5(F.coalesce(text_col, F.lit(""))).alias("digest"), F.xxhash64(*others).alias("tie"))
     marked = docs.withColumn(row, mark)
     scratch = Scratch(docs.sparkSession, "simhash")

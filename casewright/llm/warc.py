@@ -146,7 +146,7 @@ _ARC_SCHEMA = _schema("path string, offset bigint, version int, url string, ip s
 def read_arc(files: DataFrame, key_header: str = "X-Record-Key") -> DataFrame:
     """One row per record of ARC files (path, content); a file without records has none.
 
-    key is the whole number in the HTTP header of that name, or null.
+    key is the whole number of 64 bits in the HTTP header of that name, or null.
     """
 
     def run(batches):
@@ -162,7 +162,7 @@ def read_arc(files: DataFrame, key_header: str = "X-Record-Key") -> DataFrame:
                 for r in arc_records(content):
                     head, payload = http_parts(r["block"]) if r["url"].startswith("http") else (b"", r["block"])
                     key = http_header(head, key_header)
-                    key = int(key) if key and re.fullmatch(r"-?\d{1,18}", key) else None
+                    key = int(key) if key and re.fullmatch(r"-?\d{1,19}", key) and -(1 << 63) <= int(key) < 1 << 63 else None
                     digest = hashlib.sha256(payload).hexdigest()
                     rows.append((path, r["offset"], r["version"], r["url"], r["ip"], r["date"], r["mime"], r["truncated"], key, len(payload), digest, head, payload))
                     size += len(r["block"])
@@ -190,7 +190,7 @@ def warc_fields(records: DataFrame) -> DataFrame:
 
 
 def _rank() -> list:
-    return [F.coalesce("key", F.lit(1 << 62)).alias("k"), F.col("date").alias("d"), F.col("path").alias("p"), F.col("offset").alias("o")]
+    return [F.col("key").isNull().alias("none"), F.col("key").alias("k"), F.col("date").alias("d"), F.col("path").alias("p"), F.col("offset").alias("o")]
 
 
 def arc_to_warc(files: DataFrame, key_header: str = "X-Record-Key", min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:

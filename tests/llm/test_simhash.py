@@ -95,3 +95,11 @@ def test_columns_of_any_name_stay(spark):
     assert got.columns == names
     kept = got.collect()
     assert {(r.doc_id, r.text) for r in kept} == {(1, rows[0][1]), (None, None)} and len(kept) == 2
+
+
+def test_maps_and_variants_tell_rows(spark):
+    """Equal documents are one whatever else they hold, and which of them stays doesn't hang on how they are dealt."""
+    rows = [(1, "some words of a text that repeats", {"k": str(i)}, f'{{"a": {i}}}') for i in range(6)] + [(2, "quite another text with other words", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m map<string,string>, j string").selectExpr("doc_id", "text", "m", "parse_json(j) AS v", "struct(m) AS s")
+    got = [[(r.doc_id, str(r.m), r.v and str(r.v.toPython())) for r in simhash.keep_one_of_each(df.repartition(n)).collect()] for n in (1, 2, 5)]
+    assert sorted(k for k, *_ in got[0]) == [1, 2] and sorted(got[0]) == sorted(got[1]) == sorted(got[2])

@@ -121,3 +121,13 @@ def test_records_across_pieces_of_the_buffer():
         got = list(warc.arc_records(content))
         assert [r["block"] for r in got[1:]] == blocks
         assert all(data[r["offset"] :].startswith(r["url"].encode()) for r in got)
+
+
+def test_ids_of_the_whole_range(spark, tmp_path):
+    text, most = "z" * 150, (1 << 63) - 1
+    rows = [(most, "http://h/1", text), (-most - 1, "http://h/2", text), (most - 1, "http://h/3", "w" * 120), (None, "http://h/4", "w" * 120), (1 << 62, "http://h/5", "v" * 110), (None, "http://h/6", "v" * 110)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    path = str(tmp_path / "range")
+    warc.write_warc(warc.arc_to_warc(warc.write_arc_rows(df)), path)
+    got = {r.key: (r.record_type, r.refers_key) for r in warc.read_warc(spark, path).collect() if r.record_type != "warcinfo" and r.key is not None}
+    assert got == {most: ("revisit", -most - 1), -most - 1: ("response", None), most - 1: ("response", None), 1 << 62: ("response", None)}
