@@ -3,8 +3,9 @@
 Calls and results are joined by conversation and identifier (a shuffled hash join on both, so one long
 conversation spreads by its identifiers). Calls whose arguments hold the result of another call ("$id") come
 after it: the order of turns already puts every call behind the earlier ones it needs, however long such a chain
-is. Only calls that need a later one, and those that depend on them, are placed in rounds, as many as there are
-calls in a row behind a later one. Arguments are validated against the tools' schemas and everything is serialised
+is. Only in conversations where a call needs a later one are calls placed by levels: chains of calls that need one
+other each are followed by pointer doubling, so their length costs its logarithm in rounds, and calls that need
+several are placed once the chains between them are short-cut. Arguments are validated against the tools' schemas and everything is serialised
 as canonical JSON: no blanks, keys in order, by Spark's variant type.
 """
 
@@ -65,28 +66,90 @@ def argument_errors(schemas: dict[str, dict[str, tuple[str, bool]]]) -> Column:
     return F.sort_array(F.filter(F.array(*found), lambda e: e.isNotNull()))
 
 
+def _after(k: str, c: str, m: str) -> tuple[Column, Column, Column]:
+    """A reference's (k, c, m), from columns of these names, put after that of the call it needs (t_k, t_c, t_m).
+
+    They say what level x of the call at the far end makes of the near one's: at least m, and x + k, where x is over
+    0, else c.
+    """
+    return F.col(k) + F.col("t_k"), F.when(F.col("t_c") > 0, F.greatest(F.col("t_c") + F.col(k), m)).otherwise(F.col(c)), F.greatest(F.col("t_m") + F.col(k), m)
+
+
+def _far(rows: DataFrame) -> DataFrame:
+    return rows.select(*(F.col(c).alias(f"t_{c}") for c in rows.columns))
+
+
+def _settled(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(node, level) of the calls whose references are all known (null: one of them is in or behind a cycle), and one row (node, needs, k, c, m) for each open one of the others.
+
+    rows: node, needs (null where it is known, and c the level that it asks for), k, c, m, bad.
+    """
+    known = rows.groupBy("node").agg(F.count("needs").alias("n"), F.max(F.when(F.col("needs").isNull(), F.col("c"))).alias("g"), F.max("bad").alias("any_bad")).withColumnRenamed("node", "k_node")
+    known = scratch.put(known)
+    done = scratch.put(known.where("any_bad or n = 0").select(F.col("k_node").alias("node"), F.when(~F.col("any_bad"), F.col("g")).alias("level")))
+    merged = rows.where("needs is not null").groupBy("node", "needs").agg(*(F.max(x).alias(x) for x in ("k", "c", "m")))
+    graph = merged.join(known.where("not any_bad and n > 0"), F.col("node") == F.col("k_node"))
+    return done, scratch.put(graph.select("node", "needs", "k", F.greatest("c", "g").alias("c"), F.greatest("m", "g").alias("m")))
+
+
+def _followed(chain: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows of calls that need one other each, led to the far end of their chain by pointer doubling; open: there is none, it runs into a cycle."""
+    is_in = chain.select(F.col("node").alias("t_node")).distinct()
+    now = scratch.put(chain.join(is_in, F.col("needs") == F.col("t_node"), "left").select(*chain.columns, F.col("t_node").isNotNull().alias("open")))
+    reach, last = 1, False
+    while not last and (n := now.where("open").count()):
+        last = reach >= n  # no chain that ends can have more calls left than are open and were passed
+        k, c, m = _after("k", "c", "m")
+        step = now.where("open").join(_far(now), F.col("needs") == F.col("t_node")).select("node", F.col("t_needs").alias("needs"), k.alias("k"), c.alias("c"), m.alias("m"), F.col("t_open").alias("open"))
+        before, now, reach = now, scratch.put(step.unionByName(now.where("not open"))), 2 * reach
+        scratch.drop(before)
+    return now
+
+
 def call_levels(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """node, level of the calls that have to be moved: those that need a later call, or one that has to be moved.
+    """node, level of the calls with references in conversations where some call needs a later one.
 
-    edges: node, needs (both structs that tell a call), backward (the call it needs comes before it). Level 1 needs
-    none that is moved; others are one above the highest they need; null in or behind a cycle. All other calls have
-    level 0, and (level, turn, place) orders a conversation topologically.
+    edges: node, needs (both structs that tell a call), backward (the call it needs comes before it). A call that
+    needs a later one, or one that has to be moved, has to be moved: its level is one above the highest of those that
+    it needs and that are moved, 1 if there is none. Level null is in or behind a cycle. All other calls have level 0,
+    and (level, turn, place) orders a conversation topologically. Rounds, of a few tables each, grow with the
+    logarithm of the longest chain of calls that need one other each, and with how many calls in a row need several.
     """
-    edges = scratch.put(edges.select("node", "needs", "backward").distinct())
-    moved = front = scratch.put(edges.where(~F.col("backward")).select("node").distinct())
-    while not front.isEmpty():
-        behind = edges.join(front.select(F.col("node").alias("needs")), "needs", "left_semi").select("node").distinct()
-        front = scratch.put(behind.join(moved, "node", "left_anti"))
-        moved = moved.union(front)
-    pending = scratch.put(edges.join(moved, "node", "left_semi").join(moved.select(F.col("node").alias("needs")), "needs", "left_semi").select("node", "needs"))
-    level = 1
-    placed = front = scratch.put(moved.join(pending.select("node").distinct(), "node", "left_anti").withColumn("level", F.lit(level)))
-    while not front.isEmpty() and not pending.isEmpty():
-        level += 1
-        left = scratch.put(pending.join(front.select(F.col("node").alias("needs")), "needs", "left_anti").select("node", "needs"))
-        front = scratch.put(pending.select("node").distinct().join(left.select("node").distinct(), "node", "left_anti").withColumn("level", F.lit(level)))
-        placed, pending = placed.union(front), left
-    return moved.join(placed, "node", "left")
+    forward = edges.where(~F.col("backward")).select(F.col("node.conv").alias("f_conv")).distinct()
+    asked = scratch.put(edges.distinct().join(forward, F.col("node.conv") == F.col("f_conv"), "left_semi"))
+    nodes = asked.select(F.col("node").alias("t_node")).distinct()
+    none = F.lit(None).cast("int")
+    rows = asked.join(nodes, F.col("needs") == F.col("t_node"), "left").select("node", F.col("t_node").alias("needs"), F.lit(1).alias("k"), (~F.col("backward")).cast("int").alias("c"), none.alias("m"), F.lit(False).alias("bad"))
+    found, behind = [], []
+    while True:
+        done, graph = _settled(rows, scratch)
+        found.append(done)
+        degree = graph.groupBy(F.col("node").alias("d_node")).agg(F.count("*").alias("n"))
+        counted = scratch.put(graph.join(degree, F.col("node") == F.col("d_node")).drop("d_node"))
+        n_done, n_one, n_more = done.count(), *counted.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") > 1)).first()
+        if not n_one and not n_done:  # what is left needs what is left
+            found.append(counted.select("node").distinct().withColumn("level", none))
+            break
+        chains = _followed(counted.where("n = 1").drop("n"), scratch)
+        found.append(chains.where("open or needs is null").select("node", F.when(~F.col("open"), F.col("c")).alias("level")))
+        behind.append(chains.where("not open"))
+        if not n_more:
+            break
+        # References of calls that need several are led to the ends of chains, and end there if their level is known.
+        k, c, m = (F.when(F.col("t_node").isNull(), F.col(x)).otherwise(y) for x, y in zip("kcm", _after("k", "c", "m")))
+        led = counted.where("n > 1").join(_far(chains), F.col("needs") == F.col("t_node"), "left").select("node", F.when(F.col("t_node").isNull(), F.col("needs")).otherwise(F.col("t_needs")).alias("needs"), k.alias("k"), c.alias("c"), m.alias("m"), F.coalesce("t_open", F.lit(False)).alias("bad"))
+        told = led.join(_far(done), F.col("needs") == F.col("t_node"), "left")
+        value = F.when(F.col("t_level") > 0, F.greatest(F.col("t_level") + F.col("k"), "m")).otherwise(F.col("c"))
+        ends = F.col("t_node").isNotNull()
+        rows = scratch.put(told.select("node", F.when(~ends, F.col("needs")).alias("needs"), "k", F.when(ends, value).otherwise(F.col("c")).alias("c"), "m", (F.col("bad") | (ends & F.col("t_level").isNull())).alias("bad")))
+    levels = found[-1]
+    for more in found[:-1]:
+        levels = levels.unionByName(more)
+    for chains in reversed(behind):  # the ends of later chains are known before those of earlier ones
+        ahead = chains.where("needs is not null").join(_far(levels), F.col("needs") == F.col("t_node"))
+        level = F.when(F.col("t_level") > 0, F.greatest(F.col("t_level") + F.col("k"), "m")).when(F.col("t_level") == 0, F.col("c"))
+        levels = scratch.put(levels.unionByName(ahead.select("node", level.alias("level"))))
+    return levels
 
 
 def link_tool_calls(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:

@@ -61,40 +61,53 @@ def op8_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+_MORE = {"after": ("string", False), "also": ("string", False)}
 #: Tools of the conversations that op9's query makes from `conversations`.
 TOOLS = {
-    "search": {"query": ("string", True), "limit": ("integer", True), "after": ("string", False)},
-    "lookup": {"query": ("string", True), "limit": ("integer", False), "after": ("string", False)},
-    "count": {"query": ("string", True), "exact": ("boolean", True), "limit": ("integer", False), "after": ("string", False)},
+    "search": {"query": ("string", True), "limit": ("integer", True), **_MORE},
+    "lookup": {"query": ("string", True), "limit": ("integer", False), **_MORE},
+    "count": {"query": ("string", True), "exact": ("boolean", True), "limit": ("integer", False), **_MORE},
 }
+#: So many conversations make one run of an agent.
+RUN = 256
 
 
 def tool_messages(conversations: DataFrame) -> DataFrame:
-    """Conversations with tool calls: a user's turn calls a tool with its whole text, the assistant's turn after it is the result.
-
-    Every fifth call has a limit of the wrong type, every seventh no query. Every call needs the result of the one
-    before it, so that a conversation is one chain; in every fourth conversation some calls need the next one instead,
-    and some need each other.
+    """Runs of tool calls: a user's turn calls a tool with its whole text, the assistant's turn after it is the result.
+
+    A run is RUN conversations one after another. A call needs the one before it in its conversation, and the first of
+    a conversation needs the first of the conversation before, so that chains are as long as a run; the first of a run
+    needs the call after it. Every fifth conversation's second call needs two calls, every sixteenth's second and third
+    need each other. Some later turns call nothing, so that their results have no call and references to them are
+    unknown; some results are given for the next call, before it stands. Every fifth call has a limit of the wrong
+    type, every seventh no query.
     """
-    conv, turn = F.col("conv_id").cast("string"), F.col("turn")
-    half = F.expr("turn div 2")
-    odd = F.when(F.col("conv_id") % 4 == 0, half % 20)
-    step = F.when(odd.isin(8, 10), 1).when(odd == 11, None).otherwise(-1)
-    after = F.when(half + step >= 0, F.concat(F.lit("$c"), conv, F.lit("-"), (turn + 2 * step).cast("string")))
-    pick = (turn + F.col("conv_id")) % 3
+    first = conversations.where("role = 'user'").groupBy("conv_id").agg(F.min("turn").alias("first"))
+    before = first.select((F.col("conv_id") + 1).alias("conv_id"), F.col("first").alias("before")).where(F.col("conv_id") % RUN != 0)
+    rows = conversations.join(first, "conv_id", "left").join(before, "conv_id", "left")
+    conv, turn, first, before = (F.col(c) for c in ("conv_id", "turn", "first", "before"))
+    identifier = lambda c, t: F.concat(F.lit("c"), c.cast("string"), F.lit("-"), t.cast("string"))
+    reference = lambda c, t: F.concat(F.lit("$"), identifier(c, t))
+    begins, second = (turn == first) & (conv % RUN == 0), turn == first + 2
+    after = F.when(begins | (second & (conv % 16 == 9)), reference(conv, turn + 2)).when(turn == first, reference(conv - 1, before))
+    after = after.when(~(second & (conv % RUN == 0)), reference(conv, turn - 2))
+    also = F.when(second & (conv % 5 == 2), reference(conv - 1, before))
+    pick = (turn + conv) % 3
     name = F.when(pick == 0, "search").when(pick == 1, "lookup").otherwise("count")
-    limit = F.when((turn + F.col("conv_id")) % 5 == 0, F.parse_json(F.concat(F.lit('"'), turn.cast("string"), F.lit('"')))).otherwise(F.parse_json(turn.cast("string")))
-    query = F.when((turn + F.col("conv_id")) % 7 != 0, F.col("text"))
+    limit = F.when((turn + conv) % 5 == 0, F.parse_json(F.concat(F.lit('"'), turn.cast("string"), F.lit('"')))).otherwise(F.parse_json(turn.cast("string")))
+    query = F.when((turn + conv) % 7 != 0, F.col("text"))
     exact = F.when(name == "count", F.lit(True))
-    arguments = F.to_json(F.struct(after.alias("after"), exact.alias("exact"), limit.alias("limit"), query.alias("query")))
-    calls = F.to_json(F.array(F.struct(F.concat(F.lit("c"), conv, F.lit("-"), turn.cast("string")).alias("id"), name.alias("name"), arguments.alias("arguments"))))
-    return conversations.select(
-        "conv_id",
-        "turn",
+    arguments = F.to_json(F.struct(after.alias("after"), also.alias("also"), exact.alias("exact"), limit.alias("limit"), query.alias("query")))
+    calls = F.to_json(F.array(F.struct(identifier(conv, turn).alias("id"), name.alias("name"), arguments.alias("arguments"))))
+    called = (F.col("role") == "user") & ~((turn > first) & ((conv + turn) % 13 == 5))
+    answered = F.when((conv + turn) % 17 == 3, turn + 1).otherwise(turn - 1)
+    return rows.select(
+        F.expr(f"conv_id div {RUN}").alias("conv_id"),
+        (conv * 1_000_000 + turn).alias("turn"),
         F.when(F.col("role") == "assistant", "tool").otherwise(F.col("role")).alias("role"),
         F.col("text").alias("content"),
-        F.when(F.col("role") == "user", calls).alias("tool_calls"),
-        F.when(F.col("role") == "assistant", F.concat(F.lit("c"), conv, F.lit("-"), (turn - 1).cast("string"))).alias("tool_call_id"),
+        F.when(called, calls).alias("tool_calls"),
+        F.when(F.col("role") == "assistant", identifier(conv, answered)).alias("tool_call_id"),
     )
 
 
@@ -133,23 +146,32 @@ FROM f"""
 
 _TEXT = """'"' || replace(replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't') || '"'"""
 OP9_SQL = f"""
-WITH c AS (SELECT *, 'c' || conv_id || '-' || turn AS id, turn // 2 AS half, CASE (turn + conv_id) % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'lookup' ELSE 'count' END AS name,
-      {_TEXT} AS quoted FROM conversations),
-s AS (SELECT *, CASE WHEN conv_id % 4 = 0 THEN half % 20 END AS odd FROM c WHERE role = 'user'),
-u AS (SELECT *, CASE WHEN odd IN (8, 10) THEN turn + 2 WHEN odd = 11 OR half = 0 THEN NULL ELSE turn - 2 END AS needs FROM s),
-e AS (SELECT u.*, k.id AS needs_id FROM u LEFT JOIN u k ON k.conv_id = u.conv_id AND k.turn = u.needs),
-l AS (SELECT conv_id, turn, CASE WHEN needs_id IS NOT NULL AND odd IN (8, 9) THEN NULL WHEN needs_id IS NOT NULL AND odd = 10 THEN 1 ELSE 0 END AS level FROM e),
-r AS (SELECT conv_id, turn, quoted AS result, 'c' || conv_id || '-' || (turn - 1) AS rid FROM c WHERE role = 'assistant'),
-j AS (SELECT coalesce(e.conv_id, r.conv_id) AS conv_id, coalesce(e.id, r.rid) AS call_id, coalesce(e.turn, r.turn) AS turn, e.name, e.turn AS t, e.quoted, e.needs, e.needs_id, r.rid, r.result,
-        (e.turn + e.conv_id) % 5 = 0 AS bad, (e.turn + e.conv_id) % 7 = 0 AS none
-      FROM e FULL JOIN r ON e.conv_id = r.conv_id AND e.id = r.rid)
-SELECT j.conv_id, call_id, j.turn, name, CAST(l.level AS BIGINT) AS level,
-  CASE WHEN t IS NULL THEN 'orphan' WHEN l.level IS NULL THEN 'cycle' WHEN rid IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
-  CASE WHEN t IS NOT NULL THEN array_to_string(list_filter([CASE WHEN bad THEN 'limit:not integer' END, CASE WHEN none THEN 'query:missing' END, CASE WHEN needs IS NOT NULL AND needs_id IS NULL THEN 'reference:unknown call' END], lambda x: x IS NOT NULL), ';') END AS errors,
-  md5('{{"arguments":' || CASE WHEN t IS NULL THEN 'null' ELSE '{{' || CASE WHEN needs IS NOT NULL THEN '"after":"$c' || j.conv_id || '-' || needs || '",' ELSE '' END || CASE WHEN name = 'count' THEN '"exact":true,' ELSE '' END
+WITH RECURSIVE f AS (SELECT conv_id, min(turn) AS first FROM conversations WHERE role = 'user' GROUP BY 1),
+c AS (SELECT t.*, f.first, p.first AS before, 'c' || t.conv_id || '-' || t.turn AS id, t.conv_id // {RUN} AS run, t.conv_id * 1000000 + t.turn AS place, {_TEXT} AS quoted,
+    CASE (t.turn + t.conv_id) % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'lookup' ELSE 'count' END AS name, (t.turn + t.conv_id) % 5 = 0 AS bad, (t.turn + t.conv_id) % 7 = 0 AS none
+  FROM conversations t LEFT JOIN f USING (conv_id) LEFT JOIN f p ON p.conv_id = t.conv_id - 1 AND t.conv_id % {RUN} <> 0),
+s AS (SELECT *, CASE WHEN (turn = first AND conv_id % {RUN} = 0) OR (turn = first + 2 AND conv_id % 16 = 9) THEN 'c' || conv_id || '-' || (turn + 2)
+      WHEN turn = first THEN 'c' || (conv_id - 1) || '-' || before WHEN NOT (turn = first + 2 AND conv_id % {RUN} = 0) THEN 'c' || conv_id || '-' || (turn - 2) END AS after,
+    CASE WHEN turn = first + 2 AND conv_id % 5 = 2 THEN 'c' || (conv_id - 1) || '-' || before END AS also
+  FROM c WHERE role = 'user' AND NOT (turn > first AND (conv_id + turn) % 13 = 5)),
+r AS (SELECT DISTINCT * FROM (SELECT id, place, unnest([after, also]) AS needs FROM s) WHERE needs IS NOT NULL),
+e AS (SELECT r.id, k.id AS needs, k.place < r.place AS back FROM r JOIN s k ON k.id = r.needs),
+u AS (SELECT DISTINCT id FROM r WHERE needs NOT IN (SELECT id FROM s)),
+moved AS (SELECT id FROM e WHERE NOT back UNION SELECT e.id FROM e JOIN moved m ON e.needs = m.id),
+n AS (SELECT count(*) AS n FROM moved),
+paths AS (SELECT id, 1 AS len FROM moved UNION SELECT e.id, len + 1 FROM paths p JOIN e ON e.needs = p.id, n WHERE len <= n),
+l AS (SELECT id, CASE WHEN max(len) <= any_value(n) THEN max(len) END AS level FROM paths, n GROUP BY 1),
+a AS (SELECT *, 'c' || conv_id || '-' || CASE WHEN (conv_id + turn) % 17 = 3 THEN turn + 1 ELSE turn - 1 END AS rid FROM c WHERE role = 'assistant'),
+b AS (SELECT *, row_number() OVER (PARTITION BY run, rid ORDER BY place, text) AS nth FROM a),
+j AS (SELECT coalesce(s.run, b.run) AS conv_id, coalesce(s.id, b.rid) AS call_id, coalesce(s.place, b.place) AS turn, s.name, s.turn AS t, s.quoted, s.after, s.also, s.bad, s.none, s.id, b.rid, b.place < s.place AS early, b.quoted AS result
+  FROM s FULL JOIN b ON s.run = b.run AND s.id = b.rid AND b.nth = 1)
+SELECT j.conv_id, call_id, j.turn, name, CASE WHEN t IS NOT NULL THEN CAST(CASE WHEN l.id IS NULL THEN 0 ELSE l.level END AS BIGINT) END AS level,
+  CASE WHEN t IS NULL THEN 'orphan' WHEN l.id IS NOT NULL AND l.level IS NULL THEN 'cycle' WHEN rid IS NULL THEN 'unanswered' WHEN early THEN 'early' ELSE 'linked' END AS status,
+  CASE WHEN t IS NOT NULL THEN array_to_string(list_filter([CASE WHEN bad THEN 'limit:not integer' END, CASE WHEN none THEN 'query:missing' END, CASE WHEN u.id IS NOT NULL THEN 'reference:unknown call' END], lambda x: x IS NOT NULL), ';') END AS errors,
+  md5('{{"arguments":' || CASE WHEN t IS NULL THEN 'null' ELSE '{{' || CASE WHEN after IS NOT NULL THEN '"after":"$' || after || '",' ELSE '' END || CASE WHEN also IS NOT NULL THEN '"also":"$' || also || '",' ELSE '' END || CASE WHEN name = 'count' THEN '"exact":true,' ELSE '' END
     || '"limit":' || CASE WHEN bad THEN '"' || t || '"' ELSE CAST(t AS VARCHAR) END || CASE WHEN none THEN '' ELSE ',"query":' || quoted END || '}}' END
     || ',"id":"' || call_id || '","name":' || coalesce('"' || name || '"', 'null') || ',"result":' || coalesce(result, 'null') || '}}') AS json_md5
-FROM j LEFT JOIN l ON l.conv_id = j.conv_id AND l.turn = j.t"""
+FROM j LEFT JOIN l ON l.id = j.id LEFT JOIN u ON u.id = j.id"""
 
 OP11_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings

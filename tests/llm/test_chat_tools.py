@@ -53,6 +53,56 @@ def test_long_chain_and_empty_table(spark):
     assert link(spark, []) == {}
 
 
+def plain_levels(needs):
+    """The definition over {call: calls it needs}; calls are (conversation, turn)."""
+    moved = {k for k, ks in needs.items() if any(x > k for x in ks)}
+    while more := {k for k, ks in needs.items() if k not in moved and moved & set(ks)}:
+        moved |= more
+    level = dict.fromkeys(needs.keys() - moved, 0)
+    while placed := {k: 1 + max((level[x] for x in needs[k] if x in moved), default=0) for k in moved - level.keys() if all(x in level for x in needs[k])}:
+        level |= placed
+    return {k: level.get(k) for k in needs}
+
+
+def linked_levels(spark, needs):
+    rows = [call(conv, turn, (f"c{turn}", "f", {"x": 1, "o": {str(k): f"$c{k[1]}" for k in ks}})) for (conv, turn), ks in needs.items()]
+    return {(r.conv_id, r.turn): r.level for r in link(spark, rows).values()}
+
+
+def test_levels_equal_their_definition(spark):
+    import random
+
+    r, needs = random.Random(9), {}
+    for conv in range(40):  # from chains to calls that need several, with and without cycles
+        n, forward, several = r.randrange(2, 20), r.choice([0, 0.05, 0.3, 1]), r.choice([1, 1, 2, 3])
+        for turn in range(n):
+            others = [k for k in range(n) if k != turn and (k < turn or r.random() < forward)]
+            needs[conv, turn] = [(conv, k) for k in r.sample(others, min(len(others), r.randrange(several + 1)))]
+    for conv, order in ((50, list(range(1, 10))), (51, r.sample(range(1, 10), 9))):  # calls that need the two before them in some order
+        for k, turn in enumerate(order):
+            needs[conv, turn] = [(conv, x) for x in order[max(0, k - 2) : k]]
+        needs[conv, order[0]] = [(conv, 99)]
+        needs[conv, 99] = []
+    want = plain_levels(needs)
+    assert linked_levels(spark, needs) == want
+    assert None in want.values() and max(x or 0 for x in want.values()) >= 9
+
+
+def test_a_long_chain_behind_a_later_call_takes_few_tables(spark, monkeypatch):
+    used = []
+
+    class Counted(chat_tools.Scratch):
+        def __init__(self, *a):
+            super().__init__(*a)
+            used.append(self)
+
+    monkeypatch.setattr(chat_tools, "Scratch", Counted)
+    for n in (24, 400):
+        needs = {(1, k): [(1, k - 1)] for k in range(2, n + 1)} | {(1, 1): [(1, 9000)], (1, 9000): []}
+        assert linked_levels(spark, needs) == plain_levels(needs)
+    assert used[0].n <= used[1].n <= used[0].n + 5
+
+
 def test_order_is_topological_and_cycles_are_told(spark):
     import random
 
