@@ -8,17 +8,15 @@ Sets under SMALL shingles get classic signatures of one permutation a value; lar
 cut into as many bins, empty bins borrowing from others. A pair at the threshold differs in size by a fifth at
 most, so sizes from LARGE to SMALL get both and no pair falls between the schemes.
 
-A bucket's lines are compared with its lead first: the line that meets the most others over all its buckets, which
-is the middle of a group of near copies. After union-find over these links, lines of a bucket that aren't in one
-component are compared with each other, once for all the buckets that they share, unless their numbers of
-shingles rule a link out. So no pair that shares a bucket goes unlinked. Among thousands of near copies whose
-similarities lie around the threshold, the lines that stay alone have to be compared with all others in their
-buckets, and these comparisons grow with the square of such a group.
+All lines of a bucket are compared, by counts of common shingles that an index over the bucket gives, and only the
+links that join its components leave the task, fewer than the bucket has lines. Buckets of up to SET lines that hold
+the same lines are one; those of more than BLOCK lines are dealt as pairs of blocks. So no pair that shares a bucket
+goes uncompared, no pair is spelled out as a row, and a task holds two blocks of lines at most.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,8 +30,10 @@ ROWS = 4
 SMALL, LARGE = 100, 80
 #: Characters for which signatures are made at once: arrays of this length stay in a core's cache.
 _CHARS = 131_072
-#: Shingles that a task keeps hashed while it compares lines: 64 MB.
-_HELD = 8_000_000
+#: Buckets of up to SET lines are told by these, in larger ones lines are counted one after another; larger ones than BLOCK lines are split.
+SET, BLOCK = 16, 4096
+#: Lines that are compared at once.
+_TOGETHER = 2048
 
 
 def line_key(line: Column) -> Column:
@@ -178,50 +178,144 @@ def shingle_hashes(line: str):
     return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
-def compared(pairs: DataFrame, threshold: float = THRESHOLD, keep: bool = False) -> DataFrame:
-    """a, b, size_a, size_b (numbers of shingles), near of the rows (a, b, id_a, id_b, line_a, line_b).
+def met_lines(buckets: DataFrame) -> DataFrame:
+    """meet, n, key: the different keys of each bucket (bucket, key) with at least two, n of them.
 
-    near: the lines have a Jaccard similarity of at least the threshold; other rows are left out unless kept. Sets
-    are compared by 64-bit hashes of their shingles, each line's made once while a task holds it.
+    Buckets with up to SET keys have their keys' hash for `meet`, so that equal ones are one; others their own.
     """
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        held, size = {}, 0
+        def mixed(x):
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            return x ^ (x >> np.uint64(29))
+
+        def out(bucket, key, closed):
+            """Rows of whole buckets, and what is left of the last one unless it is closed."""
+            new = np.ones(len(key), bool)
+            new[1:] = (bucket[1:] != bucket[:-1]) | (key[1:] != key[:-1])
+            bucket, key = bucket[new], key[new]
+            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            sizes = np.diff(first, append=len(key))
+            rest = slice(len(key), None) if closed else slice(first[-1], None)
+            sums = np.add.reduceat(mixed(key.view(np.uint64)), first)
+            meet = np.where(sizes <= SET, mixed(sums ^ sizes.astype(np.uint64)).view(np.int64), bucket[first])
+            whole = np.repeat(sizes > 1, sizes)
+            whole[rest] = False
+            rows = pa.RecordBatch.from_arrays([pa.array(np.repeat(meet, sizes)[whole]), pa.array(np.repeat(sizes, sizes)[whole]), pa.array(key[whole])], names=["meet", "n", "key"])
+            return rows, bucket[rest], key[rest]
+
+        bucket = key = np.zeros(0, np.int64)
+        for batch in batches:
+            bucket, key = (np.concatenate([x, c.to_numpy()]) for x, c in zip((bucket, key), batch.columns))
+            if len(key):
+                rows, bucket, key = out(bucket, key, False)
+                yield rows
+        if len(key):
+            yield out(bucket, key, True)[0]
 
-        def hashes(i, line):
-            nonlocal size
-            if i not in held:
-                if size >= _HELD:
-                    held.clear()
-                    size = 0
-                held[i] = shingle_hashes(line.as_py())
-                size += len(held[i])
-            return held[i]
+    ordered = buckets.select("bucket", "key").repartition("bucket").sortWithinPartitions("bucket", "key")
+    return ordered.mapInArrow(run, "meet bigint, n bigint, key bigint").distinct()
 
-        for batch in batches:
-            ids, lines = [c.to_pylist() for c in batch.columns[2:4]], batch.columns[4:6]
-            near, at, n = np.zeros(batch.num_rows, bool), 0, batch.num_rows
-            shingles = np.zeros((2, n), np.int32)
-            while at < n:
-                end = at + 1
-                while end < n and ids[0][end] == ids[0][at]:
-                    end += 1
-                left = hashes(ids[0][at], lines[0][at])
-                right = [hashes(ids[1][k], lines[1][k]) for k in range(at, end)]
-                sizes, flat = np.array([len(x) for x in right]), np.concatenate(right)
-                place = np.searchsorted(left, flat)
-                place[place == len(left)] = 0
-                common = np.add.reduceat(left[place] == flat, np.cumsum(sizes) - sizes, dtype=np.int64)
-                near[at:end] = common >= threshold * (len(left) + sizes - common)
-                shingles[0, at:end], shingles[1, at:end] = len(left), sizes
-                at = end
-            out = pa.RecordBatch.from_arrays([*batch.columns[:2], *map(pa.array, shingles), pa.array(near)], names=["a", "b", "size_a", "size_b", "near"])
-            yield out if keep else out.filter(out.column(4))
-
-    return pairs.select("a", "b", "id_a", "id_b", "line_a", "line_b").mapInArrow(run, "a binary, b binary, size_a int, size_b int, near boolean")
+
+def _near(common, size_a, size_b, threshold: float):
+    return common >= threshold * (size_a + size_b - common)
+
+
+def linked_in_small(shingles: list, groups, threshold: float):
+    """(a, b) of the near pairs of lines within each group; groups: of each line, in order. All groups are counted at once."""
+    import numpy as np
+
+    sizes = np.array([len(x) for x in shingles])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    key = np.concatenate(shingles) ^ (groups[owner].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(key, kind="stable")  # equal shingles of a group stand together, their lines in order
+    key, owner = key[order], owner[order]
+    found = []
+    for step in range(1, SET):
+        same = np.flatnonzero(key[step:] == key[:-step])
+        if not len(same):
+            break
+        found.append(owner[same] * len(sizes) + owner[same + step])
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    pair, common = np.unique(np.concatenate(found), return_counts=True)
+    a, b = pair // len(sizes), pair % len(sizes)
+    near = _near(common, sizes[a], sizes[b], threshold) & (a != b)
+    return a[near], b[near]
+
+
+def linked_in_large(shingles: list, threshold: float):
+    """(a, b) of near pairs that join the components of one group: for each line in turn the common shingles with all before it are counted by postings."""
+    import numpy as np
+
+    sizes = np.array([len(x) for x in shingles])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    _, term = np.unique(np.concatenate(shingles), return_inverse=True)
+    order = np.argsort(term, kind="stable")
+    lines = owner[order]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(term))])
+    rank = np.empty(len(order), np.int64)  # how many lines before have the shingle
+    rank[order] = np.arange(len(order)) - starts[term[order]]
+    ends, part, found = np.cumsum(sizes), np.arange(len(sizes)), []
+    for k in range(1, len(sizes)):
+        own = slice(ends[k] - sizes[k], ends[k])
+        n = rank[own]
+        places = np.repeat(starts[term[own]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        common = np.bincount(lines[places], minlength=k)
+        near = np.flatnonzero(_near(common, sizes[:k], sizes[k], threshold))
+        # One link to each component around; these become one.
+        around, one = np.unique(part[near], return_index=True)
+        found += [(i, k) for i in near[one].tolist()]
+        if len(around):
+            part[k] = around[0]
+            if len(around) > 1:
+                part[:k][np.isin(part[:k], around[1:])] = around[0]
+    return np.array(found, np.int64).reshape(-1, 2).T
+
+
+def links(groups: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """a, b: near lines of each group that join all its near lines; rows (meet, i, j, n, digest, line), one for each line of a group.
+
+    Sets are compared by 64-bit hashes of their shingles.
+    """
+
+    def run(batches):
+        import itertools
+
+        import numpy as np
+        import pyarrow as pa
+
+        def rows():
+            for batch in batches:
+                yield from zip(zip(*(c.to_pylist() for c in batch.columns[:3])), *(c.to_pylist() for c in batch.columns[3:]))
+
+        def out(digests, pairs):
+            return pa.RecordBatch.from_arrays([pa.array([digests[i] for i in side.tolist()], pa.binary()) for side in pairs], names=["a", "b"])
+
+        held, digests, shingles, of, n_groups = {}, [], [], [], 0
+        for _, group in itertools.groupby(rows(), key=lambda r: r[0]):
+            group = list(group)
+            if len(group) > SET:
+                yield out([r[2] for r in group], linked_in_large([shingle_hashes(r[3]) for r in group], threshold))
+                continue
+            for _, _, digest, line in group:
+                if digest not in held:
+                    held[digest] = shingle_hashes(line)
+                digests.append(digest)
+                shingles.append(held[digest])
+                of.append(n_groups)
+            n_groups += 1
+            if len(digests) >= _TOGETHER:
+                yield out(digests, linked_in_small(shingles, np.array(of), threshold))
+                held, digests, shingles, of = {}, [], [], []
+        if digests:
+            yield out(digests, linked_in_small(shingles, np.array(of), threshold))
+
+    place = ["meet", "i", "j"]
+    return groups.select(*place, "n", "digest", "line").repartition(*place).sortWithinPartitions(*place, "digest").mapInArrow(run, "a binary, b binary")
 
 
 def line_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -236,44 +330,24 @@ def line_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 def _linked(lines: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """digest, root: the component of each distinct line that is linked to another."""
-    # Most buckets hold one line and end where they meet. A line is told by its digest, of which two may share a key.
-    bucket = Window.partitionBy("bucket")
-    met = line_buckets(docs).withColumns({"low": F.min("key").over(bucket), "high": F.max("key").over(bucket)})
-    members = scratch.put(met.where(F.col("low") != F.col("high")).select("bucket", "key").distinct())
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
-    weights = scratch.put(members.join(sizes, "bucket").groupBy("key").agg(F.sum("n").alias("weight")))
-    leads = members.join(weights, "key").groupBy("bucket").agg(F.max(F.struct("weight", "key")).alias("m")).select("bucket", F.col("m.key").alias("lead"))
-    led = scratch.put(members.join(leads, "bucket"))
-
-    slots = scratch.put(sieve(weights, "key"))
-    wanted = in_sieve(nodes, F.col("key"), slots, "hit").where("hit").join(weights, "key", "left_semi")
+    met = scratch.put(met_lines(line_buckets(docs)))
+    # Lines that meet others get their texts once; a line is told by its digest, of which two may share a key.
+    keys = met.select("key").distinct()
+    slots = scratch.put(sieve(met, "key"))
+    wanted = in_sieve(nodes, F.col("key"), slots, "hit").where("hit").join(keys, "key", "left_semi")
     wanted = wanted.select(F.col("key").alias("w_key"), F.col("digest").alias("w_digest"), "node")
     same = (F.col("key") == F.col("w_key")) & (F.col("digest") == F.col("w_digest")) & (F.col("line_no") == F.col("node.line_no")) & (F.col("of") == F.col("node.of"))
     sifted = with_digest(in_sieve(lines.drop("digest"), F.col("key"), slots, "hit").where("hit"))
     found = sifted.join(wanted, same & F.col("doc_id").eqNullSafe(F.col("node.doc_id")))
     texts = scratch.put(found.dropDuplicates(["digest"]).select("key", "digest", "line"))
 
-    side = lambda x: texts.select(F.col("key").alias(x), F.col("digest").alias(f"id_{x}"), F.col("line").alias(f"line_{x}"))
-    stars = led.where(F.col("key") != F.col("lead")).select(F.col("lead").alias("x"), F.col("key").alias("y")).distinct()
-    starred = stars.join(side("y"), "y").join(side("x"), "x").select(F.col("id_x").alias("a"), F.col("id_y").alias("b"), F.col("id_x").alias("id_a"), F.col("id_y").alias("id_b"), F.col("line_x").alias("line_a"), F.col("line_y").alias("line_b"))
-    tried = scratch.put(compared(starred, threshold, keep=True))
-    first = scratch.put(connected_components(tried.where("near"), "lines"))
-    sizes = tried.select(F.col("a").alias("s_digest"), F.col("size_a").alias("size")).union(tried.select("b", "size_b")).distinct()
-
-    # What of a bucket isn't in one component yet is compared across components.
-    parted = scratch.put(texts.select("key", "digest").join(first, F.col("digest") == F.col("node"), "left").select("key", "digest", F.coalesce("component", "digest").alias("part")))
-    placed = members.join(parted, "key")
-    open_buckets = placed.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where(F.col("p") != F.col("q")).select("bucket")
-    # A line has as many buckets as there are bands, in either scheme.
-    mine = placed.join(open_buckets, "bucket").groupBy("digest").agg(F.first("part").alias("part"), F.collect_set("bucket").alias("mine"))
-    rest = scratch.put(mine.join(texts.select("digest", "line"), "digest").join(sizes, F.col("digest") == F.col("s_digest")).drop("s_digest"))
-    spread = lambda x: rest.select(F.explode("mine").alias("bucket"), F.col("part").alias(x), F.col("digest").alias(f"id_{x}"), F.col("line").alias(f"line_{x}"), F.col("size").alias(f"size_{x}"), F.col("mine").alias(f"mine_{x}"))
-    alike = F.least("size_a", "size_b") >= (threshold - 1e-9) * F.greatest("size_a", "size_b")
-    once = F.array_min(F.array_intersect("mine_a", "mine_b")) == F.col("bucket")
-    across = spread("a").join(spread("b"), "bucket").where((F.col("id_a") > F.col("id_b")) & (F.col("a") != F.col("b")) & alike & once)
-    second = connected_components(compared(across, threshold), "lines").withColumnsRenamed({"node": "part_node", "component": "root"})
-    linked = parted.join(second, F.col("part") == F.col("part_node"), "left").select("digest", "part", F.coalesce("root", "part").alias("root"))
-    return linked.where(F.col("root").isNotNull())
+    # A bucket of more than BLOCK lines is a grid of pairs of blocks, in which a line stands in its row and column.
+    half = F.ceil(F.col("n") * 2 / BLOCK).cast("int")
+    own = F.when(F.col("n") > BLOCK, F.pmod(F.xxhash64("digest"), half).cast("int")).otherwise(0)
+    every = F.when(F.col("n") > BLOCK, F.sequence(F.lit(0), half - 1)).otherwise(F.array(F.lit(0)))
+    placed = met.join(texts, "key").withColumn("own", own).withColumn("other", F.explode(every))
+    pairs = links(placed.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}), threshold)
+    return connected_components(pairs, "lines").withColumnsRenamed({"node": "digest", "component": "root"})
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:

@@ -109,3 +109,65 @@ def test_a_crowd_of_near_copies_matches_brute_force(spark, make_docs):
     want = {k: c for (k, _), (c, _) in brute(rows).items()}
     assert 3 < len(set(want.values())) < 300
     assert sum(got[k] != c for k, c in want.items()) <= 0.01 * len(want)
+
+
+def test_groups_of_any_size_give_all_components():
+    import numpy as np
+
+    r = random.Random(21)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9))) for _ in range(80)]
+    for n in (2, 3, 16, 17, 120):
+        seeds = [r.choices(words, k=30) for _ in range(3)]
+        lines = []
+        for _ in range(n):
+            w = list(r.choice(seeds))
+            for _ in range(r.randrange(6)):
+                w[r.randrange(len(w))] = r.choice(words)
+            lines.append(" ".join(w))
+        lines = sorted(set(lines))
+        sets = [line_dedup.shingle_hashes(x) for x in lines]
+        want = brute_components(range(len(lines)), lambda a, b: near(lines[a], lines[b]))
+        ways = [line_dedup.linked_in_large(sets, 0.8)] + ([line_dedup.linked_in_small(sets, np.zeros(len(lines), np.int64), 0.8)] if n <= line_dedup.SET else [])
+        for a, b in ways:
+            pairs = set(zip(a.tolist(), b.tolist()))
+            assert all(near(lines[x], lines[y]) for x, y in pairs)
+            assert brute_components(range(len(lines)), lambda x, y: (x, y) in pairs or (y, x) in pairs) == want
+        assert len(ways[0][0]) == len(lines) - len(set(want.values()))
+
+
+def test_small_groups_are_counted_apart():
+    import numpy as np
+
+    a, b = "a line that stands in two groups", "a line that stands in two groups!"
+    sets = [line_dedup.shingle_hashes(x) for x in (a, b, "something else entirely here", a, "nothing like the other one", b, a, b)]
+    found = line_dedup.linked_in_small(sets, np.array([0, 0, 0, 1, 1, 2, 3, 3]), 0.8)
+    assert [x.tolist() for x in found] == [[0, 6], [1, 7]]
+
+
+def test_buckets_with_the_same_lines_are_one(spark):
+    rows = [(b, k) for b in (1, 2, 3) for k in (10, 20, 30)] + [(1, 10)] * 5 + [(4, 10), (5, 10), (5, 20)] + [(b, k) for b in (6, 7) for k in range(100, 140)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = line_dedup.met_lines(spark.createDataFrame(rows, "bucket bigint, key bigint").repartition(3)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    groups = {}
+    for r in got:
+        groups.setdefault((r.meet, r.n), []).append(r.key)
+    assert sorted((n, sorted(ks)) for (_, n), ks in groups.items()) == [(2, [10, 20]), (3, [10, 20, 30])] + [(40, list(range(100, 140)))] * 2
+
+
+def test_a_bucket_beyond_a_block_is_split(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BLOCK", 32)
+    monkeypatch.setattr(line_dedup, "SET", 4)
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9))) for _ in range(60)]
+    seed, rows = r.choices(words, k=40), []
+    for k in range(150):
+        w = list(seed)
+        for _ in range(r.randrange(5)):
+            w[r.randrange(len(w))] = r.choice(words)
+        rows.append((k, " ".join(w)))
+    got = {x.doc_id: x.class_doc for x in line_dedup.line_classes(make_docs(rows)).collect()}
+    want = {k: c for (k, _), (c, _) in brute(rows).items()}
+    assert sum(got[k] != c for k, c in want.items()) <= 0.01 * len(want)
