@@ -28,12 +28,10 @@ THRESHOLD = 0.8
 BANDS = 14
 ROWS = 4
 SMALL, LARGE = 100, 80
-#: Characters for which signatures are made at once: arrays of this length stay in a core's cache.
+#: Characters for which signatures and counts are made at once: arrays of this length stay in a core's cache.
 _CHARS = 131_072
 #: Buckets of up to SET lines are told by these, in larger ones lines are counted one after another; larger ones than BLOCK lines are split.
 SET, BLOCK = 16, 4096
-#: Lines that are compared at once.
-_TOGETHER = 2048
 
 
 def line_key(line: Column) -> Column:
@@ -224,33 +222,44 @@ def _near(common, size_a, size_b, threshold: float):
     return common >= threshold * (size_a + size_b - common)
 
 
-def linked_in_small(shingles: list, groups, threshold: float):
-    """(a, b) of the near pairs of lines within each group; groups: of each line, in order. All groups are counted at once."""
+def linked_in_small(lines: list[str], groups, threshold: float):
+    """(a, b) of lines that join all near lines of each group; groups: of each line, in order. All groups are counted at once."""
     import numpy as np
 
-    sizes = np.array([len(x) for x in shingles])
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    key = np.concatenate(shingles) ^ (groups[owner].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    chars = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]
+    spans = np.array([len(x) - SHINGLE + 1 for x in chars])
+    owner = np.repeat(np.arange(len(lines)), spans)
+    starts = np.cumsum([0, *(len(x) for x in chars)])[:-1]
+    h = hashed("".join(chars))[np.arange(len(owner)) + np.repeat(starts - np.cumsum(spans) + spans, spans)]
+    key = h ^ (groups[owner].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     order = np.argsort(key, kind="stable")  # equal shingles of a group stand together, their lines in order
     key, owner = key[order], owner[order]
-    found = []
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+    key, owner = key[new], owner[new]
+    sizes, found = np.bincount(owner, minlength=len(lines)), []
     for step in range(1, SET):
         same = np.flatnonzero(key[step:] == key[:-step])
         if not len(same):
             break
-        found.append(owner[same] * len(sizes) + owner[same + step])
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pair, common = np.unique(np.concatenate(found), return_counts=True)
-    a, b = pair // len(sizes), pair % len(sizes)
-    near = _near(common, sizes[a], sizes[b], threshold) & (a != b)
-    return a[near], b[near]
-
-
-def linked_in_large(shingles: list, threshold: float):
+        found.append(owner[same] * len(lines) + owner[same + step])
+    pair, common = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
+    a, b = pair // len(lines), pair % len(lines)
+    near = _near(common, sizes[a], sizes[b], threshold)
+    a, b, part, before = a[near], b[near], np.arange(len(lines)), None
+    while before is None or (part != before).any():  # the least line of each component, over paths of SET lines at most
+        before = part.copy()
+        np.minimum.at(part, b, part[a])
+        np.minimum.at(part, a, part[b])
+    joined = np.flatnonzero(part != np.arange(len(lines)))
+    return part[joined], joined
+
+
+def linked_in_large(lines: list[str], threshold: float):
     """(a, b) of near pairs that join the components of one group: for each line in turn the common shingles with all before it are counted by postings."""
     import numpy as np
 
+    shingles = [shingle_hashes(x) for x in lines]
     sizes = np.array([len(x) for x in shingles])
     owner = np.repeat(np.arange(len(sizes)), sizes)
     _, term = np.unique(np.concatenate(shingles), return_inverse=True)
@@ -295,24 +304,23 @@ def links(groups: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         def out(digests, pairs):
             return pa.RecordBatch.from_arrays([pa.array([digests[i] for i in side.tolist()], pa.binary()) for side in pairs], names=["a", "b"])
 
-        held, digests, shingles, of, n_groups = {}, [], [], [], 0
+        digests, lines, of, n_groups, chars = [], [], [], 0, 0
         for _, group in itertools.groupby(rows(), key=lambda r: r[0]):
             group = list(group)
             if len(group) > SET:
-                yield out([r[2] for r in group], linked_in_large([shingle_hashes(r[3]) for r in group], threshold))
+                yield out([r[2] for r in group], linked_in_large([r[3] for r in group], threshold))
                 continue
             for _, _, digest, line in group:
-                if digest not in held:
-                    held[digest] = shingle_hashes(line)
                 digests.append(digest)
-                shingles.append(held[digest])
+                lines.append(line)
                 of.append(n_groups)
+                chars += len(line)
             n_groups += 1
-            if len(digests) >= _TOGETHER:
-                yield out(digests, linked_in_small(shingles, np.array(of), threshold))
-                held, digests, shingles, of = {}, [], [], []
+            if chars >= _CHARS:
+                yield out(digests, linked_in_small(lines, np.array(of), threshold))
+                digests, lines, of, chars = [], [], [], 0
         if digests:
-            yield out(digests, linked_in_small(shingles, np.array(of), threshold))
+            yield out(digests, linked_in_small(lines, np.array(of), threshold))
 
     place = ["meet", "i", "j"]
     return groups.select(*place, "n", "digest", "line").repartition(*place).sortWithinPartitions(*place, "digest").mapInArrow(run, "a binary, b binary")
