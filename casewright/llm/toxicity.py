@@ -4,8 +4,10 @@ Words become symbols: insults (patterns learned from labelled documents), verbs
 reported speech in all their forms, targets and negations (fixed lists). One small transducer reads threats as
 clauses (intention, harm, whom it strikes), others mark each kind of context, and their composition turns a clause
 into a bag of marked matches, such as an insult aimed at somebody, an intended threat, or one that is only
-reported. The weights of the marks are fitted on labelled documents; a document's score is the logistic
-function of its clauses' matches. Words outside a matched clause count for nothing.
+reported. A match weighs by its kind, and by its contexts: a target adds to it, a negation or a report takes away.
+How much is fitted on labelled documents from stated weights that hold where the labels tell nothing, and no fit turns
+their signs. A document's score is the logistic function of its clauses' matches. Words outside a matched clause count
+for nothing.
 """
 
 from __future__ import annotations
@@ -46,8 +48,10 @@ WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 
 #: Bound of what is fitted: labelled documents of the training fold, chosen by a hash of their ids.
 TRAINING_ROWS = 20_000
-MIN_TOXIC_DOCS = 6
-MIN_PRECISION = 0.98
+MIN_TOXIC_DOCS = 4
+MIN_PRECISION = 0.5
+#: A pattern must be this unlikely by chance, over all patterns that were looked at.
+CHANCE = 1e-3
 PREFIXES = range(4, 11)
 
 
@@ -115,11 +119,17 @@ def grammar() -> Transducer:
 
 #: What the grammar can put out for a match: its kind, then the marks of its contexts.
 MARKS = ["".join((x, *m)) for x in MATCHES for m in product(("", "y"), ("", "n"), ("", "r"))]
+#: What a score adds up: log(1 + the weight of all matches) of each kind, and of those in each context, with the weight
+#: that holds without evidence, and the least and the most that a fit may make of it.
+FEATURES = {
+    INSULT: (2.0, 0.3, 20.0), THREAT: (0.5, 0.3, 20.0), INTENDED: (6.0, 0.3, 20.0), STRUCK: (4.0, 0.3, 20.0),
+    "y": (0.5, 0.3, 20.0), "n": (-1.0, -20.0, -0.3), "r": (-1.0, -20.0, -0.3),
+}
 
 
 @dataclass
 class Model:
-    """patterns: word beginnings (or whole words, ending in `$`) and their weights; weights: one for each of MARKS, and the bias."""
+    """patterns: word beginnings (or whole words, ending in `$`) and their weights; weights: one for each of FEATURES, and the bias."""
 
     patterns: dict
     weights: list
@@ -127,7 +137,7 @@ class Model:
 
 
 class Matcher:
-    """features(text): for each of MARKS, log(1 + the summed weights of its matches)."""
+    """sums(text): the summed weights of the matches with each of MARKS; features(text): what FEATURES make of them."""
 
     def __init__(self, patterns: dict[str, float]):
         import ahocorasick
@@ -146,6 +156,10 @@ class Matcher:
         return max([*found, whole] if whole else found, default=0.0)
 
     def features(self, text: str | None) -> list[float]:
+        sums = self.sums(text)
+        return [math.log1p(sum(v for m, v in sums.items() if f in m)) for f in FEATURES]
+
+    def sums(self, text: str | None) -> dict[str, float]:
         sums = dict.fromkeys(MARKS, 0.0)
         text, done, begin = (text or "").lower(), 0, 0
         ends = CLAUSE_END.finditer(text)
@@ -158,7 +172,7 @@ class Matcher:
                 begin, end = end.end(), next(ends, None)
             done = end.start() if end else len(text)
             self._clause(text[begin:done], sums)
-        return [math.log1p(sums[m]) for m in MARKS]
+        return sums
 
     def _clause(self, clause: str, sums: dict) -> None:
         state, weight = self.fst.start, 1.0
@@ -185,15 +199,34 @@ def _prefixes(docs: DataFrame) -> DataFrame:
     return rows.select("row", "toxic", F.explode(F.filter(starts, lambda p: p.isNotNull())).alias("p")).distinct()
 
 
+def by_chance(t, o, rate: float):
+    """Bound of the logarithm of the chance that of t + o documents, each toxic at `rate`, t or more are."""
+    import numpy as np
+
+    t, n = np.asarray(t, float), np.asarray(t, float) + np.asarray(o, float)
+    share = t / n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        left = np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - rate)), 0.0)
+        return np.where(share > rate, -n * (share * np.log(share / rate) + left), 0.0)
+
+
 def learn_patterns(training: DataFrame) -> dict[str, float]:
     """Word patterns that mark toxic documents, of training rows (row, text, toxic) of bounded number.
 
-    Candidates come from toxic documents alone; then the others' are counted. A pattern yields to a longer one that
-    holds nearly all of its documents, and covers the rest. The training rows bound all of these.
+    Candidates come from toxic documents alone; then the others' are counted. Those stay that are mostly toxic, and more
+    often than chance would have any candidate be; a pattern weighs by how much likelier it makes its document. It yields to a longer one that holds
+    nearly all of its documents, and covers the rest. The training rows bound all of these.
     """
-    toxic = _prefixes(training.where("toxic = 1")).groupBy("p").agg(F.count("*").alias("t")).where(F.col("t") >= MIN_TOXIC_DOCS)
+    import numpy as np
+
+    n_toxic, n_rows = training.agg(F.count_if(F.col("toxic") == 1), F.count("*")).first()
+    every = _prefixes(training.where("toxic = 1")).groupBy("p").agg(F.count("*").alias("t"))
+    n_looked = every.count()
+    toxic = every.where(F.col("t") >= MIN_TOXIC_DOCS)
     other = _prefixes(training.where("toxic = 0")).join(toxic.select("p"), "p", "left_semi").groupBy("p").agg(F.count("*").alias("o"))
-    counts = {r.p: (r.t, r.o) for r in toxic.join(other, "p", "left").na.fill(0, ["o"]).where(F.col("t") >= MIN_PRECISION * (F.col("t") + F.col("o"))).collect()}
+    rows = toxic.join(other, "p", "left").na.fill(0, ["o"]).where(F.col("t") >= MIN_PRECISION * (F.col("t") + F.col("o"))).collect()
+    unlikely = by_chance([r.t for r in rows], [r.o for r in rows], n_toxic / max(1, n_rows)) + np.log(max(1, n_looked)) < math.log(CHANCE)
+    counts = {r.p: (r.t, r.o) for r, yes in zip(rows, unlikely) if yes}
     longer: dict[str, int] = {}  # toxic documents of the commonest pattern that is longer by one
     for p, (t, _) in counts.items():
         longer[p[:-1]] = max(t, longer.get(p[:-1], 0))
@@ -201,22 +234,27 @@ def learn_patterns(training: DataFrame) -> dict[str, float]:
     for p in sorted(counts, key=lambda p: (len(p.rstrip("$")), p.endswith("$"), p)):
         stem, (t, o) = p.rstrip("$"), counts[p]
         if not any(stem[:n] in chosen for n in PREFIXES if n <= len(stem)) and longer.get(p, 0) < 0.95 * t:
-            chosen[p] = math.log((t + 0.5) / (o + 0.5)) / 2
+            chosen[p] = max(0.1, math.log((t + 0.5) / (n_toxic + 1) * (n_rows - n_toxic + 1) / (o + 0.5)))
     return chosen
 
 
-def fit_weights(x, y, ridge: float = 0.1, rounds: int = 50):
-    """Logistic regression by Newton steps over (rows, marks) features; gives weights and bias."""
+def fit_weights(x, y, ridge: float = 0.1, rounds: int = 100):
+    """Logistic regression of FEATURES, by Newton steps from their stated weights and within their bounds; gives weights and bias."""
     import numpy as np
 
-    x = np.hstack([np.asarray(x, float).reshape(-1, len(MARKS)), np.ones((len(y), 1))])
-    y, w = np.asarray(y, float), np.zeros(x.shape[1])
-    penalty = np.r_[np.full(len(MARKS), ridge), 1e-3]
+    x = np.hstack([np.asarray(x, float).reshape(-1, len(FEATURES)), np.ones((len(y), 1))])
+    prior, least, most = (np.array(v) for v in zip(*FEATURES.values(), (0.0, -30.0, 30.0)))
+    penalty = np.r_[np.full(len(FEATURES), ridge), 1e-3]
+    y, w = np.asarray(y, float), prior.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
-        w += np.clip(step, -2, 2)
-        if abs(step).max() < 1e-6:
+        slope = x.T @ (y - p) - penalty * (w - prior)
+        free = ~((w <= least) & (slope < 0) | (w >= most) & (slope > 0))
+        bend = ((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty))[np.ix_(free, free)]
+        step = np.zeros(len(w))
+        step[free] = np.clip(np.linalg.solve(bend, slope[free]), -1, 1)
+        before, w = w, np.clip(w + step, least, most)
+        if abs(w - before).max() < 1e-6:
             break
     return w[:-1].tolist(), float(w[-1])
 
@@ -243,9 +281,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     rows = training.select("text", "toxic").mapInArrow(run, schema).groupBy("x", "toxic").count().collect()
     scratch.drop(training)
-    x, y = [r.x for r in rows for _ in range(r["count"])], [r.toxic for r in rows for _ in range(r["count"])]
+    x, y = [r.x for r in rows for _ in range(r["count"])], [r.toxic for r in rows for _ in range(r["count"])]  # at most training_rows
     if not y or not any(y):
-        return Model({}, [0.0] * len(MARKS), -30.0)
+        return Model({}, [0.0] * len(FEATURES), -30.0)
     weights, bias = fit_weights(x, y)
     return Model(patterns, weights, bias)
 

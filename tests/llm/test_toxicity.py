@@ -3,11 +3,11 @@ import random
 import re
 
 from casewright.llm import toxicity as tox
-from casewright.llm.toxicity import MARKS, Matcher
+from casewright.llm.toxicity import FEATURES, Matcher
 
 
 def marks(text, patterns={"idiot": 1.0}):
-    return {m: round(math.expm1(v), 6) for m, v in zip(MARKS, Matcher(patterns).features(text)) if v}
+    return {m: round(v, 6) for m, v in Matcher(patterns).sums(text).items() if v}
 
 
 def test_contexts_mark_matches():
@@ -74,15 +74,57 @@ def test_long_text_is_read_to_its_end():
     assert marks("word " * 50_000 + "\nyou idiot") == {"Iy": 1}
 
 
-def test_held_out_accuracy(spark):
-    sf = "/root/testdata/sf0.01"
-    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+def test_features_add_up_kinds_and_contexts():
+    found = dict(zip(FEATURES, Matcher({"idiot": 2.0}).features("You are not an idiot. She said an idiot will kill them")))
+    assert {f: round(math.expm1(v), 6) for f, v in found.items()} == {"I": 4, "T": 0, "F": 1, "Z": 1, "y": 4, "n": 2, "r": 4}
+
+
+def held_out_results(spark, sf):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
     model = tox.train(docs, labels)
     got = {r.doc_id: r for r in tox.score(docs, model).collect()}
-    fold = {r.doc_id for r in docs.where(tox.held_out(docs.doc_id)).collect()}
-    rows = [(r.toxic, got[r.doc_id]) for r in labels.collect() if r.doc_id in fold]
-    assert rows and sum(t == g.predicted for t, g in rows) >= 0.95 * len(rows)
     assert all(0 <= g.score <= 1 and g.predicted == int(g.score >= 0.5) for g in got.values())
+    fold = {r.doc_id for r in docs.where(tox.held_out(docs.doc_id)).collect()}
+    return model, [(r.toxic, got[r.doc_id].predicted) for r in labels.collect() if r.doc_id in fold]
+
+
+def test_held_out_recall_precision_and_signs(spark):
+    model, rows = held_out_results(spark, "sf0.1")
+    hits = rows.count((1, 1))
+    assert sum(t for t, _ in rows) > 80
+    assert hits >= 0.9 * sum(t for t, _ in rows) and hits >= 0.9 * sum(p for _, p in rows)
+    weights = dict(zip(FEATURES, model.weights))
+    assert all(weights[f] > 0 for f in "ITFZy") and weights["n"] < 0 and weights["r"] < 0
+
+    def of(text):
+        return tox._scores(model, Matcher(model.patterns), [type("Text", (), {"as_py": lambda self: text})()])[0]
+
+    plain = of("what an idiot")
+    assert of("you are an idiot") > plain > of("he is called, not an idiot")
+    assert of("they reported quite an idiot") < plain and of("that is not an idiot") < of("that is an idiot")
+    assert of("we will kill you") > max(0.5, of("we will not kill you"), of("he said we will kill you")) and of("they kill time") > of("nothing of that kind") == of("")
+
+
+def test_held_out_accuracy_of_few_rows(spark):
+    _, rows = held_out_results(spark, "sf0.01")
+    assert rows and sum(t == p for t, p in rows) >= 0.95 * len(rows)
+
+
+def test_no_pattern_is_learned_from_chance(spark, make_docs):
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    rows = [(k, k % 10 == 0, " ".join(r.choices(words, k=60)) + (" dreadful" if k % 10 == 0 and k % 30 else "")) for k in range(600)]
+    training = spark.createDataFrame([(k, t, int(y)) for k, y, t in rows], "row long, text string, toxic int")
+    assert {p.rstrip("$") for p in tox.learn_patterns(training)} <= {"dreadful"[:n] for n in range(4, 9)} and tox.learn_patterns(training)
+
+
+def test_fit_keeps_signs_and_stated_weights():
+    n = len(FEATURES)
+    weights, _ = tox.fit_weights([[0.0] * n] * 10, [0, 1] * 5)
+    assert [round(w, 3) for w in weights] == [v[0] for v in FEATURES.values()]
+    one = [[1.0 if f in "In" else 0.0 for f in FEATURES]] * 50 + [[1.0 if f == "I" else 0.0 for f in FEATURES]] * 50
+    weights, _ = tox.fit_weights(one + [[0.0] * n] * 100, [1] * 50 + [0] * 50 + [0] * 100)  # negated insults are toxic, others not
+    assert dict(zip(FEATURES, weights))["n"] == -0.3
 
 
 def test_odd_tables(spark, make_docs):
