@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casewright.sources.storage import materialize
+from casewright.operators.text_index import TextIndex
+from casewright.operators.vector_index import VectorIndex
+from casewright.sources.storage import materialize, scratch_path
 
 RERANK_ALL = 9999
 #: Queries under this many characters are searched hybrid where the search is smart.
@@ -66,25 +68,28 @@ def search_each(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, se
     """SEARCH, position, text: the own hits of every search, up to its own search_limit.
 
     chunks: application_id, document_id, chunk_index, text. queries: query, vector. searches: SEARCH (distinct). Short
-    queries score hybrid. With a rerank_limit, so many candidates are scored anew by words (then score). Each chunk
-    that has a vector is scored once for each distinct query of its case; no more rows than the deepest search reads
-    leave a task for each of these, and texts aren't moved with the scores.
+    queries score hybrid, half by vector and half by BM25. With a rerank_limit, so many candidates are scored anew by
+    BM25 and a tenth of their score. Vectors are found by an index that skips lists which cannot hold a hit, texts by
+    the postings of a query's own terms; a chunk that has none of them is a hit by its vector alone, so the best by
+    vector and the chunks with postings hold all hits. No chunk meets every query of its case.
     """
     searches = materialize(searches, "searches")
     deepest = searches.agg(F.max(F.greatest("search_limit", "rerank_limit"))).first()[0] or 0
-    asked = searches.select("application_id", "query").distinct().join(queries, "query")
-    vectors = embeddings.select(F.col("vec_id").alias("document_id"), "embedding")
+    asked = materialize(searches.select("application_id", "query").distinct().join(queries, "query"), "asked")
+    vectors = embeddings.where("embedding IS NOT NULL").select(F.col("vec_id").alias("document_id"), F.col("embedding").cast("array<double>").alias("vector"))
     chunks = chunks.join(vectors.select("document_id"), "document_id", "left_semi")
-    documents = chunks.select("application_id", "document_id").distinct().join(vectors, "document_id").join(asked, "application_id")
-    product = F.aggregate(F.zip_with("embedding", "vector", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
-    documents = documents.select("application_id", "document_id", "query", product.alias("score"))
-
-    words = F.filter(F.split(F.lower("query"), " "), lambda w: w != "")
-    lowered = chunks.select("application_id", "document_id", "chunk_index", F.lower(F.coalesce("text", F.lit(""))).alias("lowered"))
-    share = F.size(F.filter(words, lambda w: F.contains("lowered", w))) / F.greatest(F.lit(1), F.size(words))
-    scored = lowered.join(documents, ["application_id", "document_id"]).select("application_id", "query", "document_id", "chunk_index", "score", share.alias("share"))
-    hybrid_score = F.when(search_method(F.col("query"), F.lit(True), threshold) == "hybrid", 0.5 * F.col("score") + 0.5 * F.col("share")).otherwise(F.col("score"))
-    scored = scored.withColumn("score", hybrid_score)
+    keys = ["application_id", "document_id", "chunk_index"]
+    documents = chunks.select("application_id", "document_id").distinct().join(vectors, "document_id")
+    index = VectorIndex.build(documents, scratch_path(chunks.sparkSession, "vectors"))
+    by_vector = index.search(asked, deepest).select("application_id", "query", "document_id").join(chunks.select(keys), ["application_id", "document_id"])
+    hybrid_query = search_method(F.col("query"), F.lit(True), threshold) == "hybrid"
+    read = searches.where((F.col("rerank_limit") > 0) | hybrid_query).select("application_id", "query").distinct()
+    texts = materialize(TextIndex.build(chunks).scores(read), "text-scores")
+    found = by_vector.unionByName(texts.where(hybrid_query).select(by_vector.columns)).distinct()
+    product = F.aggregate(F.zip_with(F.col("vector"), F.col("asked"), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    scored = found.join(asked.withColumnRenamed("vector", "asked"), ["application_id", "query"]).join(vectors, "document_id").select("application_id", "query", "document_id", "chunk_index", product.alias("score"))
+    scored = scored.join(texts, ["application_id", "query", "document_id", "chunk_index"], "left").withColumn("share", F.coalesce("text_score", F.lit(0.0)))
+    scored = scored.withColumn("score", F.when(hybrid_query, 0.5 * F.col("score") + 0.5 * F.col("share")).otherwise(F.col("score")))
 
     best = Window.partitionBy("application_id", "query").orderBy(F.desc("score"), "document_id", "chunk_index")
     candidates = scored.withColumn("candidate", F.row_number().over(best)).where(F.col("candidate") <= deepest)
@@ -93,7 +98,7 @@ def search_each(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, se
     found = candidates.join(kinds, ["application_id", "query"]).where(~reranked | (F.col("candidate") <= F.col("rerank_limit")))
     again = Window.partitionBy("application_id", "query", "rerank_limit").orderBy(F.desc(F.when(reranked, F.col("share") + F.col("score") / 10).otherwise(F.col("score"))), "document_id", "chunk_index")
     placed = found.withColumn("position", F.row_number().over(again)).join(searches, ["application_id", "query", "rerank_limit"]).where(F.col("position") <= F.col("search_limit"))
-    return placed.join(chunks.select("application_id", "document_id", "chunk_index", "text"), ["application_id", "document_id", "chunk_index"]).select(*SEARCH, "position", "text")
+    return placed.join(chunks.select(*keys, "text"), keys).select(*SEARCH, "position", "text")
 
 
 def rerank_limit(stats: DataFrame) -> DataFrame:

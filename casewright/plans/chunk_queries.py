@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
-from casewright.operators import chunks, context, extraction, report, retrieval
+from casewright.operators import chunks, context, extraction, report, retrieval, text_index
+from casewright.operators.vector_index import VectorIndex
 from casewright.plans.registry import query
 from casewright.sources.relations import load
+from casewright.sources.storage import scratch_path
 
 APPS = [5, 1, 12]
 QUERY_ID = 17
@@ -77,6 +79,67 @@ def vector_topk(spark, sf_dir):
     return retrieval.top_k(_scored(spark, sf_dir), 5).select("application_id", "document_id", "chunk_index", F.round("score", 4).alias("score"), "position")
 
 
+@query("chunks", sql=_SCORED + """,
+d AS (SELECT DISTINCT application_id, document_id, score FROM s)
+SELECT application_id, document_id, round(score, 4) AS score, CAST(row_number() OVER (PARTITION BY application_id ORDER BY score DESC, document_id) AS INT) AS position FROM d QUALIFY position <= 5""")
+def indexed_topk(spark, sf_dir):
+    """The five best documents of each case by an inverted file, exactly: lists whose bound is under the fifth score are not read."""
+    own = load(spark, sf_dir, "chunks").select("application_id", "document_id").distinct()
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("document_id"), F.col("embedding").alias("vector"))
+    index = VectorIndex.build(own.join(vectors, "document_id"), scratch_path(spark, "vectors"))
+    asked = F.array(*map(F.lit, map(float, _query_vector(spark, sf_dir)))).alias("vector")
+    found = index.search(own.select("application_id", F.lit("q").alias("query"), asked).distinct(), 5)
+    return found.select("application_id", "document_id", F.round("score", 4).alias("score"), "position")
+
+
+_ASKED = "SELECT DISTINCT application_id, query FROM chunks, (VALUES ('the And of und'), ('tion re'), ('zqx en, de')) v(query)"
+_BM25 = rf"""
++ a AS ({_ASKED}),
+t AS (SELECT application_id, document_id, chunk_index, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS terms FROM chunks),
+p AS (SELECT application_id, document_id, chunk_index, size, term, count(*) AS n FROM (SELECT application_id, document_id, chunk_index, len(terms) AS size, unnest(terms) AS term FROM t) GROUP BY ALL),
+f AS (SELECT application_id, term, count(*) AS df FROM p GROUP BY ALL), c AS (SELECT application_id, count(*) AS n_chunks, avg(len(terms)) AS mean FROM t GROUP BY ALL),
+q AS (SELECT DISTINCT application_id, query, unnest(regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}]+')) AS term FROM a),
+w AS (SELECT q.*, c.mean, ln(1 + (n_chunks - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) AS idf FROM q JOIN c USING (application_id) LEFT JOIN f USING (application_id, term)),
+m AS (SELECT application_id, query, sum(idf) * {text_index.K1 + 1} AS most FROM w GROUP BY ALL),
+b AS (SELECT application_id, query, document_id, chunk_index, sum(idf * n * {text_index.K1 + 1} / (n + {text_index.K1} * ({1 - text_index.B} + {text_index.B} * size / mean))) AS sum FROM p JOIN w USING (application_id, term) GROUP BY ALL),
+x AS (SELECT application_id, query, document_id, chunk_index, round(sum / most, {text_index.PLACES}) AS text_score FROM b JOIN m USING (application_id, query))"""
+
+
+def _asked(chunks):
+    return chunks.select("application_id", F.explode(F.array(*map(F.lit, ("the And of und", "tion re", "zqx en, de")))).alias("query")).distinct()
+
+
+@query("chunks", sql=_BM25 + """
+SELECT application_id, query, document_id, chunk_index, round(text_score, 6) AS text_score, CAST(row_number() OVER (PARTITION BY application_id, query ORDER BY text_score DESC, document_id, chunk_index) AS INT) AS position FROM x QUALIFY position <= 5""")
+def bm25_topk(spark, sf_dir):
+    """The five best chunks of each case for three queries, by the postings of their terms."""
+    c = load(spark, sf_dir, "chunks")
+    index = text_index.TextIndex.build(c).write(scratch_path(spark, "texts"))
+    return index.search(_asked(c), 5).withColumn("text_score", F.round("text_score", 6))
+
+
+_OWN = _BM25.replace("AS terms FROM chunks)", "AS terms FROM chunks WHERE document_id IN (SELECT vec_id FROM embeddings))")
+
+
+@query("chunks", sql=_OWN + f""",
+qv AS (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id = {QUERY_ID}),
+h AS (SELECT c.application_id, a.query, c.document_id, c.chunk_index, c.text, 0.5 * list_inner_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), qv.v) + 0.5 * coalesce(text_score, 0) AS score, coalesce(text_score, 0) AS share
+  FROM chunks c JOIN embeddings ON vec_id = c.document_id JOIN a ON a.application_id = c.application_id CROSS JOIN qv
+  LEFT JOIN x ON x.application_id = c.application_id AND x.query = a.query AND x.document_id = c.document_id AND x.chunk_index = c.chunk_index),
+k AS (SELECT *, row_number() OVER (PARTITION BY application_id, query ORDER BY score DESC, document_id, chunk_index) AS place FROM h QUALIFY place <= 10),
+r AS (SELECT *, 4 AS search_limit, 0 AS rerank_limit, place AS position FROM k WHERE place <= 4
+  UNION ALL SELECT *, 3, 10, row_number() OVER (PARTITION BY application_id, query ORDER BY share + score / 10 DESC, document_id, chunk_index) FROM k QUALIFY row_number() OVER (PARTITION BY application_id, query ORDER BY share + score / 10 DESC, document_id, chunk_index) <= 3)
+SELECT application_id, query, search_limit, rerank_limit, CAST(position AS INT) AS position, md5(text) AS text_md5 FROM r""")
+def searched_cases(spark, sf_dir):
+    """Hybrid searches of every case, plain and reranked, as the analysis makes them; only documents with a vector take part."""
+    c, vectors = load(spark, sf_dir, "chunks"), spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    asked = _asked(c)
+    queries = asked.select("query").distinct().withColumn("vector", F.array(*map(F.lit, map(float, _query_vector(spark, sf_dir)))))
+    searches = asked.withColumn("s", F.explode(F.array(F.struct(F.lit(4).alias("search_limit"), F.lit(0).alias("rerank_limit")), F.struct(F.lit(3).alias("search_limit"), F.lit(10).alias("rerank_limit")))))
+    hits = retrieval.search_each(c, vectors, queries, searches.select("application_id", "query", "s.*"))
+    return hits.select(*retrieval.SEARCH, "position", F.md5("text").alias("text_md5"))
+
+
 @query("chunks", sql=_SCORED + f""",
 t AS (SELECT *, row_number() OVER (PARTITION BY application_id ORDER BY score DESC, document_id, chunk_index) AS position FROM s WHERE application_id IN ({_IN}) QUALIFY position <= 5)
 SELECT application_id, document_id, chunk_index, CAST(position AS INT) AS position, CAST(row_number() OVER (ORDER BY list_position([{_IN}], application_id), position) AS INT) AS global_position FROM t""")

@@ -1,6 +1,8 @@
 """The checklist analysis against brute force: own searches and limits, reranking, parameters without hits, full scans."""
 
+import math
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,16 +19,28 @@ VECTORS = {1: [1.0, 0.0], 2: [0.6, 0.8], 3: [0.0, 1.0], 5: [0.8, 0.6]}
 QUERIES = {"red pipe": [0.8, 0.6], "blue": [0.0, 1.0], "a green pipe of more than twenty": [1.0, 0.0], "none": [1.0, 0.0]}
 
 
+def bm25(case, query):
+    """{(document, chunk): normalised BM25} of a case's chunks that have a vector."""
+    own = {(d, i): re.findall(r"\w+", t.lower()) for a, d, i, t in CHUNKS if a == case and d in VECTORS}
+    if not own:
+        return {}
+    mean, idf = sum(map(len, own.values())) / len(own), {}
+    for t in set(query.split(" ")):
+        df = sum(t in ts for ts in own.values())
+        idf[t] = math.log((len(own) - df + 0.5) / (df + 0.5) + 1)
+    most = 2.2 * sum(idf.values())
+    return {k: sum(v * ts.count(t) * 2.2 / (ts.count(t) + 1.2 * (0.25 + 0.75 * len(ts) / mean)) for t, v in idf.items()) / most for k, ts in own.items()}
+
+
 def search(case, query, limit, rerank):
-    rows, words = [], query.split(" ")
+    rows, texts = [], bm25(case, query)
     for a, d, i, t in CHUNKS:
         if a == case and d in VECTORS:
-            s = sum(x * y for x, y in zip(VECTORS[d], QUERIES[query]))
-            share = sum(w in t.lower() for w in words) / len(words)
-            rows.append(((0.5 * s + 0.5 * share) if len(query) < 20 else s, share, d, i, t))
+            s, share = sum(x * y for x, y in zip(VECTORS[d], QUERIES[query])), round(texts[d, i], 9)
+            rows.append((round((0.5 * s + 0.5 * share) if len(query) < 20 else s, 9), share, d, i, t))
     rows.sort(key=lambda r: (-r[0], r[2], r[3]))
     if rerank:
-        rows = sorted(rows[:rerank], key=lambda r: (-(r[1] + r[0] / 10), r[2], r[3]))
+        rows = sorted(rows[:rerank], key=lambda r: (-round(r[1] + r[0] / 10, 9), r[2], r[3]))
     return [r[4] for r in rows[:limit]]
 
 
