@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from casewright.plans.registry import query
 from casewright.sources.relations import load
+from casewright.sources.chunk_store import ChunkStore
 from casewright.sources.storage import scratch_path
-from casewright.streaming import ordered, progress
+from casewright.streaming import ordered, progress, upserts
 
 #: Days of arrivals in each of the parts; an event arrives up to half an hour late, every 97th with the part after its own.
 _DAYS, _PARTS = 10, 3
@@ -68,3 +69,45 @@ def stream_task_deadlines(spark, sf_dir):
         found = ordered.task_deadlines(events)
         ordered.run_ordered(found, f"{base}/out", f"{base}/checkpoint")
     return spark.read.schema(found.schema).parquet(f"{base}/out")
+
+
+_EVENT = """
++ e AS (SELECT id, k AS seq, CASE k WHEN 1 THEN 'started' WHEN 2 THEN CASE WHEN id % 7 = 3 THEN 'failed' ELSE 'completed' END WHEN 3 THEN 'reset' ELSE 'completed' END AS event,
+  CASE WHEN k = 0 THEN 99 ELSE chunks_count END AS chunks_count, error_message, id * 10 + k AS moment FROM files, (VALUES (0), (1), (2), (3)) v(k)
+  WHERE k = 1 OR (k = 2 AND id % 2 = 1) OR (k = 3 AND id % 5 = 0) OR (k = 0 AND id % 3 = 0))"""
+
+
+@query("files", sql=_EVENT + """,
+l AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS rn FROM e)
+SELECT id, seq, CASE event WHEN 'started' THEN 'indexing' WHEN 'completed' THEN 'completed' WHEN 'failed' THEN 'error' ELSE 'pending' END AS indexing_status, CASE WHEN event = 'completed' THEN chunks_count ELSE 0 END AS chunks_count,
+  CASE WHEN event = 'failed' THEN coalesce(error_message, '') END AS error_message, CASE WHEN event IN ('completed', 'failed') THEN moment END AS completed_at FROM l WHERE rn = 1""")
+def stream_file_states(spark, sf_dir):
+    """The files' rows as a stream of indexing events leaves them: started, ended, set back, and old events that come last and change nothing."""
+    files, base, k = load(spark, sf_dir, "files"), scratch_path(spark, "file-events"), F.col("k")
+    rows = files.select("*", F.explode(F.array(*map(F.lit, range(4)))).alias("k")).where((k == 1) | ((k == 2) & (F.col("id") % 2 == 1)) | ((k == 3) & (F.col("id") % 5 == 0)) | ((k == 0) & (F.col("id") % 3 == 0)))
+    event = F.when(k == 1, "started").when(k == 2, F.when(F.col("id") % 7 == 3, "failed").otherwise("completed")).when(k == 3, "reset").otherwise("completed")
+    events = rows.select("id", k.alias("seq"), event.alias("event"), F.when(k == 0, 99).otherwise(F.col("chunks_count")).alias("chunks_count"), "error_message", (F.col("id") * 10 + k).alias("at"))
+    events.write.partitionBy("seq").parquet(f"{base}/parts")
+    table = upserts.KeyedTable(f"{base}/table", upserts.file_changes(events).schema, ["id"], "seq")
+    for seq in (1, 2, 3, 0):
+        spark.read.schema(events.schema).parquet(f"{base}/parts/seq={seq}").withColumn("seq", F.lit(seq)).write.mode("append").parquet(f"{base}/in")
+        table.follow(upserts.file_changes(progress.read_stream(spark, f"{base}/in", events.schema)), f"{base}/checkpoint")
+    return table.read(spark)
+
+
+@query("chunks", sql="""
++ s AS (SELECT application_id, document_id, chunk_index, CASE WHEN document_id % 50 = 4 THEN concat('new ', text) ELSE text END AS text FROM chunks WHERE NOT (document_id % 50 = 4 AND chunk_index > 1)),
+d AS (SELECT * FROM s WHERE NOT (document_id % 30 = 1 OR document_id % 30 = 2 OR document_id % 50 = 9 OR application_id = 7))
+SELECT application_id, document_id, count(*) AS n, md5(string_agg(text, '' ORDER BY chunk_index)) AS texts FROM d GROUP BY ALL""")
+def chunk_store_edits(spark, sf_dir):
+    """A chunk store by case: all chunks indexed, some documents indexed anew, files deleted by their id or by their document where no chunk names them, documents and a whole case deleted."""
+    doc = F.col("document_id")
+    rows = load(spark, sf_dir, "chunks").select("application_id", "document_id", F.when(doc % 3 != 0, F.concat(F.lit("f"), doc.cast("string"))).alias("file_id"), "chunk_index", "text")
+    store = ChunkStore(spark, f"{scratch_path(spark, 'store')}/chunks", rows.schema)
+    store.index(rows)
+    store.index(rows.where((doc % 50 == 4) & (F.col("chunk_index") <= 1)).withColumn("text", F.concat(F.lit("new "), "text")))
+    store.delete_files(rows.where(doc % 30 <= 2).where(doc % 30 >= 1).select("application_id", F.concat(F.lit("f"), doc.cast("string")).alias("file_id"), "document_id").distinct())
+    store.delete_documents(rows.where(doc % 50 == 9).select("application_id", "document_id").distinct())
+    store.delete_cases([7])
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"])
+    return store.read().groupBy("application_id", "document_id").agg(F.count("*").alias("n"), F.md5(F.array_join(texts, "")).alias("texts"))
