@@ -168,9 +168,9 @@ def back_to_indexed(applications: DataFrame, changed: DataFrame, message: str) -
 
 
 def create_cases(forms: DataFrame, checklists: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New cases and their links from forms (id, name, description, user_id, checklist_ids); a form without a checklist makes none, unknown ids don't count."""
+    """New cases and their links from forms (id, name, description, user_id, checklist_ids); a form without a checklist makes none, unknown ids don't count, an empty description is none."""
     made = forms.where(F.size(F.coalesce("checklist_ids", F.array().cast("array<bigint>"))) > 0)
-    cases = made.select("id", "name", "description", F.lit("created").alias("status"), "user_id")
+    cases = made.select("id", "name", F.nullif(F.trim("description"), F.lit("")).alias("description"), F.lit("created").alias("status"), "user_id")
     wanted = made.select(F.col("id").alias("application_id"), F.explode(F.array_distinct("checklist_ids")).alias("checklist_id"))
     return cases, wanted.join(checklists.select(F.col("id").alias("checklist_id")), "checklist_id", "left_semi")
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casewright.functions import answers
+from casewright.operators.context import contexts
 from casewright.operators.text_index import TextIndex
 from casewright.operators.vector_index import VectorIndex
 from casewright.sources.storage import materialize, scratch_path
@@ -155,3 +157,27 @@ def shaped(hits: DataFrame, names: DataFrame, *more: str) -> DataFrame:
         F.round(F.coalesce("score", F.lit(0.0)), 4).alias("score"),
         F.lit("vector").alias("search_type"),
     )
+
+
+def detailed(hits: DataFrame, names: DataFrame, *more: str) -> DataFrame:
+    """`shaped` with metadata (section, content_type), and rerank_score to four places where hits have one; several cases' hits (with global_position) lose it."""
+    details = [F.struct("section", "content_type").alias("metadata")]
+    if "rerank_score" in hits.columns and "global_position" not in more:
+        details.append(F.round("rerank_score", 4).alias("rerank_score"))
+    keys = ["application_id", "position"]
+    own = hits.select(*(F.col(k).alias(f"d_{k}") for k in keys), *details)
+    joined = shaped(hits, names, *more).join(own, (F.col("application_id") == F.col("d_application_id")) & (F.col("position") == F.col("d_position")))
+    return joined.drop("d_application_id", "d_position")
+
+
+def answered(hits: DataFrame, questions: DataFrame, respond, most: int) -> DataFrame:
+    """application_id, value, confidence, raw_response: the model's answer over the first `most` hits of each case, parsed; cases without hits have none.
+
+    questions: application_id, query. `respond(query, context)` makes the response from columns; null (a failed call)
+    gives null. The value is the parser's, the confidence that of the text alone.
+    """
+    read = contexts(hits, ["application_id"], most=most).join(questions, "application_id")
+    asked = read.withColumn("raw_response", respond(F.col("query"), F.col("context")))
+    told = F.col("raw_response").isNotNull()
+    value = answers.parse_full(F.coalesce("raw_response", F.lit("")), F.col("query"))["value"]
+    return asked.select("application_id", F.when(told, value).alias("value"), F.when(told, answers.confidence(F.col("raw_response"))).alias("confidence"), "raw_response")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casewright.functions.timefmt import duration
+
 FILE_STATES = ("pending", "indexing", "completed", "error")
 READY = ("indexed", "analyzed")
 
@@ -63,6 +65,36 @@ def stop_analysis(applications: DataFrame) -> DataFrame:
     return applications.select("id", F.when(done > 0, "analyzed").otherwise("indexed").alias("status"), message.alias("status_message"), F.lit("analyzing").alias("last_operation"))
 
 
+def stopped_at(applications: DataFrame, now: Column) -> DataFrame:
+    """stop_analysis with analysis_completed_at: the time of stopping, unless the analysis had ended before."""
+    ended = applications.select(F.col("id").alias("e_id"), F.coalesce("analysis_completed_at", now).alias("analysis_completed_at"))
+    return stop_analysis(applications).join(ended, F.col("id") == F.col("e_id")).drop("e_id")
+
+
+def indexing_seconds(files: DataFrame, now: Column) -> DataFrame:
+    """application_id, ended, going: seconds of indexing of each case's files with both ends, and of all that have begun, those without an end up to `now`."""
+    seconds = lambda end: F.timestamp_diff("SECOND", F.col("indexing_started_at"), end)
+    end = F.col("indexing_completed_at")
+    return files.groupBy("application_id").agg(F.coalesce(F.sum(seconds(end)), F.lit(0)).alias("ended"), F.coalesce(F.sum(seconds(F.coalesce(end, now))), F.lit(0)).alias("going"))
+
+
+def status_messages(applications: DataFrame, files: DataFrame, now: Column) -> DataFrame:
+    """id, message: the status message with how long its operation took; nothing is added where that is unknown or no time at all.
+
+    applications: id, status, last_operation, status_message, analysis_started_at, analysis_completed_at.
+    """
+    took = indexing_seconds(files, now).withColumnRenamed("application_id", "f_id")
+    joined = applications.join(took, F.col("id") == F.col("f_id"), "left")
+    state, begun, end = F.col("status"), F.col("analysis_started_at"), F.col("analysis_completed_at")
+    analysis = lambda e: F.timestamp_diff("SECOND", begun, e)
+    indexed = F.when(F.col("ended") > 0, _text(" (", duration(F.col("ended")), ")"))
+    analyzed = _text(" (", duration(analysis(end)), ")")
+    failed = F.when(F.col("last_operation") == "indexing", F.when(F.col("going") > 0, _text(" (выполнялось ", duration(F.col("going")), ")"))).when(F.col("last_operation") == "analyzing", _text(" (выполнялось ", duration(analysis(F.coalesce(end, now))), ")"))
+    suffix = F.when(state == "indexed", indexed).when(state == "analyzed", analyzed).when(state == "error", failed)
+    told = F.coalesce("status_message", F.lit("")) != ""
+    return joined.select("id", F.when(told, F.concat("status_message", F.coalesce(suffix, F.lit("")))).alias("message"))
+
+
 def first_file_error(files: DataFrame) -> DataFrame:
     """The message of each case's first failed file that has one."""
     failed = files.where((F.col("indexing_status") == "error") & (F.coalesce("error_message", F.lit("")) != ""))

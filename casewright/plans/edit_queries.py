@@ -294,10 +294,14 @@ def task_deadlines(spark, sf_dir):
     return status.deadlines(events, events.agg(F.max("ts")).first()[0])
 
 
-@query(sql="SELECT CAST(i AS INT) AS i, 5 + CAST(trunc(i / 7.0 * 40) AS INT) AS search, 50 + CAST(trunc(i / 7.0 * 35) AS INT) AS ask, 85 + CAST(trunc(i / 7.0 * 10) AS INT) AS scan FROM range(1, 8) t(i)")
+@query("applications", sql="""
+SELECT id, 5 + CAST(trunc(CAST(analysis_completed_params AS DOUBLE) / analysis_total_params * 40) AS INT) AS search, 50 + CAST(trunc(CAST(analysis_completed_params AS DOUBLE) / analysis_total_params * 35) AS INT) AS ask,
+  85 + CAST(trunc(CAST(analysis_completed_params AS DOUBLE) / analysis_total_params * 10) AS INT) AS scan FROM applications WHERE analysis_total_params > 0""")
 def stage_progress(spark, sf_dir):
-    i = F.col("i")
-    return spark.range(1, 8).select(F.col("id").cast("int").alias("i")).select("i", *(status.stage_progress(s, i, F.lit(7)).alias(s) for s in ("search", "ask", "scan")))
+    """What each stage of a case's analysis would show with so many of its parameters done."""
+    apps = load(spark, sf_dir, "applications").where("analysis_total_params > 0")
+    done, total = F.col("analysis_completed_params"), F.col("analysis_total_params")
+    return apps.select("id", *(status.stage_progress(s, done, total).alias(s) for s in ("search", "ask", "scan")))
 
 
 @query("files", sql="""

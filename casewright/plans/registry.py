@@ -23,4 +23,4 @@ def query(*uses: str, sql: str | None = None, recursive: bool = False):
     return add
 
 
-from casewright.plans import case_queries, chunk_queries, edit_queries, stream_queries, text_queries  # noqa: E402, F401  (they register themselves)
+from casewright.plans import case_queries, chunk_queries, edit_queries, stream_queries, task_queries, text_queries  # noqa: E402, F401  (they register themselves)
