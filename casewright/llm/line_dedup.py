@@ -80,10 +80,10 @@ def buckets_of(lines: list[str], bands: int = BANDS, rows: int = ROWS):
     ends = np.cumsum(sizes)
     owner = np.repeat(np.arange(len(lines)), sizes)
     place = np.arange(len(h))
-    inside = place + SHINGLE <= ends[owner[: len(h)]]
+    inside = np.flatnonzero(place + SHINGLE <= ends.take(owner[: len(h)]))  # places are taken faster than a mask is
     # The upper 40 bits of each hash, after the line's number: sorted, a line's distinct shingles stand in order.
-    key = np.sort((owner[: len(h)][inside].astype(np.uint64) << one(40)) | (h[inside] >> one(24)))
-    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    key = np.sort((owner.take(inside).astype(np.uint64) << one(40)) | (h.take(inside) >> one(24)))
+    key = key.take(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])))
     line, value = (key >> one(40)).astype(np.int64), key & one((1 << 40) - 1)
     counts = np.bincount(line, minlength=len(lines))
     starts = np.concatenate([[0], np.cumsum(counts)])
@@ -110,13 +110,13 @@ def buckets_of(lines: list[str], bands: int = BANDS, rows: int = ROWS):
     if len(large):
         row = np.full(len(lines), -1)
         row[large] = np.arange(len(large))
-        keep = row[line] >= 0
-        at, v = row[line[keep]], value[keep]
-        bins = ((v * one(n_values)) >> one(40)).astype(np.int64)
-        cell = at * n_values + bins
-        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        bins = ((value * one(n_values)) >> one(40)).astype(np.int64)
+        first = np.flatnonzero(np.diff(line * n_values + bins, prepend=-1))
+        at = row.take(line.take(first))
+        first, at = first[at >= 0], at[at >= 0]
+        cell = at * n_values + bins.take(first)
         signature, filled = np.zeros(len(large) * n_values, np.uint64), np.zeros(len(large) * n_values, bool)
-        signature[cell[first]], filled[cell[first]] = v[first] + one(1), True
+        signature[cell], filled[cell] = value.take(first) + one(1), True
         signature, filled = signature.reshape(-1, n_values), filled.reshape(-1, n_values)
         source, known = signature.copy(), filled.copy()
         for turn in borrow:
@@ -191,19 +191,25 @@ def met_lines(buckets: DataFrame) -> DataFrame:
             return x ^ (x >> np.uint64(29))
 
         def out(bucket, key, closed):
-            """Rows of whole buckets, and what is left of the last one unless it is closed."""
+            """Rows of whole buckets, and the last one's bucket and keys unless it is closed."""
+            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            sizes = np.diff(first, append=len(key))
+            rest = len(key) if closed else first[-1]
+            left = np.unique(key[rest:])
+            several = np.flatnonzero(np.repeat(sizes > 1, sizes)[:rest])  # few of them
+            bucket, key, last = bucket.take(several), key.take(several), bucket[-1]
+            order = np.lexsort((key, bucket))
+            bucket, key = bucket.take(order), key.take(order)
             new = np.ones(len(key), bool)
             new[1:] = (bucket[1:] != bucket[:-1]) | (key[1:] != key[:-1])
             bucket, key = bucket[new], key[new]
-            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            first = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] - 1)) if len(bucket) else np.zeros(0, np.int64)
             sizes = np.diff(first, append=len(key))
-            rest = slice(len(key), None) if closed else slice(first[-1], None)
-            sums = np.add.reduceat(mixed(key.view(np.uint64)), first)
+            sums = np.add.reduceat(mixed(key.view(np.uint64)), first) if len(key) else np.zeros(0, np.uint64)
             meet = np.where(sizes <= SET, mixed(sums ^ sizes.astype(np.uint64)).view(np.int64), bucket[first])
             whole = np.repeat(sizes > 1, sizes)
-            whole[rest] = False
             rows = pa.RecordBatch.from_arrays([pa.array(np.repeat(meet, sizes)[whole]), pa.array(np.repeat(sizes, sizes)[whole]), pa.array(key[whole])], names=["meet", "n", "key"])
-            return rows, bucket[rest], key[rest]
+            return rows, np.full(len(left), last), left
 
         bucket = key = np.zeros(0, np.int64)
         for batch in batches:
@@ -214,7 +220,8 @@ def met_lines(buckets: DataFrame) -> DataFrame:
         if len(key):
             yield out(bucket, key, True)[0]
 
-    ordered = buckets.select("bucket", "key").repartition("bucket").sortWithinPartitions("bucket", "key")
+    # By one whole number Spark sorts its digits, by two it compares rows.
+    ordered = buckets.select("bucket", "key").repartition("bucket").sortWithinPartitions("bucket")
     return ordered.mapInArrow(run, "meet bigint, n bigint, key bigint").distinct()
 
 
@@ -223,7 +230,7 @@ def _near(common, size_a, size_b, threshold: float):
 
 
 def linked_in_small(lines: list[str], groups, threshold: float):
-    """(a, b) of lines that join all near lines of each group; groups: of each line, in order. All groups are counted at once."""
+    """(a, b) of lines that join all near lines of each group; groups: of each line, in order. All groups, of fewer than 2 ** 20 lines, are counted at once."""
     import numpy as np
 
     chars = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]
@@ -231,12 +238,13 @@ def linked_in_small(lines: list[str], groups, threshold: float):
     owner = np.repeat(np.arange(len(lines)), spans)
     starts = np.cumsum([0, *(len(x) for x in chars)])[:-1]
     h = hashed("".join(chars))[np.arange(len(owner)) + np.repeat(starts - np.cumsum(spans) + spans, spans)]
-    key = h ^ (groups[owner].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    order = np.argsort(key, kind="stable")  # equal shingles of a group stand together, their lines in order
-    key, owner = key[order], owner[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
-    key, owner = key[new], owner[new]
+    # The upper 44 bits of each shingle's hash, mixed with its group, before its line's number: sorted, equal shingles
+    # of a group stand together, their lines in order.
+    low = np.uint64((1 << 20) - 1)
+    mixed = (h ^ (groups.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).take(owner)) * np.uint64(0xBF58476D1CE4E5B9)
+    key = np.sort((mixed & ~low) | owner.astype(np.uint64))
+    key = key.take(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])))
+    key, owner = key >> np.uint64(20), (key & low).astype(np.int64)
     sizes, found = np.bincount(owner, minlength=len(lines)), []
     for step in range(1, SET):
         same = np.flatnonzero(key[step:] == key[:-step])
@@ -288,7 +296,7 @@ def linked_in_large(lines: list[str], threshold: float):
 def links(groups: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """a, b: near lines of each group that join all its near lines; rows (meet, i, j, n, digest, line), one for each line of a group.
 
-    Sets are compared by 64-bit hashes of their shingles.
+    Sets are compared by hashes of their shingles, of 64 bits, and of 44 in groups of up to SET lines.
     """
 
     def run(batches):
