@@ -32,6 +32,16 @@ def index_stats_map(chunks: DataFrame) -> DataFrame:
     return per.agg(F.sum("n").alias("total_points"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("content_type", "n")))).alias("content_types"))
 
 
+def chunk_text(chunk: Column) -> Column:
+    """The text of a chunk (a struct with text and metadata); empty where there is none."""
+    return F.coalesce(chunk["text"], F.lit(""))
+
+
+def chunk_metadata(chunk: Column, *names: str) -> list[Column]:
+    """The named fields of a chunk's metadata, null where the chunk has none."""
+    return [chunk["metadata"][n].alias(n) for n in names]
+
+
 def chunk_size(content_length: Column, text: Column) -> Column:
     """The stated length, or the text's where none is stated or it is no number."""
     return F.coalesce(content_length.try_cast("int"), F.length(text), F.lit(0))

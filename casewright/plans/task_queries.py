@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casewright.operators import context, mutations, report, retrieval, status, tasks
+from casewright.functions import display, timefmt
+from casewright.operators import access, chunks, context, mutations, report, retrieval, status, tasks
 from casewright.plans.case_queries import _DURATION, _HOURS
 from casewright.plans.chunk_queries import _CONTEXT, _NAMES, _SCORED, _TEXT, WORDS, _names, _scored
 from casewright.plans.registry import query
+from casewright.sources import tables
 from casewright.sources.relations import load
-from casewright.sources.storage import scratch_path
+from casewright.sources.storage import materialize, scratch_path
 
 NOW = "2001-02-03 04:05:06"
 
@@ -27,7 +29,7 @@ def detailed_hits(spark, sf_dir):
 
 @query("chunks", sql=_SCORED + _CONTEXT.replace("position <= 4", "position <= 8") + """,
 r AS (SELECT application_id, length(context) AS n, CASE length(context) % 4 WHEN 0 THEN concat('Результат: ', length(context)) WHEN 1 THEN concat('{"value": "v', length(context), '"}') WHEN 2 THEN concat('возможно ', length(context)) END AS raw_response FROM k)
-SELECT application_id, CASE n % 4 WHEN 0 THEN CAST(n AS VARCHAR) WHEN 1 THEN concat('v', n) WHEN 2 THEN concat('возможно ', n) END AS value, CASE n % 4 WHEN 0 THEN 0.8 WHEN 1 THEN 0.8 WHEN 2 THEN 0.6 END AS confidence, raw_response FROM r""")
+SELECT application_id, CASE n % 4 WHEN 0 THEN CAST(n AS VARCHAR) WHEN 1 THEN concat('v', n) WHEN 2 THEN concat('возможно ', n) END AS value, CAST(CASE n % 4 WHEN 0 THEN 0.8 WHEN 1 THEN 0.8 WHEN 2 THEN 0.6 END AS DOUBLE) AS confidence, raw_response FROM r""")
 def answered_searches(spark, sf_dir):
     """The answer over the first eight of each case's twelve best hits, through the parser; every fourth call fails, by the length of its context."""
     names = _names(spark, sf_dir).select(F.col("document_id").alias("n_id"), F.col("name").alias("document_name"))
@@ -149,3 +151,62 @@ def analysis_in_parts(spark, sf_dir):
     """An analysis that is made part by part, so that it can be stopped and gone on with."""
     jobs = load(spark, sf_dir, "checklist_parameters")
     return tasks.run_in_parts(jobs, lambda df: df.select("id", F.upper(F.left("search_query", F.lit(20))).alias("value")), scratch_path(spark, "parts"), ["id"], parts=4)
+
+
+@query("checklists", sql="""
+SELECT id, name, CASE WHEN id % 2 = 1 THEN user_id END AS user_id, CASE WHEN id % 2 = 1 THEN is_public ELSE false END AS is_public FROM checklists
+UNION ALL SELECT n, concat(kind, ':', name), NULL, NULL FROM (VALUES (-1, 'bigint', 'id'), (-2, 'string', 'name'), (-3, 'bigint', 'user_id'), (-4, 'boolean', 'is_public')) v(n, kind, name)""")
+def migrated_table(spark, sf_dir):
+    """A table of checklists that is given an owner and a flag: older rows read the defaults, a second migration changes nothing; and its columns as the catalogue tells them."""
+    lists, path = load(spark, sf_dir, "checklists"), scratch_path(spark, "table")
+    table = f"checklists_{path[-32:]}"
+    tables.create_table(lists.where("id % 2 = 0").select("id", "name"), table, path)
+    for _ in range(2):
+        tables.add_missing_columns(spark, table, {"user_id": ("BIGINT", None), "is_public": ("BOOLEAN", "false")})
+    lists.where("id % 2 = 1").select("id", "name", "user_id", "is_public").write.insertInto(table)
+    columns = [(-n, f"{kind}:{name}") for n, (name, kind) in enumerate(tables.columns_of(spark, table).items(), 1)]
+    told = spark.createDataFrame(columns, "id bigint, name string").selectExpr("id", "name", "CAST(NULL AS BIGINT) AS user_id", "CAST(NULL AS BOOLEAN) AS is_public")
+    found = materialize(spark.table(table).select("id", "name", "user_id", "is_public"), "migrated")
+    spark.sql(f"DROP TABLE {table}")
+    return found.unionByName(told)
+
+
+@query("chunks", sql="SELECT document_id, chunk_index, md5(CASE WHEN chunk_index % 5 = 1 THEN '' ELSE text END) AS text_md5, CASE WHEN chunk_index % 7 <> 2 THEN content_length END AS content_length, CASE WHEN chunk_index % 7 <> 2 THEN section END AS section FROM chunks")
+def chunk_fields(spark, sf_dir):
+    """Texts and metadata of chunks as the index returns them, some without a text and some without metadata."""
+    i = F.col("chunk_index")
+    chunk = F.struct(F.when(i % 5 != 1, F.col("text")).alias("text"), F.when(i % 7 != 2, F.struct("content_length", "section")).alias("metadata"))
+    rows = load(spark, sf_dir, "chunks").select("document_id", "chunk_index", chunk.alias("chunk"))
+    return rows.select("document_id", "chunk_index", F.md5(chunks.chunk_text(F.col("chunk"))).alias("text_md5"), *chunks.chunk_metadata(F.col("chunk"), "content_length", "section"))
+
+
+@query("applications", sql="""
+SELECT id FROM (SELECT id FROM applications WHERE id % 3 = 0 UNION ALL SELECT -id FROM applications WHERE id % 100 = 1) WHERE id NOT IN (SELECT id FROM applications WHERE user_id = 7)""")
+def rejected_requests(spark, sf_dir):
+    """Of the cases that a user asks for, those that are unknown or that they may not use."""
+    apps, i = load(spark, sf_dir, "applications"), F.col("id")
+    asked = apps.where(i % 3 == 0).select("id").unionAll(apps.where(i % 100 == 1).select((-i).alias("id")))
+    return access.rejected_cases(asked, apps, "user", 7)
+
+
+@query("applications", sql="""
+SELECT id, concat('a<br>', name, '<br>b') AS shown, concat(id, ',', id + 1) AS ids, CASE WHEN id % 4 = 0 THEN '' ELSE strftime(created_at AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Moscow', '%Y-%m-%d %H:%M') || ' MSK' END AS moment FROM applications""")
+def shown_values(spark, sf_dir):
+    """Line breaks, lists of ids and times with their zone as the interface shows them."""
+    i = F.col("id")
+    listed = F.concat(i.cast("string"), F.lit(", x,"), (i + 1).cast("string"), F.lit(" ,,3a"))
+    moment = timefmt.shown(timefmt.moscow(F.when(i % 4 != 0, F.col("created_at"))), "yyyy-MM-dd HH:mm", "MSK")
+    return load(spark, sf_dir, "applications").select("id", display.line_breaks(F.concat(F.lit("a\n"), "name", F.lit("\nb"))).alias("shown"), F.array_join(display.id_list(listed).cast("array<string>"), ",").alias("ids"), moment.alias("moment"))
+
+
+@query("users", sql="""
++ n AS (SELECT count(*) AS n FROM users WHERE role = 'admin' AND id % 50 <> 0), s AS (SELECT * FROM (VALUES ('checklists', 1, 'base'), ('parameters', 1, 'parameter 1'), ('parameters', 2, 'parameter 2'), ('parameters', 3, 'parameter 3'), ('users', 1, 'admin')) v(relation, id, name))
+SELECT 'without an admin' AS installation, relation, CAST(s.id AS BIGINT) AS id, name FROM s, n WHERE n = 0 UNION ALL SELECT 'whole', relation, CAST(s.id AS BIGINT), name FROM s WHERE NOT EXISTS (SELECT 1 FROM users WHERE role = 'admin')""")
+def seeded(spark, sf_dir):
+    """What a new installation is given: everything where no user is an admin, nothing where one is."""
+    users, out = load(spark, sf_dir, "users"), None
+    for name, of in (("without an admin", users.where("id % 50 <> 0")), ("whole", users)):
+        for relation, rows in mutations.seed(spark, of).items():
+            one = rows.select(F.lit(name).alias("installation"), F.lit(relation).alias("relation"), "id", F.col("username" if relation == "users" else "name").alias("name"))
+            out = one if out is None else out.unionAll(one)
+    return out

@@ -90,3 +90,23 @@ def test_a_stream_that_is_started_again_goes_on(spark, tmp_path):
             spark.createDataFrame(rows, ROW).write.mode("append").parquet(str(tmp_path / "in"))
         t.follow(progress.read_stream(spark, str(tmp_path / "in"), t.schema), str(tmp_path / "checkpoint"))
     assert sorted(tuple(r) for r in t.read(spark).collect()) == [(1, "a", 2, "y"), (2, "a", 1, "x")]
+
+
+def test_a_migration_that_is_run_twice_changes_nothing(spark, tmp_path):
+    from casewright.sources import tables
+
+    name, old = "migrated_lists", spark.createDataFrame([(1, "one")], "id bigint, Name string")
+    try:
+        tables.create_table(old, name, str(tmp_path / "table"))
+        tables.create_table(old.limit(0), name, str(tmp_path / "other"))
+        wanted = {"name": ("STRING", "'x'"), "user_id": ("BIGINT", None), "is_public": ("BOOLEAN", "false")}
+        before = files_of(str(tmp_path / "table"))
+        assert tables.add_missing_columns(spark, name, wanted) == ["user_id", "is_public"]
+        assert tables.add_missing_columns(spark, name, wanted) == []
+        assert files_of(str(tmp_path / "table")) == before
+        assert [tuple(r) for r in spark.table(name).collect()] == [(1, "one", None, False)]
+        spark.createDataFrame([(2, "two", 7, True)], "id bigint, name string, user_id bigint, is_public boolean").write.insertInto(name)
+        assert sorted(tuple(r) for r in spark.table(name).collect()) == [(1, "one", None, False), (2, "two", 7, True)]
+        assert tables.columns_of(spark, name) == {"id": "bigint", "Name": "string", "user_id": "bigint", "is_public": "boolean"}
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
