@@ -192,11 +192,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _prefixes(docs: DataFrame) -> DataFrame:
-    """toxic, p: each distinct word's beginnings and, with a `$`, itself; once a document."""
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) >= PREFIXES[0]))
-    rows = docs.select("row", "toxic", F.explode(words).alias("w"))
-    starts = F.array(*(F.when(F.length("w") >= n, F.substring("w", 1, n)) for n in PREFIXES), F.concat("w", F.lit("$")))
-    return rows.select("row", "toxic", F.explode(F.filter(starts, lambda p: p.isNotNull())).alias("p")).distinct()
+    """p: each distinct word's beginnings and, with a `$`, itself; once a row.
+
+    In order, words with the same beginning stand together, so a word tells only those that the one before it lacks.
+    """
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) >= PREFIXES[0])))
+    rows = docs.select(words.alias("words")).select(F.explode(F.transform("words", lambda w, i: F.struct(w.alias("w"), F.get("words", i - 1).alias("before")))).alias("x")).select("x.*")
+    new = lambda n: (F.length("w") >= n) & ~F.coalesce(F.substring("before", 1, n) == F.substring("w", 1, n), F.lit(False))
+    starts = F.array(*(F.when(new(n), F.substring("w", 1, n)) for n in PREFIXES), F.concat("w", F.lit("$")))
+    return rows.select(F.explode(F.filter(starts, lambda p: p.isNotNull())).alias("p"))
 
 
 def by_chance(t, o, rate: float):
@@ -220,11 +224,13 @@ def learn_patterns(training: DataFrame) -> dict[str, float]:
     import numpy as np
 
     n_toxic, n_rows = training.agg(F.count_if(F.col("toxic") == 1), F.count("*")).first()
-    every = _prefixes(training.where("toxic = 1")).groupBy("p").agg(F.count("*").alias("t"))
+    scratch = Scratch(training.sparkSession, "patterns")
+    every = scratch.put(_prefixes(training.where("toxic = 1")).groupBy("p").agg(F.count("*").alias("t")))
     n_looked = every.count()
     toxic = every.where(F.col("t") >= MIN_TOXIC_DOCS)
     other = _prefixes(training.where("toxic = 0")).join(toxic.select("p"), "p", "left_semi").groupBy("p").agg(F.count("*").alias("o"))
     rows = toxic.join(other, "p", "left").na.fill(0, ["o"]).where(F.col("t") >= MIN_PRECISION * (F.col("t") + F.col("o"))).collect()
+    scratch.drop(every)
     unlikely = by_chance([r.t for r in rows], [r.o for r in rows], n_toxic / max(1, n_rows)) + np.log(max(1, n_looked)) < math.log(CHANCE)
     counts = {r.p: (r.t, r.o) for r, yes in zip(rows, unlikely) if yes}
     longer: dict[str, int] = {}  # toxic documents of the commonest pattern that is longer by one

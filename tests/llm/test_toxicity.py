@@ -143,3 +143,17 @@ def test_folds_by_crc(spark, make_docs):
     for r in docs.withColumn("h", tox.held_out(docs.doc_id)).collect():
         assert r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
     assert re.fullmatch("[a-z]+", tox.THREATS[0])
+
+
+def test_beginnings_count_once_a_row(spark):
+    import re
+
+    r = random.Random(2)
+    texts = [" ".join("".join(r.choice("abÉ") for _ in range(r.randrange(1, 13))) for _ in range(40)) for _ in range(30)] + [None, "", "abcd ABCD abcde abcd"]
+    want = {}
+    for t in texts:
+        words = {w for w in re.findall(r"[^\W\d_]+", (t or "").lower()) if len(w) >= 4}
+        for p in {w[:n] for w in words for n in tox.PREFIXES if len(w) >= n} | {w + "$" for w in words}:
+            want[p] = want.get(p, 0) + 1
+    rows = tox._prefixes(spark.createDataFrame([(t,) for t in texts], "text string")).groupBy("p").count().collect()
+    assert {x.p: x["count"] for x in rows} == want
