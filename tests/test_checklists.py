@@ -126,3 +126,19 @@ def test_queries_answer_every_parameter_and_case(spark):
     got = registry.QUERIES["checklist_analysis"](spark, SF_DIR)
     assert got.count() == got.select("parameter_id").distinct().count() == n
     assert registry.QUERIES["results_by_checklist_all"](spark, SF_DIR).count() == links.join(p, "checklist_id").count()
+
+
+def test_results_of_links_are_not_shuffled_by_parameter(spark):
+    links = spark.range(40).select((F.col("id") % 20).alias("application_id"), F.floor(F.col("id") / 20).alias("checklist_id"))
+    parameters = spark.range(1000).select("id", F.floor(F.col("id") / 500).alias("checklist_id"), F.lit("p").alias("name"), (F.col("id") % 500).cast("int").alias("order_index"))
+    results = links.select("application_id", (F.col("checklist_id") * 500 + F.col("application_id")).alias("parameter_id"), F.lit("v").alias("value"), F.lit(0.5).alias("confidence"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = report.results_by_checklist(links, parameters, results)
+        assert df.count() == 20_000 and df.where("value = 'v'").count() == 40
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # The join that multiplies rows, by checklist, is the last: nothing is dealt out by parameter after it.
+    assert "checklist_id" in (last := plan[plan.index("SortMergeJoin") :].split("]")[0]) and "parameter_id" not in last
