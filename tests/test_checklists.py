@@ -142,3 +142,11 @@ def test_results_of_links_are_not_shuffled_by_parameter(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     # The join that multiplies rows, by checklist, is the last: nothing is dealt out by parameter after it.
     assert "checklist_id" in (last := plan[plan.index("SortMergeJoin") :].split("]")[0]) and "parameter_id" not in last
+
+
+def test_partial_results_of_an_id_that_two_checklists_have(spark):
+    links = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (3, 1)], "application_id bigint, checklist_id bigint")
+    parameters = spark.createDataFrame([(7, 1, "a", 0), (7, 2, "b", 0), (8, 2, "c", 1)], "id bigint, checklist_id bigint, name string, order_index int")
+    results = spark.createDataFrame([(1, 1, 7, "x"), (2, 2, 7, "x"), (3, 2, 8, "y"), (4, 3, 7, "z"), (5, 3, 8, "no link")], "id bigint, application_id bigint, parameter_id bigint, value string")
+    got = sorted(tuple(r) for r in report.partial_results(links, parameters, results).collect())
+    assert got == [(1, 1, 1, 1), (1, 2, 1, 2), (2, 2, 2, 2), (3, 1, 1, 1)]
