@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casewright.plans.registry import query
+from casewright.sources import partitions
 from casewright.sources.relations import load
 from casewright.sources.chunk_store import ChunkStore
 from casewright.sources.storage import scratch_path
@@ -31,7 +32,7 @@ def _parts(spark, sf_dir):
     part = F.floor((at + (F.col("event_id") * 7919 % 1800) * 1_000_000 - F.lit(low)) / (_DAYS * 86_400_000_000)).cast("int") + F.when(F.col("event_id") % 97 == 5, 1).otherwise(0)
     events.withColumn("part", F.least(part, F.lit(_PARTS - 1))).write.partitionBy("part").parquet(f"{base}/parts")
     for k in range(_PARTS):
-        spark.read.schema(events.schema).parquet(f"{base}/parts/part={k}").write.mode("append").parquet(f"{base}/in")
+        partitions.replace(spark, f"{base}/parts/part={k}", f"{base}/in/part={k}")
         yield progress.read_stream(spark, f"{base}/in", events.schema), base
 
 
@@ -90,7 +91,7 @@ def stream_file_states(spark, sf_dir):
     events.write.partitionBy("seq").parquet(f"{base}/parts")
     table = upserts.KeyedTable(f"{base}/table", upserts.file_changes(events).schema, ["id"], "seq")
     for seq in (1, 2, 3, 0):
-        spark.read.schema(events.schema).parquet(f"{base}/parts/seq={seq}").withColumn("seq", F.lit(seq)).write.mode("append").parquet(f"{base}/in")
+        partitions.replace(spark, f"{base}/parts/seq={seq}", f"{base}/in/seq={seq}")
         table.follow(upserts.file_changes(progress.read_stream(spark, f"{base}/in", events.schema)), f"{base}/checkpoint")
     return table.read(spark)
 

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewright.sources import partitions
+from casewright.sources.storage import scratch_path
 
 #: Parts of a table by its key's hash: a batch rewrites those that it changes.
 BUCKETS = 32
+#: Tasks that share a bucket while it is rewritten.
+SPLIT = 4
 
 
 def bucket(keys: list[str], n: int = BUCKETS) -> Column:
@@ -32,35 +35,34 @@ class KeyedTable:
         return spark.read.schema(full).parquet(self.path).select(*schema, "bucket")
 
     def merge(self, changes: DataFrame) -> None:
-        """Takes in rows; those that are older than, or equal to, what is stored change nothing, so a batch that is repeated writes nothing."""
+        """Takes in rows; those that are older than, or equal to, what is stored change nothing, so a batch that is repeated writes nothing.
+
+        The rows and what their buckets hold are dealt out once, by bucket, written once beside the table, and the
+        folders of buckets in which something changed take the place of the table's. Files also tell which rows changed.
+        """
         spark, names = changes.sparkSession, self.schema.fieldNames()
+        new = changes.select(*names).withColumn("bucket", bucket(self.keys, self.buckets))
+        asked = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most as many as buckets
+        if not asked:
+            return
+        stored = self._stored(spark).where(F.col("bucket").isin(asked)).select(*names, "bucket").withColumn("_known", F.lit(True))
+        part = F.pmod(F.hash(*self.keys), F.lit(SPLIT))
+        dealt = stored.unionByName(new.withColumn("_known", F.lit(False))).withColumn("_part", part).repartition(self.buckets * SPLIT, "bucket", "_part")
         rank = F.struct(self.order, *(n for n in names if n != self.order))
-        latest = changes.groupBy(*self.keys).agg(F.max(rank).alias("r"))
-        values = [n for n in names if n not in self.keys]
-        newest = latest.select(*self.keys, *(F.col(f"r.{n}").alias(n) for n in values)).withColumn("bucket", bucket(self.keys, self.buckets))
-        stored = self._stored(spark)
-        known = stored.select(*(F.col(k).alias(f"k_{k}") for k in self.keys), "bucket", F.struct(self.order, *(n for n in names if n != self.order)).alias("known"))
-        same = [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in self.keys]
-        met = newest.alias("n").join(known.alias("s"), (F.col("n.bucket") == F.col("s.bucket")) & _all(same), "left")
-        real = met.where(F.col("known").isNull() | (rank > F.col("known"))).select(*(F.col(f"n.{n}").alias(n) for n in [*names, "bucket"]))
-        touched = real.select("bucket").distinct()
-        beside = stored.join(touched, "bucket", "left_semi")
-        replaced = real.select(*(F.col(k).alias(f"k_{k}") for k in self.keys), F.col("bucket").alias("k_bucket"))
-        kept = beside.join(replaced, (F.col("bucket") == F.col("k_bucket")) & _all([F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in self.keys]), "left_anti")
-        partitions.rewrite(kept.select(*names, "bucket").unionByName(real), touched, self.path, "bucket")
+        last = dealt.groupBy("bucket", "_part", *self.keys).agg(F.max(rank).alias("_last"), F.max(F.when(F.col("_known"), rank)).alias("_before"))
+        changed = (F.col("_before").isNull() | (F.col("_last") > F.col("_before"))).alias("_changed")
+        staged = scratch_path(spark, "merge")
+        last.select(*(F.col(f"_last.{n}").alias(n) for n in names), changed, "bucket").write.partitionBy("bucket").parquet(staged)
+        touched = spark.read.schema("_changed boolean, bucket int").parquet(staged).where("_changed").select("bucket").distinct()
+        for row in touched.collect():
+            partitions.replace(spark, f"{staged}/bucket={row.bucket}", f"{self.path}/bucket={row.bucket}")
+        partitions.delete(spark, staged)
 
     def follow(self, changes: DataFrame, checkpoint: str) -> None:
         """Merges what a stream has now, a micro-batch at a time, and ends."""
         changes.writeStream.foreachBatch(lambda rows, _: self.merge(rows)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def _all(conditions: list[Column]) -> Column:
-    out = F.lit(True)
-    for c in conditions:
-        out = out & c
-    return out
-
-
 def file_changes(events: DataFrame) -> DataFrame:
     """What each indexing event (id, seq, event, chunks_count, error_message, at) makes of its file's row.
 

@@ -83,6 +83,21 @@ def test_bytes_written_follow_the_batch(spark, tmp_path):
     assert {x.value for x in t.read(spark).where("id = 7").collect()} == {"new"} and t.read(spark).count() == 4000
 
 
+def test_a_batch_is_written_once_and_dealt_out_once(spark, tmp_path):
+    t, n = table(spark, tmp_path), []
+    rows = spark.range(4000).select("id", F.lit("a").alias("part"), F.lit(1).alias("seq"), F.col("id").cast("string").alias("value"))
+    t.merge(rows)
+    tracker = spark.sparkContext.statusTracker()
+    for k in range(2):
+        spark.sparkContext.setJobGroup(f"merge-{k}", "merge")
+        t.merge(rows.withColumn("seq", F.lit(2)) if k else rows.limit(0))
+        jobs = tracker.getJobIdsForGroup(f"merge-{k}")
+        n.append(sum(tracker.getStageInfo(s).numTasks > 0 and tracker.getStageInfo(s).numCompletedTasks > 0 for j in jobs for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s)))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # Buckets asked for (2 stages), rows dealt out and written (2), folders that changed (2).
+    assert n[1] <= 8 and {r.seq for r in t.read(spark).select("seq").distinct().collect()} == {2}
+
+
 def test_a_stream_that_is_started_again_goes_on(spark, tmp_path):
     t = table(spark, tmp_path)
     for k, rows in enumerate(([(1, "a", 1, "x"), (2, "a", 1, "x")], [(1, "a", 2, "y"), (2, "a", 0, "old")], [])):
