@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from casewright.sources import partitions
+
 
 def merge_by_key(current: DataFrame, changes: DataFrame, keys: list[str], order: tuple[str, ...] = (), own: tuple[str, ...] = ("id", "created_at")) -> DataFrame:
     """Upsert: a row of `changes` gives its columns to the row of `current` with its keys, or is added.
@@ -149,7 +151,9 @@ ADDED, REMOVED = "Добавлены новые чек-листы. Требуе
 
 
 def add_checklists(links: DataFrame, additions: DataFrame) -> DataFrame:
-    return links.unionByName(additions).dropDuplicates(["application_id", "checklist_id"])
+    """Each link once. Rows are dealt out to as many tasks as the input asks for, so that what one of them holds doesn't grow with it."""
+    keys, both = ["application_id", "checklist_id"], links.unionByName(additions)
+    return both.repartition(partitions.parts(both), *keys).dropDuplicates(keys)
 
 
 def remove_checklists(links: DataFrame, results: DataFrame, parameters: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame]:

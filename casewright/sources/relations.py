@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from casewright.sources import partitions
+
 _CHUNK_COLUMNS = """SELECT CAST(substr(source, 4) AS INT) AS application_id, doc_id AS document_id, CAST(i AS INT) AS chunk_index,
   substr(text, CAST(i * 800 + 1 AS INT), 800) AS text,
   CAST(CASE WHEN (doc_id + i) % 29 = 0 THEN 0 WHEN (doc_id + i) % 31 = 0 THEN NULL WHEN (doc_id + i) % 37 = 0 THEN -1
@@ -72,10 +74,12 @@ FROM {conversations} WHERE role = 'assistant'""",
 DUCKDB = {"chunks": _CHUNK_COLUMNS + "unnest(range(0, CAST((n_chars - 1) // 800 + 1 AS BIGINT))) AS i FROM {documents}) d"}
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A relation over the Parquet tables in `sf_dir`."""
-    tables = set(re.findall(r"(?<!{){(\w+)}", RELATIONS[name]))
-    return spark.sql(RELATIONS[name], **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
+def load(spark: SparkSession, sf_dir: str, name: str, by: str | None = None) -> DataFrame:
+    """A relation over the Parquet tables in `sf_dir`; a relation of one table may have it dealt out by a column, in as many tasks as its size asks for."""
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(re.findall(r"(?<!{){(\w+)}", RELATIONS[name]))}
+    if by:
+        tables = {t: df.repartition(partitions.parts(df), by) for t, df in tables.items()}
+    return spark.sql(RELATIONS[name], **tables)
 
 
 def with_clause(*names: str, recursive: bool = False) -> str:

@@ -150,3 +150,16 @@ def test_partial_results_of_an_id_that_two_checklists_have(spark):
     results = spark.createDataFrame([(1, 1, 7, "x"), (2, 2, 7, "x"), (3, 2, 8, "y"), (4, 3, 7, "z"), (5, 3, 8, "no link")], "id bigint, application_id bigint, parameter_id bigint, value string")
     got = sorted(tuple(r) for r in report.partial_results(links, parameters, results).collect())
     assert got == [(1, 1, 1, 1), (1, 2, 1, 2), (2, 2, 2, 2), (3, 1, 1, 1)]
+
+
+def test_added_links_are_dealt_out_by_the_size_of_the_input(spark, tmp_path, monkeypatch):
+    from casewright.operators import mutations
+    from casewright.sources import partitions
+
+    links = spark.createDataFrame([(a, c) for a in range(50) for c in range(a % 7)], "application_id bigint, checklist_id bigint")
+    links.write.parquet(str(tmp_path / "links"))
+    links = spark.read.parquet(str(tmp_path / "links"))
+    monkeypatch.setattr(partitions, "PART", 100)
+    df = mutations.add_checklists(links, links.select("application_id", (F.col("checklist_id") + 1).alias("checklist_id")))
+    assert df.rdd.getNumPartitions() == partitions.parts(links) > 4
+    assert sorted(tuple(r) for r in df.collect()) == [(a, c) for a in range(50) for c in range(a % 7 + 1) if a % 7]
