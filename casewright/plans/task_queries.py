@@ -126,7 +126,8 @@ SELECT l.application_id, CAST(sum(n) AS BIGINT) AS n_results, md5(concat('[', st
 FROM l JOIN checklists c ON c.id = l.checklist_id JOIN k ON k.checklist_id = l.checklist_id GROUP BY 1""")
 def case_reports(spark, sf_dir):
     """Every case's nested report of what has been found so far, by its digest."""
-    found = report.nested_reports(*(load(spark, sf_dir, t) for t in ("application_checklists", "checklists", "checklist_parameters", "parameter_results")))
+    links, results = (load(spark, sf_dir, t, by="l_orderkey") for t in ("application_checklists", "parameter_results"))
+    found = report.nested_reports(links, load(spark, sf_dir, "checklists"), load(spark, sf_dir, "checklist_parameters"), results)
     return found.select("application_id", "n_results", F.md5("report").alias("report_md5"))
 
 

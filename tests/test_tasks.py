@@ -129,3 +129,19 @@ def test_status_messages(spark, state, operation, want):
     apps = spark.createDataFrame([(1, state, operation, "m"), (2, state, operation, None)], "id int, status string, last_operation string, status_message string").selectExpr("*", f"{moments} AS analysis_started_at", f"{moments} + INTERVAL 50 SECONDS AS analysis_completed_at")
     got = {r.id: r.message for r in status.status_messages(apps, files, F.lit("2024-01-01 00:01:40").cast("timestamp_ntz")).collect()}
     assert got == {1: want, 2: None}
+
+
+def test_partial_reports_deal_rows_out_seldom(spark):
+    from casewright.operators import report
+
+    frame = spark.createDataFrame
+    links = frame([(1, 1)], "application_id bigint, checklist_id bigint")
+    lists, parameters = frame([(1, "a")], "id bigint, name string"), frame([(1, 1, "p", 0)], "id bigint, checklist_id bigint, name string, order_index int")
+    results = frame([(1, 1, 1, "v", 0.5)], "id bigint, application_id bigint, parameter_id bigint, value string, confidence double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = report.nested_reports(links, lists, parameters, results)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") <= 7
