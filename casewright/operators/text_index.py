@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from casewright.sources import partitions
+
 #: Saturation of repeated terms, and how much of a chunk's length counts.
 K1, B = 1.2, 0.75
 #: Scores are rounded to so many places, so that their order doesn't hang on that of a sum.
@@ -23,6 +25,27 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
+def _counted(tokens: DataFrame) -> DataFrame:
+    """_CHUNK, size, term, n: a row's terms are counted where it is; rows of one chunk are not yet added up."""
+    kinds = dict(tokens.dtypes)
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            of, term = pc.list_parent_indices(batch.column("terms")), pc.list_flatten(batch.column("terms"))
+            found = pa.table({"of": of, "term": term}).group_by(["of", "term"]).aggregate([([], "count_all")])
+            rows = pa.table(batch.select([*_CHUNK, "size"])).take(found["of"])
+            yield from rows.append_column("term", found["term"]).append_column("n", found["count_all"].cast(pa.int64())).to_batches()
+
+    return tokens.select(*_CHUNK, F.size("terms").alias("size"), "terms").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in _CHUNK) + ", size int, term string, n bigint")
+
+
+def _added_up(counted: DataFrame) -> DataFrame:
+    return counted.groupBy(*_CHUNK, "size", "term").agg(F.sum("n").alias("n"))
+
+
 @dataclass
 class TextIndex:
     """postings: application_id, term, document_id, chunk_index, n (occurrences), size (terms of the chunk); frequencies: application_id, term, df; cases: application_id, n_chunks, mean."""
@@ -30,18 +53,24 @@ class TextIndex:
     postings: DataFrame
     frequencies: DataFrame
     cases: DataFrame
+    #: Occurrences before they were dealt out by term, and to how many tasks; where the index was built just now.
+    counted: tuple[DataFrame, int] | None = None
 
     @staticmethod
     def build(chunks: DataFrame) -> TextIndex:
-        """Of rows (application_id, document_id, chunk_index, text). A term's occurrences in a chunk are counted before they are shuffled."""
+        """Of rows (application_id, document_id, chunk_index, text). A term's occurrences in a row are counted where it is; what is shuffled are postings, once, by case and term."""
         tokens = chunks.select(*_CHUNK, terms(F.col("text")).alias("terms"))
-        postings = tokens.select(*_CHUNK, F.size("terms").alias("size"), F.explode("terms").alias("term")).groupBy(*_CHUNK, "size", "term").agg(F.count("*").alias("n"))
+        counted, n = _counted(tokens), partitions.parts(chunks)
         cases = tokens.groupBy("application_id").agg(F.count("*").alias("n_chunks"), F.avg(F.size("terms")).alias("mean"))
-        return TextIndex(postings, postings.groupBy("application_id", "term").agg(F.count("*").alias("df")), cases)
+        index = TextIndex.of(_added_up(counted.repartition(n, "application_id", "term")), cases)
+        index.counted = counted, n
+        return index
 
     def write(self, path: str) -> TextIndex:
         """Under `path`, postings sorted by case and term in ranges, so that a search skips files and pages by their least and greatest terms."""
-        self.postings.repartitionByRange("application_id", "term").sortWithinPartitions("application_id", "term").write.parquet(f"{path}/postings")
+        keys = ["application_id", "term"]
+        rows = _added_up(self.counted[0].repartitionByRange(self.counted[1], *keys)) if self.counted else self.postings.repartitionByRange(*keys)
+        rows.sortWithinPartitions(*keys).write.parquet(f"{path}/postings")
         spark = self.postings.sparkSession
         TextIndex.of(spark.read.parquet(f"{path}/postings"), self.cases).frequencies.write.parquet(f"{path}/frequencies")
         self.cases.write.parquet(f"{path}/cases")

@@ -102,3 +102,12 @@ def test_no_plan_joins_chunks_with_queries(spark):
         below = next((k for k in range(i + 1, len(lines)) if depth(lines[k]) <= depth(lines[i])), len(lines))
         assert any("radius" in x for x in lines[i:below])
     assert sum("Join" in x for x in lines) > len(alone)
+
+
+def test_postings_are_dealt_out_once(spark):
+    rows = [(1, 1, 0, "a b a"), (1, 1, 0, "c a b"), (1, 2, 0, None), (2, 3, 1, "")]
+    postings = TextIndex.build(spark.createDataFrame(rows, CHUNKS)).postings
+    got = sorted((r.application_id, r.document_id, r.chunk_index, r.size, r.term, r.n) for r in postings.collect())
+    assert got == [(1, 1, 0, 3, "a", 3), (1, 1, 0, 3, "b", 2), (1, 1, 0, 3, "c", 1)]
+    frequencies = TextIndex.build(spark.createDataFrame(rows, CHUNKS)).frequencies
+    assert frequencies._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
