@@ -1,8 +1,9 @@
 """Task events of a stream in the order of their times, whatever the order and the batches in which they come.
 
 A task's events are held in state until the watermark has passed them and then stepped through by time and id, so
-results don't hang on how the stream was cut; an event that comes behind the watermark is told apart as late. On top
-of that: changes of a task's progress, and the deadlines of tasks (polls that give up, results that expire), which
+results don't hang on how the stream was cut; an event that comes behind the watermark is told apart as late. Tasks
+share states in buckets, since each call to a state costs far more than what it carries. Times are whole microseconds.
+On top of that: changes of a task's progress, and the deadlines of tasks (polls that give up, results that expire), which
 fire by timers also where no event comes any more.
 """
 
@@ -10,16 +11,18 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from casewright.operators.status import clamp
 from casewright.streaming.progress import LATENESS, timed
 
-#: Times are whole microseconds.
-EVENT = "at bigint, event_id bigint, state string, progress int"
 TERMINAL = ("SUCCESS", "FAILURE")
+#: Tasks share states by a hash of their ids; a checkpoint holds for one number of buckets.
+BUCKETS = 512
+#: Stands for an event's missing id where rows are numbers without nulls.
+_NONE = -(1 << 63)
 
 
 @contextmanager
@@ -34,49 +37,90 @@ def state_store(spark: SparkSession):
         spark.conf.set(key, before) if before else spark.conf.unset(key)
 
 
+def _packed(rows) -> bytes:
+    import pyarrow as pa
+
+    with pa.ipc.new_stream(sink := pa.BufferOutputStream(), rows.schema) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes):
+    import pyarrow as pa
+
+    return pa.ipc.open_stream(data).read_all()
+
+
 class InOrder(StatefulProcessor):
-    """Holds a task's events until the watermark passes them; subclasses say what a step does with the task's `known` values.
+    """Holds the events of a bucket's tasks until the watermark passes them; subclasses say what a step does with a task's `known` values.
 
-    While a task's events are stepped through, those of the watermark's delay and of one batch are in memory.
+    A state is one Arrow table for the whole bucket, so that it is asked for once, not for each task and event. While a
+    bucket's events are stepped through, those of the watermark's delay and of one batch are in memory.
     """
 
-    KNOWN: str
+    KNOWN: list[str]
+    OUT: str
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", EVENT)
-        self.known = handle.getValueState("known", self.KNOWN)
+        self.held = handle.getListState("held", "events binary")
+        self.known = handle.getValueState("known", "tasks binary")
 
     def handleInputRows(self, key, rows, timerValues):
-        passed, fresh = timerValues.getCurrentWatermarkInMs() * 1000, []
-        for r in rows:
-            if r.at <= passed:
-                yield self.late(key[0], r)
-            else:
-                fresh.append((r.at, r.event_id, r.state, r.progress))
-        if fresh:
-            self.held.appendList(fresh)
-            self._wake(min(fresh)[0])
+        import pyarrow as pa
+
+        passed, least = timerValues.getCurrentWatermarkInMs() * 1000, None
+        schema = pa.schema([("task", pa.string()), ("at", pa.int64()), ("event_id", pa.int64()), ("value", pa.int64())])
+        for frame in rows:
+            late = frame["at"] <= passed
+            if late.any():
+                yield self._frame([(r.task, *self.late(r)) for r in frame[late].itertuples()])
+            fresh = frame[~late]
+            if len(fresh):
+                self.held.appendValue((_packed(pa.Table.from_pandas(fresh[schema.names], schema, preserve_index=False)),))
+                at = int(fresh["at"].min())
+                least = at if least is None else min(least, at)
+        if least is not None:
+            self._wake(least)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(self.held.get(), key=lambda r: r[:2])
-        due, later = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
-        known = tuple(self.known.get()) if self.known.exists() else None
-        for r in due:
-            known, found = self.step(known, r)
-            yield from (self.row(key[0], x) for x in found)
-        known, found = self.until(known, passed)
-        yield from (self.row(key[0], x) for x in found)
-        if due:
-            self.held.put(later) if later else self.held.clear()
-        if known is None:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        passed, found = timerValues.getCurrentWatermarkInMs() * 1000, []
+        parts = [_unpacked(x[0]) for x in self.held.get()]
+        later = None
+        before = dict((task, tuple(x)) for task, *x in zip(*_unpacked(self.known.get()[0]).to_pydict().values())) if self.known.exists() else {}
+        known = dict(before)
+        if parts:
+            held = pa.concat_tables(parts)
+            due, later = (held.filter(side) for side in (pc.field("at") <= passed, pc.field("at") > passed))
+            for task, *event in zip(*due.sort_by([("at", "ascending"), ("event_id", "ascending")]).to_pydict().values()):
+                known[task], new = self.step(known.get(task), event)
+                found += [(task, *x) for x in new]
+            if due.num_rows:
+                self.held.put([(_packed(later),)]) if later.num_rows else self.held.clear()
+        for task in list(known):
+            known[task], new = self.until(known[task], passed)
+            found += [(task, *x) for x in new]
+            if known[task] is None:
+                del known[task]
+        if not known:
             self.known.clear()
-        else:
-            self.known.update(known)
-        ahead = [x for x in (later[0][0] if later else None, self.next(known)) if x is not None]
+        elif known != before:
+            kinds = pa.schema([("task", pa.string()), *((name, pa.int64()) for name in self.KNOWN)])
+            self.known.update((_packed(pa.table([list(known), *map(list, zip(*known.values()))], schema=kinds)),))
+        ahead = [pc.min(later["at"]).as_py()] if later is not None and later.num_rows else []
+        ahead += [x for x in map(self.next, known.values()) if x is not None]
         if ahead:
             self._wake(min(ahead))
+        if found:
+            yield self._frame(found)
+
+    def _frame(self, rows: list[tuple]):
+        import pandas as pd
+
+        return pd.DataFrame(rows, columns=[field.split()[0] for field in self.OUT.split(", ")])
 
     def _wake(self, at: int) -> None:
         self.handle.registerTimer(-(-at // 1000))
@@ -94,18 +138,15 @@ class InOrder(StatefulProcessor):
 
 
 class Changes(InOrder):
-    KNOWN = "progress int"
+    KNOWN = ["progress"]
     OUT = "task_id string, kind string, event_id bigint, progress int"
 
     def step(self, known, event):
-        _, event_id, _, progress = event
+        _, event_id, progress = event
         return (progress,), [] if known == (progress,) else [("change", event_id, progress)]
 
-    def row(self, task, found):
-        return Row(task_id=task, kind=found[0], event_id=found[1], progress=found[2])
-
-    def late(self, task, r):
-        return Row(task_id=task, kind="late", event_id=r.event_id, progress=r.progress)
+    def late(self, r):
+        return "late", r.event_id, r.value
 
 
 def fall_due(began, kept, upto: int, poll: int, keep: int):
@@ -126,13 +167,13 @@ def fall_due(began, kept, upto: int, poll: int, keep: int):
     return began, kept, found
 
 
-def after_event(began, kept, at: int, state: str):
+def after_event(began, kept, at: int, terminal):
     """(began, kept) after an event: a run begins with its first event and ends with a terminal one, whose result is kept."""
-    return (None, at) if state in TERMINAL else (at if began is None else began, kept)
+    return (None, at) if terminal else (at if began is None else began, kept)
 
 
 class Deadlines(InOrder):
-    KNOWN = "began bigint, kept bigint"
+    KNOWN = ["began", "kept"]
     OUT = "task_id string, kind string, micros bigint"
 
     def __init__(self, poll: int, keep: int):
@@ -150,11 +191,8 @@ class Deadlines(InOrder):
         ends = [] if known is None else [x + y for x, y in zip(known, (self.poll, self.keep)) if x is not None]
         return min(ends, default=None)
 
-    def row(self, task, found):
-        return Row(task_id=task, kind=found[0], micros=found[1])
-
-    def late(self, task, r):
-        return Row(task_id=task, kind="late", micros=r.at)
+    def late(self, r):
+        return "late", r.at
 
 
 class LiveDeadlines(StatefulProcessor):
@@ -201,16 +239,17 @@ class LiveDeadlines(StatefulProcessor):
         pass
 
 
-def _by_task(events: DataFrame, processor: StatefulProcessor, clock: str) -> DataFrame:
-    """Rows pass through the processor by task. Their times go as numbers, so that Spark leaves late ones to it."""
-    marked = timed(events).withWatermark("ts", LATENESS) if clock == "EventTime" else timed(events)
-    rows = marked.select("task_id", F.unix_micros("ts").alias("at"), "event_id", "state", F.col("progress").cast("int").alias("progress"))
-    return rows.groupBy("task_id").transformWithState(processor, processor.OUT, "Append", clock)
+def _by_bucket(events: DataFrame, value: Column, processor: InOrder) -> DataFrame:
+    """Rows pass through the processor by bucket of tasks; one without a time takes no part. Their times go as numbers, so that Spark leaves late ones to it."""
+    marked = timed(events).where(F.col("ts").isNotNull()).withWatermark("ts", LATENESS)
+    numbers = F.unix_micros("ts").alias("at"), F.coalesce("event_id", F.lit(_NONE)).alias("event_id"), value.cast("bigint").alias("value")
+    rows = marked.select(F.pmod(F.xxhash64("task_id"), F.lit(BUCKETS)).alias("bucket"), F.col("task_id").alias("task"), *numbers)
+    return rows.groupBy("bucket").transformWithStateInPandas(processor, processor.OUT, "Append", "EventTime")
 
 
 def changes_in_order(events: DataFrame) -> DataFrame:
     """task_id, kind, event_id, progress of a stream: events whose clamped progress differs from the task's one before by time (`change`), and events that came behind the watermark (`late`), which change nothing."""
-    return _by_task(events.withColumn("progress", clamp(F.col("progress"))), Changes(), "EventTime")
+    return _by_bucket(events, clamp(F.col("progress")), Changes()).withColumn("event_id", F.nullif("event_id", F.lit(_NONE)))
 
 
 def task_deadlines(events: DataFrame, poll_seconds: float = 7200, result_seconds: float = 3600, live: bool = False) -> DataFrame:
@@ -219,8 +258,11 @@ def task_deadlines(events: DataFrame, poll_seconds: float = 7200, result_seconds
     A run goes from its first event to a terminal one or its time-out, whose result is kept; a newer result replaces an
     older one. By default time is that of the events; `live` takes the wall clock, and events as they come.
     """
-    kind = LiveDeadlines if live else Deadlines
-    return _by_task(events, kind(int(poll_seconds * 1e6), int(result_seconds * 1e6)), "ProcessingTime" if live else "EventTime")
+    poll, keep = int(poll_seconds * 1e6), int(result_seconds * 1e6)
+    if not live:
+        return _by_bucket(events, F.coalesce(F.col("state").isin(*TERMINAL), F.lit(False)), Deadlines(poll, keep))
+    rows = timed(events).select("task_id", F.unix_micros("ts").alias("at"), "event_id", "state")
+    return rows.groupBy("task_id").transformWithState(LiveDeadlines(poll, keep), LiveDeadlines.OUT, "Append", "ProcessingTime")
 
 
 def run_ordered(found: DataFrame, path: str, checkpoint: str) -> None:

@@ -120,3 +120,22 @@ def test_no_events(spark, tmp_path):
     stream = progress.read_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], SCHEMA).schema)
     ordered.run_ordered(ordered.task_deadlines(stream), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
     assert spark.read.schema("task_id string, kind string, micros bigint").parquet(str(tmp_path / "out")).count() == 0
+
+
+def test_tasks_share_states(spark, tmp_path):
+    """However many tasks there are, states are as many as buckets at most."""
+    rows = [(i, f"t{i}", START, "PENDING", i % 100) for i in range(1500)]
+    assert run(spark, tmp_path, [rows], ordered.changes_in_order) == []
+    held = spark.read.format("statestore").option("stateVarName", "held").load(str(tmp_path / "checkpoint"))
+    assert 100 < held.select("key").distinct().count() <= 512
+
+
+def test_missing_values(spark, tmp_path):
+    """Events without an id or a task count, ones without a time take no part; large ids stay exact."""
+    later, big = START + datetime.timedelta(hours=9), 2**62 + 1
+    rows = [(None, "a", START, "SUCCESS", 5), (big, "a", START + datetime.timedelta(minutes=1), None, 7), (3, None, START, "PENDING", None), (4, "a", None, "PENDING", 1), (5, "b", later, "PENDING", 0)]
+    want = [("a", "change", None, 5), ("a", "change", big, 7), (None, "change", 3, 100)]
+    assert run(spark, tmp_path / "c", [rows], ordered.changes_in_order) == sorted(want, key=str)
+    t = micros(START)
+    want = [("a", "expired", t + 3_600_000_000), ("a", "timeout", t + 7_260_000_000), ("a", "expired", t + 10_860_000_000), (None, "timeout", t + 7_200_000_000), (None, "expired", t + 10_800_000_000)]
+    assert run(spark, tmp_path / "d", [rows], ordered.task_deadlines) == sorted(want, key=str)
