@@ -86,7 +86,7 @@ def search_each(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, se
     by_vector = index.search(asked, deepest).select("application_id", "query", "document_id").join(chunks.select(keys), ["application_id", "document_id"])
     hybrid_query = search_method(F.col("query"), F.lit(True), threshold) == "hybrid"
     read = searches.where((F.col("rerank_limit") > 0) | hybrid_query).select("application_id", "query").distinct()
-    texts = materialize(TextIndex.build(chunks).scores(read), "text-scores")
+    texts = materialize(TextIndex.build(chunks, read).scores(read), "text-scores")
     found = by_vector.unionByName(texts.where(hybrid_query).select(by_vector.columns)).distinct()
     product = F.aggregate(F.zip_with(F.col("vector"), F.col("asked"), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     scored = found.join(asked.withColumnRenamed("vector", "asked"), ["application_id", "query"]).join(vectors, "document_id").select("application_id", "query", "document_id", "chunk_index", product.alias("score"))

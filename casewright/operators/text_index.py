@@ -17,6 +17,8 @@ from casewright.sources import partitions
 K1, B = 1.2, 0.75
 #: Scores are rounded to so many places, so that their order doesn't hang on that of a sum.
 PLACES = 9
+#: With so many of them at most, the terms of queries are held against those of all chunks where these are.
+ASKED = 200_000
 _CHUNK = ["application_id", "document_id", "chunk_index"]
 
 
@@ -25,6 +27,11 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
+def _asked(queries: DataFrame) -> DataFrame:
+    """application_id, query, term: a term that a query repeats stands once."""
+    return queries.select("application_id", "query", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
+
+
 def _counted(tokens: DataFrame) -> DataFrame:
     """_CHUNK, size, term, n: a row's terms are counted where it is; rows of one chunk are not yet added up."""
     kinds = dict(tokens.dtypes)
@@ -57,10 +64,18 @@ class TextIndex:
     counted: tuple[DataFrame, int] | None = None
 
     @staticmethod
-    def build(chunks: DataFrame) -> TextIndex:
-        """Of rows (application_id, document_id, chunk_index, text). A term's occurrences in a row are counted where it is; what is shuffled are postings, once, by case and term."""
+    def build(chunks: DataFrame, queries: DataFrame | None = None) -> TextIndex:
+        """Of rows (application_id, document_id, chunk_index, text). A term's occurrences in a row are counted where it is; what is shuffled are postings, once, by case and term.
+
+        An index for known queries alone (application_id, query) leaves out other terms' postings before they are shuffled,
+        unless the queries have more than ASKED terms; sizes and means are those of all terms, so scores are the same.
+        """
         tokens = chunks.select(*_CHUNK, terms(F.col("text")).alias("terms"))
         counted, n = _counted(tokens), partitions.parts(chunks)
+        if queries is not None:
+            wanted = _asked(queries).select("application_id", "term").distinct()
+            if wanted.limit(ASKED + 1).count() <= ASKED:
+                counted = counted.join(F.broadcast(wanted), ["application_id", "term"], "left_semi")
         cases = tokens.groupBy("application_id").agg(F.count("*").alias("n_chunks"), F.avg(F.size("terms")).alias("mean"))
         index = TextIndex.of(_added_up(counted.repartition(n, "application_id", "term")), cases)
         index.counted = counted, n
@@ -90,8 +105,7 @@ class TextIndex:
         queries: distinct (application_id, query). A term that a query repeats counts once; one that no chunk of the
         case has adds to the most that the query can give, so its score stays under 1.
         """
-        asked = queries.select("application_id", "query", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
-        known = asked.join(self.frequencies, ["application_id", "term"], "left").join(self.cases, "application_id")
+        known = _asked(queries).join(self.frequencies, ["application_id", "term"], "left").join(self.cases, "application_id")
         df = F.coalesce("df", F.lit(0))
         weighted = known.withColumn("idf", F.log1p((F.col("n_chunks") - df + 0.5) / (df + 0.5)))
         most = weighted.groupBy(F.col("application_id").alias("m_case"), F.col("query").alias("m_query")).agg((F.sum("idf") * (K1 + 1)).alias("most"))

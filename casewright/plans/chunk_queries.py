@@ -9,7 +9,7 @@ from casewright.operators import chunks, context, extraction, report, retrieval,
 from casewright.operators.vector_index import VectorIndex
 from casewright.plans.registry import query
 from casewright.sources.relations import load
-from casewright.sources.storage import scratch_path
+from casewright.sources.storage import materialize, scratch_path
 
 APPS = [5, 1, 12]
 QUERY_ID = 17
@@ -286,7 +286,7 @@ def checklist_analysis(spark, sf_dir):
     rerank = F.when(F.col("use_reranker"), RERANK_LIMIT).otherwise(0).alias("rerank_limit")
     case = (F.col("checklist_id") % 20).cast("int").alias("application_id")
     asked = load(spark, sf_dir, "checklist_parameters").select(case, F.col("id").alias("parameter_id"), F.lower("search_query").alias("query"), "search_limit", rerank, "use_full_scan")
-    asked = asked.withColumn("word", F.element_at(F.split("query", " "), 1))
+    asked = materialize(asked.withColumn("word", F.element_at(F.split("query", " "), 1)), "parameters")  # read several times, which would each deal the lines out
     c, vectors = load(spark, sf_dir, "chunks"), spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     one = vectors.select(F.size("embedding").alias("n")).first()
     queries = asked.select("query").distinct().withColumn("vector", retrieval.stub_vector(F.col("query"), one.n if one else 1))

@@ -163,3 +163,9 @@ def test_added_links_are_dealt_out_by_the_size_of_the_input(spark, tmp_path, mon
     df = mutations.add_checklists(links, links.select("application_id", (F.col("checklist_id") + 1).alias("checklist_id")))
     assert df.rdd.getNumPartitions() == partitions.parts(links) > 4
     assert sorted(tuple(r) for r in df.collect()) == [(a, c) for a in range(50) for c in range(a % 7 + 1) if a % 7]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the driver's tables are not here")
+def test_the_analysis_deals_lines_out_once(spark):
+    """What it returns is made from its parameters as they were written once, not from the lines again."""
+    assert not any("lineitem" in f for f in registry.QUERIES["checklist_analysis"](spark, SF_DIR).inputFiles())

@@ -111,3 +111,22 @@ def test_postings_are_dealt_out_once(spark):
     assert got == [(1, 1, 0, 3, "a", 3), (1, 1, 0, 3, "b", 2), (1, 1, 0, 3, "c", 1)]
     frequencies = TextIndex.build(spark.createDataFrame(rows, CHUNKS)).frequencies
     assert frequencies._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_an_index_for_known_queries_holds_their_terms(spark, monkeypatch):
+    """Postings of other terms are left out before they are shuffled, and scores stay the same; with too many terms none is left out."""
+    from casewright.operators import text_index
+
+    rows = [(1, d, i, f"a b {'a ' * d} c{i} d{d}") for d in range(4) for i in range(3)] + [(2, 9, 0, "b z"), (3, 8, 0, None)]
+    chunks = spark.createDataFrame(rows, CHUNKS).repartition(3)
+    queries = spark.createDataFrame([(1, "a c1 a"), (1, "nowhere"), (2, "a"), (2, "z y"), (3, "b"), (4, "a")], "application_id int, query string")
+    want = sorted(map(tuple, TextIndex.build(chunks).scores(queries).collect()))
+    index = TextIndex.build(chunks, queries)
+    assert {(r.application_id, r.term) for r in index.postings.collect()} == {(1, "a"), (1, "c1"), (2, "z")}
+    assert want and sorted(map(tuple, index.scores(queries).collect())) == want
+    plan = index.postings._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange hashpartitioning") < plan.index("LeftSemi")  # the join stands below the exchange
+    monkeypatch.setattr(text_index, "ASKED", 2)
+    index = TextIndex.build(chunks, queries)
+    assert (1, "b") in {(r.application_id, r.term) for r in index.postings.collect()}
+    assert sorted(map(tuple, index.scores(queries).collect())) == want
