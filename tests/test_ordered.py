@@ -139,3 +139,14 @@ def test_missing_values(spark, tmp_path):
     t = micros(START)
     want = [("a", "expired", t + 3_600_000_000), ("a", "timeout", t + 7_260_000_000), ("a", "expired", t + 10_860_000_000), (None, "timeout", t + 7_200_000_000), (None, "expired", t + 10_800_000_000)]
     assert run(spark, tmp_path / "d", [rows], ordered.task_deadlines) == sorted(want, key=str)
+
+
+def test_deadlines_share_states(spark, tmp_path):
+    """What is known of tasks is one state for each bucket, and gone once nothing of its tasks can fall due."""
+    rows = [(i, f"t{i}", START, "PENDING", 0) for i in range(1500)] + [(9999, "last", START + datetime.timedelta(minutes=90), "PENDING", 0)]
+    assert run(spark, tmp_path, [rows], ordered.task_deadlines) == []
+    read = spark.read.format("statestore").option("stateVarName", "known")
+    assert 100 < read.load(str(tmp_path / "checkpoint")).select("key").distinct().count() <= 512
+    spark.createDataFrame([(10000, "last", START + datetime.timedelta(hours=9), "PENDING", 0)], SCHEMA).write.mode("append").parquet(str(tmp_path / "in"))
+    assert len(run(spark, tmp_path, [], ordered.task_deadlines)) == 3002
+    assert read.load(str(tmp_path / "checkpoint")).count() == 0
