@@ -26,6 +26,8 @@ from .tokens import FileEncoder, worker_encoder
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
 ID_BYTES = 4
+#: Text units whose ids a worker keeps, some 200 bytes each; packing leaves the memory for twice the usual number.
+MEMO = 1_400_000
 
 
 class TierPacker:
@@ -161,7 +163,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
 
         arrow, end = to_arrow_schema(schema), struct.pack("<I", end_id)
         base = TaskContext.get().partitionId() << 40
-        encode = worker_encoder(FileEncoder, tokenizer, keeps_spaces).encode
+        encode = worker_encoder(FileEncoder, tokenizer, keeps_spaces, MEMO).encode
         packer = TierPacker(tiers, buffer_tokens, step_tokens)
 
         def out(last):

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import struct
+from itertools import filterfalse
 
 #: White space besides blank and newline (fixed values: Unicode White_Space).
 OTHER_SPACE = "\t\x0b\x0c\r\x85\xa0                　"
@@ -58,7 +59,7 @@ class UnitEncoder:
 
     def _learn(self, memo: _Memo, words: list[str], before: str = "") -> None:
         distinct = set(words)
-        missing = [w for w in distinct if w not in memo]
+        missing = list(filterfalse(memo.__contains__, distinct))
         if missing:
             if len(memo) + len(missing) > memo.limit:
                 memo.clear()
@@ -129,25 +130,24 @@ class FileEncoder(UnitEncoder):
         """Letters with marks behind them are a piece of letters and one of marks: words are encoded without their marks, and once."""
         blank = " " if self.keeps_spaces else ""
         known = self.spaced if self.keeps_spaces else self.units
-        parts, stems, rest = {}, {}, {}
+        heads, tails = [], []  # of each unit; one that is encoded whole has no head
         for unit in units:
             body = unit.removeprefix(blank)
             stem = body.rstrip(MARKS)
             if self.apart and stem.isalpha() and (body is not unit or not blank):
-                parts[unit] = stem, body[len(stem) :]
-                if stem not in known:
-                    stems[stem] = None
-                rest[body[len(stem) :]] = None
+                heads.append(stem)
+                tails.append(body[len(stem) :])
             else:
-                rest[unit] = None
-        rest.pop("", None)
+                heads.append("")
+                tails.append(unit)
+        stems, rest = dict.fromkeys(filterfalse(known.__contains__, heads)), dict.fromkeys(tails)
+        stems.pop("", None), rest.pop("", None)
         told = self._rust(blank + " ".join(stems), len(stems)) if stems else []
         if told is None:
             told = self._rust([blank + x for x in stems], len(stems))
-        stems = dict(zip(stems, told))
+        stems = dict(zip(stems, told)) | {"": b""}
         rest = dict(zip(rest, self._rust(list(rest), len(rest)) if rest else [])) | {"": b""}
-        piece = lambda stem: stems[stem] if stem in stems else known[stem]
-        return [piece(parts[u][0]) + rest[parts[u][1]] if u in parts else rest[u] for u in units]
+        return [(stems[head] if head in stems else known[head]) + rest[tail] for head, tail in zip(heads, tails)]
 
     def _unit(self, unit: str) -> list[int]:
         return self.tokenizer.encode([unit], is_pretokenized=True, add_special_tokens=False).ids

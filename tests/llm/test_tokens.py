@@ -160,3 +160,19 @@ def test_orc_files_hold_indexes_run_lengths_and_bloom_filters(spark, tmp_path):
     assert read.count() == 0
     groups = {n: m for n, m in ((f, orc.ORCFile(f)) for f in files)}
     assert all(m.row_index_stride == 1000 and m.nstripes >= 1 and m.compression == "ZSTD" for m in groups.values())
+
+
+def test_words_with_marks_are_encoded_in_parts(tmp_path):
+    """Words whose stems, or marks, are new, known, or encoded whole give the library's ids."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from casewright.llm.tokens import FileEncoder
+
+    texts = ["stem stem, stem*** new***", "new stem$$$ é, é *** , 12, 12", "a,b a,b. New, new,\nNew stem***", "word-- word *** (x) x)"]
+    for name, keeps in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        path = public_tokenizers.path(name)
+        encoder, whole = FileEncoder(path, keeps), Tokenizer.from_file(path)
+        for text in texts * 2:
+            ids = whole.encode(text, add_special_tokens=False).ids
+            assert encoder.encode(text) == b"".join(i.to_bytes(4, "little") for i in ids)
