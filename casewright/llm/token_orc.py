@@ -14,6 +14,8 @@ from .common import shuffle_partitions
 from .tokens import FileEncoder, worker_encoder
 
 END_ID = 1
+#: So many words keep their ids in a worker.
+MEMO = 1_000_000
 
 
 def tokenize(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, keeps_spaces: bool = False) -> DataFrame:
@@ -21,20 +23,19 @@ def tokenize(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_co
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
-        import struct
-
         import numpy as np
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow, end = to_arrow_schema(schema), struct.pack("<I", end_id)
-        encode, before = worker_encoder(FileEncoder, tokenizer, keeps_spaces).encode, 0
+        arrow, before = to_arrow_schema(schema), 0
+        encode_all = worker_encoder(FileEncoder, tokenizer, keeps_spaces, MEMO).encode_all
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                ids = [encode(x.as_py()) + end for x in part.column(1)]
-                ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype="<i8")
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype("<i4")), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
+                ends, ids = encode_all(part.column(1))
+                ids = np.insert(ids, ends[1:], end_id)
+                ends += np.arange(len(ends))
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype("<i4")), pa.array(ids.view("<i4")))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(before + ends[:-1]), pa.array(np.diff(ends)), lists.cast(arrow.field(3).type)], schema=arrow)
                 before += int(ends[-1])
 

@@ -176,3 +176,19 @@ def test_words_with_marks_are_encoded_in_parts(tmp_path):
         for text in texts * 2:
             ids = whole.encode(text, add_special_tokens=False).ids
             assert encoder.encode(text) == b"".join(i.to_bytes(4, "little") for i in ids)
+
+
+def test_columns_give_the_ids_of_each_text():
+    """Whatever stands in a column, and however it is cut, each text has its own ids; plain texts' units are encoded in one go."""
+    import pyarrow as pa
+
+    texts = [None, "", *ODD, *random_texts(300), None, "x" * 9, ""]
+    for path, spaces in ((BYTE, True), (WORD, False)):
+        enc = FileEncoder(path, spaces, memo_limit=50)
+        for column in (pa.array(texts), pa.array(texts).slice(3, 40), pa.array(texts, pa.large_string()), pa.array([None, ""]), pa.array([], pa.string())):
+            ends, ids = enc.encode_all(column)
+            assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [whole(path, x or "") for x in column.to_pylist()]
+        asked, packed = [], enc._packed
+        enc._packed = lambda units: [asked.extend(units), packed(units)][1]
+        enc.encode_all(pa.array([f"new word{chr(97 + k)}, and words\nof a text." for k in range(20)] * 3))
+        assert len(asked) == len(set(asked)) <= 20 + 7
