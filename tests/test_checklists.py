@@ -169,3 +169,27 @@ def test_added_links_are_dealt_out_by_the_size_of_the_input(spark, tmp_path, mon
 def test_the_analysis_deals_lines_out_once(spark):
     """What it returns is made from its parameters as they were written once, not from the lines again."""
     assert not any("lineitem" in f for f in registry.QUERIES["checklist_analysis"](spark, SF_DIR).inputFiles())
+
+
+def test_links_of_one_checklist_meet_its_parameters_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(report, "SLICE", 10)
+    monkeypatch.setattr(report, "PIECE", 4)
+    links = [(a, 1) for a in range(60)] + [(a, 2) for a in range(5)] + [(1, 3)]
+    parameters = [(b * 100 + i, b, f"p{i}", i) for b in (1, 2) for i in range(11)] + [(205, 1, "shared", None)]
+    results = [(a * 100 + k, a, k, f"v{a}-{k}", 0.5) for a in range(0, 70, 3) for k in (101, 108, 205)] + [(1, 0, 101, "first", None)]
+    frames = (spark.createDataFrame(links, "application_id bigint, checklist_id bigint"), spark.createDataFrame(parameters, "id bigint, checklist_id bigint, name string, order_index int"), spark.createDataFrame(results, "id bigint, application_id bigint, parameter_id bigint, value string, confidence double"))
+    kept = {(a, k): (v, c) for _, a, k, v, c in results}
+    want = sorted((a, k, b, name, str(i), *map(str, kept.get((a, k), (None, None)))) for a, b in links for k, of, name, i in parameters if of == b)
+    df = report.results_of_all_links(*frames)
+    got = [(r.application_id, r.parameter_id, r.checklist_id, r.parameter, str(r.order_index), str(r.value), str(r.confidence)) for r in df.collect()]
+    assert sorted(got) == want
+    assert df.where("checklist_id = 1").select(F.spark_partition_id()).distinct().count() > 1
+    again = report.results_by_checklist(*frames)
+    assert again.columns == df.columns and again.exceptAll(df).count() == df.exceptAll(again).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the driver's tables are not here")
+def test_results_of_all_cases_are_made_in_many_tasks_from_arrays(spark):
+    df = registry.QUERIES["results_by_checklist_all"](spark, SF_DIR)
+    assert "Generate inline" in df._jdf.queryExecution().executedPlan().toString()
+    assert df.rdd.getNumPartitions() >= 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
