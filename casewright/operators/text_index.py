@@ -105,14 +105,17 @@ class TextIndex:
         queries: distinct (application_id, query). A term that a query repeats counts once; one that no chunk of the
         case has adds to the most that the query can give, so its score stays under 1.
         """
-        known = _asked(queries).join(self.frequencies, ["application_id", "term"], "left").join(self.cases, "application_id")
+        keys, known, frequencies, sent = ["application_id", "term"], _asked(queries), self.frequencies, lambda df: df
+        if known.limit(ASKED + 1).count() <= ASKED:
+            sent = F.broadcast
+            frequencies = frequencies.join(sent(known.select(*keys).distinct()), keys)
         df = F.coalesce("df", F.lit(0))
-        weighted = known.withColumn("idf", F.log1p((F.col("n_chunks") - df + 0.5) / (df + 0.5)))
+        weighted = known.join(frequencies, keys, "left").join(self.cases, "application_id").withColumn("idf", F.log1p((F.col("n_chunks") - df + 0.5) / (df + 0.5)))
         most = weighted.groupBy(F.col("application_id").alias("m_case"), F.col("query").alias("m_query")).agg((F.sum("idf") * (K1 + 1)).alias("most"))
-        hits = self.postings.join(weighted.select("application_id", "query", "term", "idf", "mean"), ["application_id", "term"])
+        hits = self.postings.join(sent(weighted.select("application_id", "query", "term", "idf", "mean")), keys)
         share = F.col("idf") * F.col("n") * (K1 + 1) / (F.col("n") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
         sums = hits.groupBy("application_id", "query", "document_id", "chunk_index").agg(F.sum(share).alias("sum"))
-        joined = sums.join(most, (F.col("application_id") == F.col("m_case")) & (F.col("query") == F.col("m_query")))
+        joined = sums.join(sent(most), (F.col("application_id") == F.col("m_case")) & (F.col("query") == F.col("m_query")))
         return joined.select("application_id", "query", "document_id", "chunk_index", F.round(F.col("sum") / F.col("most"), PLACES).alias("text_score"))
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from casewright.operators.text_index import TextIndex
 from casewright.operators.vector_index import VectorIndex, fit_centroids
@@ -130,3 +131,42 @@ def test_an_index_for_known_queries_holds_their_terms(spark, monkeypatch):
     index = TextIndex.build(chunks, queries)
     assert (1, "b") in {(r.application_id, r.term) for r in index.postings.collect()}
     assert sorted(map(tuple, index.scores(queries).collect())) == want
+
+
+def test_few_terms_go_to_the_postings(spark, tmp_path, monkeypatch):
+    """Postings and frequencies stay where they are if few terms are asked; with many they are dealt out, and scores are the same, also of repeated, empty and null rows."""
+    from casewright.operators import text_index
+
+    rows = [(1, d, i, f"a b {'a ' * d} c{i} d{d}") for d in range(4) for i in range(3)] + [(1, 0, 0, "a b  c0 d0"), (2, 9, 0, "b z"), (3, 8, 0, None), (3, None, None, "b"), (None, 7, 0, "a")]
+    queries = spark.createDataFrame([(1, "a c1 a"), (1, "nowhere"), (2, "a"), (2, "z y"), (3, "b"), (3, None), (4, "a"), (None, "a")], "application_id int, query string")
+    index = TextIndex.build(spark.createDataFrame(rows, CHUNKS).repartition(3)).write(str(tmp_path / "text"))
+
+    def joined(scores, column):
+        """The operators between the scans of a column and the next join, and that join."""
+        lines, out = scores._jdf.queryExecution().executedPlan().toString().split("\n"), []
+        depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+        for i, line in enumerate(lines):
+            if "FileScan" in line and f"{column}#" in line:
+                at = depth(line)
+                for above in reversed(lines[:i]):
+                    if depth(above) < at:
+                        at = depth(above)
+                        out.append(above[at:].split("(")[0].split()[0])
+                        if "Join" in above:
+                            break
+        return out
+
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scores = index.scores(queries)
+        for column in ("size", "df"):
+            assert "BroadcastHashJoin" in joined(scores, column) and not {"Exchange", "SortMergeJoin"} & {*joined(scores, column)}
+        got = sorted(map(tuple, scores.select("application_id", "query", F.coalesce("document_id", F.lit(-1)), F.coalesce("chunk_index", F.lit(-1)), "text_score").collect()))
+        assert {r[2] for r in got if r[0] == 3} == {-1} and not any(r[0] is None for r in got)
+        monkeypatch.setattr(text_index, "ASKED", 2)
+        scores = index.scores(queries)
+        assert {"Exchange", "SortMergeJoin"} <= {*joined(scores, "size")}
+        assert got == sorted(map(tuple, scores.select("application_id", "query", F.coalesce("document_id", F.lit(-1)), F.coalesce("chunk_index", F.lit(-1)), "text_score").collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
