@@ -82,10 +82,20 @@ class TextIndex:
         return index
 
     def write(self, path: str) -> TextIndex:
-        """Under `path`, postings sorted by case and term in ranges, so that a search skips files and pages by their least and greatest terms."""
-        keys = ["application_id", "term"]
-        rows = _added_up(self.counted[0].repartitionByRange(self.counted[1], *keys)) if self.counted else self.postings.repartitionByRange(*keys)
-        rows.sortWithinPartitions(*keys).write.parquet(f"{path}/postings")
+        """Under `path`, postings sorted by case and term in ranges, so that a search skips files and pages by their least and greatest terms.
+
+        A common term's postings may take several ranges. Rows of one chunk are added up where sorting has put them side
+        by side, so a task sorts its postings and holds no table of them besides.
+        """
+        order = ["application_id", "term", "document_id"]
+        if self.counted:
+            counted, n = self.counted
+            same = Window.partitionBy(*order, "chunk_index", "size").orderBy("n")
+            added = F.sum("n").over(same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+            rows = counted.repartitionByRange(n, *order).withColumns({"n": added, "row": F.row_number().over(same)}).where("row = 1").drop("row")
+        else:
+            rows = self.postings.repartitionByRange(*order)
+        rows.sortWithinPartitions("application_id", "term").write.parquet(f"{path}/postings")
         spark = self.postings.sparkSession
         TextIndex.of(spark.read.parquet(f"{path}/postings"), self.cases).frequencies.write.parquet(f"{path}/frequencies")
         self.cases.write.parquet(f"{path}/cases")

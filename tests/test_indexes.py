@@ -170,3 +170,23 @@ def test_few_terms_go_to_the_postings(spark, tmp_path, monkeypatch):
         assert got == sorted(map(tuple, scores.select("application_id", "query", F.coalesce("document_id", F.lit(-1)), F.coalesce("chunk_index", F.lit(-1)), "text_score").collect()))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_a_common_term_is_written_by_several_tasks(spark, tmp_path):
+    """Files hold ranges of case and term in order, one term's postings more than one file's; rows of one chunk are added up, also null ones."""
+    rows = [(1, d, 0, "the" if d else "the a") for d in range(2000)] + [(1, 5, 0, "the"), (1, 5, 0, "the the"), (1, None, 0, "x x"), (1, None, 0, "x y"), (None, 3, None, "z"), (None, 3, None, "z"), (2, 1, 0, ""), (2, 1, 1, None)]
+    index = TextIndex.build(spark.createDataFrame(rows, CHUNKS).repartition(3))
+    kinds = index.postings.dtypes
+    plain = lambda df: sorted(map(str, df.select("application_id", "document_id", "chunk_index", "size", "term", "n").collect()))
+    want = plain(index.postings)
+    index = index.write(str(tmp_path / "text"))
+    assert index.postings.dtypes == kinds and plain(index.postings) == want and len(want) == 2005
+    told = {(r.document_id, r.size, r.term): r.n for r in index.postings.where("document_id IS NULL OR document_id IN (3, 5)").collect()}
+    assert told == {(3, 1, "the"): 1, (3, 1, "z"): 2, (5, 1, "the"): 2, (5, 2, "the"): 2, (None, 2, "x"): 3, (None, 2, "y"): 1}
+    files = {}
+    for r in index.postings.select("application_id", "term", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("place")).orderBy("place").collect():
+        files.setdefault(r.file, []).append((r.application_id or 0, r.term))
+    assert all(x == sorted(x) for x in files.values())
+    assert sum((1, "the") in x for x in files.values()) > 1
+    ranges = sorted((x[0], x[-1]) for x in files.values())
+    assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))
