@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from casewright.operators import report, retrieval, status, tasks
+from casewright.operators import extraction, report, retrieval, status, tasks
 
 
 def test_calls_that_fail_are_rows_and_the_others_go_on(spark):
@@ -98,6 +98,33 @@ def test_a_stopped_analysis_keeps_whole_parts_and_goes_on(spark, tmp_path):
     assert made.value - before == 40 - kept
 
 
+def test_requests_are_dealt_out_without_their_salt(spark):
+    """What is shuffled are the requests' own columns; rows of a model lie together, over several tasks; repeated, empty and null ones are sent as they are."""
+    rows = [(i, "m" if i % 50 else None, f"p{i}") for i in range(300)] + [(1, "m", "p1")] * 2 + [(None, None, None), (400, "n", ""), (400, "", None)]
+    requests = spark.createDataFrame(rows, "request bigint, model string, prompt string").repartition(3)
+
+    def provider(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        for k, batch in enumerate(batches):
+            places = [TaskContext.get().partitionId() * 1_000_000 + k * 10_000 + i for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places)], names=["request", "model", "prompt", "place"])
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sent = extraction.ask(requests, provider, "request bigint, model string, prompt string, place bigint")
+        assert "salt" not in sent._jdf.queryExecution().executedPlan().toString()
+        got = sorted(sent.collect(), key=lambda r: r.place)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(map(str, (r[:3] for r in got))) == sorted(map(str, rows))
+    assert len({r.place // 1_000_000 for r in got if r.model == "m"}) > 1
+    for task in {r.place // 1_000_000 for r in got}:
+        models = [r.model for r in got if r.place // 1_000_000 == task]
+        assert sum(a != b for a, b in zip(models, models[1:])) == len({*models}) - 1
+
+
 def test_nested_reports_in_both_views(spark):
     frame = spark.createDataFrame
     links = frame([(1, 1), (1, 2), (2, 1), (2, 3)], "application_id bigint, checklist_id bigint")
