@@ -172,3 +172,28 @@ def test_partial_reports_deal_rows_out_seldom(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("Exchange hashpartitioning") <= 7
+
+
+def test_few_checklists_meet_the_reports(spark, monkeypatch):
+    """Parameters are not dealt out by checklist to be counted or named where checklists are few; with many, reports are the same, also of repeated, unnamed and null ones."""
+    frame = spark.createDataFrame
+    links = frame([(1, 1), (1, 2), (1, 2), (2, 1), (2, 3), (3, None), (None, 1)], "application_id bigint, checklist_id bigint")
+    lists = frame([(1, "one"), (1, "uno"), (1, None), (2, None), (3, "none"), (None, "x")], "id bigint, name string")
+    parameters = frame([(10, 1, "b", 1), (10, 1, "b", 1), (11, 1, "", 0), (20, 2, None, None), (30, 4, "unknown", 0), (40, None, "n", 0), (None, 2, "m", 0)], "id bigint, checklist_id bigint, name string, order_index int")
+    results = frame([(5, 1, 10, "late", 0.5), (4, 1, 10, "first", 0.5), (4, 1, 10, "first", 0.5), (6, 1, 20, "", None), (7, 2, 20, "not linked", 0.2), (8, 2, 11, "v", 0.1), (9, 1, 11, None, 0.3), (10, 3, 40, "w", 0.1), (11, None, 10, "w", 0.1), (12, 1, None, "w", 0.1)], "id bigint, application_id bigint, parameter_id bigint, value string, confidence double")
+    read = lambda: {r.application_id: (r.n_results, r.report) for r in report.nested_reports(links, lists, parameters, results).collect()}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = report.nested_reports(links, lists, parameters, results)._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "SortMergeJoin [checklist_id" not in plan.split("SortMergeJoin [application_id")[0]
+        few = read()
+        monkeypatch.setattr(report, "FEW", 1)
+        assert few == read() and "Window" in report.nested_reports(links, lists, parameters, results)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    told = {case: (n, [(x["checklist_id"], x["name"], x["total"], [(y["name"], y["value"], y["confidence"]) for y in x["parameters"]]) for x in json.loads(text)]) for case, (n, text) in few.items()}
+    assert told == {
+        1: (7, [(1, "uno", 3, [("b", "first", 0.5)] * 6), (2, None, 2, [(None, "", None)])]),
+        2: (3, [(1, "uno", 3, [("", "v", 0.1)] * 3)]),
+    }
