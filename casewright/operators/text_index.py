@@ -19,6 +19,8 @@ K1, B = 1.2, 0.75
 PLACES = 9
 #: With so many of them at most, the terms of queries are held against those of all chunks where these are.
 ASKED = 200_000
+#: Of the tasks that postings are dealt out to, the parts that one task may count.
+SHARE = 4
 _CHUNK = ["application_id", "document_id", "chunk_index"]
 
 
@@ -32,6 +34,10 @@ def _asked(queries: DataFrame) -> DataFrame:
     return queries.select("application_id", "query", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
 
 
+def _tokens(chunks: DataFrame) -> DataFrame:
+    return chunks.select(*_CHUNK, terms(F.col("text")).alias("terms"))
+
+
 def _counted(tokens: DataFrame) -> DataFrame:
     """_CHUNK, size, term, n: a row's terms are counted where it is; rows of one chunk are not yet added up."""
     kinds = dict(tokens.dtypes)
@@ -70,7 +76,7 @@ class TextIndex:
         An index for known queries alone (application_id, query) leaves out other terms' postings before they are shuffled,
         unless the queries have more than ASKED terms; sizes and means are those of all terms, so scores are the same.
         """
-        tokens = chunks.select(*_CHUNK, terms(F.col("text")).alias("terms"))
+        tokens = _tokens(chunks)
         counted, n = _counted(tokens), partitions.parts(chunks)
         if queries is not None:
             wanted = _asked(queries).select("application_id", "term").distinct()
@@ -78,6 +84,9 @@ class TextIndex:
                 counted = counted.join(F.broadcast(wanted), ["application_id", "term"], "left_semi")
         cases = tokens.groupBy("application_id").agg(F.count("*").alias("n_chunks"), F.avg(F.size("terms")).alias("mean"))
         index = TextIndex.of(_added_up(counted.repartition(n, "application_id", "term")), cases)
+        if queries is None and chunks.rdd.getNumPartitions() * SHARE < n:
+            # A task holds the postings that it counts until they are dealt out, many times the bytes of their texts: these go to more tasks first.
+            counted = _counted(_tokens(chunks.repartition(n, *_CHUNK)))
         index.counted = counted, n
         return index
 

@@ -190,3 +190,20 @@ def test_a_common_term_is_written_by_several_tasks(spark, tmp_path):
     assert sum((1, "the") in x for x in files.values()) > 1
     ranges = sorted((x[0], x[-1]) for x in files.values())
     assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))
+
+
+def test_few_large_tasks_deal_their_texts_out(spark, tmp_path):
+    """Where few tasks read texts whose postings go to many, texts are dealt out before they are counted; the index is the same, also of repeated, empty and null rows."""
+    rows = [(1, d, i, f"a b {'a ' * d} c{i}") for d in range(9) for i in range(3)] + [(1, 0, 0, "a  b c0"), (1, None, 0, "x x"), (1, None, 0, "x y"), (None, 3, None, "z"), (None, 3, None, "z"), (2, 1, 0, ""), (2, 1, 1, None)]
+    chunks = spark.createDataFrame(rows, CHUNKS)
+    plain = lambda df: sorted(map(str, df.collect()))
+    plan = lambda index: index.counted[0]._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        one, many = TextIndex.build(chunks.coalesce(1)), TextIndex.build(chunks.coalesce(4))
+        assert "Exchange hashpartitioning(application_id" in plan(one) and "Exchange" not in plan(many)
+        one, many = (index.write(str(tmp_path / name)) for index, name in ((one, "one"), (many, "many")))
+        assert plain(one.postings) == plain(many.postings) and plain(one.frequencies) == plain(many.frequencies) and plain(one.cases) == plain(many.cases)
+        assert one.postings.where("term = 'x'").first().n == 3 and one.postings.where("application_id IS NULL").first().n == 2
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
